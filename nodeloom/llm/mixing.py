@@ -69,7 +69,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
             bound = state.select("source", F.col("below").alias("lo"))
             inside = inside.join(bound, F.col("s").eqNullSafe(F.col("source"))).where((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("lo") + step * (1 << BITS))).select("s", "size", "place")
             inside = stored(inside, "mix")
-        sums = inside.groupBy("s", F.floor(F.col("place") / F.lit(step)).alias("bucket")).agg(F.sum("size").alias("words"))
+        sums = inside.groupBy("s", F.shiftright("place", BITS * (LEVELS - 1 - level)).alias("bucket")).agg(F.sum("size").alias("words"))
         running = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("passed", F.coalesce(F.sum("words").over(running), F.lit(0)))
         found = (
