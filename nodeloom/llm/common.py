@@ -49,3 +49,10 @@ def parallelism(spark: SparkSession) -> int:
 
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches of few rows, which bounds what a Python worker holds where texts are long."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
