@@ -37,6 +37,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edit_study
 
@@ -49,4 +55,4 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix)}
