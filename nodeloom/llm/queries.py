@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import sha256_of, shared_dir, table
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,13 @@ def tokenizer() -> tuple[bytes, str]:
         return file.read(), public_tokenizers.PATTERN
 
 
+def op2_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rlz import deduplicate
+
+    found = deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept_text")).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -55,4 +62,4 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix)}
