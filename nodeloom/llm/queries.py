@@ -62,4 +62,12 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix)}
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_spans, written
+
+    found = find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, sha256_of(written(F.col("base"))).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix, op10_pii_spans)}
