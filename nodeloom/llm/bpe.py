@@ -2,9 +2,8 @@
 
 The merges that are possible in a piece of text wait in a queue: one bucket
 per merge rank, with the positions of the pair's left token in a linked list.
-Three levels of 64-way bitmaps tell which buckets are filled, so the lowest
-rank is found by three find-first-set steps, whatever the length of the
-piece. Entries whose pair has changed since are skipped when they come up.
+Two levels of 256-way bitmaps tell which buckets are filled, so the lowest
+rank is found by two find-first-set steps, whatever the length of the piece. Entries whose pair has changed since are skipped when they come up.
 A piece of n bytes takes O(n log n) at worst, which keeps very long pieces
 (a base64 blob, a line of one character) from taking quadratic time.
 """
@@ -23,103 +22,100 @@ from pyspark.sql import types as T
 from .common import slices
 
 
-class RankQueue:
-    """The smallest (rank, position) first; ranks are integers from 0 to size - 1."""
-
-    def __init__(self, size: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves = [0] * ((size >> 6) + 1)
-        self.middle = [0] * ((size >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.leaves[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """Call only while top isn't 0."""
-        top = self.top
-        a = (top & -top).bit_length() - 1
-        bits = self.middle[a]
-        b = a << 6 | (bits & -bits).bit_length() - 1
-        bits = self.leaves[b]
-        rank = b << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaves[b] &= bits - 1
-            if not self.leaves[b]:
-                self.middle[a] &= self.middle[a] - 1
-                if not self.middle[a]:
-                    self.top &= top - 1
-        return rank, position
-
-
 def load_ranks(content: bytes) -> dict[bytes, int]:
     """Ranks from a file with a base64 token and its rank on each line."""
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
 class Encoder(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit integers; remembers up to keep pieces."""
+    """Piece of text -> its ids as little-endian unsigned 32-bit integers; remembers keep to 2 * keep pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
         import regex
 
         super().__init__()
+        self.older: dict[str, bytes] = {}  # what was remembered before, so that frequent pieces outlast a full memory
         self.ranks, self.keep = ranks, keep
         self.vocabulary = dict(zip(ranks.values(), ranks.keys()))
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        #: Two ids -> the rank of what they make together, for each way to cut a token in two.
+        self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.bits = [1 << i for i in range(256)]
+        self.leaves = [0] * 256  # all 0 between pieces; ranks are below 2^16
         # White space as Unicode has it: the module's own \s takes in four more control characters.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
     def __missing__(self, piece: str) -> bytes:
-        found = array("I", self.merge(piece.encode()))
+        found = self.older.get(piece)
+        if found is None:
+            found = array("I", self.merge(piece.encode())).tobytes()
         if len(self) >= self.keep:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
-            self[piece] = found.tobytes()
-        return found.tobytes()
+            self[piece] = found
+        return found
 
     def merge(self, piece: bytes) -> list[int]:
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if piece in ranks:
-            return [ranks[piece]]
-        after, before, waiting = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        get, push = ranks.get, queue.push
-        for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
-                waiting[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+        """The ids of one piece: always the pair of lowest rank, of equal ones the leftmost, becomes one token."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        n, get, leaves, bits = len(piece), self.pairs.get, self.leaves, self.bits
+        ids = list(map(self.single.__getitem__, piece))
+        waiting = [get(a << 32 | b) for a, b in zip(ids, ids[1:])]  # the rank of the pair that starts here
+        waiting.append(None)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        for i, rank in enumerate(waiting):
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    leaves[rank >> 8] |= bits[rank & 255]
+                    top |= bits[rank >> 8]
+        while top:
+            leaf = (top & -top).bit_length() - 1
+            word = leaves[leaf]
+            rank = (leaf << 8) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                leaves[leaf] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if waiting[i] != rank:
                 continue  # stale
             j = after[i]
             k = after[i] = after[j]
-            waiting[j] = waiting[i] = -1
-            if k < n:
-                before[k] = i
-                if (rank := get(piece[i : after[k]])) is not None:
-                    waiting[i] = rank
-                    push(rank, i)
-            if (p := before[i]) >= 0:
-                rank = get(piece[p:k])
-                waiting[p] = -1 if rank is None else rank
-                if rank is not None:
-                    push(rank, p)
-        ids, i = [], 0
+            ids[i], waiting[j], before[k] = rank, None, i
+            waiting[i] = new = get(rank << 32 | ids[k]) if k < n else None
+            if new is not None:
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    leaves[new >> 8] |= bits[new & 255]
+                    top |= bits[new >> 8]
+            p = before[i]
+            if p >= 0:
+                waiting[p] = new = get(ids[p] << 32 | rank)
+                if new is not None:
+                    if new in buckets:
+                        heappush(buckets[new], p)
+                    else:
+                        buckets[new] = [p]
+                        leaves[new >> 8] |= bits[new & 255]
+                        top |= bits[new >> 8]
+        out, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
-        return ids
+        return out
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))

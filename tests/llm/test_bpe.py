@@ -43,16 +43,6 @@ def test_long_piece_in_time(coder, known):
     assert ids(coder.encode(piece[:3000])) == known.encode_ordinary(piece[:3000])
 
 
-def test_queue_order():
-    queue = bpe.RankQueue(50_000)
-    draw = random.Random(1)
-    entries = [(draw.choice((0, 63, 64, 4095, 4096, 49_999)), draw.randrange(1000)) for _ in range(500)]
-    for e in entries:
-        queue.push(*e)
-    assert [queue.pop() for _ in entries] == sorted(entries)
-    assert queue.top == 0
-
-
 def test_frames(spark, known):
     ranks, pattern = queries.tokenizer()
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "Ab cd", None), (3, "Ab cd", None), (None, "é" * 5000, "z")], "doc_id long, text string, token string")
