@@ -49,7 +49,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return full.join(revisits, full["page_id"].eqNullSafe(revisits["p"]) & (full["digest"] == revisits["d"]), "left").drop("p", "d")
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4000, compression: str = "none") -> None:
+def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4000, compression: str = "gzip") -> None:
     """Writes a response or revisit record per row of with_revisits(), each under fresh headers."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     clean = lambda url: F.regexp_replace(url, r"[\r\n]", "%0A")
