@@ -44,6 +44,14 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, is_held_out, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minmax import near_duplicates
 
@@ -70,4 +78,4 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256_of(written(F.col("base"))).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix, op10_pii_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix, op10_pii_spans)}
