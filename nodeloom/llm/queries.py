@@ -70,6 +70,13 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
+def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicate_lines
+
+    found = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", sha256_of(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_spans, written
 
@@ -78,4 +85,4 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256_of(written(F.col("base"))).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op9_source_mix, op10_pii_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op8_line_edit_join, op9_source_mix, op10_pii_spans)}
