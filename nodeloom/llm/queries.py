@@ -25,6 +25,14 @@ def tokenizer() -> tuple[bytes, str]:
         return file.read(), public_tokenizers.PATTERN
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings, as melodies of 64 notes: no table holds sound."""
+    from .chroma import matched, sonify
+
+    found = matched(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, sonify, "vec_id", "embedding")
+    return found.select(F.col("clip_id").alias("vec_id"), F.size("frames").cast("long").alias("n_frames"), F.sha2(F.array_join("frames", ","), 256).alias("frames_sha256"), "class_id", "n_links", "best_query", "offset", F.round("bit_error", 6).alias("bit_error"))
+
+
 def op2_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rlz import deduplicate
 
@@ -85,4 +93,4 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256_of(written(F.col("base"))).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op8_line_edit_join, op9_source_mix, op10_pii_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma_fingerprints, op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op8_line_edit_join, op9_source_mix, op10_pii_spans)}
