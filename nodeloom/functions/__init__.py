@@ -1 +1 @@
-
+"""Column functions: vectors, geometry, basis expansions, schedules."""
