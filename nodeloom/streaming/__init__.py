@@ -1 +1 @@
-
+"""Streams of arriving structures and of training losses."""
