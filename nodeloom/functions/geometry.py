@@ -27,9 +27,9 @@ def angle3(a: Vector, b: Vector) -> Column:
 
 
 def dihedral3(a: Vector, b: Vector, c: Vector) -> Column:
-    """Radians from -pi to pi around b, for the chain of bond vectors a, b, c."""
+    """Radians from -pi to pi around b, for the chain of bond vectors a, b, c; null where three atoms are in line."""
     n1, n2 = cross3(a, b), cross3(b, c)
-    return F.atan2(dot3(a, n2) * norm3(b), dot3(n1, n2))
+    return F.when((dot3(n1, n1) > 0) & (dot3(n2, n2) > 0), F.atan2(dot3(a, n2) * norm3(b), dot3(n1, n2)))
 
 
 def minimum_image(d: Column, length: Column) -> Column:

@@ -1 +1 @@
-
+"""Settings of a run and the catalogue of queries."""

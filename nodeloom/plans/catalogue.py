@@ -1,4 +1,715 @@
 """Queries over the driver's tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import basis, geometry, vectors
+from ..operators import chemistry, gop, graphs, neighbors, paths, readout, sampling, training_windows
+from ..operators.components import connected_components
+from ..sources import elements as element_table
+from .views import CLOUD_SQL, CUTOFF, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return df.checkpoint()
+
+
+def knn5(spark, d):
+    return neighbors.knn(cloud(spark, d), 5)
+
+
+def edges_of(spark, d):
+    return graphs.with_edge_ids(neighbors.radius_graph(atoms(spark, d), CUTOFF, method="group"))
+
+
+ATOMS = atoms_sql()
+
+# ---- neighbors -------------------------------------------------------------
+
+
+@query(f"WITH {knn_sql(5)} SELECT src, dst, rank, round(dist, 6) AS dist FROM knn")
+def knn_graph(spark, d):
+    return knn5(spark, d).select("src", "dst", "rank", r("dist").alias("dist"))
+
+
+@query(f"""WITH {knn_sql(5)} SELECT least(a.label, b.label) AS label_a, greatest(a.label, b.label) AS label_b, count(*) AS n, round(avg(dist), 6) AS mean_dist
+FROM knn JOIN cloud a ON a.node_id = src JOIN cloud b ON b.node_id = dst GROUP BY ALL""")
+def knn_pair_types(spark, d):
+    labels = cloud(spark, d).select("node_id", "label")
+    met = knn5(spark, d).join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst")
+    return met.groupBy(F.least("a", "b").alias("label_a"), F.greatest("a", "b").alias("label_b")).agg(F.count("*").alias("n"), r(F.avg("dist")).alias("mean_dist"))
+
+
+@query(f"""WITH {knn_sql(5)}, held AS (SELECT src AS node_id, list(dst ORDER BY rank) AS ind, list(dist ORDER BY rank) AS dist FROM knn GROUP BY src),
+flat AS (SELECT node_id, unnest(ind) AS dst, unnest(dist) AS dist FROM held)
+SELECT node_id AS src, dst, round(dist, 6) AS dist, row_number() OVER (ORDER BY node_id, dist, dst) - 1 AS edge_id FROM flat""")
+def generic_pairwise_edges(spark, d):
+    near = neighbors.knn(cloud(spark, d), 5, include_self=True)
+    lists = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst", "dist"))).alias("n")).select(F.lit(0).alias("gid"), F.col("src").alias("node_id"), F.col("n.dst").alias("ind"), F.col("n.dist").alias("dist"))
+    return graphs.generic_graph(lists, angles=False)["edges"].select("src", "dst", r("dist").alias("dist"), F.col("edge_id").cast("long").alias("edge_id"))
+
+
+@query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, round(dist, 6) AS dist FROM edges")
+def radius_graph(spark, d):
+    return neighbors.radius_graph(atoms(spark, d), CUTOFF, method="group").select("gid", "src", "dst", r("dist").alias("dist"))
+
+
+@query(f"""WITH {atoms_sql('l_suppkey')} SELECT a.gid, count(*) AS n, round(sum(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2)), 4) AS total
+FROM atoms a JOIN atoms b ON a.gid = b.gid AND a.node_id <> b.node_id WHERE (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 < 6.25 GROUP BY a.gid""")
+def radius_graph_large(spark, d):
+    found = neighbors.radius_graph(atoms(spark, d, "l_suppkey"), 2.5)
+    return found.groupBy("gid").agg(F.count("*").alias("n"), r(F.sum("dist"), 4).alias("total"))
+
+
+@query(f"""WITH {ATOMS}, pairs AS (SELECT a.gid, a.node_id AS src, b.node_id AS dst, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM atoms a JOIN atoms b ON a.gid = b.gid AND a.node_id <> b.node_id),
+near AS (SELECT gid, src, dst, sqrt((CASE WHEN dx > 25 THEN dx - 50 WHEN dx < -25 THEN dx + 50 ELSE dx END) ** 2 + dy ** 2 + dz ** 2) AS dist FROM pairs)
+SELECT gid, src, dst, round(dist, 6) AS dist FROM near WHERE dist * dist < {CUTOFF**2}""")
+def radius_graph_pbc(spark, d):
+    return neighbors.minimum_image_graph(atoms(spark, d), CUTOFF, (50.0, None, None)).select("gid", "src", "dst", r("dist").alias("dist"))
+
+
+@query(f"""WITH {ATOMS}, shifts AS (SELECT i - 2 AS sx FROM range(5) t(i)),
+near AS (SELECT a.gid, a.node_id AS src, b.node_id AS dst, sx, sqrt((b.x + 50 * sx - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) AS dist
+FROM atoms a JOIN atoms b ON a.gid = b.gid CROSS JOIN shifts WHERE a.node_id <> b.node_id OR sx <> 0)
+SELECT gid, src, dst, CAST(sx AS INTEGER) AS sx, round(dist, 6) AS dist FROM near WHERE dist * dist < {CUTOFF**2}""")
+def radius_graph_images(spark, d):
+    cell = [[50.0, 0, 0], [0, 11.0, 0], [0, 0, 9.0]]
+    found = neighbors.radius_graph(atoms(spark, d), CUTOFF, cell, (True, False, False), method="group")
+    return found.select("gid", "src", "dst", "sx", r("dist").alias("dist"))
+
+
+@query(f"""WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM
+(SELECT *, row_number() OVER (PARTITION BY gid, dst ORDER BY dist, src) AS rank FROM edges) WHERE rank <= 2""")
+def radius_knn(spark, d):
+    found = neighbors.radius_graph(atoms(spark, d), CUTOFF, method="group")
+    return neighbors.nearest_of(found, 2, strict=False).select("gid", "src", "dst", "rank", r("dist").alias("dist"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(((c % 5) + 5) % 5 AS BIGINT) AS wrapped, CAST(floor(c / 5) AS BIGINT) AS shift, CAST((l_partkey // 12) % 4 AS BIGINT) AS i, CAST((l_partkey // 4) % 3 AS BIGINT) AS j, CAST(l_partkey % 4 AS BIGINT) AS k
+FROM (SELECT *, CAST(floor((l_quantity - 20) / 2.5) AS BIGINT) AS c FROM lineitem)""")
+def cell_index(spark, d):
+    t = table(spark, d, "lineitem").withColumn("c", F.floor((F.col("l_quantity") - 20) / 2.5))
+    i, j, k = geometry.unravel(F.col("l_partkey"), (F.lit(4), F.lit(3), F.lit(4)))
+    five = F.lit(5)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", geometry.wrap_cell(F.col("c"), five).cast("long").alias("wrapped"), geometry.cell_shift(F.col("c"), five).cast("long").alias("shift"), i.cast("long").alias("i"), j.cast("long").alias("j"), k.cast("long").alias("k"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN v > 25 THEN v - 50 WHEN v < -25 THEN v + 50 ELSE v END AS dx FROM (SELECT *, l_quantity - 30.5 * l_linenumber / 7.0::DOUBLE AS v FROM lineitem)")
+def minimum_image_shift(spark, d):
+    t = table(spark, d, "lineitem")
+    v = F.col("l_quantity") - F.lit(30.5) * F.col("l_linenumber") / F.lit(7.0)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", geometry.minimum_image(v, F.lit(50.0)).alias("dx"))
+
+
+# ---- line graphs and angles ------------------------------------------------
+
+
+@query(f"WITH {knn_sql(5)}, d AS (SELECT dst, count(*) AS n FROM knn GROUP BY dst) SELECT dst, n * (n - 1) AS pairs FROM d WHERE n > 1")
+def line_graph_counts(spark, d):
+    e = graphs.with_edge_ids(knn5(spark, d).withColumn("gid", F.lit(0)))
+    pairs = graphs.line_graph(e).join(e.select(F.col("edge_id").alias("edge_u"), "dst"), "edge_u")
+    return pairs.groupBy("dst").agg(F.count("*").alias("pairs"))
+
+
+@query(f"""WITH {knn_sql(5)}, arms AS (SELECT src, dst, list_transform(range(1, 65), lambda i: a.x[i] - b.x[i]) AS arm FROM knn JOIN cloud a ON a.node_id = src JOIN cloud b ON b.node_id = dst)
+SELECT u.dst AS center, u.src AS a, v.src AS b, round(acos(greatest(-1, least(1, list_dot_product(u.arm, v.arm) / sqrt(list_dot_product(u.arm, u.arm)) / sqrt(list_dot_product(v.arm, v.arm))))), 6) AS angle
+FROM arms u JOIN arms v ON u.dst = v.dst AND u.src <> v.src""")
+def three_body_angles(spark, d):
+    points = cloud(spark, d).withColumn("gid", F.lit(0))
+    e = graphs.with_edge_ids(knn5(spark, d).withColumn("gid", F.lit(0)))
+    found = graphs.three_body_angles(e, points)
+    ends = e.select("edge_id", "src", "dst")
+    return found.join(ends.toDF("edge_u", "a", "center"), "edge_u").join(ends.select("edge_id", "src").toDF("edge_v", "b"), "edge_v").select("center", "a", "b", r("angle").alias("angle"))
+
+
+@query(f"""WITH {ATOMS}, {EDGES_SQL} SELECT u.gid, u.edge_id AS edge_u, v.edge_id AS edge_v,
+round(acos(greatest(-1, least(1, (u.dx * v.dx + u.dy * v.dy + u.dz * v.dz) / nullif(u.dist * v.dist, 0)))), 6) AS angle
+FROM edges u JOIN edges v ON u.gid = v.gid AND u.dst = v.dst AND u.edge_id <> v.edge_id""")
+def bond_angles(spark, d):
+    return graphs.bond_angles(edges_of(spark, d)).select("gid", F.col("edge_u").cast("long").alias("edge_u"), F.col("edge_v").cast("long").alias("edge_v"), r("angle").alias("angle"))
+
+
+@query(f"""WITH {ATOMS}, {EDGES_SQL}, chains AS (SELECT f.gid, f.edge_id AS edge_u, l.edge_id AS edge_v, f.dx AS ax, f.dy AS ay, f.dz AS az, m.dx AS bx, m.dy AS by_, m.dz AS bz, -l.dx AS cx, -l.dy AS cy, -l.dz AS cz
+FROM edges f JOIN edges m ON f.gid = m.gid AND f.dst = m.src AND f.src <> m.dst JOIN edges l ON l.gid = m.gid AND l.dst = m.dst AND l.src <> m.src AND l.src <> f.src),
+normal AS (SELECT *, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz, by_ * cz - bz * cy AS px, bz * cx - bx * cz AS py, bx * cy - by_ * cx AS pz FROM chains)
+SELECT gid, count(*) AS n, round(sum(CASE WHEN nx * nx + ny * ny + nz * nz > 0 AND px * px + py * py + pz * pz > 0 THEN abs(atan2((ax * px + ay * py + az * pz) * sqrt(bx * bx + by_ * by_ + bz * bz), nx * px + ny * py + nz * pz)) END), 4) AS total FROM normal GROUP BY gid""")
+def dihedral_angles(spark, d):
+    return graphs.dihedrals(edges_of(spark, d)).groupBy("gid").agg(F.count("*").alias("n"), r(F.sum(F.abs("angle")), 4).alias("total"))
+
+
+@query(f"""WITH {knn_sql(5)} SELECT a.label AS label_a, c.label AS label_c, b.label AS label_b, count(*) AS n FROM knn u JOIN knn v ON u.dst = v.dst AND u.src <> v.src
+JOIN cloud a ON a.node_id = u.src JOIN cloud b ON b.node_id = v.src JOIN cloud c ON c.node_id = u.dst GROUP BY ALL""")
+def three_body_types(spark, d):
+    points = cloud(spark, d).withColumn("gid", F.lit(0))
+    e = graphs.with_edge_ids(knn5(spark, d).withColumn("gid", F.lit(0)))
+    found = readout.angle_types(graphs.line_graph(e), e, points, "label")
+    key = F.col("type_key")
+    return found.groupBy(key[0].alias("label_a"), key[1].alias("label_c"), key[2].alias("label_b")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ATOMS}, {EDGES_SQL}, first AS (SELECT gid, src AS center, dst AS node, min(edge_id) AS first FROM edges GROUP BY ALL),
+numbers AS (SELECT gid, center, node, row_number() OVER (PARTITION BY gid, center ORDER BY first, node) AS local FROM first UNION ALL SELECT DISTINCT gid, src, src, 0 FROM edges),
+both_ AS (SELECT gid, src AS center, 0 AS mirrored, edge_id AS of_edge, src, dst, dist FROM edges UNION ALL SELECT gid, src, 1, edge_id, dst, src, dist FROM edges)
+SELECT b.gid, b.center, row_number() OVER (PARTITION BY b.gid, b.center ORDER BY mirrored, of_edge) - 1 AS edge_id, s.local AS src, t.local AS dst, round(dist, 6) AS dist
+FROM both_ b JOIN numbers s ON s.gid = b.gid AND s.center = b.center AND s.node = b.src JOIN numbers t ON t.gid = b.gid AND t.center = b.center AND t.node = b.dst""")
+def ego_graphs(spark, d):
+    found = graphs.ego_graphs(edges_of(spark, d))
+    return found.select("gid", "center", F.col("edge_id").cast("long").alias("edge_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), r("dist").alias("dist"))
+
+
+@query(f"""WITH {ATOMS}, parts AS (SELECT *, CAST(gid % 2 AS INTEGER) AS part_id, gid // 2 AS pair FROM atoms),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY part_id, node_id) - 1 AS id FROM parts)
+SELECT a.pair AS gid, a.part_id, a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.pair ORDER BY a.part_id, a.node_id, b.node_id) - 1 AS edge_id,
+round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), 6) AS dist FROM n a JOIN n b ON a.pair = b.pair AND a.part_id = b.part_id AND a.id <> b.id
+WHERE (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 < {CUTOFF**2}""")
+def joined_graphs(spark, d):
+    own = atoms(spark, d).drop("price")
+    parts = [own.where(F.col("gid") % 2 == i).withColumn("gid", F.floor(F.col("gid") / 2)) for i in (0, 1)]
+    found = graphs.joined_graph(parts, CUTOFF, angles=False)["edges"]
+    return found.select("gid", "part_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("edge_id").cast("long").alias("edge_id"), r("dist").alias("dist"))
+
+
+# ---- chemistry -------------------------------------------------------------
+
+
+@query(f"WITH {ATOMS} SELECT gid, node_id, CAST(dense_rank() OVER (ORDER BY symbol) - 1 AS INTEGER) AS species_idx, CAST(symbol = 'A' AS DOUBLE) AS hot0, CAST(symbol = 'N' AS DOUBLE) AS hot1, CAST(symbol = 'R' AS DOUBLE) AS hot2 FROM atoms")
+def species_onehot(spark, d):
+    known = chemistry.species_index(atoms(spark, d)).withColumn("hot", chemistry.one_hot(F.col("species_idx"), 3))
+    return known.select("gid", "node_id", "species_idx", *(F.col("hot")[i].alias(f"hot{i}") for i in range(3)))
+
+
+@query(f"WITH {ATOMS} SELECT gid, symbol, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY gid), 6) AS fraction FROM atoms GROUP BY gid, symbol")
+def stoichiometry(spark, d):
+    return chemistry.stoichiometry(atoms(spark, d), ("gid",)).withColumn("fraction", r("fraction"))
+
+
+@query(f"WITH {ATOMS} SELECT gid, round(sum(price) / count(*), 6) AS energy FROM atoms GROUP BY gid")
+def energy_per_atom(spark, d):
+    return atoms(spark, d).groupBy("gid").agg(F.sum("price").alias("e"), F.count("*").alias("n")).select("gid", r(chemistry.per_atom(F.col("e"), F.col("n")), 6).alias("energy"))
+
+
+COMP_SQL = """comp AS (SELECT id, symbol, n / sum(n) OVER (PARTITION BY id) AS fraction FROM (SELECT c_nationkey AS id, c_mktsegment AS symbol, count(*) AS n FROM customer GROUP BY ALL)),
+energy AS (SELECT c_nationkey AS id, sum(c_acctbal) / count(*) AS energy FROM customer GROUP BY ALL)"""
+
+
+def nation_compositions(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("symbol"), "c_acctbal")
+    energy = c.groupBy("id").agg((F.sum("c_acctbal") / F.count("*")).alias("energy"))
+    return chemistry.compositions(c, ("id",)).join(energy, "id")
+
+
+@query(f"""WITH {COMP_SQL}, pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.fraction - b2.fraction AS there, b.fraction - c2.fraction AS here FROM comp a JOIN comp b2 ON a.id = b2.id
+JOIN comp b ON b.symbol = a.symbol JOIN comp c2 ON c2.id = b.id AND c2.symbol = b2.symbol),
+fits AS (SELECT a_id, b_id FROM pairs GROUP BY ALL HAVING bool_and(here < there + 0.06 AND here > there - 0.06)),
+n AS (SELECT id, count(*) AS n FROM comp GROUP BY id)
+SELECT x.a_id, x.b_id, y.b_id AS c_id, round(e.energy - (f.energy + g.energy) / 2, 4) AS enthalpy
+FROM fits x JOIN fits y ON x.a_id = y.a_id JOIN energy e ON e.id = x.a_id JOIN energy f ON f.id = x.b_id JOIN energy g ON g.id = y.b_id
+JOIN n na ON na.id = x.a_id WHERE na.n = (SELECT count(DISTINCT symbol) FROM comp WHERE comp.id IN (x.b_id, y.b_id))""")
+def mixing_triples(spark, d):
+    c = nation_compositions(spark, d)
+    return chemistry.mixing_triples(c, c, c, 0.06).withColumn("enthalpy", r("enthalpy", 4))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS id, count(DISTINCT c_mktsegment) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+SELECT a.id AS a_id, b.id AS b_id, a.n = (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_acctbal > 9000 AND c_nationkey IN (a.id, b.id)) AS same FROM s a JOIN s b ON a.id <= b.id""")
+def num_elements_match(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("id")).agg(F.collect_set("c_mktsegment").alias("s"))
+    pairs = c.toDF("a_id", "sa").join(c.toDF("b_id", "sb"), F.col("a_id") <= F.col("b_id"))
+    return pairs.select("a_id", "b_id", chemistry.same_number_of_elements(F.col("sa"), [F.col("sa"), F.col("sb")]).alias("same"))
+
+
+@query()
+def periodic_table(spark, d):
+    return element_table.elements(spark)
+
+
+# ---- readout, types, statistics --------------------------------------------
+
+ROWS_SQL = f"""{ATOMS}, {EDGES_SQL}, rows_ AS (SELECT gid, 'atom' AS kind, symbol AS type_key, node_id AS local_id, price AS v FROM atoms
+UNION ALL SELECT e.gid, 'bond', CASE WHEN a.symbol <= b.symbol THEN a.symbol || b.symbol ELSE b.symbol || a.symbol END, edge_id, dist * 100 FROM edges e JOIN atoms a ON a.gid = e.gid AND a.node_id = src JOIN atoms b ON b.gid = e.gid AND b.node_id = dst)"""
+
+
+def typed_rows(spark, d):
+    own, e = atoms(spark, d), edges_of(spark, d)
+    a = own.select("gid", F.lit("atom").alias("kind"), F.col("symbol").alias("type_key"), F.col("node_id").alias("local_id"), F.array("price").alias("value"))
+    b = readout.bond_types(e, own).select("gid", F.lit("bond").alias("kind"), F.array_join("type_key", "").alias("type_key"), F.col("edge_id").cast("long").alias("local_id"), F.array(F.col("dist") * 100).alias("value"))
+    return a.unionByName(b)
+
+
+@query(f"WITH {ROWS_SQL} SELECT gid, CAST(0 AS INTEGER) AS dim, round(avg(v), 6) AS value FROM rows_ GROUP BY gid")
+def graph_readout_mean(spark, d):
+    return readout.readout(typed_rows(spark, d), "mean").withColumn("value", r("value", 6))
+
+
+@query(f"WITH {ROWS_SQL} SELECT gid, CAST(0 AS INTEGER) AS dim, round(sum(v), 4) AS value FROM rows_ GROUP BY gid")
+def graph_readout_sum(spark, d):
+    return readout.accumulated(typed_rows(spark, d), "exact").withColumn("value", r("value", 4))
+
+
+@query(f"WITH {ROWS_SQL} SELECT CAST(0 AS INTEGER) AS dim, round(sum(v), 0) AS value FROM rows_")
+def batch_total(spark, d):
+    return readout.accumulated(typed_rows(spark, d), "sum").withColumn("value", r("value", 0))
+
+
+RATIO_SQL = f"{ROWS_SQL}, ratios AS (SELECT *, v / sum(v) OVER (PARTITION BY gid) AS ratio FROM rows_)"
+
+
+def ratio_rows(spark, d):
+    rows = typed_rows(spark, d)
+    return readout.contribution_ratios(rows.select("gid", "kind", "local_id", "value")).join(rows.select("gid", "kind", "local_id", "type_key"), ["gid", "kind", "local_id"])
+
+
+@query(f"WITH {RATIO_SQL} SELECT gid, kind, local_id, round(ratio, 6) AS ratio FROM ratios")
+def contrib_ratio(spark, d):
+    return readout.contribution_ratios(typed_rows(spark, d)).select("gid", "kind", "local_id", r("ratio").alias("ratio"))
+
+
+@query(f"WITH {RATIO_SQL} SELECT gid, kind, type_key, count(*) AS n, round(avg(ratio), 6) AS mean, round(stddev_pop(ratio), 6) AS std FROM ratios GROUP BY ALL")
+def type_stats(spark, d):
+    return readout.type_statistics(ratio_rows(spark, d)).withColumns({"mean": r("mean"), "std": r("std")})
+
+
+@query(f"""WITH {RATIO_SQL}, s AS (SELECT gid, kind, type_key, avg(ratio) AS mean FROM ratios GROUP BY ALL)
+SELECT kind, type_key, count(*) AS graphs, round(avg(mean), 6) AS mean, round(max(mean), 6) AS most FROM s GROUP BY ALL""")
+def total_stats(spark, d):
+    means = readout.total_statistics(readout.type_statistics(ratio_rows(spark, d)))
+    each = means.select("kind", "type_key", F.explode("means").alias("m"))
+    return each.groupBy("kind", "type_key").agg(F.count("*").alias("graphs"), r(F.avg("m")).alias("mean"), r(F.max("m")).alias("most"))
+
+
+@query(f"""WITH {RATIO_SQL}, o AS (SELECT kind, type_key, ratio, row_number() OVER (PARTITION BY kind, type_key ORDER BY ratio) AS i, count(*) OVER (PARTITION BY kind, type_key) AS n FROM ratios)
+SELECT kind, type_key, round(avg(ratio) FILTER (WHERE i <= floor(n * 0.25)), 6) AS low_mean FROM o GROUP BY ALL""")
+def low_quartile_mean(spark, d):
+    return readout.lowest_share_mean(ratio_rows(spark, d), ("kind", "type_key"), "ratio").withColumn("low_mean", r("low_mean"))
+
+
+@query("""WITH o AS (SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS up, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS down, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT s_suppkey, s_nationkey, s_acctbal, CASE WHEN up <= floor(n * 0.3) THEN 'low' ELSE 'high' END AS side FROM o WHERE up <= floor(n * 0.3) OR down <= floor(n * 0.3)""")
+def extreme_rows(spark, d):
+    return readout.extremes(table(spark, d, "supplier").drop("s_name"), "s_acctbal", 0.3, ("s_nationkey",))
+
+
+@query(f"""WITH {knn_sql(5)}, t AS (SELECT src, rank, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi FROM knn JOIN cloud a ON a.node_id = src JOIN cloud b ON b.node_id = dst),
+kinds AS (SELECT lo, hi, min(src * 10 + rank) AS first FROM t GROUP BY ALL), ids AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS type_id FROM kinds)
+SELECT src, rank, CAST(type_id AS INTEGER) AS type_id FROM t JOIN ids USING (lo, hi)""")
+def unique_2body(spark, d):
+    labels = cloud(spark, d).select("node_id", "label")
+    met = knn5(spark, d).join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst").withColumn("pair", F.array("a", "b")).withColumn("place", F.col("src") * 10 + F.col("rank"))
+    return readout.distinct_lists(met, "pair", "place").select("src", "rank", "type_id")
+
+
+@query("""WITH kinds AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS first FROM part GROUP BY ALL), ids AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS type_id FROM kinds)
+SELECT p_partkey, CAST(type_id AS INTEGER) AS type_id FROM part JOIN ids USING (p_brand, p_type, p_size)""")
+def unique_3body(spark, d):
+    t = table(spark, d, "part").withColumn("key3", F.array("p_brand", "p_type", F.col("p_size").cast("string")))
+    return readout.distinct_lists(t, "key3", "p_partkey", fold=False).select("p_partkey", "type_id")
+
+
+@query("SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(list_sum(list(l_partkey ORDER BY l_partkey)[1:3]) AS BIGINT) AS first3 FROM lineitem GROUP BY ALL")
+def grouped_values(spark, d):
+    t = table(spark, d, "lineitem").select(F.struct("l_suppkey", "l_returnflag").alias("g"), "l_partkey")
+    g = readout.grouped(t, "g", "l_partkey", "l_partkey")
+    return g.select("g.l_suppkey", "g.l_returnflag", F.size("values").cast("long").alias("n"), F.aggregate(F.slice("values", 1, 3), F.lit(0).cast("long"), lambda a, b: a + b).alias("first3"))
+
+
+@query("SELECT l_suppkey, round(max(l_extendedprice), 2) AS value FROM lineitem GROUP BY ALL")
+def scatter_max(spark, d):
+    return readout.scattered(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", "max").withColumn("value", r("value", 2))
+
+
+@query("""WITH amounts AS (SELECT l_suppkey AS part_id, count(*) AS n FROM lineitem GROUP BY ALL), ends AS (SELECT part_id, sum(n) OVER (ORDER BY part_id) AS stop, n FROM amounts)
+SELECT o_orderkey AS ordinal, part_id FROM orders JOIN ends ON o_orderkey < stop AND o_orderkey >= stop - n""")
+def part_lookup(spark, d):
+    amounts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("part_id")).agg(F.count("*").alias("n"))
+    return readout.part_of(table(spark, d, "orders").select(F.col("o_orderkey").alias("ordinal")), amounts)
+
+
+@query("SELECT p_brand AS layer, CAST(sum(p_size) AS BIGINT) AS parameters FROM part GROUP BY ROLLUP (p_brand)")
+def param_summary(spark, d):
+    w = table(spark, d, "part").select(F.col("p_brand").alias("layer"), F.array_repeat(F.lit(0.0), F.col("p_size")).alias("values"))
+    return readout.parameter_summary(w)
+
+
+# ---- components and order parameters ---------------------------------------
+
+KNN1 = knn_sql(1)
+
+
+@query(f"""WITH RECURSIVE {KNN1}, links AS (SELECT src AS a, dst AS b FROM knn UNION SELECT dst, src FROM knn),
+reach(a, b) AS (SELECT node_id, node_id FROM cloud UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
+def components(spark, d):
+    near = neighbors.knn(cloud(spark, d), 1)
+    return connected_components(near.select(F.col("src").alias("u"), F.col("dst").alias("v")), checkpointed)
+
+
+def gop_sql(pairs: str) -> str:
+    return f"""WITH RECURSIVE {ATOMS}, params AS (SELECT * FROM (VALUES (3.2, 'A', 'A'), (3.2, 'A', 'N'), (6.5, 'A', 'A'), (6.5, 'A', 'N')) t(cutoff, a, b)),
+nodes AS (SELECT gid, CAST(cutoff AS DOUBLE) AS cutoff, a, b, node_id, symbol, x, y, z FROM atoms JOIN params ON symbol = a OR symbol = b),
+pairs AS ({pairs}),
+links AS (SELECT gid, cutoff, a, b, src AS s, dst AS t FROM pairs UNION ALL SELECT gid, cutoff, a, b, dst, src FROM pairs),
+reach AS (SELECT gid, cutoff, a, b, node_id AS s, node_id AS t FROM nodes UNION SELECT q.gid, q.cutoff, q.a, q.b, q.s, l.t FROM reach q JOIN links l ON q.gid = l.gid AND q.cutoff = l.cutoff AND q.a = l.a AND q.b = l.b AND q.t = l.s),
+comp AS (SELECT gid, cutoff, a, b, s AS node_id, min(t) AS component FROM reach GROUP BY ALL),
+ends AS (SELECT gid, cutoff, a, b, src AS node_id, weight FROM pairs UNION ALL SELECT gid, cutoff, a, b, dst, weight FROM pairs),
+deg AS (SELECT gid, cutoff, a, b, node_id, round(sum(weight), 9) AS degree FROM ends GROUP BY ALL),
+own AS (SELECT c.*, coalesce(degree, 0) AS degree FROM comp c LEFT JOIN deg USING (gid, cutoff, a, b, node_id)),
+cnt AS (SELECT *, n / sum(n) OVER (PARTITION BY gid, cutoff, a, b, component) AS p FROM (SELECT gid, cutoff, a, b, component, degree, count(*) AS n FROM own GROUP BY ALL)),
+ent AS (SELECT gid, cutoff, a, b, component, sum(p * ln(p) + degree * p) AS e FROM cnt GROUP BY ALL)
+SELECT gid, cutoff, a, b, round(sum(e ** 2), 5) AS gop FROM ent GROUP BY ALL"""
+
+
+_SPECIES = "((p.symbol = p.a AND q.symbol = q.b) OR (p.symbol = p.b AND q.symbol = q.a))"
+_R = "sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2)"
+_MET = "nodes p JOIN nodes q ON p.gid = q.gid AND p.cutoff = q.cutoff AND p.a = q.a AND p.b = q.b AND p.node_id < q.node_id"
+GOP_ATOMS = f"SELECT p.gid, p.cutoff, p.a, p.b, p.node_id AS src, q.node_id AS dst, 1 / {_R} AS weight FROM {_MET} WHERE {_SPECIES} AND {_R} > 0.01 AND {_R} < p.cutoff"
+GOP_GRAPH = f"SELECT p.gid, p.cutoff, p.a, p.b, p.node_id AS src, q.node_id AS dst, 1 / {_R} AS weight FROM {_MET} WHERE {_SPECIES} AND {_R} > 0 AND {_R} < p.cutoff AND {_R} * {_R} < {CUTOFF**2}"
+
+
+@query(gop_sql(GOP_ATOMS))
+def gop_atoms(spark, d):
+    return gop.predict(atoms(spark, d), [3.2, 6.5], [("A", "A"), ("A", "N")], k=2).withColumn("gop", r("gop", 5))
+
+
+@query(gop_sql(GOP_GRAPH))
+def gop_graph(spark, d):
+    own = atoms(spark, d)
+    e = neighbors.radius_graph(own, CUTOFF, method="group").where("dist > 0")
+    return gop.predict(own, [3.2, 6.5], [("A", "A"), ("A", "N")], k=2, edges=e).withColumn("gop", r("gop", 5))
+
+
+# ---- edges, masks, sets ----------------------------------------------------
+
+
+@query("SELECT c_nationkey AS gid, c_custkey AS src, o_orderkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey UNION SELECT s_nationkey, s_suppkey, s_suppkey + 1 FROM supplier")
+def edges_union(spark, d):
+    a = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("gid"), F.col("c_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("gid"), F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst"))
+    return graphs.add_edges(a, b)
+
+
+@query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, dist < 3 AS masked FROM edges")
+def edges_masked(spark, d):
+    e = neighbors.radius_graph(atoms(spark, d), CUTOFF, method="group").select("gid", "src", "dst", "dist")
+    return graphs.mask_edges(e, e.where("dist < 3")).drop("dist")
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size")
+def same_rows(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type", F.col("p_size").cast("string")).alias("x"))
+    return graphs.same_rows(t, t)
+
+
+@query("SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS mask FROM customer")
+def index_mask(spark, d):
+    hit = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    return graphs.index_to_mask(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), hit)
+
+
+@query("SELECT l_orderkey AS gid FROM lineitem INTERSECT SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def gid_intersect(spark, d):
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gid"))
+    return a.intersect(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey"))
+
+
+@query("SELECT o_orderkey AS gid FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def gid_except(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("gid")).join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gid")), "gid", "left_anti")
+
+
+# ---- sampling --------------------------------------------------------------
+
+SAMPLED_SQL = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5('7:' || id)) AS rank FROM clustered),
+sizes AS (SELECT count(*) AS n, count(DISTINCT cluster) AS kinds FROM clustered),
+picked AS (SELECT ranked.*, rank <= ceil(SPLIT * n / kinds) AS picked, n FROM ranked, sizes),
+more AS (SELECT *, row_number() OVER (PARTITION BY picked ORDER BY md5('8:' || id)) AS next, ceil(SPLIT * n) - count(*) FILTER (WHERE picked) OVER () AS missing FROM picked)
+SELECT id, CAST(cluster AS BIGINT) AS cluster, picked OR next <= missing AS sampled FROM more"""
+
+
+def sampled(df):
+    return df.select("id", F.col("cluster").cast("long").alias("cluster"), "sampled")
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) AS i, count(*) OVER () AS n FROM orders) SELECT id, CAST(0 AS BIGINT) AS cluster, i <= ceil(0.1 * n) AS sampled FROM o")
+def sample_random(spark, d):
+    return sampled(sampling.random_sample(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 0.1, 7))
+
+
+@query("WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), clustered AS (SELECT o_orderkey AS id, CASE WHEN o_totalprice <= lo THEN 0 ELSE ceil((o_totalprice - lo) / ((hi - lo) / 9)) END AS cluster FROM orders, b)" + SAMPLED_SQL.replace("SPLIT", "0.2"))
+def sample_property_bin(spark, d):
+    return sampled(sampling.by_property(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), "o_totalprice", 10, 0.2, 7))
+
+
+@query("""WITH b AS (SELECT min(p_size) AS l1, max(p_size) AS h1, min(p_retailprice) AS l2, max(p_retailprice) AS h2 FROM part),
+clustered AS (SELECT p_partkey AS id, (least(floor((p_size - l1) / ((h1 - l1) / 4)), 3) + 1) * 6 + least(floor((p_retailprice - l2) / ((h2 - l2) / 4)), 3) + 1 AS cluster FROM part, b)""" + SAMPLED_SQL.replace("SPLIT", "0.25"))
+def sample_grid(spark, d):
+    return sampled(sampling.by_grid(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_retailprice"), 4, 0.25, ("p_size", "p_retailprice"), 7))
+
+
+@query(f"""WITH RECURSIVE {KNN1}, links AS (SELECT src AS a, dst AS b FROM knn UNION SELECT dst, src FROM knn),
+reach(a, b) AS (SELECT node_id, node_id FROM cloud UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+clustered AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)""" + SAMPLED_SQL.replace("SPLIT", "0.3"))
+def sample_subgraph(spark, d):
+    return sampled(sampling.by_subgraph(cloud(spark, d).withColumnRenamed("node_id", "id"), 1, 0.3, 7, cut=checkpointed))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) AS i, count(*) OVER () AS n FROM orders),
+rest1 AS (SELECT id, row_number() OVER (ORDER BY md5('8:' || id)) AS i, count(*) OVER () AS n FROM t WHERE i > ceil(0.1 * n)),
+rest2 AS (SELECT id, row_number() OVER (ORDER BY md5('9:' || id)) AS i, count(*) OVER () AS n FROM rest1 WHERE i > ceil(0.2 * n))
+SELECT id, 'test' AS role FROM t WHERE i <= ceil(0.1 * n) UNION ALL SELECT id, 'pretrain' FROM rest1 WHERE i <= ceil(0.2 * n) UNION ALL SELECT id, CASE WHEN i <= ceil(0.8 * n) THEN 'training' ELSE 'validation' END FROM rest2""")
+def three_way_split(spark, d):
+    return sampling.three_way(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 0.1, 0.2, 0.8, 7).select("id", "role")
+
+
+def model_sample(method):
+    def run(spark, d):
+        points = cloud(spark, d).withColumnRenamed("node_id", "id").select("id", "x")
+        if method == "gaussian_mixture":  # full covariances need far more points than dimensions
+            points = paths.project(points, 4).select("id", F.col("p").alias("x"))
+        return sampled(sampling.by_model(points, method, 5, 0.2, 7, restarts=3))
+
+    run.__name__ = f"sample_{method}"
+    return query()(run)
+
+
+for _method in ("kmeans", "gaussian_mixture", "birch", "spectral"):
+    model_sample(_method)
+
+# ---- paths -----------------------------------------------------------------
+
+NODES_SQL = f"{CLOUD_SQL}, flat AS (SELECT label, i, avg(x[i]) AS m FROM cloud, range(1, 65) t(i) GROUP BY ALL), cent AS (SELECT label AS node, list(m ORDER BY i) AS x FROM flat GROUP BY label)"
+
+
+def label_centroids(spark, d):
+    """(order, node, x): the mean vector of each label."""
+    return paths.centroids(cloud(spark, d).withColumnRenamed("label", "bin")).select(F.col("bin").alias("order"), F.col("bin").alias("node"), "x")
+
+
+@query(f"WITH {NODES_SQL} SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(m, 6) AS value FROM flat")
+def centroids(spark, d):
+    found = paths.centroids(cloud(spark, d).withColumnRenamed("label", "bin"))
+    return found.select(F.col("bin").alias("label"), F.posexplode("x").alias("dim", "v")).select("label", "dim", r("v").alias("value"))
+
+
+@query(f"WITH {NODES_SQL}, p AS (SELECT c.node_id AS id, node, list_distance(c.x, cent.x) AS dist, row_number() OVER (PARTITION BY c.node_id ORDER BY list_distance(c.x, cent.x), node) AS i FROM cloud c, cent) SELECT id, node, round(dist, 6) AS dist FROM p WHERE i = 1")
+def nearest_node(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return neighbors.nearest_node(points, label_centroids(spark, d)).select("id", "node", r("dist").alias("dist"))
+
+
+@query(f"WITH {NODES_SQL}, p AS (SELECT c.node_id AS id, CAST(node AS BIGINT) AS node, list_distance(c.x, cent.x) AS dist, row_number() OVER (PARTITION BY c.node_id ORDER BY list_distance(c.x, cent.x), node) AS i FROM cloud c, cent WHERE list_distance(c.x, cent.x) > 0) SELECT id, node, CAST(i AS INTEGER) AS rank, round(dist, 6) AS dist FROM p WHERE i <= 3")
+def k_nearest_nodes(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return neighbors.k_nearest_nodes(points, label_centroids(spark, d), 3).select("id", "node", "rank", r("dist").alias("dist"))
+
+
+PATH_SQL = f"{NODES_SQL}, steps AS (SELECT node, x, coalesce(list_distance(x, lag(x) OVER (ORDER BY node)), 0) AS step FROM cent), path AS (SELECT node, x, sum(step) OVER (ORDER BY node) / sum(step) OVER () AS gamma FROM steps)"
+
+
+def label_path(spark, d):
+    return paths.path_distances(label_centroids(spark, d).select("order", "x"))
+
+
+@query(f"WITH {PATH_SQL} SELECT node AS \"order\", round(gamma, 6) AS gamma FROM path")
+def path_distances(spark, d):
+    return label_path(spark, d).select("order", r("gamma").alias("gamma"))
+
+
+@query(f"WITH {PATH_SQL}, p AS (SELECT c.node_id AS id, node, gamma, row_number() OVER (PARTITION BY c.node_id ORDER BY list_distance(c.x, path.x), node) AS i FROM cloud c, path) SELECT id, node, round(gamma, 6) AS gamma FROM p WHERE i = 1")
+def path_coordinate(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return paths.path_coordinate(points, label_path(spark, d)).select("id", "node", r("gamma").alias("gamma"))
+
+
+GAMMA_SQL = f"{PATH_SQL}, p AS (SELECT c.node_id AS id, gamma, list_distance(c.x, path.x) AS dist, row_number() OVER (PARTITION BY c.node_id ORDER BY list_distance(c.x, path.x), node) AS i FROM cloud c, path WHERE list_distance(c.x, path.x) > 0)"
+
+
+@query(f"WITH {GAMMA_SQL} SELECT id, round(gamma, 6) AS gamma FROM p WHERE i = 1")
+def gamma_v1(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return paths.assign_gammas(points, label_path(spark, d)).select("id", r("gamma").alias("gamma"))
+
+
+@query(f"WITH {GAMMA_SQL} SELECT id, round(greatest(0, avg(CASE WHEN dist < 1.5 THEN 0.5 * (cos(pi() / 1.5 * dist) + 1) ELSE 0 END * gamma)), 6) AS gamma FROM p WHERE i <= 3 GROUP BY id")
+def gamma_v2(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return paths.assign_gammas(points, label_path(spark, d), "2", 3, cutoff=1.5).select("id", r("gamma").alias("gamma"))
+
+
+@query(f"""WITH {knn_sql(2)}, near AS (SELECT src, dst, dist FROM knn UNION ALL SELECT node_id, node_id, 0 FROM cloud), w AS (SELECT src, dst, CASE WHEN dist < 0.001 THEN 1 WHEN dist < 1.8 THEN 0.5 * (cos(pi() / 1.8 * dist) + 1) ELSE 0 END AS w FROM near),
+g1 AS (SELECT src, sum(w * label) / 3 AS gamma FROM w JOIN cloud ON node_id = dst GROUP BY src), g2 AS (SELECT w.src, sum(w * gamma) / 3 AS gamma FROM w JOIN g1 ON g1.src = dst GROUP BY w.src)
+SELECT src AS id, round(gamma, 6) AS gamma FROM g2""")
+def gamma_smooth(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return paths.smooth(points, points.select("id", F.col("label").cast("double").alias("gamma")), 2, 2, 1.8).select("id", r("gamma").alias("gamma"))
+
+
+@query()
+def latent_path(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return paths.latent_path(points, 0, 1, 7).select("order", r("gamma").alias("gamma"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(x[i]), 6) AS value FROM (SELECT * FROM cloud ORDER BY node_id LIMIT 20), range(1, 65) t(i) GROUP BY i")
+def boundary_mean(spark, d):
+    return paths.boundary_mean(cloud(spark, d), first=20, order="node_id").withColumn("value", r("value"))
+
+
+@query(f"WITH {CLOUD_SQL}, f AS (SELECT node_id AS id, i, x[i] AS v FROM cloud, range(1, 65) t(i)), s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM f GROUP BY i) SELECT id, CAST(i - 1 AS INTEGER) AS dim, round((v - m) / s, 5) AS value FROM f JOIN s USING (i)")
+def standard_scale(spark, d):
+    scaled = paths.standardized(cloud(spark, d).withColumnRenamed("node_id", "id"))
+    return scaled.select("id", F.posexplode("x").alias("dim", "v")).select("id", "dim", r("v", 5).alias("value"))
+
+
+@query()
+def pca_project(spark, d):
+    return paths.project(cloud(spark, d), 2).select("node_id", "p")
+
+
+# ---- functions -------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CAST(n AS INTEGER) AS n, round(sqrt(2 / 60.0::DOUBLE) * sin(n * pi() * (p_size + 1e-5) / 60.0::DOUBLE) / (p_size + 1e-5), 6) + 0.0 AS value FROM part, range(1, 9) t(n)")
+def bessel_basis(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.posexplode(basis.expand(F.col("p_size").cast("double"), 0.0, 60.0, 8, "bessel")).alias("n", "v"))
+    return t.select("p_partkey", (F.col("n") + 1).alias("n"), (r("v") + 0.0).alias("value"))
+
+
+@query("SELECT p_partkey, CAST(n AS INTEGER) AS n, round(exp(-(((p_size - n * 50 / 7.0::DOUBLE) / (50 / 7.0::DOUBLE)) ** 2)) / 1.12, 6) AS value FROM part, range(0, 8) t(n)")
+def gaussian_basis(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.posexplode(basis.gaussian(F.col("p_size").cast("double"), 0.0, 50.0, 8)).alias("n", "v"))
+    return t.select("p_partkey", "n", r("v").alias("value"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS epoch, round(greatest(0.0001, 0.01 * exp(-0.05 * i)), 9) AS rate FROM range(0, 250) t(i)")
+def lr_schedule(spark, d):
+    return spark.range(250).select(F.col("id").alias("epoch"), r(basis.decaying(F.col("id"), 0.0001, 0.01, 0.05), 9).alias("rate"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_size < 30 THEN 0.5 * (cos(pi() / 30 * p_size) + 1) ELSE 0 END, 6) AS weight FROM part")
+def cosine_weights(spark, d):
+    return table(spark, d, "part").select("p_partkey", r(basis.cosine_cutoff(F.col("p_size"), 30.0)).alias("weight"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT a.node_id, round(acos(greatest(-1, least(1, list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x))))), 6) AS angle FROM cloud a JOIN cloud b ON b.node_id = a.node_id + 1")
+def angle_between(spark, d):
+    a = cloud(spark, d).select("node_id", "x")
+    b = a.select((F.col("node_id") - 1).alias("node_id"), F.col("x").alias("y"))
+    return a.join(b, "node_id").select("node_id", r(vectors.angle_between(F.col("x"), F.col("y"))).alias("angle"))
+
+
+@query()
+def fourier_features(spark, d):
+    return table(spark, d, "part").select("p_partkey", basis.random_fourier(F.col("p_size") / F.lit(50.0), 8).alias("features"))
+
+
+# ---- runs ------------------------------------------------------------------
+
+
+@query(f"""WITH {RUNS_SQL}, o AS (SELECT *, abs(loss_valid - lag(loss_valid) OVER (PARTITION BY run_id ORDER BY epoch)) AS delta FROM runs)
+SELECT run_id, epoch, round(avg(delta) OVER w, 6) AS mean_delta, round(avg(loss_valid) OVER w, 6) AS mean_loss, count(delta) OVER w >= 4 AND coalesce(avg(delta) OVER w <= 20, false) AS stop FROM o WINDOW w AS (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def early_stop(spark, d):
+    found = training_windows.early_stop(runs(spark, d), 4, 20.0)
+    return found.select("run_id", F.col("epoch").cast("long").alias("epoch"), r("mean_delta").alias("mean_delta"), r("mean_loss").alias("mean_loss"), F.coalesce("stop", F.lit(False)).alias("stop"))
+
+
+@query(f"WITH {RUNS_SQL}, o AS (SELECT *, min(loss_valid) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM runs) SELECT run_id, epoch, best_before, best_before IS NULL OR loss_valid < best_before AS improved FROM o")
+def best_checkpoint(spark, d):
+    return training_windows.best_epochs(runs(spark, d)).select("run_id", F.col("epoch").cast("long").alias("epoch"), "best_before", "improved")
+
+
+@query()
+def saved_checkpoints(spark, d):
+    return training_windows.checkpoints(runs(spark, d)).select("run_id", "epoch", "saved")
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, epoch, round(avg(seconds) OVER (PARTITION BY run_id ORDER BY epoch), 6) AS mean_seconds FROM runs")
+def epoch_time_avg(spark, d):
+    return training_windows.mean_time(runs(spark, d)).select("run_id", F.col("epoch").cast("long").alias("epoch"), r("mean_seconds").alias("mean_seconds"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, epoch FROM runs WHERE epoch % 10 = 0 AND epoch > 0")
+def reshuffle_epochs(spark, d):
+    return runs(spark, d).where(training_windows.reshuffles(F.col("epoch"), 10)).select("run_id", F.col("epoch").cast("long").alias("epoch"))
+
+
+@query("""WITH o AS (SELECT l_suppkey, l_extendedprice - 30000 AS diff, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+SELECT l_suppkey, round(avg(diff * diff), 0) AS loss FROM o WHERE i <= ceil(n * 0.1) GROUP BY l_suppkey""")
+def max_n_percent_loss(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.lit(30000.0).alias("pred"), F.col("l_extendedprice").alias("y"))
+    return training_windows.worst_share_loss(rows, 0.1, ("l_suppkey",)).withColumn("loss", r("loss", 0))
+
+
+@query(f"WITH {ATOMS} SELECT gid, count(*) AS n, sum(count(*)) OVER (ORDER BY gid ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS last FROM atoms GROUP BY gid")
+def cumulative_amounts(spark, d):
+    """Running totals over all graphs in two levels: within ranges of gids, and over the ranges' sums."""
+    counts = atoms(spark, d).groupBy("gid").agg(F.count("*").alias("n"))
+    width = 1000
+    own = counts.withColumn("part", F.floor(F.col("gid") / width))
+    sums = own.groupBy("part").agg(F.sum("n").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
+    inner = training_windows.running_total(own, "n", ("part",), "gid").join(before, "part")
+    return inner.select("gid", "n", (F.col("upto") + F.col("before") - 1).cast("decimal(38,0)").cast("long").alias("last"))
+
+
+# ---- networks --------------------------------------------------------------
+
+NET = {"species": 3, "dim": 8, "convs": 2, "cutoff": CUTOFF}
+
+
+def packed_graphs(spark, d):
+    from ..operators.nn import train
+
+    own = chemistry.species_index(atoms(spark, d).drop("price"))
+    e = graphs.with_edge_ids(neighbors.radius_graph(own, CUTOFF, method="group"))
+    targets = atoms(spark, d).groupBy("gid").agg(F.array(F.avg("x") / 50).alias("y"))
+    return train.pack({"nodes": own, "edges": e, "angles": graphs.bond_angles(e).fillna({"angle": 0.0})}, targets)
+
+
+@query()
+def gnn_forward(spark, d):
+    from ..operators.nn import train
+
+    return train.predictions(packed_graphs(spark, d), train.initial_weights(NET), NET).select("gid", "pred", "loss")
+
+
+@query()
+def gnn_latent(spark, d):
+    from ..operators.nn import train
+
+    return train.latent_space(packed_graphs(spark, d), train.initial_weights(NET), NET)
+
+
+@query()
+def gnn_train(spark, d):
+    from ..operators.nn import train
+
+    packed = packed_graphs(spark, d)
+    _, log = train.train(packed.where("gid % 5 <> 0"), packed.where("gid % 5 = 0"), NET, epochs=3)
+    return spark.createDataFrame([(x["epoch"], x["loss_train"], x["loss_valid"]) for x in log], "epoch int, loss_train double, loss_valid double")
+
+
