@@ -40,6 +40,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced."""
+    import gc
+
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -16,7 +16,7 @@ equal phrases share and about two in eleven words start. A phrase is looked up
 only if its anchor is known in another document. A block sends one record for
 a phrase or anchor, whatever the number of documents in it that hold it; the
 others are settled within the block. So a passage in a third of all documents
-costs a record per block.
+costs a record per block. The phrases around one anchor travel together.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, parallelism, release, slices
-from .tokens import split, windows, word_hashes
+from .tokens import mixed, split, windows, word_hashes
 
 SPAN, GRAM, BLOCK_WORDS = 13, 4, 1_000_000
 
-MET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("settled", T.BooleanType())] + [T.StructField(x, T.BinaryType()) for x in "hdpr"])
+#: A bucket's share of a block: either settled (d, p, r: documents, positions, references), or what others must settle, see pack().
+MET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("settled", T.BooleanType())] + [T.StructField(x, T.BinaryType()) for x in "hdprnwo"])
 FOUND = T.StructType([T.StructField("of", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("ref", T.BinaryType())])
 _NONE = np.empty(0, np.int64)
+_OWN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(hashes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +87,10 @@ def met_anchor(h, d, p):
     return d[shared], p[shared], np.zeros(shared.sum(), np.int64)
 
 
-def shared_phrase(h, d, p):
-    h, d, p, g, low, _ = grouped(h, d, p)
+def shared_phrase(h, d, p, a, q):
+    h, d, p, a, q, g, low, _ = grouped(h, d, p, a, q)
     later = d > low[g] if len(g) else np.empty(0, bool)
-    return (d[later], p[later], low[g][later]), (h[~later], d[~later], p[~later])
+    return (d[later], p[later], low[g][later]), tuple(x[~later] for x in (h, d, p, a, q))
 
 
 def met_phrase(h, d, p):
@@ -97,6 +99,26 @@ def met_phrase(h, d, p):
     return d[later], p[later], low[g][later]
 
 
+def pack(h, d, p, a=None, q=None):
+    """Columns h to o of MET. Phrases (with a and q: hash and place of their anchor) share one entry per anchor; each adds its own hash and its distance from the anchor."""
+    if a is None:
+        return h.tobytes(), d.tobytes(), p.tobytes(), b"", b"", b"", b""
+    order = np.lexsort((p, q, d, a))
+    h, d, p, a, q = (x[order] for x in (h, d, p, a, q))
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (q[1:] != q[:-1])))) if len(h) else _NONE
+    n = np.diff(np.concatenate((start, [len(h)])))
+    return a[start].tobytes(), d[start].tobytes(), q[start].tobytes(), b"", n.astype(np.uint16).tobytes(), h.tobytes(), (q - p).astype(np.uint16).tobytes()
+
+
+def unpack(h, d, p, n, w, o):
+    h, d, p = np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(p, np.int64)
+    if not n:
+        return h, d, p
+    n = np.frombuffer(n, np.uint16)
+    own = np.frombuffer(w, np.uint64)
+    return mixed(np.repeat(h, n) ^ own * _OWN), np.repeat(d, n), np.repeat(p, n) - np.frombuffer(o, np.uint16)
+
+
 def _frame(rows, schema):
     import pyarrow as pa
 
@@ -108,24 +130,25 @@ def _frame(rows, schema):
 def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFrame:
     """(of, at, ref) per document and task: positions that records(batch) gave and that within or between found elsewhere.
 
-    records(batch) -> (n_words, [(hashes, doc_id, positions)]); within settles
-    a block, between a bucket of what blocks sent.
+    records(batch) -> (n_words, [(hashes, doc_id, positions, ..)]); within
+    settles a block, between a bucket of what blocks sent. The bucket goes by
+    the hash, or by that of the anchor where records have one.
     """
     parts = parallelism(docs.sparkSession)
     buckets = 8 * parts
 
     def to_buckets(batches):
         def flush(held):
-            h = np.concatenate([x[0] for x in held])
+            h, p, *more = (np.concatenate([x[i] for x in held]) for i in (0, *range(2, len(held[0]))))
             d = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[0]) for x in held])
-            (sd, sp, sr), (h, d, p) = within(h, d, np.concatenate([x[2] for x in held]))
-            rows = [(int(sd[i] % buckets), True, b"", sd[i : i + 65536].tobytes(), sp[i : i + 65536].tobytes(), sr[i : i + 65536].tobytes()) for i in range(0, len(sd), 65536)]
-            bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            (sd, sp, sr), rest = within(h, d, p, *more)
+            rows = [(int(sd[i] % buckets), True, b"", sd[i : i + 65536].tobytes(), sp[i : i + 65536].tobytes(), sr[i : i + 65536].tobytes(), b"", b"", b"") for i in range(0, len(sd), 65536)]
+            bucket = (((rest[3] if more else rest[0]) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            h, d, p, bucket = h[order], d[order], p[order], bucket[order]
+            rest, bucket = [x[order] for x in rest], bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else _NONE
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                rows.append((int(bucket[a]), False, h[a:b].tobytes(), d[a:b].tobytes(), p[a:b].tobytes(), b""))
+                rows.append((int(bucket[a]), False, *pack(*(x[a:b] for x in rest))))
             return _frame(rows, MET)
 
         held, words = [], 0
@@ -148,13 +171,11 @@ def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFra
 
         held = []
         for batch in batches:
-            settled, columns = batch.column("settled").to_pylist(), [batch.column(x).to_pylist() for x in "hdpr"]
-            for s, h, d, p, r in zip(settled, *columns):
-                d, p = np.frombuffer(d, np.int64), np.frombuffer(p, np.int64)
+            for s, h, d, p, r, *rest in zip(*(batch.column(c).to_pylist() for c in MET.names[1:])):
                 if s:
-                    yield out(d, p, np.frombuffer(r, np.int64))
+                    yield out(*(np.frombuffer(x, np.int64) for x in (d, p, r)))
                 else:
-                    held.append((np.frombuffer(h, np.uint64), d, p))
+                    held.append(unpack(h, d, p, *rest))
         if held:
             yield out(*between(*map(np.concatenate, zip(*held))))
 
@@ -204,14 +225,15 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
             n += len(words)
             if len(words) >= span:
                 hashes = word_hashes(words)
-                _, best = anchors(hashes, span, gram)
+                grams, best = anchors(hashes, span, gram)
                 marked = np.zeros(len(words), bool)
                 for x in known:
                     x = np.frombuffer(x["at"], np.int64)
                     marked[x[x < len(words)]] = True
                 at = np.flatnonzero(marked[best])
                 if len(at):
-                    out.append((windows(hashes, span)[at], doc, at + tag(text)))
+                    own = tag(text)
+                    out.append((windows(hashes, span)[at], doc, at + own, grams[best[at]], best[at] + own))
         return n, out
 
     gather = lambda found: found.groupBy("of").agg(F.collect_list(F.struct("at", "ref")).alias("found"))
