@@ -67,7 +67,7 @@ def random_clouds(spark: SparkSession, count: int = 1000, least: int = 10, most:
     i = F.col("gid")
     grow = lambda a, b: F.floor(F.lit(a) + i * F.lit((b - a) / max(count - 1, 1))).cast("int")
     graphs = spark.range(count).withColumnRenamed("id", "gid")
-    points = graphs.withColumn("k", grow(*k)).withColumn("node_id", F.explode(F.sequence(F.lit(0), grow(least, most) - 1)).cast("long"))
+    points = graphs.withColumn("k", grow(*k)).withColumn("node_id", F.explode(F.sequence(F.lit(0).cast("long"), grow(least, most).cast("long") - 1)))
     number = lambda j: F.pmod(F.xxhash64(F.lit(seed), "gid", "node_id", j), F.lit(1 << 40)) / F.lit(float(1 << 40))
     points = points.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: number(j) * 2 - 1))
     points = points.withColumn("species_idx", F.pmod(F.xxhash64(F.lit(seed + 1), "gid", "node_id"), F.lit(species)).cast("int"))
