@@ -33,6 +33,8 @@ SPAN, GRAM, BLOCK_WORDS = 13, 4, 1_000_000
 
 #: A bucket's share of a block: either settled (d, p, r: documents, positions, references), or what others must settle, see pack().
 MET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("settled", T.BooleanType())] + [T.StructField(x, T.BinaryType()) for x in "hdprnwo"])
+#: Answers for the documents of one part: their ids, positions and references, row by row.
+REPLY = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in "dpr"])
 FOUND = T.StructType([T.StructField("of", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("ref", T.BinaryType())])
 _NONE = np.empty(0, np.int64)
 _OWN = np.uint64(0x9E3779B97F4A7C15)
@@ -128,11 +130,12 @@ def _frame(rows, schema):
 
 
 def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFrame:
-    """(of, at, ref) per document and task: positions that records(batch) gave and that within or between found elsewhere.
+    """(of, at, ref) per document: positions that records(batch) gave and that within or between found elsewhere.
 
     records(batch) -> (n_words, [(hashes, doc_id, positions, ..)]); within
     settles a block, between a bucket of what blocks sent. The bucket goes by
-    the hash, or by that of the anchor where records have one.
+    the hash, or by that of the anchor where records have one. Answers go to
+    the part that the document's id names, packed, and become one row there.
     """
     parts = parallelism(docs.sparkSession)
     buckets = 8 * parts
@@ -164,22 +167,37 @@ def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFra
 
     def settle(batches):
         def out(d, p, r):
-            order = np.lexsort((p, d))
-            d, p, r = d[order], p[order], r[order]
-            cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else _NONE
-            return _frame([(int(d[a]), p[a:b].tobytes(), r[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)])], FOUND)
+            part = (mixed(d.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((p, d, part))
+            d, p, r, part = d[order], p[order], r[order], part[order]
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(d) else _NONE
+            return _frame([(int(part[a]), d[a:b].tobytes(), p[a:b].tobytes(), r[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)])], REPLY)
 
-        held = []
+        held, settled = [], []
         for batch in batches:
             for s, h, d, p, r, *rest in zip(*(batch.column(c).to_pylist() for c in MET.names[1:])):
                 if s:
-                    yield out(*(np.frombuffer(x, np.int64) for x in (d, p, r)))
+                    settled.append(tuple(np.frombuffer(x, np.int64) for x in (d, p, r)))
                 else:
                     held.append(unpack(h, d, p, *rest))
         if held:
-            yield out(*between(*map(np.concatenate, zip(*held))))
+            settled.append(between(*map(np.concatenate, zip(*held))))
+        if settled:
+            yield out(*map(np.concatenate, zip(*settled)))
+
+    def merge(batches):
+        held = [tuple(np.frombuffer(x, np.int64) for x in row) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in "dpr"))]
+        if held:
+            d, p, r = map(np.concatenate, zip(*held))
+            order = np.lexsort((p, d))
+            d, p, r = d[order], p[order], r[order]
+            cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            ends = np.concatenate((cuts[1:], [len(d)]))
+            for i in range(0, len(cuts), 4096):
+                yield _frame([(int(d[a]), p[a:b].tobytes(), r[a:b].tobytes()) for a, b in zip(cuts[i : i + 4096], ends[i : i + 4096])], FOUND)
 
-    return docs.mapInArrow(to_buckets, MET).repartition(parts, "bucket").mapInArrow(settle, FOUND)
+    replies = docs.mapInArrow(to_buckets, MET).repartition(parts, "bucket").mapInArrow(settle, REPLY)
+    return replies.repartition(parts, "part").mapInArrow(merge, FOUND)
 
 
 def factors(starts: np.ndarray, refs: np.ndarray, span: int) -> list[dict]:
@@ -220,27 +238,25 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
 
     def phrase_records(batch):
         n, out = 0, []
-        for doc, text, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+        for doc, text, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at"))):
             words = split(text)
             n += len(words)
             if len(words) >= span:
                 hashes = word_hashes(words)
                 grams, best = anchors(hashes, span, gram)
                 marked = np.zeros(len(words), bool)
-                for x in known:
-                    x = np.frombuffer(x["at"], np.int64)
-                    marked[x[x < len(words)]] = True
+                known = np.frombuffer(known, np.int64)
+                marked[known[known < len(words)]] = True
                 at = np.flatnonzero(marked[best])
                 if len(at):
                     own = tag(text)
                     out.append((windows(hashes, span)[at], doc, at + own, grams[best[at]], best[at] + own))
         return n, out
 
-    gather = lambda found: found.groupBy("of").agg(F.collect_list(F.struct("at", "ref")).alias("found"))
-    candidates = cut(gather(meet(named, anchor_records, shared_anchor, met_anchor, block_words)))
+    candidates = cut(meet(named, anchor_records, shared_anchor, met_anchor, block_words))
     release(spark)
-    looked = named.join(candidates, F.col("doc_id") == F.col("of")).select("doc_id", "text", "found")
-    known = cut(gather(meet(looked, phrase_records, shared_phrase, met_phrase, block_words)))
+    looked = named.join(candidates, F.col("doc_id") == F.col("of")).select("doc_id", "text", "at")
+    known = cut(meet(looked, phrase_records, shared_phrase, met_phrase, block_words))
     release(spark)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ref", T.LongType())])))])
 
@@ -250,11 +266,11 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("ref", pa.int64())]))]
         for batch in slices(batches):
             rows = []
-            for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+            for doc, text, at, ref in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "ref"))):
                 words = split(text)
                 taken = []
-                if found:
-                    at, ref = (np.concatenate([np.frombuffer(x[k], np.int64) for x in found]) for k in ("at", "ref"))
+                if at:
+                    at, ref = np.frombuffer(at, np.int64), np.frombuffer(ref, np.int64)
                     own = at >> 32 << 32 == tag(text)
                     at, first = np.unique(at[own] & 0xFFFFFFFF, return_index=True)
                     taken = factors(at, ref[own][first], span)
@@ -265,4 +281,4 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
                 rows.append((doc, len(words), int(gone.sum()), b" ".join(kept).decode(), taken))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=schema.names)
 
-    return chosen.join(known, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found").mapInArrow(parsed, schema)
+    return chosen.join(known, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "at", "ref").mapInArrow(parsed, schema)
