@@ -39,11 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer referenced."""
+    """Let Spark delete the shuffle files of frames that are no longer referenced.
+
+    Twice, since the listeners of the last query may hold it for a moment.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def parallelism(spark: SparkSession) -> int:
