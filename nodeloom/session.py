@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per context, so that their Python workers find it wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_nodeloom_shipped", False):
+        return
+    root = pathlib.Path(__file__).parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="nodeloom-")) / "nodeloom.zip"  # on the driver; Spark copies it to the others
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"nodeloom/{path.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._nodeloom_shipped = True
