@@ -89,7 +89,10 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_spans, written
 
     found = find_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def count(kind: int):  # a lambda with a default would be taken for one of element and index
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, sha256_of(written(F.col("base"))).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
