@@ -306,10 +306,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tag": F.xxhash64(text_col)})
     chosen = keyed.where(F.col("__id").isNotNull() & F.col(text_col).isNotNull()).select(F.col("__id").alias("doc_id"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"))
-    gone = repeated_lines(chosen)
-    joined = keyed.join(gone, (F.col("__id") == F.col("of")) & (F.col("__tag") == F.col("of_tag")), "left")
+    gone = repeated_lines(chosen).toDF("__of", "__of_tag", "__gone")
+    joined = keyed.join(gone, (F.col("__id") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left")
     pieces = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
-    changed = {"n_lines": F.coalesce(F.size(pieces), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)}
-    changed["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.size(pieces).cast("long"))
+    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long"))), "\n")
+    changed = {"n_lines": F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.size(pieces).cast("long")), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}
     return joined.withColumns({k: changed[k] for k in ("n_lines", "n_removed", text_col)}).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -61,9 +61,9 @@ def brute(rows):
 
 def test_against_brute_force(spark):
     rows = corpus(5)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).repartition(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("gone", F.lit(1)).withColumn("of", F.lit(2)).repartition(4)
     got = lines.deduplicate_lines(docs)
-    assert got.columns == ["doc_id", "text", "id", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "id", "gone", "of", "n_lines", "n_removed"]
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=str) == brute(rows)
 
 
