@@ -225,8 +225,9 @@ def nation_compositions(spark, d):
 
 @query(f"""WITH {COMP_SQL}, pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.fraction - b2.fraction AS there, b.fraction - c2.fraction AS here FROM comp a JOIN comp b2 ON a.id = b2.id
 JOIN comp b ON b.symbol = a.symbol JOIN comp c2 ON c2.id = b.id AND c2.symbol = b2.symbol),
-fits AS (SELECT a_id, b_id FROM pairs GROUP BY ALL HAVING bool_and(here < there + 0.06 AND here > there - 0.06)),
-n AS (SELECT id, count(*) AS n FROM comp GROUP BY id)
+n AS (SELECT id, count(*) AS n FROM comp GROUP BY id),
+inside AS (SELECT a.id AS a_id, b.id AS b_id FROM comp a JOIN comp b USING (symbol) JOIN n ON n.id = b.id GROUP BY a.id, b.id, n.n HAVING count(*) = n.n),
+fits AS (SELECT a_id, b_id FROM pairs JOIN inside USING (a_id, b_id) GROUP BY ALL HAVING bool_and(here < there + 0.06 AND here > there - 0.06))
 SELECT x.a_id, x.b_id, y.b_id AS c_id, round(e.energy - (f.energy + g.energy) / 2, 4) AS enthalpy
 FROM fits x JOIN fits y ON x.a_id = y.a_id JOIN energy e ON e.id = x.a_id JOIN energy f ON f.id = x.b_id JOIN energy g ON g.id = y.b_id
 JOIN n na ON na.id = x.a_id WHERE na.n = (SELECT count(DISTINCT symbol) FROM comp WHERE comp.id IN (x.b_id, y.b_id))""")
