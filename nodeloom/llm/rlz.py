@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, parallelism, release, slices
+from .common import parallelism, release, slices, stored
 from .tokens import mixed, split, windows, word_hashes
 
 SPAN, GRAM, BLOCK_WORDS = 13, 4, 1_000_000
@@ -253,10 +253,10 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
                     out.append((windows(hashes, span)[at], doc, at + own, grams[best[at]], best[at] + own))
         return n, out
 
-    candidates = cut(meet(named, anchor_records, shared_anchor, met_anchor, block_words))
+    candidates = stored(meet(named, anchor_records, shared_anchor, met_anchor, block_words).select("of", "at"), "rlz")
     release(spark)
     looked = named.join(candidates, F.col("doc_id") == F.col("of")).select("doc_id", "text", "at")
-    known = cut(meet(looked, phrase_records, shared_phrase, met_phrase, block_words))
+    known = stored(meet(looked, phrase_records, shared_phrase, met_phrase, block_words), "rlz")
     release(spark)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ref", T.LongType())])))])
 
