@@ -115,7 +115,7 @@ def generic_graph(nodes: DataFrame, angles: bool = True, keys: tuple[str, ...] =
     return out
 
 
-BUILDERS = {"alignn": atomic_graph, "realignn": joined_graph, "generic_pairwise": generic_graph}
+BUILDERS = {"atomic": atomic_graph, "joined": joined_graph, "generic": generic_graph}
 
 
 def build(kind: str, *args, **kwargs) -> dict[str, DataFrame]:

@@ -150,7 +150,7 @@ def decode(p: Params, parts, dim: int, out_dim: int, positive: bool = False):
     return [mlp(p, "dec", x, [dim, out_dim]) for x in parts]
 
 
-def alignn(p: Params, b: Batch, species: int, dim: int, convs: int, cutoff: float, out_dim: int = 1, conv: str = "mesh", positive: bool = False, generic: bool = False):
+def line_graph_net(p: Params, b: Batch, species: int, dim: int, convs: int, cutoff: float, out_dim: int = 1, conv: str = "mesh", positive: bool = False, generic: bool = False):
     enc = encode_generic(p, b, dim, cutoff) if generic else encode_atomic(p, b, species, dim, cutoff)
     return decode(p, process(p, b, *enc, convs, conv), dim, out_dim, positive)
 

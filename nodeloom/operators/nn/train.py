@@ -48,11 +48,11 @@ def to_batch(frame) -> models.Batch:
 
 
 def initial_weights(settings: dict, seed: int = 0) -> dict[str, np.ndarray]:
-    """Seeded weights of the network that settings (arguments of models.alignn) describe."""
+    """Seeded weights of the network that settings (arguments of models.line_graph_net) describe."""
     one = np.zeros(1, int)
     b = models.Batch(one, one, one, np.ones(1), one, one, np.ones(1), np.zeros(1, bool), {k: one for k in KINDS})
     p = models.Params(seed=seed)
-    models.alignn(p, b, **settings)
+    models.line_graph_net(p, b, **settings)
     return p.arrays()
 
 
@@ -68,7 +68,7 @@ def contributions(packed: DataFrame, weights: dict, settings: dict, rows: int =
             for at in range(0, len(frame), rows):
                 part = frame.iloc[at : at + rows]
                 b = to_batch(part)
-                out = models.alignn(models.Params(shipped.value), b, **settings)
+                out = models.line_graph_net(models.Params(shipped.value), b, **settings)
                 for kind, x in zip(KINDS, out):
                     graph = b.graph[kind]
                     first = np.searchsorted(graph, graph)
@@ -102,7 +102,7 @@ def latent_space(packed: DataFrame, weights: dict, settings: dict, rows: int = 1
 def loss_of(p: models.Params, b: models.Batch, y: np.ndarray, settings: dict, loss: str) -> Value:
     """The summed loss of a batch: graphs' predictions are the sums of their contributions."""
     pred = None
-    for kind, x in zip(KINDS, models.alignn(p, b, **settings)):
+    for kind, x in zip(KINDS, models.line_graph_net(p, b, **settings)):
         s = scatter(x, b.graph[kind], len(y))
         pred = s if pred is None else pred + s
     diff = pred - y

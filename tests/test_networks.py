@@ -15,10 +15,10 @@ def batch(seed=0, dihedral=False):
 
 
 NETS = {
-    "mesh": lambda p, b: models.alignn(p, b, 3, 8, 2, 4.0, 2),
-    "gated": lambda p, b: models.alignn(p, b, 3, 8, 2, 4.0, conv="gated"),
-    "gated_v2": lambda p, b: models.alignn(p, b, 3, 8, 1, 4.0, conv="gated_v2", positive=True),
-    "generic": lambda p, b: models.alignn(p, b, 3, 8, 1, 4.0, generic=True),
+    "mesh": lambda p, b: models.line_graph_net(p, b, 3, 8, 2, 4.0, 2),
+    "gated": lambda p, b: models.line_graph_net(p, b, 3, 8, 2, 4.0, conv="gated"),
+    "gated_v2": lambda p, b: models.line_graph_net(p, b, 3, 8, 1, 4.0, conv="gated_v2", positive=True),
+    "generic": lambda p, b: models.line_graph_net(p, b, 3, 8, 1, 4.0, generic=True),
     "mesh_graph_net": lambda p, b: [models.mesh_graph_net(p, b, 3, 8, 2)],
     "mesh_graph_net_time": lambda p, b: [models.mesh_graph_net(p, b, 3, 8, 1, time_dim=6)],
     "gated_net": lambda p, b: [models.gated_net(p, b, 3, 8, 2)],
@@ -47,11 +47,11 @@ def test_gradients_by_differences(name, dihedral):
 def test_nodes_in_any_order():
     b = batch(2)
     p = models.Params(seed=1)
-    one = models.alignn(p, b, 3, 8, 2, 4.0)
+    one = models.line_graph_net(p, b, 3, 8, 2, 4.0)
     order = np.random.default_rng(5).permutation(7)
     back = np.argsort(order)
     moved = models.Batch(b.species[order], back[b.src], back[b.dst], b.dist, b.u, b.v, b.angle, b.dihedral, b.graph)
-    two = models.alignn(models.Params(p.arrays()), moved, 3, 8, 2, 4.0)
+    two = models.line_graph_net(models.Params(p.arrays()), moved, 3, 8, 2, 4.0)
     assert np.allclose(one[0].data[order], two[0].data) and np.allclose(one[1].data, two[1].data)
 
 
