@@ -30,7 +30,7 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
 class Encoder(dict):
     """Piece of text -> its ids as little-endian unsigned 32-bit integers; remembers keep to 2 * keep pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 250_000):
         import regex
 
         super().__init__()
