@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import claim, slices
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
@@ -129,6 +129,7 @@ _encoders: dict[tuple, Encoder] = {}
 
 def encoder(content: bytes, pattern: str) -> Encoder:
     """One per Python worker, so that what it has learnt is kept from task to task."""
+    claim("bpe", _encoders.clear)
     key = (hashlib.sha256(content).digest(), pattern)
     if key not in _encoders:
         _encoders.clear()

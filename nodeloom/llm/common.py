@@ -60,8 +60,25 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches of few rows, which bounds what a Python worker holds where texts are long."""
+def slices(batches, rows: int = 256, most: int = 4_000_000):
+    """Arrow batches of few rows and, unless one row is larger, few bytes, which bounds what a Python worker holds where texts are long."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        waiting = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.nbytes > most and part.num_rows > 1:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+_held: list = ["", None]
+
+
+def claim(owner: str, clear) -> None:
+    """Called by what remembers things in a worker: those of another owner are dropped first, since workers outlive a query."""
+    if _held[0] != owner:
+        if _held[1] is not None:
+            _held[1]()
+        _held[:] = [owner, clear]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, parallelism, release, slices, stored
+from .common import claim, cut, parallelism, release, slices, stored
 from .tokens import mixed
 
 #: (least length, edits)
@@ -61,6 +61,7 @@ class Cut:
     """The lines of some texts: number of the text, number of the line in it, length, hash, and the hash of any part."""
 
     def __init__(self, texts: list[str]):
+        claim("lines", _tables.clear)
         if not _tables:
             _tables.append(_Tables())
         t = _tables[0]

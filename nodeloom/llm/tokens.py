@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import claim
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -12,7 +14,7 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 class _Hashes(dict):
     """Word -> hash; filled as words come up, emptied when it has keep of them."""
 
-    keep = 500_000
+    keep = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -37,6 +39,7 @@ def split_lower(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    claim("words", _hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

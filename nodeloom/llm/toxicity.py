@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import claim, slices
 
 FOLDS, HELD_OUT = 5, 0
 #: At most about so many labelled rows are learnt from, and as many documents by the regression.
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def all_votes(batches):
         import pyarrow as pa
 
+        claim("toxicity", int)
         patterns: Counter = Counter()
         learnt: Counter = Counter()
         for batch in slices(batches):
@@ -236,6 +237,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     def run(batches):
         import pyarrow as pa
 
+        claim("toxicity", int)
         for batch in slices(batches):
             scores = pa.array([model.score(x) for x in batch.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema.fields[:-1]] + [scores], names=schema.names)
