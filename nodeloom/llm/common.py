@@ -71,6 +71,19 @@ def slices(batches, rows: int = 256, most: int = 4_000_000):
                 waiting += [part.slice(half), part.slice(0, half)]
             else:
                 yield part
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system, since the worker waits on for others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 _held: list = ["", None]
