@@ -38,13 +38,13 @@ def same_number_of_elements(main: Column, others: list[Column]) -> Column:
 
 
 def ratios_match(main_symbols: Column, main_fractions: Column, symbols: Column, fractions: Column, delta: float = 0.2) -> Column:
-    """Whether each difference of two fractions in one composition is within delta, exclusive, of that of the same pair in main; pairs that main lacks don't count."""
+    """Whether each absolute difference of two fractions in one composition is within delta, exclusive, of that of the same pair in main; pairs that main lacks don't count."""
     main = F.map_from_arrays(main_symbols, main_fractions)
     own = F.arrays_zip(symbols.alias("s"), fractions.alias("f"))
 
     def pair_ok(a: Column, b: Column) -> Column:
-        there = F.try_element_at(main, a["s"]) - F.try_element_at(main, b["s"])
-        here = a["f"] - b["f"]
+        there = F.abs(F.try_element_at(main, a["s"]) - F.try_element_at(main, b["s"]))
+        here = F.abs(a["f"] - b["f"])
         return F.coalesce((here < there + delta) & (here > there - delta), F.lit(True))
 
     return F.forall(own, lambda a: F.forall(own, lambda b: pair_ok(a, b)))
@@ -60,24 +60,23 @@ def per_atom(energy: Column, n_atoms: Column) -> Column:
 
 
 def mixing_triples(a: DataFrame, b: DataFrame, c: DataFrame, delta: float = 0.2) -> DataFrame:
-    """(a_id, b_id, c_id, enthalpy): each structure of a with one of b and one of c that together have its elements, in matching ratios.
+    """(a_id, b_id, c_id, enthalpy): each structure of a with one of b and one of c that together have as many elements, in matching ratios.
 
     Each has id, symbols, fractions, energy (per atom), one row per structure.
-    Only symbols of a may occur, so b and c are first joined to a by a symbol
-    that they share, and pairs that hold others go before the third leg.
+    Symbols that a lacks may occur, so nothing but the predicates limits the
+    pairs. Equal compositions are paired as one, and ids join what has passed.
     """
     named = lambda df, n: df.select(*(F.col(x).alias(f"{n}_{x}") for x in ("id", "symbols", "fractions", "energy")))
-    a = named(a, "a")
-    left = a.withColumn("s", F.explode("a_symbols"))
+    legs = {n: named(df, n) for n, df in (("a", a), ("b", b), ("c", c))}
+    of = lambda n: [f"{n}_symbols", f"{n}_fractions"]
+    kinds = {n: leg.select(*of(n)).distinct() for n, leg in legs.items()}
 
-    def partner(df: DataFrame, n: str) -> DataFrame:
-        inside = F.size(F.array_except(f"{n}_symbols", "a_symbols")) == 0
-        fits = ratios_match(F.col("a_symbols"), F.col("a_fractions"), F.col(f"{n}_symbols"), F.col(f"{n}_fractions"), delta)
-        met = left.join(named(df, n).withColumn("s", F.explode(f"{n}_symbols")), "s").where(inside & fits)
-        return met.select("a_id", *(F.col(f"{n}_{x}") for x in ("id", "symbols", "energy"))).distinct()
+    def partner(n: str) -> DataFrame:
+        return kinds["a"].crossJoin(F.broadcast(kinds[n])).where(ratios_match(*map(F.col, of("a")), *map(F.col, of(n)), delta))
 
-    met = a.join(partner(b, "b"), "a_id").join(partner(c, "c"), "a_id")
-    met = met.where(same_number_of_elements(F.col("a_symbols"), [F.col("b_symbols"), F.col("c_symbols")]))
+    met = partner("b").join(partner("c"), of("a")).where(same_number_of_elements(F.col("a_symbols"), [F.col("b_symbols"), F.col("c_symbols")]))
+    for n, leg in legs.items():
+        met = met.join(leg, of(n))
     return met.select("a_id", "b_id", "c_id", reaction_enthalpy(F.col("a_energy"), [F.col("b_energy"), F.col("c_energy")]).alias("enthalpy"))
 
 

@@ -232,7 +232,7 @@ SELECT x.a_id, x.b_id, y.b_id AS c_id, round(e.energy - (f.energy + g.energy) /
 FROM fits x JOIN fits y ON x.a_id = y.a_id JOIN energy e ON e.id = x.a_id JOIN energy f ON f.id = x.b_id JOIN energy g ON g.id = y.b_id
 JOIN n na ON na.id = x.a_id WHERE na.n = (SELECT count(DISTINCT symbol) FROM comp WHERE comp.id IN (x.b_id, y.b_id))""")
 def mixing_triples(spark, d):
-    c = nation_compositions(spark, d)
+    c = checkpointed(nation_compositions(spark, d))
     return chemistry.mixing_triples(c, c, c, 0.06).withColumn("enthalpy", r("enthalpy", 4))
 
 

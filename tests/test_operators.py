@@ -140,3 +140,24 @@ def test_settings():
     for bad in (lambda: config.Sampling("x"), lambda: config.Model(conv="x"), lambda: config.Training(optimizer="x"), lambda: config.Sampling(split=2)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_mixing_triples_by_the_rule_on_every_triple(spark):
+    fractions = {"a": {"X": 0.6, "Y": 0.4}, "swapped": {"X": 0.4, "Y": 0.6}, "x": {"X": 1.0}, "foreign": {"W": 0.5, "Z": 0.5}, "half": {"X": 0.3, "W": 0.7}, "far": {"X": 0.9, "Y": 0.1}}
+    fractions |= {"again": fractions["a"], "three": {"W": 0.2, "X": 0.5, "Y": 0.3}}
+    energy = {name: float(i * i) for i, name in enumerate(fractions)}
+    rows = [(name, sorted(f), [f[s] for s in sorted(f)], energy[name]) for name, f in fractions.items()]
+    df = spark.createDataFrame(rows, "id string, symbols array<string>, fractions array<double>, energy double")
+
+    def fits(main, other):
+        both = [s for s in other if s in main]
+        return all(abs(abs(main[x] - main[y]) - abs(other[x] - other[y])) < 0.15 for x in both for y in both)
+
+    want = {
+        (a, b, c): energy[a] - (energy[b] + energy[c]) / 2
+        for a, f in fractions.items() for b, g in fractions.items() for c, h in fractions.items()
+        if fits(f, g) and fits(f, h) and len(g.keys() | h.keys()) == len(f)
+    }
+    got = chemistry.mixing_triples(df, df, df, 0.15).collect()
+    assert {tuple(r)[:3]: r.enthalpy for r in got} == want and len(got) == len(want)
+    assert ("a", "swapped", "swapped") in want and ("a", "foreign", "foreign") in want and ("a", "far", "far") not in want
