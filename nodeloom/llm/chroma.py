@@ -4,8 +4,10 @@ Sound becomes frames of 12 pitch classes; filters compare sums over
 rectangles of that image, read off its integral image at four corners each;
 every filter gives two bits by its response, in Gray code, and 16 of them make
 a 32-bit integer per frame. Two recordings are aligned by a histogram of the
-offsets at which their integers share the leading bits; the share of bits that
-differ at the best offset tells whether it is the same sound.
+offsets at which their integers share one of several bands of bits, which
+cover all 32; every offset with enough votes is verified, and so is every one
+with a short overlap, where votes are too few. The share of bits that differ
+there tells whether it is the same sound.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ FILTERS = [(i % 5, (5 * i) % (13 - h), h, w) for i, (h, w) in enumerate(zip((2,
 WIDEST = max(f[3] for f in FILTERS)
 STEP = 0.18  # responses beyond it, either way, get the outer codes
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-KEY_BITS, LEAST_VOTES, MOST_ERROR = 20, 3, 0.25
+#: Bands of BAND_BITS bits start every 32 / BANDS bits and go round. An offset with LEAST_VOTES shared bands and as many frames of overlap is verified, one of at most SHORT frames of overlap without votes.
+BANDS, BAND_BITS, LEAST_VOTES, SHORT, MOST_ERROR = 8, 14, 3, 20, 0.25
 
 
 def decode_wav(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -140,63 +143,124 @@ def fingerprints(clips: DataFrame, load=bytes, id_col: str = "clip_id", audio_co
     return clips.select(F.col(id_col).cast("long").alias("clip_id"), F.col(audio_col).alias("audio")).mapInArrow(run, schema)
 
 
-def alignments(frames: np.ndarray, keys, owners, places, queries: list[np.ndarray]):
+def bands(frames: np.ndarray) -> np.ndarray:
+    """The bands of every integer, one band after the other, each under its number."""
+    out = []
+    for k in range(BANDS):
+        shift = 32 // BANDS * k
+        turned = frames << np.uint32(shift) | frames >> np.uint32(32 - shift) if shift else frames
+        out.append(np.uint32(k << BAND_BITS) | turned >> np.uint32(32 - BAND_BITS))
+    return np.concatenate(out)
+
+
+def band_index(queries: list[np.ndarray]):
+    """(keys, owners, places, integers, starts, lengths, heads, tails) of the queries: their bands, sorted, with query and place; all integers in a row; the first and the last SHORT, a column per query."""
+    lengths = np.array([len(q) for q in queries], np.int64)
+    integers = np.concatenate([*queries, np.zeros(0, np.uint32)]).astype(np.uint32)
+    starts = np.cumsum(lengths) - lengths
+    owners = np.repeat(np.arange(len(queries)), lengths)
+    keys = bands(integers)
+    order = np.argsort(keys, kind="stable")
+    frame = order % max(len(integers), 1)
+    along, last = np.arange(SHORT)[:, None], max(len(integers) - 1, 0)
+    heads, tails = (integers[np.clip(x, 0, last)] if len(integers) else np.zeros((SHORT, 0), np.uint32) for x in (starts + along, starts + lengths - SHORT + along))
+    return keys[order], owners[frame].astype(np.int32), (frame - starts[owners[frame]]).astype(np.int32), integers, starts, lengths, heads, tails
+
+
+def short_overlaps(frames: np.ndarray, lengths, heads, tails):
+    """(queries, offsets): within MOST_ERROR at an end of frames with at most SHORT frames of overlap, or with a recording that short."""
+    found = []
+    for m in range(LEAST_VOTES, min(SHORT, len(frames)) + 1):
+        for own, other, offset in ((frames[-m:], heads[:m], len(frames) - m), (frames[:m], tails[SHORT - m :], m - lengths)):
+            bits = np.bitwise_count(own[:, None] ^ other).sum(0, dtype=np.uint16)
+            near = np.flatnonzero((bits <= MOST_ERROR * 32 * m) & (lengths >= m))
+            if len(near):
+                found.append((near, np.broadcast_to(offset, lengths.shape)[near]))
+    for q in np.flatnonzero(np.minimum(lengths, len(frames)) <= SHORT):
+        offsets = np.arange(LEAST_VOTES - lengths[q], len(frames) - LEAST_VOTES + 1)
+        found.append((np.full(len(offsets), q), offsets))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def alignments(frames: np.ndarray, keys, owners, places, integers, starts, lengths, heads, tails):
     """(query, offset, votes, overlap, bit error) of each query that aligns with frames.
 
-    keys (sorted), owners and places index the queries' integers by their
-    leading bits. offset: place in frames less place in the query.
+    The rest is a band_index(). Of the offsets within MOST_ERROR, the one with
+    most votes counts. offset: place in frames less place in the query.
     """
-    own = frames >> np.uint32(32 - KEY_BITS)
+    if not len(frames) or not len(integers):
+        return []
+    own = bands(frames)
     lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
     n = hi - lo
-    if not n.sum():
-        return []
     which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    offset = np.repeat(np.arange(len(frames)), n) - places[which]
-    pairs, votes = np.unique(np.stack((owners[which], offset), 1), axis=0, return_counts=True)
-    order = np.lexsort((np.abs(pairs[:, 1]), -votes, pairs[:, 0]))
-    pairs, votes = pairs[order], votes[order]
-    best = np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0])) & (votes >= LEAST_VOTES)
-    out = []
-    for (q, d), v in zip(pairs[best].tolist(), votes[best].tolist()):
-        a, b = (frames[d:], queries[q]) if d >= 0 else (frames, queries[q][-d:])
-        length = min(len(a), len(b))
-        error = float(np.bitwise_count(a[:length] ^ b[:length]).sum()) / (32 * length)
-        if error <= MOST_ERROR:
-            out.append((q, d, v, length, error))
-    return out
-
-
-def search(known: DataFrame, queries: DataFrame, block: int = 10_000) -> DataFrame:
+    longest = int(lengths.max())
+    span = longest + len(frames)
+    codes = np.sort(owners[which] * np.int64(span) + (np.repeat(np.arange(len(own)) % len(frames), n) - places[which] + longest))
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    votes = np.diff(np.append(first, len(codes)))
+    codes = codes[first]
+    query, offset = short_overlaps(frames, lengths, heads, tails)
+    chosen = np.unique(np.concatenate((codes[votes >= LEAST_VOTES], query * np.int64(span) + offset + longest)))
+    place = np.minimum(np.searchsorted(codes, chosen), max(len(codes) - 1, 0))
+    votes = np.where(codes[place] == chosen, votes[place], 0) if len(codes) else np.zeros(len(chosen), np.int64)
+    query, offset = np.divmod(chosen, span)
+    offset = offset - longest
+    at = np.maximum(offset, 0)
+    length = np.minimum(len(frames) - at, lengths[query] - (at - offset))
+    wide = length >= LEAST_VOTES
+    query, offset, votes, at, length = (x[wide] for x in (query, offset, votes, at, length))
+    error = np.zeros(len(query))
+    step = max(1, 4_000_000 // max(len(frames), 1))
+    for i in range(0, len(query), step):
+        part = slice(i, i + step)
+        ends = np.cumsum(length[part])
+        along = np.arange(ends[-1]) - np.repeat(ends - length[part], length[part])
+        a = frames[along + np.repeat(at[part], length[part])]
+        b = integers[along + np.repeat(starts[query[part]] + at[part] - offset[part], length[part])]
+        error[part] = np.add.reduceat(np.bitwise_count(a ^ b), ends - length[part], dtype=np.int64) / (32 * length[part])
+    near = np.flatnonzero(error <= MOST_ERROR)
+    near = near[np.lexsort((np.abs(offset[near]), -votes[near], query[near]))]
+    near = near[np.concatenate(([True], query[near][1:] != query[near][:-1]))[: len(near)]]
+    return list(zip(*(x[near].tolist() for x in (query, offset, votes, length, error))))
+
+
+def search(known: DataFrame, queries: DataFrame, block: int = 10_000, summed: bool = False) -> DataFrame:
     """query_id, clip_id, offset, votes, overlap, bit_error: which of known (clip_id, frames) align with queries of the same columns.
 
-    Queries are taken in blocks of about block recordings; each is indexed,
-    shipped and held against all of known where that lies, so that one pass
-    over known is made for each block and nothing is shuffled.
+    Queries are taken in blocks of about block recordings, or fewer where they
+    are long; each is indexed, shipped and held against all of known where that
+    lies, so that one pass over known is made for each block and nothing is
+    shuffled. summed: clip_id, n_links, and bit_error, query_id, offset of the
+    best instead, a row for each of known that a block aligns with, without itself.
     """
     spark = known.sparkSession
-    blocks = max(1, -(-queries.count() // block))
+    n, frames = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("frames")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-frames // (64 * block)))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("clip_id", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("votes", T.IntegerType()), T.StructField("overlap", T.IntegerType()), T.StructField("bit_error", T.DoubleType())])
+    if summed:
+        schema = T.StructType([T.StructField("clip_id", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("bit_error", T.DoubleType()), T.StructField("query_id", T.LongType()), T.StructField("offset", T.IntegerType())])
     found = None
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("clip_id"), F.lit(blocks)) == b).collect()
         packed = [np.array(r["frames"], np.int32).view(np.uint32) for r in rows]
-        keys = np.concatenate([p >> np.uint32(32 - KEY_BITS) for p in packed] or [np.zeros(0, np.uint32)])
-        owners = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
-        places = np.concatenate([np.arange(len(p)) for p in packed] or [np.zeros(0, int)])
-        order = np.argsort(keys, kind="stable")
-        index = spark.sparkContext.broadcast((keys[order], owners[order], places[order], packed, [r["clip_id"] for r in rows]))
+        index = spark.sparkContext.broadcast((band_index(packed), [r["clip_id"] for r in rows]))
 
         def run(batches, index=index):
             import pyarrow as pa
 
-            keys, owners, places, packed, ids = index.value
+            own, ids = index.value
             for batch in slices(batches, 1024):
                 out = []
                 for clip, frames in zip(batch.column("clip_id").to_pylist(), batch.column("frames").to_pylist()):
-                    out += [(ids[q], clip, d, v, n, e) for q, d, v, n, e in alignments(np.array(frames, np.int32).view(np.uint32), keys, owners, places, packed)]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=schema.names)
+                    links = [(ids[q], clip, d, v, n, e) for q, d, v, n, e in alignments(np.array(frames, np.int32).view(np.uint32), *own)]
+                    if summed:
+                        links = [x for x in links if x[0] != clip]
+                        out += [(clip, len(links), *min((e, q, d) for q, _, d, _, _, e in links))] if links else []
+                    else:
+                        out += links
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()) if summed else (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=schema.names)
 
         one = known.select("clip_id", "frames").mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
@@ -215,9 +279,9 @@ def matched(clips: DataFrame, is_query, load=bytes, id_col: str = "clip_id", aud
     known = stored(fingerprints(clips, load, id_col, audio_col).withColumn("digest", F.when(F.size("frames") > 0, F.sha2(F.array_join("frames", ","), 256))), "chroma")
     classes = known.where("clip_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("clip_id").alias("clip_id"), F.first("frames").alias("frames"), F.max(is_query(F.col("clip_id"))).alias("asks"))
     classes = stored(classes, "chroma")
-    links = search(classes, classes.where("asks").select("clip_id", "frames")).where("query_id <> clip_id")
+    links = search(classes, classes.where("asks").select("clip_id", "frames"), summed=True)
     best = F.min(F.struct("bit_error", "query_id", "offset"))
-    links = links.groupBy("clip_id").agg(F.count("*").alias("n_links"), best.alias("best"))
+    links = links.groupBy("clip_id").agg(F.sum("n_links").alias("n_links"), best.alias("best"))
     of = classes.select("digest", F.col("clip_id").alias("class_id")).join(links.withColumnRenamed("clip_id", "c"), F.col("class_id") == F.col("c"), "left")
     found = known.join(of.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("clip_id").isNotNull(), "left")
     return found.select("clip_id", "frames", F.coalesce("class_id", "clip_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("best.query_id").alias("best_query"), F.col("best.offset").alias("offset"), F.col("best.bit_error").alias("bit_error"))

@@ -59,3 +59,31 @@ def test_search_against_all_offsets(spark):
 
 def test_empty(spark):
     assert chroma.matched(spark.createDataFrame([], "clip_id long, audio binary"), lambda i: i < 6).count() == 0
+
+
+def test_recall_against_all_offsets(spark):
+    draw = np.random.default_rng(8)
+    vectors = draw.normal(0, 0.125, (60, 64))
+    near = vectors + draw.normal(0, 1, vectors.shape) * np.repeat((0.005, 0.009, 0.012), 20)[:, None]
+    asks, held = ([chroma.fingerprint(chroma.sonify(list(v), 0.125)) for v in x] for x in (vectors, near))
+    held += [f[cut:] for f, cut in zip(held[:20], range(5, 25))] + [held[40][:2], held[41][:7]]
+    rows = lambda x: spark.createDataFrame([(i, f.view(np.int32).tolist()) for i, f in enumerate(x)], "clip_id long, frames array<int>")
+    got = {(r.query_id, r.clip_id): r for r in chroma.search(rows(held), rows(asks)).collect()}
+    want = {}
+    for q, b in enumerate(asks):
+        for c, a in enumerate(held):
+            for d in range(3 - len(b), len(a) - 2):
+                x, y = (a[d:], b) if d >= 0 else (a, b[-d:])
+                n = min(len(x), len(y))
+                error = np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
+                if n >= 3 and error <= chroma.MOST_ERROR:
+                    want.setdefault((q, c), {})[d] = (n, error)
+    for long in (3, 8, 24):  # frames of overlap
+        pairs = {p for p, at in want.items() if max(n for n, _ in at.values()) >= long}
+        hard = {p for p in pairs if min(e for _, e in want[p].values()) >= 0.15}
+        assert len(hard) > 10 and len(pairs & got.keys()) >= 0.9 * len(pairs) and len(hard & got.keys()) >= 0.9 * len(hard)
+    assert all(want[p][r.offset] == (r.overlap, r.bit_error) for p, r in got.items())
+    summed = {r.clip_id: r for r in chroma.search(rows(held), rows(asks), summed=True).collect()}
+    for c in range(len(held)):
+        links = [(r.bit_error, r.query_id, r.offset) for (q, k), r in got.items() if k == c != q]
+        assert (summed[c].n_links, (summed[c].bit_error, summed[c].query_id, summed[c].offset)) == (len(links), min(links)) if links else c not in summed
