@@ -61,6 +61,8 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("turns", turns).withColumn("rest", F.round(F.col("target") - F.col("turns") * F.col("source_size")).cast("long"))
+    whole = (F.col("rest") >= F.col("source_size")) & (F.col("source_size") > 0)  # rounded up to a turn, which no bucket ends
+    goal = goal.withColumns({"turns": F.col("turns") + whole.cast("long"), "rest": F.when(whole, 0).otherwise(F.col("rest")).cast("long")})
     state = stored(goal.withColumn("below", F.lit(0).cast("long")), "mix")
     inside = sized.where("size > 0").select(F.col("source").alias("s"), "size", "place")
     for level in range(LEVELS):
