@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .components import connected_components
 from .neighbors import knn
 
@@ -70,7 +71,7 @@ def by_grid(df: DataFrame, grids: int, split: float, columns: tuple[str, ...], s
     return by_quota(df.withColumn("cluster", cluster.cast("long")), split, seed, id_col)
 
 
-def by_subgraph(df: DataFrame, neighbors: int, split: float, seed: int = 0, id_col: str = "id", vec: str = "x", cut=lambda d: d.checkpoint()) -> DataFrame:
+def by_subgraph(df: DataFrame, neighbors: int, split: float, seed: int = 0, id_col: str = "id", vec: str = "x", cut=cut) -> DataFrame:
     """Clusters are the components of the graph of nearest neighbors."""
     edges = knn(df.select(F.col(id_col).alias("node_id"), F.col(vec).alias("x")), neighbors).select(F.col("src").alias("u"), F.col("dst").alias("v"))
     found = connected_components(edges, cut)

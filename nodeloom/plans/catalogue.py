@@ -11,6 +11,7 @@ from ..functions import basis, geometry, vectors
 from ..operators import chemistry, gop, graphs, neighbors, paths, readout, sampling, training_windows
 from ..operators.components import connected_components
 from ..sources import elements as element_table
+from ..storage import cut
 from .views import CLOUD_SQL, CUTOFF, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,14 +32,6 @@ def r(c, digits: int = 6):
     return F.round(c, digits)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
-    return df.checkpoint()
-
-
 def knn5(spark, d):
     return neighbors.knn(cloud(spark, d), 5)
 
@@ -232,7 +225,7 @@ SELECT x.a_id, x.b_id, y.b_id AS c_id, round(e.energy - (f.energy + g.energy) /
 FROM fits x JOIN fits y ON x.a_id = y.a_id JOIN energy e ON e.id = x.a_id JOIN energy f ON f.id = x.b_id JOIN energy g ON g.id = y.b_id
 JOIN n na ON na.id = x.a_id WHERE na.n = (SELECT count(DISTINCT symbol) FROM comp WHERE comp.id IN (x.b_id, y.b_id))""")
 def mixing_triples(spark, d):
-    c = checkpointed(nation_compositions(spark, d))
+    c = cut(nation_compositions(spark, d))
     return chemistry.mixing_triples(c, c, c, 0.06).withColumn("enthalpy", r("enthalpy", 4))
 
 
@@ -366,7 +359,7 @@ reach(a, b) AS (SELECT node_id, node_id FROM cloud UNION SELECT reach.a, links.b
 SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
 def components(spark, d):
     near = neighbors.knn(cloud(spark, d), 1)
-    return connected_components(near.select(F.col("src").alias("u"), F.col("dst").alias("v")), checkpointed)
+    return connected_components(near.select(F.col("src").alias("u"), F.col("dst").alias("v")), cut)
 
 
 def gop_sql(pairs: str) -> str:
@@ -475,7 +468,7 @@ def sample_grid(spark, d):
 reach(a, b) AS (SELECT node_id, node_id FROM cloud UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 clustered AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)""" + SAMPLED_SQL.replace("SPLIT", "0.3"))
 def sample_subgraph(spark, d):
-    return sampled(sampling.by_subgraph(cloud(spark, d).withColumnRenamed("node_id", "id"), 1, 0.3, 7, cut=checkpointed))
+    return sampled(sampling.by_subgraph(cloud(spark, d).withColumnRenamed("node_id", "id"), 1, 0.3, 7, cut=cut))
 
 
 @query("""WITH t AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) AS i, count(*) OVER () AS n FROM orders),

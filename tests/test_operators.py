@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.operators import chemistry, gop, paths, readout, sampling, training_windows
-from nodeloom.operators.components import connected_components
+from nodeloom.operators.components import connected_components, has_path
 from nodeloom.plans import config
 
 
@@ -29,6 +29,21 @@ def test_components_against_union_find(spark, tmp_path):
     assert connected_components(spark.createDataFrame([], "u long, v long"), lambda d: d.checkpoint()).count() == 0
 
 
+def test_components_never_end_unfinished(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        connected_components(chain, limit=2)
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+
+
+def test_paths_between_pairs_and_nodes_of_several_columns(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (7, 8), (None, 1)], "u long, v long")
+    pairs = spark.createDataFrame([(1, 3, "x"), (1, 7, "x"), (5, 5, "x"), (5, 1, "x"), (None, 1, "x")], "a long, b long, node string")
+    assert {(r.a, r.b): r.linked for r in has_path(edges, pairs).collect()} == {(1, 3): True, (1, 7): False, (5, 5): True, (5, 1): False, (None, 1): False}
+    wide = edges.select(*(F.struct(F.lit("g").alias("gid"), F.col(c).alias("n")).alias(c) for c in "uv")).where("u.n IS NOT NULL")
+    assert {(r.node.n, r.component.n) for r in connected_components(wide).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+
+
 def test_stoichiometry_and_ratios(spark):
     atoms = spark.createDataFrame([("a", s) for s in "XXYZ"] + [("b", s) for s in "XY"], "structure_id string, symbol string")
     assert {(r.structure_id, r.symbol): r.fraction for r in chemistry.stoichiometry(atoms).collect()} == {("a", "X"): 0.5, ("a", "Y"): 0.25, ("a", "Z"): 0.25, ("b", "X"): 0.5, ("b", "Y"): 0.5}
