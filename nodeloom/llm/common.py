@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir  # noqa: F401
+
 #: The white space that separates words: space and the control characters tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,28 +18,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or where it is unset one in the warehouse."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder, so that a lost executor costs no recomputation of what came before."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def fresh(columns, *names: str) -> list[str]:
+    """names, with underscores added until no column is called so, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet into the shared folder and read again: later scans prune its columns and know its size."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, remembered for clear()."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what stored() and the archives of this session have written. Results that haven't been read out need it until then."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def heavy(counts: DataFrame, n: str, total: int) -> tuple[DataFrame, int]:
+    """(rows of counts whose n is above a share of total, that bound): with the rows' n adding up to total at most, there are no more than 4 for each shuffle partition, which bounds a broadcast."""
+    bound = max(4096, total // (4 * parallelism(counts.sparkSession)))
+    return counts.where(F.col(n) > bound), bound
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced.
 
