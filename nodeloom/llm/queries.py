@@ -37,7 +37,7 @@ def op2_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rlz import deduplicate
 
     found = deduplicate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept_text")).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return found.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept_text")).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,27 @@
 """Substring deduplication by relative Lempel-Ziv parsing over words.
 
-The table is its own reference, cut into blocks of about a million words. A
-block's index holds the phrases of span words that start in it, and every
-document is parsed against every block: within its own block by looking the
-phrases up, in all others by meeting their indexes in buckets of phrase
-hashes. Where a phrase also starts in a document with a smaller id, a factor
-begins; it is taken as long as the following phrases are found in the same
-document. At its end the phrases that reach over the boundary are looked up
-like all others, so that a passage that two factors cover is removed whole.
-Each word that a factor covers is a duplicate.
-
-Two steps keep most phrases from travelling. First only anchors are compared:
-of the four-word grams in a phrase, the one with the smallest hash, which
-equal phrases share and about two in eleven words start. A phrase is looked up
-only if its anchor is known in another document. A block sends one record for
-a phrase or anchor, whatever the number of documents in it that hold it; the
-others are settled within the block. So a passage in a third of all documents
-costs a record per block. The phrases around one anchor travel together.
+The reference is made of the table itself: of every phrase of span words that
+a later document repeats, the first place that is known, put together to
+fragments where such phrases overlap, so that a passage which many documents
+share stands in it once, or a few times. It is cut into blocks by a hash of
+the document that a fragment comes from. A block's index holds the phrases
+that start in it. Each document is parsed against every block that can hold
+anything of it: from left to right, at the first phrase that the index knows
+of a document with a smaller id, the longest match becomes a factor; the
+parse jumps over it and goes on with the phrases that reach over its end, so
+that a passage which two factors cover is found whole. Words are compared, not
+hashes. Each word that a factor of any block covers is a duplicate.
+
+Which blocks a document is parsed against is found by hashes, in two steps
+that keep most phrases from travelling. First only anchors are compared: of
+the four-word grams in a phrase, the one with the smallest hash, which equal
+phrases share and about two in eleven words start. Then the phrases around
+anchors that other documents have too meet by hash. Some million words settle
+among themselves first and send one record for a phrase or anchor, whatever
+the number of their documents that hold it. So a passage in a third of all
+documents costs a record per million words, and as many places in the
+reference. A block that very many documents are parsed against is copied to
+several tasks, which share them.
 """
 
 from __future__ import annotations
@@ -26,18 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parallelism, release, slices, stored
+from .common import heavy, parallelism, release, slices, stored
 from .tokens import mixed, split, windows, word_hashes
 
 SPAN, GRAM, BLOCK_WORDS = 13, 4, 1_000_000
 
-#: A bucket's share of a block: either settled (d, p, r: documents, positions, references), or what others must settle, see pack().
-MET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("settled", T.BooleanType())] + [T.StructField(x, T.BinaryType()) for x in "hdprnwo"])
-#: Answers for the documents of one part: their ids, positions and references, row by row.
-REPLY = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in "dpr"])
-FOUND = T.StructType([T.StructField("of", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("ref", T.BinaryType())])
+#: A bucket's share of some million words: either settled (d, x: answers), or what others must settle, see pack().
+MET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("settled", T.BooleanType())] + [T.StructField(x, T.BinaryType()) for x in "hdxnwo"])
+#: Answers for the documents of one part: their ids, and a number each.
+REPLY = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in "dx"])
+FOUND = T.StructType([T.StructField("of", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("visits", T.ArrayType(T.LongType()))])
+PIECE = T.StructType([T.StructField("block", T.LongType()), T.StructField("copy", T.IntegerType()), T.StructField("parsed", T.BooleanType()), T.StructField("of", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("text", T.StringType()), T.StructField("at", T.BinaryType())])
+TAKEN = T.StructType([T.StructField("of", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("factors", T.BinaryType())])
+FACTOR = T.StructType([T.StructField(x, T.LongType()) for x in ("start", "n_words", "ref", "ref_start")])
 _NONE = np.empty(0, np.int64)
-_OWN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(hashes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,13 +53,14 @@ def anchors(hashes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.nd
     width = span - gram + 1
     if len(grams) < width:
         return grams, _NONE
-    best, where = grams[: len(grams) - width + 1].copy(), np.zeros(len(grams) - width + 1, np.int64)
-    for j in range(1, width):
-        other = grams[j : j + len(best)]
-        less = other < best
-        best[less] = other[less]
-        where[less] = j
-    return grams, where + np.arange(len(where))
+    best, where, covered = grams, np.arange(len(grams)), 1
+    while covered < width:  # the smallest of twice as many, until all are covered
+        shift = min(covered, width - covered)
+        other = best[shift:]
+        less = other < best[: len(other)]
+        best, where = np.where(less, other, best[: len(other)]), np.where(less, where[shift:], where[: len(other)])
+        covered += shift
+    return grams, where
 
 
 def tag(text: str) -> int:
@@ -62,54 +70,83 @@ def tag(text: str) -> int:
     return (xxhash.xxh32_intdigest(text.encode()) >> 1) << 32
 
 
-def grouped(h, d, *more):
-    """Sorted by h, then d; with the number of each row's group, and each group's smallest and largest d."""
-    order = np.lexsort((d, h))
-    h, d, *more = (x[order] for x in (h, d, *more))
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else _NONE
-    number = np.zeros(len(h), np.int64)
-    number[start[1:]] = 1
-    number = np.cumsum(number)
-    return h, d, *more, number, d[start], d[np.concatenate((start[1:], [len(h)])) - 1] if len(h) else d[start]
+def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(doc.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def distinct(d: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((x, d))
+    d, x = d[order], x[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+    return d[new], x[new]
+
+
+def grouped(*keys):
+    """(order, starts, group of each row) of rows sorted by all keys, groups by all but the last two."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys[:-2]:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def shared_anchor(h, d, p):
-    """Of a block's anchors, those known to be in two documents, and what others must settle."""
-    h, d, p, g, low, high = grouped(h, d, p)
-    shared = (low < high)[g]
-    first = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.empty(0, bool)
-    one = shared & first
-    settled = (d[shared], p[shared], np.zeros(shared.sum(), np.int64))
-    return settled, (np.concatenate((h[~shared], h[one])), np.concatenate((d[~shared], d[one])), np.concatenate((p[~shared], np.full(one.sum(), -1))))
+    """Of the anchors of some documents, those known to be in two, and what others must settle."""
+    order, start, g = grouped(h, d, p)
+    h, d, p = h[order], d[order], p[order]
+    ends = np.append(start[1:], len(h)) - 1
+    shared = (d[start] < d[ends])[g] if len(h) else np.empty(0, bool)
+    one = start[shared[start]]
+    rest = tuple(np.concatenate((x[~shared], y)) for x, y in ((h, h[one]), (d, d[one]), (p, np.full(len(one), -1))))
+    return (d[shared], p[shared]), rest
+
+
+def met_anchor(blocks):
+    def settle(h, d, p):
+        order, start, g = grouped(h, d, p)
+        d, p = d[order], p[order]
+        ends = np.append(start[1:], len(d)) - 1
+        shared = (d[start] < d[ends])[g] & (p >= 0)
+        return d[shared], p[shared]
 
+    return settle
 
-def met_anchor(h, d, p):
-    _, d, p, g, low, high = grouped(h, d, p)
-    shared = (low < high)[g] & (p >= 0)
-    return d[shared], p[shared], np.zeros(shared.sum(), np.int64)
 
+def repeated_phrase(h, a, d, p, blocks):
+    """Answers for phrases with hash h around anchor a: -1 - block for a document that repeats one which a block of the reference will hold, the place of the phrase for the document that it comes from; and the rows that come first."""
+    order, start, g = grouped(h, a, d, p)
+    d, p = d[order], p[order]
+    low = d[start][g]
+    later = d > low
+    home = start[np.add.reduceat(later, start) > 0]
+    there = distinct(d[later], -1 - block_of(low[later], blocks))
+    return (np.concatenate((there[0], d[home])), np.concatenate((there[1], p[home]))), order[start]
 
-def shared_phrase(h, d, p, a, q):
-    h, d, p, a, q, g, low, _ = grouped(h, d, p, a, q)
-    later = d > low[g] if len(g) else np.empty(0, bool)
-    return (d[later], p[later], low[g][later]), tuple(x[~later] for x in (h, d, p, a, q))
 
+def shared_phrase(blocks):
+    def settle(h, d, p, a, q):
+        found, first = repeated_phrase(h, a, d, p, blocks)
+        return found, tuple(x[first] for x in (h, d, p, a, q))
 
-def met_phrase(h, d, p):
-    _, d, p, g, low, _ = grouped(h, d, p)
-    later = d > low[g] if len(g) else np.empty(0, bool)
-    return d[later], p[later], low[g][later]
+    return settle
+
+
+def met_phrase(blocks):
+    return lambda h, d, p, a: repeated_phrase(h, a, d, p, blocks)[0]
 
 
 def pack(h, d, p, a=None, q=None):
     """Columns h to o of MET. Phrases (with a and q: hash and place of their anchor) share one entry per anchor; each adds its own hash and its distance from the anchor."""
     if a is None:
-        return h.tobytes(), d.tobytes(), p.tobytes(), b"", b"", b"", b""
+        return h.tobytes(), d.tobytes(), p.tobytes(), b"", b"", b""
     order = np.lexsort((p, q, d, a))
     h, d, p, a, q = (x[order] for x in (h, d, p, a, q))
     start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (q[1:] != q[:-1])))) if len(h) else _NONE
     n = np.diff(np.concatenate((start, [len(h)])))
-    return a[start].tobytes(), d[start].tobytes(), q[start].tobytes(), b"", n.astype(np.uint16).tobytes(), h.tobytes(), (q - p).astype(np.uint16).tobytes()
+    return a[start].tobytes(), d[start].tobytes(), q[start].tobytes(), n.astype(np.uint16).tobytes(), h.tobytes(), (q - p).astype(np.uint16).tobytes()
 
 
 def unpack(h, d, p, n, w, o):
@@ -117,25 +154,39 @@ def unpack(h, d, p, n, w, o):
     if not n:
         return h, d, p
     n = np.frombuffer(n, np.uint16)
-    own = np.frombuffer(w, np.uint64)
-    return mixed(np.repeat(h, n) ^ own * _OWN), np.repeat(d, n), np.repeat(p, n) - np.frombuffer(o, np.uint16)
+    return np.frombuffer(w, np.uint64), np.repeat(d, n), np.repeat(p, n) - np.frombuffer(o, np.uint16), np.repeat(h, n)
 
 
 def _frame(rows, schema):
     import pyarrow as pa
 
-    kinds = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary()}
-    columns = zip(*rows) if rows else [[]] * len(schema)
+    kinds = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary(), T.StringType(): pa.string(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, schema)], names=schema.names)
 
 
+def by_first(batches, columns, work):
+    """What work(rows) yields for all rows of one value in the first column after another; batches come sorted by it."""
+    held, at = [], None
+    for batch in batches:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if key != at:
+                if held:
+                    yield from work(held)
+                held, at = [], key
+            held.append(row)
+    if held:
+        yield from work(held)
+
+
 def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFrame:
-    """(of, at, ref) per document: positions that records(batch) gave and that within or between found elsewhere.
+    """(of, at, visits) per document: the answers that within or between gave for it, at from 0 on and visits below.
 
     records(batch) -> (n_words, [(hashes, doc_id, positions, ..)]); within
-    settles a block, between a bucket of what blocks sent. The bucket goes by
-    the hash, or by that of the anchor where records have one. Answers go to
-    the part that the document's id names, packed, and become one row there.
+    settles some million words, between a bucket of what these sent. The bucket
+    goes by the hash, or by that of the anchor where records have one. Answers
+    go to the part that the document's id names, packed, and become one row
+    there. A task holds one bucket, or the answers of one part, at a time.
     """
     parts = parallelism(docs.sparkSession)
     buckets = 8 * parts
@@ -144,8 +195,8 @@ def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFra
         def flush(held):
             h, p, *more = (np.concatenate([x[i] for x in held]) for i in (0, *range(2, len(held[0]))))
             d = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[0]) for x in held])
-            (sd, sp, sr), rest = within(h, d, p, *more)
-            rows = [(int(sd[i] % buckets), True, b"", sd[i : i + 65536].tobytes(), sp[i : i + 65536].tobytes(), sr[i : i + 65536].tobytes(), b"", b"", b"") for i in range(0, len(sd), 65536)]
+            (sd, sx), rest = within(h, d, p, *more)
+            rows = [(int(sd[i] % buckets), True, b"", sd[i : i + 65536].tobytes(), sx[i : i + 65536].tobytes(), b"", b"", b"") for i in range(0, len(sd), 65536)]
             bucket = (((rest[3] if more else rest[0]) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rest, bucket = [x[order] for x in rest], bucket[order]
@@ -166,64 +217,193 @@ def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFra
             yield flush(held)
 
     def settle(batches):
-        def out(d, p, r):
-            part = (mixed(d.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((p, d, part))
-            d, p, r, part = d[order], p[order], r[order], part[order]
+        waiting: list = []
+
+        def out():
+            d, x = distinct(*map(np.concatenate, zip(*waiting)))
+            waiting.clear()
+            part = block_of(d, buckets)
+            order = np.argsort(part, kind="stable")
+            d, x, part = d[order], x[order], part[order]
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(d) else _NONE
-            return _frame([(int(part[a]), d[a:b].tobytes(), p[a:b].tobytes(), r[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)])], REPLY)
-
-        held, settled = [], []
-        for batch in batches:
-            for s, h, d, p, r, *rest in zip(*(batch.column(c).to_pylist() for c in MET.names[1:])):
-                if s:
-                    settled.append(tuple(np.frombuffer(x, np.int64) for x in (d, p, r)))
-                else:
-                    held.append(unpack(h, d, p, *rest))
-        if held:
-            settled.append(between(*map(np.concatenate, zip(*held))))
-        if settled:
-            yield out(*map(np.concatenate, zip(*settled)))
+            return _frame([(int(part[a]), d[a:b].tobytes(), x[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)])], REPLY)
+
+        def bucket(rows):
+            held = [unpack(h, d, x, *rest) for done, h, d, x, *rest in rows if not done]
+            waiting.extend((np.frombuffer(d, np.int64), np.frombuffer(x, np.int64)) for done, _, d, x, *_ in rows if done)
+            if held:
+                waiting.append(between(*map(np.concatenate, zip(*held))))
+            if sum(len(d) for d, _ in waiting) >= 1 << 20:
+                yield out()
+
+        yield from by_first(batches, MET.names, bucket)
+        if waiting:
+            yield out()
 
     def merge(batches):
-        held = [tuple(np.frombuffer(x, np.int64) for x in row) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in "dpr"))]
-        if held:
-            d, p, r = map(np.concatenate, zip(*held))
-            order = np.lexsort((p, d))
-            d, p, r = d[order], p[order], r[order]
+        def part(rows):
+            d, x = distinct(*(np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (0, 1)))
             cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
             ends = np.concatenate((cuts[1:], [len(d)]))
+            middle = np.append(0, np.cumsum(x < 0))
+            middle = cuts + middle[ends] - middle[cuts]  # answers below 0 come first
             for i in range(0, len(cuts), 4096):
-                yield _frame([(int(d[a]), p[a:b].tobytes(), r[a:b].tobytes()) for a, b in zip(cuts[i : i + 4096], ends[i : i + 4096])], FOUND)
-
-    replies = docs.mapInArrow(to_buckets, MET).repartition(parts, "bucket").mapInArrow(settle, REPLY)
-    return replies.repartition(parts, "part").mapInArrow(merge, FOUND)
-
-
-def factors(starts: np.ndarray, refs: np.ndarray, span: int) -> list[dict]:
-    """Greedy factors from the sorted starts of known phrases: each as long as phrases follow one another in one document."""
-    if not len(starts):
-        return []
-    cuts = np.flatnonzero(np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (refs[1:] != refs[:-1]))))
-    ends = [*cuts[1:], len(starts)]
-    return [{"start": int(starts[a]), "n_words": int(starts[b - 1] - starts[a]) + span, "ref": int(refs[a])} for a, b in zip(cuts, ends)]
+                yield _frame([(int(d[a]), x[m:b].tobytes(), (-1 - x[a:m]).tolist()) for a, m, b in zip(cuts[i : i + 4096], middle[i : i + 4096], ends[i : i + 4096])], FOUND)
+
+        yield from by_first(batches, REPLY.names, part)
+
+    replies = docs.mapInArrow(to_buckets, MET).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, REPLY)
+    return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, FOUND)
+
+
+class Block:
+    """The index of a block of the reference: fragments of documents as numbers of words, and where each phrase starts."""
+
+    def __init__(self, span: int):
+        self.span, self.vocabulary, self.parts, self.docs, self.places = span, {}, [], [], []
+        self.ids = self.start = self.at = _NONE
+        self.keys = np.empty(0, np.uint64)
+
+    def add(self, doc: int, fragments: bytes, starts: np.ndarray) -> None:
+        """Fragments are lines, their words parted by spaces; documents come by ascending id."""
+        number = self.vocabulary
+        for line, start in zip(fragments.split(b"\n"), starts.tolist()):
+            ids = [number.setdefault(w, len(number)) for w in line.split(b" ")]
+            self.parts.append(np.array([*ids, -1], np.int64))  # -1 matches no word, so that no factor leaves a fragment
+            self.docs.append(doc)
+            self.places.append(start)
+
+    def build(self) -> None:
+        self.ids = np.concatenate(self.parts)
+        length = np.array([len(x) for x in self.parts])
+        self.start = np.cumsum(length) - length
+        self.parts = []
+        inside = np.arange(len(self.ids)) - np.repeat(self.start, length)
+        starts = np.flatnonzero(inside + self.span < np.repeat(length, length))
+        keys = windows(mixed(self.ids.astype(np.uint64)), self.span)[starts]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], starts[order]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        get = self.vocabulary.get
+        return np.fromiter((get(w, -2) for w in words), np.int64, len(words))
+
+    def match(self, ids: np.ndarray, at: int, place: int) -> int:
+        """How many words from at on equal those from place on."""
+        n, step, most = 0, 64, min(len(ids) - at, len(self.ids) - place)
+        while n < most:
+            m = min(step, most - n)
+            same = ids[at + n : at + n + m] == self.ids[place + n : place + n + m]
+            if not same.all():
+                return n + int(same.argmin())
+            n, step = n + m, 4 * step
+        return n
+
+    def parse(self, doc: int, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Greedy factors (start, words, document, its place there): at the first known phrase the longest match in a smaller document, then on from the phrases that reach over its end."""
+        last = len(ids) - self.span
+        hashes = windows(mixed(ids.astype(np.uint64)), self.span)
+        out, at, low, high, known = [], 0, 0, 0, _NONE
+        while at <= last:
+            if at >= high:  # look some phrases up; those within a factor are jumped over
+                low, high = at, min(last + 1, at + 1024)
+                left, right = (np.searchsorted(self.keys, hashes[low:high], side) for side in ("left", "right"))
+                known = low + np.flatnonzero(right > left)
+            i = int(np.searchsorted(known, at))
+            if i == len(known):
+                at = high
+                continue
+            at = int(known[i])
+            best, where = 0, 0
+            for k in range(left[at - low], right[at - low]):
+                place = int(self.at[k])
+                piece = int(np.searchsorted(self.start, place, "right")) - 1
+                if self.docs[piece] >= doc:
+                    break
+                n = self.match(ids, at, place)
+                if n > best:
+                    best, where = n, place
+            if best < self.span:
+                at += 1
+                continue
+            piece = int(np.searchsorted(self.start, where, "right")) - 1
+            out.append((at, best, self.docs[piece], self.places[piece] + where - int(self.start[piece])))
+            at += best - self.span + 1
+        return out
+
+
+def parse_all(named: DataFrame, found: DataFrame, blocks: int, span: int) -> DataFrame:
+    """TAKEN: the factors of each of named (doc_id, text) against one of its blocks a row. found: of meet()."""
+    spark = named.sparkSession
+    parts = parallelism(spark)
+    visits = found.select(F.explode("visits").alias("block")).groupBy("block").count()
+    frequent, bound = heavy(visits, "count", visits.agg(F.sum("count")).first()[0] or 0)
+    copies = {r["block"]: -(-r["count"] // bound) for r in frequent.collect()}  # at most 4 for each shuffle partition
+
+    def pieces(batches):
+        for batch in slices(batches):
+            rows = []
+            for doc, text, homes, there in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "visits"))):
+                own = tag(text)
+                homes = np.frombuffer(homes, np.int64)
+                homes = homes[homes >> 32 << 32 == own] & 0xFFFFFFFF
+                number = np.array([doc], np.int64)
+                if len(homes):
+                    words = text.encode().split()
+                    first = np.flatnonzero(np.concatenate(([True], homes[1:] > homes[:-1] + span)))
+                    ends = homes[np.append(first[1:], len(homes)) - 1] + span
+                    fragments = b"\n".join(b" ".join(words[a:b]) for a, b in zip(homes[first].tolist(), ends.tolist())).decode()
+                    block = int(block_of(number, blocks)[0])
+                    rows += [(block, i, False, doc, own, fragments, homes[first].tobytes()) for i in range(copies.get(block, 1))]
+                share = int(mixed(mixed(number.astype(np.uint64)))[0] >> np.uint64(33))
+                rows += [(block, share % copies.get(block, 1), True, doc, own, text, None) for block in there]
+            yield _frame(rows, PIECE)
+
+    def run(batches):
+        key, block = None, None
+        for batch in slices(batches, 1024):
+            out = []
+            for *k, parsed, doc, own, text, at in zip(*(batch.column(c).to_pylist() for c in PIECE.names)):
+                if k != key:
+                    key, block = k, Block(span)
+                if not parsed:
+                    block.add(doc, text.encode(), np.frombuffer(at, np.int64))
+                    continue
+                if block.parts:
+                    block.build()
+                factors = block.parse(doc, block.numbers(split(text)))
+                if factors:
+                    out.append((doc, own, np.array(factors, np.int64).tobytes()))
+            yield _frame(out, TAKEN)
+
+    looked = named.join(found, F.col("doc_id") == F.col("of")).select("doc_id", "text", "at", "visits")
+    dealt = looked.mapInArrow(pieces, PIECE).repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", "parsed", "of")
+    return dealt.mapInArrow(run, TAKEN)
 
 
 def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, factors of every row.
+    """doc_id, n_words, n_removed, kept_text, factors, spans of every row.
 
     Words are cut at ASCII white space. A word is removed if a phrase of span
     words over it also starts in a document with a smaller doc_id; phrases are
     judged on the input, not on what is left. kept_text has the other words
-    with single spaces. Factors name word positions and the smallest doc_id
-    with the same phrases. Null texts have no words; rows with a null id keep
-    all words and take none from others; rows under one repeated id don't take
-    words from each other. Other columns are ignored. Phrases are compared by
-    64-bit hashes, of the anchor and of the phrase.
+    with single spaces. spans (start, n_words) are the runs of removed words;
+    factors (start, n_words, ref, ref_start) are those of
+    all blocks, each a match with the words of ref from ref_start on; which of
+    several places a passage is found at depends on how the table is cut into
+    files and blocks, what they cover together does not. Texts may be of any
+    length; null texts have no words; rows with a null id keep all words and
+    take none from others; rows under one repeated id, equal ones too, don't
+    take words from each other; an empty table gives an empty result. Other
+    columns are ignored. Hashes only choose what is compared: a removed word
+    always stands in the other document, and a phrase is missed if its 128
+    bits of hash equal those of a different one.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = chosen.where("doc_id IS NOT NULL")
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (6 * block_words)))  # of about six bytes a word
 
     def anchor_records(batch):
         n, out = 0, []
@@ -253,32 +433,35 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
                     out.append((windows(hashes, span)[at], doc, at + own, grams[best[at]], best[at] + own))
         return n, out
 
-    candidates = stored(meet(named, anchor_records, shared_anchor, met_anchor, block_words).select("of", "at"), "rlz")
+    candidates = stored(meet(named, anchor_records, shared_anchor, met_anchor(blocks), block_words).select("of", "at"), "rlz")
     release(spark)
     looked = named.join(candidates, F.col("doc_id") == F.col("of")).select("doc_id", "text", "at")
-    known = stored(meet(looked, phrase_records, shared_phrase, met_phrase, block_words), "rlz")
+    found = stored(meet(looked, phrase_records, shared_phrase(blocks), met_phrase(blocks), block_words), "rlz")
     release(spark)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ref", T.LongType())])))])
+    taken = stored(parse_all(named, found, blocks, span), "rlz")
+    release(spark)
+    taken = taken.groupBy("of").agg(F.collect_list(F.struct("tag", "factors")).alias("taken"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", T.ArrayType(FACTOR)), T.StructField("spans", T.ArrayType(T.StructType(FACTOR.fields[:2])))])
 
-    def parsed(batches):
+    def kept(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("ref", pa.int64())]))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *(pa.list_(pa.struct([(x, pa.int64()) for x in FACTOR.names[:n]])) for n in (4, 2))]
         for batch in slices(batches):
             rows = []
-            for doc, text, at, ref in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "ref"))):
+            for doc, text, taken in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "taken"))):
                 words = split(text)
-                taken = []
-                if at:
-                    at, ref = np.frombuffer(at, np.int64), np.frombuffer(ref, np.int64)
-                    own = at >> 32 << 32 == tag(text)
-                    at, first = np.unique(at[own] & 0xFFFFFFFF, return_index=True)
-                    taken = factors(at, ref[own][first], span)
-                gone = np.zeros(len(words), bool)
-                for f in taken:
-                    gone[f["start"] : f["start"] + f["n_words"]] = True
-                kept = [w for w, g in zip(words, gone.tolist()) if not g] if taken else words
-                rows.append((doc, len(words), int(gone.sum()), b" ".join(kept).decode(), taken))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=schema.names)
-
-    return chosen.join(known, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "at", "ref").mapInArrow(parsed, schema)
+                factors, gone = [], np.zeros(len(words), bool)
+                if taken:
+                    own = tag(text)
+                    own_factors = [np.frombuffer(t["factors"], np.int64).reshape(-1, 4) for t in taken if t["tag"] == own]
+                    factors = sorted({tuple(f) for part in own_factors for f in part.tolist()})
+                    for start, n, _, _ in factors:
+                        gone[start : start + n] = True
+                left = [w for w, g in zip(words, gone.tolist()) if not g] if factors else words
+                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2).tolist()
+                spans = [{"start": a, "n_words": b - a} for a, b in edge]
+                rows.append((doc, len(words), int(gone.sum()), b" ".join(left).decode(), [dict(zip(FACTOR.names, f)) for f in factors], spans))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=schema.names)
+
+    return chosen.join(taken, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "taken").mapInArrow(kept, schema)

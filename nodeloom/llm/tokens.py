@@ -49,15 +49,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2  # of an odd factor, and of its inverse
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive words, in order; none if there are fewer."""
+    """A hash of each k consecutive words, in order; none if there are fewer. Long windows come from prefix sums of a polynomial."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = hashes[:n].copy()
-    for j in range(1, k):
-        out = mixed(out + _STEP) + hashes[j : j + n]
-    return mixed(out ^ np.uint64(k))
+    if k <= 3:
+        out = hashes[:n].copy()
+        for j in range(1, k):
+            out = mixed(out + _STEP) + hashes[j : j + n]
+        return mixed(out ^ np.uint64(k))
+    if len(_powers[0]) < len(hashes):
+        for i, factor in enumerate((int(_STEP), pow(int(_STEP), -1, 1 << 64))):
+            steps = np.full(2 * len(hashes), factor, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _powers[0][: len(hashes)], out=sums[1:])
+    return mixed((sums[k:] - sums[:-k]) * _powers[1][:n] ^ np.uint64(k))
 
 
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
