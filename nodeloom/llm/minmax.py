@@ -6,18 +6,19 @@ to their Jaccard similarity, so that half the permutations give as many
 values, and the estimate from both has a lower variance. Six values make a
 band; documents that share a band are candidates.
 
-Equal sets are one class from the start. Every bucket links its members to its
-smallest one, which makes families: all documents that candidate pairs join.
-The true links of a family are then found on full shingle sets, block by
-block: a block holds up to 256 members, two blocks meet in one task, and only
-a spanning forest of their links is returned. So no pairs of a group are
-listed, no task holds more than two blocks, and no link between candidates is
-lost. The work in a family of n members, that is of n different texts, is
-(n / 256)^2 such tasks.
+Equal sets are one class from the start. The others are compared on their full
+shingle sets in two steps. First each member of a bucket meets the bucket's
+smallest one, its hub, once for all bands; a hub of very many is copied to several tasks, which share them. What these links
+join needs no more comparing. Then only buckets are left in which members other
+than the hub are still apart: these are compared block by block. A block holds
+up to 256 members, two blocks meet in one task, and only a spanning forest of
+the links between different components is returned. So no pairs of a group are
+listed, no task holds more than two blocks, no link between candidates is
+lost, and documents that are only weakly alike cost what the buckets cost that
+they really share: they chain nothing together.
 
 A pair at similarity 0.8 shares no band out of 40 with probability 5e-6; at
-0.85 it is below 1e-8. Only families are looked at, where a pair needs no band
-of its own if others join it.
+0.85 it is below 1e-8.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import cut, parallelism, slices, stored
+from .common import cut, heavy, parallelism, slices, stored
 from .tokens import mixed, shingle_set, split_lower, word_hashes
 
 BANDS, ROWS, BLOCK = 40, 6, 256
@@ -90,10 +91,11 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
     return docs.mapInArrow(run, SKETCH)
 
 
-def linked_forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
+def linked_forest(sets: list[np.ndarray], percent: int, split: int | None = None, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs that join the same sets as all links with 100 * intersection >= percent * union.
 
     split: only links between the first split sets and the others count.
+    apart: a number per set; only links between different numbers count.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -114,6 +116,8 @@ def linked_forest(sets: list[np.ndarray], percent: int, split: int | None = None
     linked = np.triu(100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter), 1)
     if split is not None:
         linked[:split, :split] = linked[split:, split:] = False
+    if apart is not None:
+        linked &= apart[:, None] != apart[None, :]
     parent = list(range(len(sets)))
 
     def root(x):
@@ -130,78 +134,148 @@ def linked_forest(sets: list[np.ndarray], percent: int, split: int | None = None
     return forest
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """(node, component): nodes that buckets join, through links of each bucket's members to its smallest."""
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = common_count(a, b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+LINK = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+
+def _links(pairs):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ([], []))], names=LINK.names)
+
+
+def members_of(classes: DataFrame) -> DataFrame:
+    """(key, node, hub) of all buckets with two nodes or more: hub is the smallest."""
     entries = classes.select("node", F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
-    return connected_components(entries.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), cut)
+    hubs = entries.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
+    return entries.join(hubs, F.col("key") == F.col("k")).select("key", "node", "hub")
 
 
-def confirmed(docs: DataFrame, found: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): links on full sets that join what all such links in a family join. docs: doc_id, text; found: of families()."""
-    sizes = found.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
-    sized = found.join(sizes, F.col("component") == F.col("family")).select("node", "family", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    texts = docs.join(sized, F.col("doc_id") == F.col("node")).select("node", "family", "blocks", "text")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("family", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("shingles", T.BinaryType())])
+def shingles_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the full sets of docs (doc_id, text) that are among nodes."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
-    def to_sets(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             sets = pa.array([shingle_set(word_hashes(split_lower(x)), words).tobytes() for x in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:3]), sets], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=schema.names)
 
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
-    placed = texts.mapInArrow(to_sets, schema).withColumn("own", own).withColumn("at", F.explode(meetings)).select("family", "at.i", "at.j", "own", "node", "shingles")
-    placed = placed.repartition(parallelism(docs.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "own", "node")
-    edges = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+    return docs.join(nodes.select("node"), F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(run, schema)
 
-    def to_links(batches):
-        import pyarrow as pa
 
-        def links(key, rows):
-            sets, nodes = [np.frombuffer(s, np.uint64) for _, _, s in rows], [n for _, n, _ in rows]
-            split = sum(own == key[1] for own, _, _ in rows) if key[1] != key[2] else None
-            return [(nodes[a], nodes[b]) for a, b in linked_forest(sets, percent, split)]
+def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): which of the pairs (node, hub) are links on their full sets (node, shingles)."""
+    spark = pairs.sparkSession
+    counts = pairs.groupBy("hub").count()
+    frequent, bound = heavy(counts, "count", pairs.count())
+    copies = frequent.select(F.col("hub").alias("h"), F.ceil(F.col("count") / bound).cast("int").alias("copies"))
+    dealt = lambda df: df.join(F.broadcast(copies), F.col("hub") == F.col("h"), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("h")
+    hubs = dealt(pairs.select("hub").distinct()).join(sets, F.col("hub") == F.col("node"))
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(False).alias("member"), "node", "shingles")
+    members = dealt(pairs).join(sets, "node").select("hub", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(True).alias("member"), "node", "shingles")
+    placed = hubs.unionByName(members).repartition(parallelism(spark), "hub", "copy").sortWithinPartitions("hub", "copy", "member")
+
+    def run(batches):
+        key, own = None, []
+        for batch in slices(batches, 1024):
+            out = []
+            for hub, copy, member, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("hub", "copy", "member", "node", "shingles"))):
+                if (hub, copy) != key:
+                    key, own = (hub, copy), []
+                a = np.frombuffer(shingles, np.uint64)
+                if not member:
+                    own.append(a)
+                elif any(linked(a, b, percent) for b in own):
+                    out.append((hub, node))
+            yield _links(out)
+
+    return placed.mapInArrow(run, LINK)
+
+
+def open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, node, comp, n): members other than the hub of the buckets in which these are not one component; buckets with the same members count once."""
+    comp = F.coalesce("component", "m").alias("comp")
+    rows = members.where("node <> hub").select("key", F.col("node").alias("m")).join(joined, F.col("m") == F.col("node"), "left").select("key", F.col("m").alias("node"), comp)
+    marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    left = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *marks).where("low < high")
+    left = left.groupBy("n", "x", "y").agg(F.min("key").alias("k")).select("k", "n")
+    return rows.join(left, F.col("key") == F.col("k")).select("key", "node", "comp", "n")
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): links on full sets that join what all links between different components in a bucket join. rows: of open_buckets()."""
+    placed = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).join(sets, "node")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
+    columns = ["key", "i", "j", "own", "node", "comp", "shingles"]
+    placed = placed.withColumn("at", F.explode(meetings)).select("key", "at.i", "at.j", *columns[3:])
+    placed = placed.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
+
+    def run(batches):
+        def links(key, held):
+            sets, nodes = [np.frombuffer(s, np.uint64) for *_, s in held], [n for _, n, _, _ in held]
+            split = sum(own == key[1] for own, *_ in held) if key[1] != key[2] else None
+            return [(nodes[a], nodes[b]) for a, b in linked_forest(sets, percent, split, np.array([c for _, _, c, _ in held]))]
 
-        key, rows, out = None, [], []
+        key, held = None, []
         for batch in slices(batches, 1024):
             out = []
-            for f, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "own", "node", "shingles"))):
-                if (f, i, j) != key:
-                    if len(rows) > 1:
-                        out += links(key, rows)
-                    key, rows = (f, i, j), []
-                rows.append(rest)
-            yield pa.RecordBatch.from_pylist([{"u": a, "v": b} for a, b in out], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-        if len(rows) > 1:
-            yield pa.RecordBatch.from_pylist([{"u": a, "v": b} for a, b in links(key, rows)], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            for *k, own, node, comp, shingles in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if k != key:
+                    out += links(key, held) if len(held) > 1 else []
+                    key, held = k, []
+                held.append((own, node, comp, shingles))
+            yield _links(out)
+        if len(held) > 1:
+            yield _links(links(key, held))
 
-    return placed.mapInArrow(to_links, edges)
+    return placed.mapInArrow(run, LINK)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents that links of percent or more join.
 
     Words are lower-cased in A-Z and cut at ASCII white space; a text with
     fewer than words of them has one shingle of all; null texts and those
-    without words have none and are linked with nothing. component_id is the
-    smallest doc_id that links reach, kept is true where it is the row's own.
-    Repeated rows each get the same result; texts under one repeated id count
-    as linked; rows whose id is null are linked with nothing and kept. Other
-    columns are ignored.
+    without words have none and are linked with nothing; texts may be of any
+    length. component_id is the smallest doc_id that links reach, kept is true
+    where it is the row's own. Repeated rows each get the same result; texts
+    under one repeated id count as linked; rows whose id is null are linked
+    with nothing and kept; an empty table gives an empty result. Other columns
+    are ignored, whatever their names. Shingles are 64-bit hashes: two sets of
+    a thousand each share one by chance with a probability of 5e-14; equal
+    sets are told by 128 bits.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = stored(sketches(chosen, words, bands, rows), "minmax")
     named = known.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "minmax")
-    found = families(classes)
+    members = stored(members_of(classes), "minmax")
+    sets = stored(shingles_of(chosen.where("doc_id IS NOT NULL"), members.select("node").distinct(), words), "minmax")
+    pairs = cut(members.where("node <> hub").select("node", "hub").distinct())
+    links = cut(hub_links(pairs, sets, percent))
+    left = cut(open_buckets(members, connected_components(links, cut)))
     # Texts under one id are one node; a class also joins all ids that it has, through its smallest.
-    links = confirmed(chosen.where("doc_id IS NOT NULL"), found, words, percent)
     repeated = named.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b").select("doc_id")
     same_id = named.join(repeated, "doc_id").join(classes.select("set_hash", "node"), "set_hash").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    joined = connected_components(links.unionByName(same_id), cut)
+    joined = connected_components(links.unionByName(block_links(left, sets, percent, block)).unionByName(same_id), cut)
     reached = classes.select("set_hash", "node").join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = known.join(reached, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
