@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256_of, shared_dir, table
+from .common import new_path, sha256_of, table
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +74,7 @@ def op6_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
-    return archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
 
 def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
