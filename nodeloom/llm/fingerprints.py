@@ -16,16 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, parallelism, sha256_of
+from .common import WORD, let, parallelism, sha256_of
 
 WORDS, BINS, BITS = 5, 128, 8
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """A 63-bit hash per shingle; texts with fewer words have one of all their words, those without words none."""
     found = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))

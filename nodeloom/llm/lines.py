@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, fresh, heavy, parallelism, release, slices, stored
+from .common import claim, cut, fresh, heavy, let, parallelism, release, slices, stored
 from .tokens import mixed
 
 #: (least length, edits): the default.
@@ -411,7 +411,7 @@ def repeated_lines(docs: DataFrame, edits=EDITS, group: int = GROUP, block_chars
     pairs = cut(found.where("key IS NULL").select("a", "b").distinct())
     members = found.where("key IS NOT NULL")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionByName(members.select(F.col("a").alias("want"))).distinct()
-    texts = cut(texts_of(docs, firsts, wanted, edits[0][0]))
+    texts = cut(texts_of(docs, firsts, wanted.hint("merge"), edits[0][0]))
     late = late_of_pairs(pairs, texts, edits).unionByName(late_of_groups(members, texts, edits, block_chars))
     late = late.select(F.col("id").alias("i"), F.col("check").alias("c")).distinct()
     decided = firsts.join(late, (F.col("id") == F.col("i")) & (F.col("check") == F.col("c")), "left").where("n > 1 OR i IS NOT NULL")
@@ -456,6 +456,6 @@ def deduplicate_lines(docs: DataFrame, edits=EDITS, id_col: str = "doc_id", text
     joined = keyed.join(gone, (F.col(own) == F.col(of)) & (F.col(tag) == F.col(of_tag)), "left")
     pieces = F.split(text_col, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(lost))
-    kept = F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n")
+    kept = let(pieces, lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n"))  # cut once, not for each line
     changed = {"n_lines": F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.size(pieces).cast("long")), "n_removed": F.coalesce(F.size(lost), F.lit(0)).cast("long"), text_col: F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept)}
     return joined.withColumns(changed).select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")], "n_lines", "n_removed")
