@@ -69,10 +69,11 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], tie: str) -> DataFrame:
     """rows (doc_id and others) with next_<column>, the value in the row that follows in descending doc_id; the first follows the last.
 
-    Rows of one id are ordered by a hash of the columns; null ids come last.
+    Rows of one id are ordered by a hash of the column tie, which the others
+    follow from; null ids come last.
     Quantiles of the ids cut the rows into ranges of about equal numbers, and
     the first row of a range also goes to the range whose last row it follows.
     Collected are a bound and a first row's id for each range.
@@ -82,7 +83,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     bounds = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)).first()[0] or []
     bounds = sorted(set(bounds))
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    keyed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)).withColumn("tie", F.xxhash64(*columns))
+    keyed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)).withColumn("tie", F.xxhash64(tie))
     key = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("tie").alias("t"))
     firsts = {r["part"]: r["first"] for r in keyed.groupBy("part").agg(F.max(key).alias("first")).collect()}
     there = sorted(firsts)
@@ -124,7 +125,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     own = fingerprints(docs).drop("fingerprint")
-    both = with_next(own, ["text", "values"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    both = with_next(own, ["text", "values"], "text").withColumn("edited", edited(F.col("text"), F.col("next_text")))
     both = both.withColumn("edited_values", fingerprint(F.col("edited")))
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), sha256_of(F.col("edited")).alias("edited_sha256"),
