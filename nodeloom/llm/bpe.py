@@ -2,8 +2,10 @@
 
 The merges that are possible in a piece of text wait in a queue: one bucket
 per merge rank, with the positions of the pair's left token in a linked list.
-Two levels of 256-way bitmaps tell which buckets are filled, so the lowest
-rank is found by two find-first-set steps, whatever the length of the piece. Entries whose pair has changed since are skipped when they come up.
+Two levels of bitmaps tell which buckets are filled, leaves of 256 ranks and
+one bit for each leaf above them, as many as the largest rank asks for. So the
+lowest rank is found by two find-first-set steps, whatever the length of the
+piece. Entries whose pair has changed since are skipped when they come up.
 A piece of n bytes takes O(n log n) at worst, which keeps very long pieces
 (a base64 blob, a line of one character) from taking quadratic time.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, slices
+from .common import claim, fresh, slices
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
@@ -39,9 +41,11 @@ class Encoder(dict):
         self.vocabulary = dict(zip(ranks.values(), ranks.keys()))
         #: Two ids -> the rank of what they make together, for each way to cut a token in two.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        if any(bytes([b]) not in ranks for b in range(256)) or len(self.vocabulary) < len(ranks) or min(ranks.values()) < 0 or max(ranks.values()) >= 1 << 32:
+            raise ValueError("ranks must name every single byte, each token by a number of its own below 2^32")
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.bits = [1 << i for i in range(256)]
-        self.leaves = [0] * 256  # all 0 between pieces; ranks are below 2^16
+        self.leaves = [0] * ((max(ranks.values()) >> 8) + 1)  # all 0 between pieces
+        self.bits = [1 << i for i in range(max(256, len(self.leaves)))]
         # White space as Unicode has it: the module's own \s takes in four more control characters.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
@@ -157,14 +161,16 @@ def _mapped(df: DataFrame, made: str, source: str, content: bytes, pattern: str,
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """docs with text_col replaced by out_col: the ids of its whole text as little-endian unsigned 32-bit integers.
 
-    ranks: the content of a rank file; pattern: cuts a text into the pieces
-    that are merged apart. A null or empty text has no ids. Rows stay as they
-    are otherwise, repeated ones and other columns too.
+    ranks: the content of a rank file, with ranks of any size below 2^32;
+    pattern: cuts a text into the pieces that are merged apart. A null or empty
+    text has no ids; texts and pieces may be of any length; an empty table
+    gives an empty result. Rows stay as they are otherwise, repeated ones and
+    other columns too.
     """
     return _mapped(docs, out_col, text_col, ranks, pattern, False)
 
 
 def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """tokens with out_col added: the bytes that the ids stand for; null ids give none."""
-    kept = tokens.withColumn("__ids", F.col(ids_col))
-    return _mapped(kept, out_col, "__ids", ranks, pattern, True)
+    (copy,) = fresh([*tokens.columns, out_col], "ids")
+    return _mapped(tokens.withColumn(copy, F.col(ids_col)), out_col, copy, ranks, pattern, True)

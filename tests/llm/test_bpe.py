@@ -54,3 +54,32 @@ def test_frames(spark, known):
     assert out[3].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in known.encode_ordinary("Ab cd"))).hexdigest()
     assert out[1].n_tokens == 0
     assert queries.bpe_digests(docs.limit(0)).count() == 0
+
+
+def test_ranks_of_any_size():
+    """The same merges under ranks that are far above 65,535, and with gaps, give the same tokens under these ranks."""
+    import base64
+
+    content, pattern = queries.tokenizer()
+    ranks = bpe.load_ranks(content)
+    moved = {t: r if r < 256 else 70_000 + 3 * r for t, r in ranks.items()}
+    coder = bpe.Encoder(moved, pattern)
+    own = tiktoken.Encoding("moved", pat_str=pattern, mergeable_ranks=moved, special_tokens={})
+    draw = random.Random(5)
+    texts = ["tokenization of extraordinarily long compound words", "zz" * 500, "".join(draw.choice("abcdeé 🙂") for _ in range(4000))]
+    for text in texts:
+        assert ids(coder.encode(text)) == own.encode_ordinary(text) and max(ids(coder.encode(text)), default=0) > 65_535
+        assert coder.decode(coder.encode(text)) == text.encode()
+    few = {bytes([b]): b for b in range(256)} | {b"ab": 70_000}
+    assert ids(bpe.Encoder(few, pattern).encode("abc")) == [70_000, 99]
+    assert bpe.load_ranks(base64.b64encode(b"a") + b" 5\n") == {b"a": 5}
+    for bad in ({b"a": 0}, few | {b"cd": 70_000}, few | {b"cd": 1 << 32}):
+        with pytest.raises(ValueError):
+            bpe.Encoder(bad, pattern)
+
+
+def test_clashing_names(spark):
+    ranks, pattern = queries.tokenizer()
+    rows = bpe.encode(spark.createDataFrame([(1, "a b", "mine", 7)], "doc_id long, text string, __ids string, ids int"), ranks, pattern)
+    r = bpe.decode(rows, ranks, pattern).first()
+    assert (r["__ids"], r.ids, bytes(r.decoded)) == ("mine", 7, b"a b")
