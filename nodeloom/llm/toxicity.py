@@ -2,13 +2,17 @@
 
 1. Lexicon: in labelled training rows, words and word beginnings that almost
    only toxic documents hold, counted so that near copies count once.
-2. Voters: the lexicon is dealt into groups, each a voter; further voters look
-   at how many entries a text has, how close together, with which address,
-   capitals and exclamation marks, or that it has none.
+2. Voters: each looks at one kind of evidence. Six look for entries: whole
+   words that are frequent among toxic texts, rarer whole words, beginnings of
+   four, five and six letters, and any entry within three words of an address
+   in the second person. Six look at how the entries stand: several roots, many
+   roots, close together, with an address anywhere, in capitals or with
+   exclamation marks, or that there is none.
 3. Label model: from the counts of all vote patterns in the whole table, at
-   most 2^12, expectation-maximisation estimates each voter's accuracy in
-   either class, and the correlations of voters within a class; a voter's
-   evidence is divided by how much of it others repeat.
+   most 2^12, expectation-maximisation fits a generative model: in either class
+   a distribution over all patterns with a term for each voter, its accuracy,
+   and a term for each pair of voters that still agree within a class, their
+   correlation. With 2^12 patterns its sums are exact.
 4. A logistic regression over the lexicon's entries learns the posterior
    labels and gives the scores.
 
@@ -28,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, slices
+from .common import claim, slices, stored
 
 FOLDS, HELD_OUT = 5, 0
 #: At most about so many labelled rows are learnt from, and as many documents by the regression.
 SAMPLE = 30_000
 BEGINNINGS = (4, 5, 6)
-GROUPS = 6
-VOTERS = GROUPS + 6
+VOTER_NAMES = ("frequent word", "rare word", "beginning of 4", "beginning of 5", "beginning of 6", "addressed", "two roots", "four roots", "dense", "address", "loud", "none")
+GROUPS, VOTERS = 6, len(VOTER_NAMES)
 _words = re.compile(r"[^\W\d_]+").findall
-_address = re.compile(r"\b(?:you|your|youre|du|dich|ihr|sie|tu|toi|vous|usted|eres|ti)\b").search
+ADDRESS = frozenset("you your youre du dich ihr sie tu toi vous usted eres ti".split())
 
 
 def fold(doc_id):
@@ -58,6 +62,7 @@ class Model:
     lexicon: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -3.0
+    frequent: frozenset[str] = frozenset()
     accuracies: np.ndarray | None = None
     correlations: np.ndarray | None = None
 
@@ -76,48 +81,85 @@ class Model:
         return sorted(self.number[e] for e in found)
 
     def votes(self, text: str) -> tuple[int, list[int]]:
-        """Votes as the bits of an integer, and the entries hit."""
-        low = text.lower()
-        words = _words(low)
+        """Votes as the bits of an integer, in the order of VOTER_NAMES, and the entries hit."""
+        words = _words(text.lower())
         hit = self.hits(words)
-        pattern = 0
-        for i in hit:
-            pattern |= 1 << zlib.crc32(self.lexicon[i].encode()) % GROUPS
-        roots = {self.lexicon[i][:4] for i in hit}
-        more = (len(roots) >= 2, len(roots) >= 4, bool(hit) and len(hit) * 60 >= len(words), bool(hit) and _address(low) is not None, bool(hit) and ("!!" in text or text.isupper()), not hit)
-        for j, on in enumerate(more):
-            pattern |= on << GROUPS + j
-        return pattern, hit
+        if not hit:
+            return 1 << VOTERS - 1, hit
+        found = [self.lexicon[i] for i in hit]
+        whole = [e for e in found if not e.endswith("*")]
+        lengths = {len(e) - 1 for e in found if e.endswith("*")}
+        addressed = [i for i, w in enumerate(words) if w in ADDRESS]
+        near = {words[j] for i in addressed for j in range(max(0, i - 3), min(len(words), i + 4))}
+        roots = {e[:4] for e in found}
+        on = (
+            any(e in self.frequent for e in whole), any(e not in self.frequent for e in whole), *(n in lengths for n in BEGINNINGS), bool(near) and bool(self.hits(list(near))),
+            len(roots) >= 2, len(roots) >= 4, len(hit) * 60 >= len(words), bool(addressed), "!!" in text or text.isupper(),
+        )
+        return sum(b << j for j, b in enumerate(on)), hit
 
     def score(self, text: str | None) -> float:
         hit = self.hits(_words(text.lower())) if text else []
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[hit].sum(), -30, 30))))
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, share: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of each pattern, accuracies[class, voter], correlations).
-
-    accuracies are P(bit set | class). It starts from the share of toxic rows
-    and from the votes: toxic where a lexicon voter speaks.
+def fitted_terms(moments: np.ndarray, features: np.ndarray, terms: np.ndarray, decay: float = 1e-2, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, log-probability of every pattern) of the log-linear model over all patterns whose features have these means, by Newton's steps."""
+    for _ in range(steps):
+        z = features @ terms
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        mean = p @ features
+        slope = moments - mean - decay * terms
+        bend = (features * p[:, None]).T @ features - np.outer(mean, mean) + decay * np.eye(len(terms))
+        change = np.linalg.solve(bend, slope)
+        terms = terms + change * min(1.0, 2.0 / np.abs(change).max()) if np.abs(change).max() > 0 else terms
+        if np.abs(change).max() < 1e-6:
+            break
+    z = features @ terms
+    return terms, z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+
+def label_model(patterns: np.ndarray, counts: np.ndarray, share: float, rounds: int = 40, dependent: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of each pattern, accuracies[class, voter], correlations[class, voter, voter]).
+
+    accuracies are P(bit set | class), correlations the terms of the pairs of
+    voters, 0 for pairs that the model leaves independent. It starts from the
+    share of toxic rows and from the votes, toxic where a lexicon voter speaks.
+    Voters first count as independent; pairs of which the residuals correlate
+    by more than dependent within a class get a term of their own.
     """
     bits = (patterns[:, None] >> np.arange(VOTERS)) & 1
+    every = (np.arange(1 << VOTERS)[:, None] >> np.arange(VOTERS)) & 1
     posterior = np.where(bits[:, :GROUPS].any(1), 0.9, 0.02)
-    correlations = np.zeros((VOTERS, VOTERS))
-    rate = np.zeros((2, VOTERS))
-    for _ in range(rounds):
-        covariance = np.zeros((VOTERS, VOTERS))
+    rate, correlations = np.zeros((2, VOTERS)), np.zeros((2, VOTERS, VOTERS))
+    pairs = np.zeros((0, 2), int)
+    terms = [np.zeros(VOTERS)] * 2
+    prior = np.log(share / (1 - share))
+    for r in range(rounds):
+        logs = []
+        if r == rounds // 4:
+            strong = np.zeros((VOTERS, VOTERS), bool)
+            for c, p in ((0, 1 - posterior), (1, posterior)):
+                off = bits - rate[c]
+                covariance = (off * (counts * p)[:, None]).T @ off
+                scale = np.sqrt(np.maximum(np.diag(covariance), 0))
+                moving = scale > 1  # voters that say the same nearly everywhere correlate with nothing
+                scale = np.where(moving, scale, np.inf)
+                strong |= np.abs(covariance / np.outer(scale, scale)) > dependent
+            pairs = np.argwhere(np.triu(strong, 1))
+            terms = [np.append(t, np.zeros(len(pairs))) for t in terms]
+        widen = lambda x: np.hstack([x, x[:, pairs[:, 0]] * x[:, pairs[:, 1]]]).astype(float)
+        own, features = widen(bits), widen(every)
         for c, p in ((0, 1 - posterior), (1, posterior)):
             w = counts * p
-            rate[c] = (w @ bits + 0.5) / (w.sum() + 1)
-            off = bits - rate[c]
-            covariance += (off * w[:, None]).T @ off
-        scale = np.sqrt(np.diag(covariance)) + 1e-9
-        correlations = covariance / np.outer(scale, scale)
-        np.fill_diagonal(correlations, 1)
-        own = 1 / np.clip(np.abs(correlations), 0, 1).sum(1)  # a voter among n that say the same counts 1 / n
-        on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        odds = np.log(share / (1 - share)) + (bits * (on * own) + (1 - bits) * (off * own)).sum(1)
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            moments = (w @ own + 0.5 * features.mean(0)) / (w.sum() + 0.5)
+            rate[c] = moments[:VOTERS]
+            terms[c], log = fitted_terms(moments, features, terms[c])
+            logs.append(log[patterns])
+        posterior = 1 / (1 + np.exp(-np.clip(prior + logs[1] - logs[0], -30, 30)))
+    for c in (0, 1):
+        correlations[c][pairs[:, 0], pairs[:, 1]] = correlations[c][pairs[:, 1], pairs[:, 0]] = terms[c][VOTERS:]
     return posterior, rate, correlations
 
 
@@ -142,8 +184,8 @@ def _emitted(df: DataFrame, run, ddl: list[tuple[str, T.DataType]]) -> DataFrame
     return df.mapInArrow(run, T.StructType([T.StructField(*f) for f in ddl]))
 
 
-def learn_lexicon(labelled: DataFrame, support: float = 4.0, precision: float = 0.9) -> tuple[list[str], float]:
-    """(entries, share of toxic rows) from labelled (text, toxic).
+def learn_lexicon(labelled: DataFrame, support: float = 4.0, precision: float = 0.9) -> tuple[list[str], frozenset[str], float]:
+    """(entries, the more frequent half of the whole words, share of toxic rows) from labelled (text, toxic).
 
     An entry needs toxic texts worth support, where texts that share the
     smallest hash of their words share one vote, and toxic texts among those
@@ -166,7 +208,7 @@ def learn_lexicon(labelled: DataFrame, support: float = 4.0, precision: float =
     by_kin = held.select("kin", F.explode("held").alias("entry")).groupBy("entry", "kin").count().groupBy("entry").agg(F.sum("count").alias("t"), F.count("*").cast("double").alias("kinds"))
     found = {r["entry"]: r["t"] for r in by_kin.where(F.col("kinds") >= support).collect()}  # of at most SAMPLE texts
     if not found:
-        return [], 0.1
+        return [], frozenset(), 0.1
 
     def clean_counts(batches):
         import pyarrow as pa
@@ -182,23 +224,29 @@ def learn_lexicon(labelled: DataFrame, support: float = 4.0, precision: float =
     against = {r["entry"]: r["n"] for r in _emitted(clean, clean_counts, [("entry", T.StringType()), ("n", T.LongType())]).groupBy("entry").agg(F.sum("n").alias("n")).collect()}
     total_clean, total_toxic = against.get("", 0), toxic.count()
     good = sorted(e for e, t in found.items() if t / (t + against.get(e, 0)) >= precision)
-    return good, max(0.001, min(0.999, total_toxic / max(1, total_toxic + total_clean)))
+    whole = sorted((e for e in good if not e.endswith("*")), key=lambda e: (-found[e], e))
+    return good, frozenset(whole[: (len(whole) + 1) // 2]), max(0.001, min(0.999, total_toxic / max(1, total_toxic + total_clean)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
-    Null and repeated labels: rows without a label are left out, of several
-    for one id the largest counts. Without any toxic training row the lexicon
-    is empty and all scores are low.
+    sample bounds what is learnt from, whatever the input: about so many
+    labelled rows, for the lexicon, and about as many documents, for the
+    regression, both chosen by a hash of the id. The label model counts the
+    votes of all documents. Rows without a label are left out, of several
+    labels for one id the largest counts; null texts are empty, texts may be of
+    any length, repeated rows count as often as they are there. Without any
+    toxic training row, or without rows at all, the lexicon is empty and all
+    scores are low. Ties: entries of equal support go by their spelling.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT).groupBy(F.col("doc_id").alias("l")).agg(F.max("toxic").alias("toxic"))
     part = lambda column, rows: F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, sample / max(1, rows)) * (1 << 30))
     chosen = usable.where(part("l", usable.count()))
-    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l")).select("text", "toxic")  # about sample rows at most
-    lexicon, share = learn_lexicon(labelled)
-    model = Model(lexicon)
+    labelled = stored(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l")).select("text", "toxic"), "toxicity")  # about sample rows at most
+    lexicon, frequent, share = learn_lexicon(labelled)
+    model = Model(lexicon, frequent=frequent)
 
     def all_votes(batches):
         import pyarrow as pa

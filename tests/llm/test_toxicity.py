@@ -45,14 +45,43 @@ def test_label_model():
     right = np.array([0.9, 0.8, 0.7, 0.85, 0.75, 0.6])
     bits = np.zeros((n, tox.VOTERS), np.int64)
     bits[:, :6] = (draw.random((n, 6)) < np.where(y[:, None], right, 0.02))
-    bits[:, 6] = bits[:, 0]  # repeats another
+    bits[:, 6] = np.where(draw.random(n) < 0.02, 1 - bits[:, 0], bits[:, 0])  # repeats another
     patterns, counts = np.unique((bits << np.arange(tox.VOTERS)).sum(1), return_counts=True)
     posterior, rate, correlations = tox.label_model(patterns, counts.astype(float), 0.2)
-    assert np.abs(rate[1][:6] - right).max() < 0.08 and correlations[0, 6] > 0.95 and abs(correlations[0, 1]) < 0.2
+    assert np.abs(rate[1][:6] - right).max() < 0.05
+    assert correlations[1][0, 6] > 2 and np.count_nonzero(np.triu(correlations[1])) <= 3  # the pair has a term, few others do
     guess = dict(zip(patterns.tolist(), posterior))
     assert np.mean([(guess[p] > 0.5) == t for p, t in zip((bits << np.arange(tox.VOTERS)).sum(1).tolist(), y)]) > 0.97
 
 
+def test_terms_fit_a_table_exactly():
+    """All single and pair terms of three voters against a known distribution over their patterns."""
+    draw = np.random.default_rng(4)
+    every = (np.arange(8)[:, None] >> np.arange(3)) & 1
+    pairs = np.array([(0, 1), (0, 2), (1, 2)])
+    features = np.hstack([every, every[:, pairs[:, 0]] * every[:, pairs[:, 1]]]).astype(float)
+    want = draw.normal(0, 1, 6)
+    p = np.exp(features @ want)
+    p /= p.sum()
+    got, log = tox.fitted_terms(p @ features, features, np.zeros(6), decay=0.0, steps=50)
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(np.exp(log), p, atol=1e-6)
+
+
+def test_votes():
+    model = tox.Model(["blarg", "grob*", "vile"], frequent=frozenset({"vile"}))
+    name = lambda text: {tox.VOTER_NAMES[j] for j in range(tox.VOTERS) if model.votes(text)[0] >> j & 1}
+    assert name("all is well") == {"none"} and name("") == {"none"}
+    assert name("x " * 100 + "vile") == {"frequent word"} and name("x " * 200 + "blarg " + "vile") == {"frequent word", "rare word", "two roots"}
+    assert name("YOU ARE GROBIAN") == {"beginning of 4", "addressed", "dense", "address", "loud"}
+    assert name("you " + "x " * 100 + "vile") == {"frequent word", "address"}
+
+
+def test_very_long_text(spark):
+    model = tox.Model(["vile"], np.array([4.0]))
+    docs = spark.createDataFrame([(1, "calm " * 400_000 + "vile"), (2, "calm " * 400_000)], "doc_id long, text string")
+    assert [r.score > 0.5 for r in tox.scored(docs, model).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
