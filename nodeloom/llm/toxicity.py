@@ -120,7 +120,7 @@ def fitted_terms(moments: np.ndarray, features: np.ndarray, terms: np.ndarray, d
     return terms, z - z.max() - np.log(np.exp(z - z.max()).sum())
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, share: float, rounds: int = 40, dependent: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(patterns: np.ndarray, counts: np.ndarray, share: float, rounds: int = 40, dependent: float = 0.35) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each pattern, accuracies[class, voter], correlations[class, voter, voter]).
 
     accuracies are P(bit set | class), correlations the terms of the pairs of

@@ -50,6 +50,43 @@ def test_base_against_python(spark):
     assert any(len(r.spans) > len(r.base) for r in got)
 
 
+def planted(n=600, seed=4):
+    """(texts, spans that are personal data, decoys of the same looks) besides what the base patterns settle."""
+    draw = random.Random(seed)
+    d = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(draw.choice("abcdefghilmnorst") for _ in range(6))
+    rows, good, bad = [], set(), set()
+    for i in range(n):
+        text = " ".join(name() for _ in range(draw.randrange(5, 40)))
+        for _ in range(draw.randrange(3)):
+            kind = draw.randrange(6)
+            lead, span, where = {
+                0: (" mail me: ", f"{name()} (at) {name()} (dot) com", good), 1: (" phone: ", f"({draw.randrange(2, 9)}{draw.randrange(9)}{d(1)}) {draw.randrange(2, 9)}{d(2)}-{d(4)}", good),
+                2: (" call ", f"{draw.randrange(2, 9)}{draw.randrange(9)}{d(1)}-{draw.randrange(2, 9)}{d(2)}-{d(4)}", good), 3: (" invoice no", f"1{d(2)}-0{d(2)}-{d(4)}x", bad),
+                4: (" version=", f"{draw.randrange(256, 999)}.{d(3)}.{d(3)}.{d(3)}", bad), 5: (" reach " + name() + "@" + name() + draw.choice((".com", ".org")), "", None),
+            }[kind]
+            if where is not None:
+                where.add((i, len(text) + len(lead), len(text) + len(lead) + len(span)))
+            text += lead + span + " " + name()
+        rows.append((i, text))
+    return rows, good, bad
+
+
+def test_precision_and_recall_of_what_is_added(spark):
+    rows, good, bad = planted()
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r.doc_id, s.start, s.end) for r in got for s in r.spans} - {(r.doc_id, s.start, s.end) for r in got for s in r.base}
+    assert len(good) > 200 and len(bad) > 100
+    assert len(added & good) / len(good) >= 0.9 and len(added & good) / len(added) >= 0.9
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i}.com 10.0.{i % 250}.{i % 199}" for i in range(20_000))
+    began = time.time()
+    r = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in r.base] == brute(text) and len(r.base) == 40_000 and time.time() - began < 60
+
+
 def test_reliabilities_find_the_noisy_labeler():
     draw = random.Random(2)
     counts = {}
