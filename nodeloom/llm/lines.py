@@ -433,8 +433,8 @@ def checked(edits) -> tuple[tuple[int, int], ...]:
     return edits
 
 
-def deduplicate_lines(docs: DataFrame, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """docs with text_col replaced by the lines that stay, and n_lines, n_removed added.
+def deduplicate_lines(docs: DataFrame, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+    """docs with text_col replaced by the lines that stay, and lines_col, removed_col added: how many there were, and how many went.
 
     edits: pairs (least length, edits) that say how far lines of such a length
     may be from an earlier one; below the least only equal lines are repeats.
@@ -446,16 +446,16 @@ def deduplicate_lines(docs: DataFrame, edits=EDITS, id_col: str = "doc_id", text
     equal rows don't take lines from each other; lines at one place of
     different texts under one id are not earlier than each other. An empty
     table gives an empty result. Other columns stay as they are, whatever
-    their names; only n_lines and n_removed are replaced.
+    their names; only lines_col and removed_col are replaced.
     """
     edits = checked(edits)
-    own, tag, of, of_tag, lost = fresh([*docs.columns, "n_lines", "n_removed"], "id", "tag", "of", "of_tag", "gone")
-    keyed = docs.drop("n_lines", "n_removed").withColumns({own: F.col(id_col).cast("long"), tag: F.xxhash64(text_col)})
+    own, tag, of, of_tag, lost = fresh([*docs.columns, lines_col, removed_col], "id", "tag", "of", "of_tag", "gone")
+    keyed = docs.drop(lines_col, removed_col).withColumns({own: F.col(id_col).cast("long"), tag: F.xxhash64(text_col)})
     chosen = keyed.where(F.col(own).isNotNull() & F.col(text_col).isNotNull()).select(F.col(own).alias("doc_id"), F.col(tag).alias("tag"), F.col(text_col).alias("text"))
     gone = repeated_lines(chosen, edits, group).toDF(of, of_tag, lost)
     joined = keyed.join(gone, (F.col(own) == F.col(of)) & (F.col(tag) == F.col(of_tag)), "left")
     pieces = F.split(text_col, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(lost))
     kept = let(pieces, lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n"))  # cut once, not for each line
-    changed = {"n_lines": F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.size(pieces).cast("long")), "n_removed": F.coalesce(F.size(lost), F.lit(0)).cast("long"), text_col: F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept)}
-    return joined.withColumns(changed).select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    changed = {lines_col: F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.size(pieces).cast("long")), removed_col: F.coalesce(F.size(lost), F.lit(0)).cast("long"), text_col: F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept)}
+    return joined.withColumns(changed).select(*[c for c in docs.columns if c.lower() not in (lines_col.lower(), removed_col.lower())], lines_col, removed_col)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 BITS, LEVELS = 15, 4
 
@@ -107,17 +107,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed table itself: docs' columns, each row as often as the mix takes it.
+    """The mixed table itself: docs' columns, whatever their names, each row as often as the mix takes it.
 
     Documents stay whole: the one that a budget ends in is taken if at least
-    half of it falls within. Rows without words are not taken.
+    half of it falls within. Rows without words are not taken; a null source is
+    one of its own; rows that share an id are taken together, also where the
+    budget ends; an empty table gives an empty result.
     """
     columns = docs.columns
-    keyed = docs.withColumns({"__size": word_count(F.col(text_col)), "__place": place(F.col(id_col), seed)})
-    sized = stored(keyed.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__place").alias("place")), "mix")
-    per_source = thresholds(sized, weights, share, most).select(F.col("source").alias("__source"), "turns", "below", "rest", "rest_size")
-    per_source = per_source.toDF("__source", "__turns", "__below", "__rest", "__rest_size")
-    joined = keyed.join(per_source, F.col(source_col).eqNullSafe(F.col("__source"))).where("__size > 0")
-    more = (F.col("__place") < F.col("__below")) | ((F.col("__place") == F.col("__below")) & (F.col("__rest") * 2 >= F.col("__rest_size")) & (F.col("__rest") > 0))
-    times = (F.col("__turns") + more.cast("long")).cast("int")
-    return joined.where(times > 0).withColumn("__turn", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
+    size, at, turn, *names = fresh(columns, "size", "place", "turn", "source", "turns", "below", "rest", "rest_size")
+    keyed = docs.withColumns({size: word_count(F.col(text_col)), at: place(F.col(id_col), seed)})
+    sized = stored(keyed.select(F.col(source_col).alias("source"), F.col(size).alias("size"), F.col(at).alias("place")), "mix")
+    per_source = thresholds(sized, weights, share, most).select("source", "turns", "below", "rest", "rest_size").toDF(*names)
+    source, turns, below, rest, rest_size = map(F.col, names)
+    joined = keyed.join(per_source, F.col(source_col).eqNullSafe(source)).where(F.col(size) > 0)
+    more = (F.col(at) < below) | ((F.col(at) == below) & (rest * 2 >= rest_size) & (rest > 0))
+    times = (turns + more.cast("long")).cast("int")
+    return joined.where(times > 0).withColumn(turn, F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
