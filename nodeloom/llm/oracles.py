@@ -29,3 +29,61 @@ SELECT doc_id, source, size, source_size, target,
        CAST(turns * size + CASE WHEN upto <= rest THEN size WHEN upto - here < rest THEN floor((rest - (upto - here)) * size / here) ELSE 0 END AS BIGINT) AS taken
 FROM placed
 """
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op2_rlz_substrings"] = rf"""
+WITH w AS (
+  SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w),
+phrases AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS phrase FROM starts),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY phrase) AS first FROM phrases) WHERE first < doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS place FROM repeated, range(13) t(j)),
+lost AS (
+  SELECT doc_id, list(place) AS places, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < place - 1) AS spans
+  FROM (SELECT *, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM gone) GROUP BY doc_id),
+each_word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM each_word ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(lost.spans, 0) AS n_spans
+FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op5_minmax_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 1 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM w),
+classes AS (
+  SELECT min(doc_id) AS node, shingles, len(shingles) AS n FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM sets) WHERE len(shingles) > 0 GROUP BY shingles),
+each_shingle AS (
+  SELECT node, n, unnest(shingles) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.node AS u, b.node AS v FROM each_shingle a JOIN each_shingle b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(a, b) AS (
+  SELECT node, node FROM classes UNION SELECT reach.a, both_ways.v FROM reach JOIN both_ways ON reach.b = both_ways.u),
+components AS (
+  SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+known AS (
+  SELECT s.doc_id, len(s.shingles) AS n, c.component FROM sets s LEFT JOIN classes k ON list_sort(s.shingles) = k.shingles LEFT JOIN components c USING (node))
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM known
+"""
+
+ORACLES["op7_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (
+  SELECT page_id, octet_length(encode(payload)) AS n, sha1(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(digest, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""

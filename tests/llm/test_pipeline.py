@@ -15,6 +15,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def line_dedup(rows):
+    """What line_dedup_all leaves, without texts that lost all of their lines."""
+    before = dict(rows)
+    return [(d, t) for d, t in line_dedup_all(rows) if t == before[d] or t.strip()]
+
+
+def line_dedup_all(rows):
     """Equal lines by a dictionary, near ones by comparing all pairs of about the same length."""
     first, by_length = {}, defaultdict(list)
     for d, t in sorted(rows):
@@ -31,9 +37,7 @@ def line_dedup(rows):
                     near[x] = first[y]
     out = []
     for d, t in rows:
-        kept = [x for i, x in enumerate(t.split("\n")) if not (x.strip() and near[x] < (d, i))]
-        if len(kept) == len(t.split("\n")) or "".join(kept).strip():
-            out.append((d, "\n".join(kept)))
+        out.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if not (x.strip() and near[x] < (d, i)))))
     return out
 
 

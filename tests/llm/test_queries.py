@@ -1,12 +1,15 @@
 """The queries on the driver's smallest tables against brute force."""
 
 import hashlib
+import math
 import os
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.llm import queries
+from nodeloom.llm import oracles, queries, toxicity
 from test_minmax import brute as components
 from test_minmax import shingles
 from test_pii import brute as spans_of
@@ -50,28 +53,63 @@ def test_op10(spark, docs):
         assert set(filter(None, written.split(","))) <= set(filter(None, got[d].spans.split(",")))
 
 
-def test_op9(spark):
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_sql_gives_the_same_rows(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    from nodeloom.llm import oracles
-
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = c.sql(f"SELECT doc_id, size, taken FROM ({oracles.ORACLES['op9_source_mix']}) ORDER BY 1").fetchall()
-    got = queries.op9_source_mix(spark, SF)
-    assert sorted(map(tuple, got.select("doc_id", "size", "taken").collect())) == want
-    for source in {r.source for r in got.collect()}:
-        rows = [r for r in got.collect() if r.source == source]
+    for table in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({oracles.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want, key=repr) and want
+
+
+def test_op9(spark):
+    got = queries.op9_source_mix(spark, SF).collect()
+    for source in {r.source for r in got}:
+        rows = [r for r in got if r.source == source]
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1 and all(r.taken <= 2 * r.size for r in rows)
 
 
-def test_op4_and_op8(spark, docs):
-    scores = queries.op4_toxicity(spark, SF).collect()
-    assert len(scores) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scores)
-    lines = {r.doc_id: r for r in queries.op8_line_edit_join(spark, SF).collect()}
+def test_op3(spark, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    from nodeloom.llm import bpe
+
+    ranks, pattern = queries.tokenizer()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(ranks), special_tokens={})
+    got = {r.doc_id: r for r in queries.op3_byte_bpe(spark, SF).collect()}
+    for d, text in docs:
+        ids = known.encode_ordinary(text or "")
+        assert (got[d].n_tokens, got[d].decoded_sha256) == (len(ids), hashlib.sha256((text or "").encode()).hexdigest())
+        assert got[d].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def test_op4(spark, docs):
+    """Scores by hand from the fitted model, and how well they do on the held-out labels."""
+    scores = {r.doc_id: r for r in queries.op4_toxicity(spark, SF).collect()}
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(table, labels)
+    assert len(scores) == len(docs)
+    for d, text in docs:
+        found = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower())}
+        z = model.bias + sum(w for e, w in zip(model.lexicon, model.weights) if (any(x.startswith(e[:-1]) and len(x) >= len(e) for x in found) if e.endswith("*") else e in found))
+        r = scores[d]
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+    known = [(scores[r.doc_id], r.toxic) for r in labels.collect() if r.doc_id in scores]
+    right = [s.predicted == t for s, t in known if s.held_out]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_op8(spark, docs):
+    from test_pipeline import line_dedup_all
+
+    got = {r.doc_id: r for r in queries.op8_line_edit_join(spark, SF).collect()}
+    for d, text in line_dedup_all(docs):
+        assert got[d].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
     for d, text in docs:
-        assert lines[d].n_lines == len(text.split("\n"))
-        if not lines[d].n_removed:
-            assert lines[d].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert got[d].n_lines == len(text.split("\n"))
 
 
 def test_mixing_edge_cases(spark):
