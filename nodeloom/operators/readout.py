@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .training_windows import running_sum
+
 
 def grouped(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """(group, values): the values of each group in the stated order."""
@@ -69,11 +71,12 @@ def angle_types(angles: DataFrame, edges: DataFrame, nodes: DataFrame, species:
     return met.withColumn("type_key", F.array("s1", "s2", "s3")).drop("u_node", "v_node", "center", "s1", "s2", "s3")
 
 
-def contribution_ratios(rows: DataFrame) -> DataFrame:
-    """rows (gid, kind, local_id, value array) with ratio: the share of the graph's own prediction in every dimension."""
-    each = rows.select("gid", "kind", "local_id", F.posexplode("value").alias("dim", "x"))
-    total = each.groupBy("gid", "dim").agg(F.sum("x").alias("total"))
-    return each.join(total, ["gid", "dim"]).withColumn("ratio", F.col("x") / F.nullif("total", F.lit(0.0)))
+def contribution_ratios(rows: DataFrame, keys: tuple[str, ...] = ("gid",)) -> DataFrame:
+    """rows (keys.., kind, local_id, value array, ..) with a row for each dim, its x, the total of the graph's prediction there, and ratio, the share of it; other columns stay."""
+    others = [c for c in rows.columns if c != "value"]
+    each = rows.select(*others, F.posexplode("value").alias("dim", "x"))
+    total = F.sum("x").over(Window.partitionBy(*keys, "dim"))
+    return each.withColumn("total", total).withColumn("ratio", F.col("x") / F.nullif("total", F.lit(0.0)))
 
 
 def type_statistics(rows: DataFrame, keys: tuple[str, ...] = ("gid", "kind", "type_key"), value: str = "ratio") -> DataFrame:
@@ -102,10 +105,19 @@ def extremes(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] =
 
 
 def part_of(elements: DataFrame, amounts: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """elements with part_id: the part that an ordinal falls into, from amounts (part_id, n) laid end to end."""
-    run = Window.orderBy("part_id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = amounts.withColumn("stop", F.sum("n").over(run)).withColumn("start", F.col("stop") - F.col("n")).select("part_id", "start", "stop")  # one row per part
-    return elements.join(F.broadcast(ends), (F.col(ordinal) >= F.col("start")) & (F.col(ordinal) < F.col("stop"))).drop("start", "stop")
+    """elements with part_id: the part that an ordinal falls into, from amounts (part_id, n) laid end to end.
+
+    Ordinals and parts meet in stretches about as long as the parts are on
+    average: a part is in all that it reaches, so there are at most two rows
+    per part, and the join is one of equal numbers.
+    """
+    ends = running_sum(amounts.where("n > 0"), "n", "part_id", "stop").withColumn("start", F.col("stop") - F.col("n")).select("part_id", "start", "stop")
+    total, parts = amounts.agg(F.sum("n"), F.count("*")).first()
+    width = max(1, -(-int(total or 0) // max(1, parts)))
+    at = lambda c: F.floor(c / F.lit(width)).cast("long")
+    reach = ends.withColumn("stretch", F.explode(F.sequence(at(F.col("start")), at(F.col("stop") - 1))))
+    met = elements.withColumn("stretch", at(F.col(ordinal))).join(reach, "stretch")
+    return met.where((F.col(ordinal) >= F.col("start")) & (F.col(ordinal) < F.col("stop"))).drop("start", "stop", "stretch")
 
 
 def parameter_summary(weights: DataFrame) -> DataFrame:

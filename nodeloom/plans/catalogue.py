@@ -140,7 +140,7 @@ def three_body_angles(spark, d):
     return found.join(ends.toDF("edge_u", "a", "center"), "edge_u").join(ends.select("edge_id", "src").toDF("edge_v", "b"), "edge_v").select("center", "a", "b", r("angle").alias("angle"))
 
 
-@query(f"""WITH {ATOMS}, {EDGES_SQL} SELECT u.gid, u.edge_id AS edge_u, v.edge_id AS edge_v,
+@query(f"""WITH {ATOMS}, {EDGES_SQL.replace('edges AS (', 'edges AS MATERIALIZED (', 1)} SELECT u.gid, u.edge_id AS edge_u, v.edge_id AS edge_v,
 round(acos(greatest(-1, least(1, (u.dx * v.dx + u.dy * v.dy + u.dz * v.dz) / nullif(u.dist * v.dist, 0)))), 6) AS angle
 FROM edges u JOIN edges v ON u.gid = v.gid AND u.dst = v.dst AND u.edge_id <> v.edge_id""")
 def bond_angles(spark, d):
@@ -150,9 +150,11 @@ def bond_angles(spark, d):
 @query(f"""WITH {ATOMS}, {EDGES_SQL}, chains AS (SELECT f.gid, f.edge_id AS edge_u, l.edge_id AS edge_v, f.dx AS ax, f.dy AS ay, f.dz AS az, m.dx AS bx, m.dy AS by_, m.dz AS bz, -l.dx AS cx, -l.dy AS cy, -l.dz AS cz
 FROM edges f JOIN edges m ON f.gid = m.gid AND f.dst = m.src AND f.src <> m.dst JOIN edges l ON l.gid = m.gid AND l.dst = m.dst AND l.src <> m.src AND l.src <> f.src),
 normal AS (SELECT *, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz, by_ * cz - bz * cy AS px, bz * cx - bx * cz AS py, bx * cy - by_ * cx AS pz FROM chains)
-SELECT gid, count(*) AS n, round(sum(CASE WHEN nx * nx + ny * ny + nz * nz > 0 AND px * px + py * py + pz * pz > 0 THEN abs(atan2((ax * px + ay * py + az * pz) * sqrt(bx * bx + by_ * by_ + bz * bz), nx * px + ny * py + nz * pz)) END), 4) AS total FROM normal GROUP BY gid""")
+SELECT gid, edge_u, edge_v, round(cos(angle), 6) + 0.0 AS cosine, round(sin(angle), 6) + 0.0 AS sine FROM (SELECT *, CASE WHEN nx * nx + ny * ny + nz * nz > 0 AND px * px + py * py + pz * pz > 0
+THEN atan2((ax * px + ay * py + az * pz) * sqrt(bx * bx + by_ * by_ + bz * bz), nx * px + ny * py + nz * pz) END AS angle FROM normal)""")
 def dihedral_angles(spark, d):
-    return graphs.dihedrals(edges_of(spark, d)).groupBy("gid").agg(F.count("*").alias("n"), r(F.sum(F.abs("angle")), 4).alias("total"))
+    found = graphs.dihedrals(edges_of(spark, d))
+    return found.select("gid", F.col("edge_u").cast("long").alias("edge_u"), F.col("edge_v").cast("long").alias("edge_v"), (r(F.cos("angle")) + 0.0).alias("cosine"), (r(F.sin("angle")) + 0.0).alias("sine"))
 
 
 @query(f"""WITH {knn_sql(5)} SELECT a.label AS label_a, c.label AS label_c, b.label AS label_b, count(*) AS n FROM knn u JOIN knn v ON u.dst = v.dst AND u.src <> v.src
@@ -216,11 +218,10 @@ def nation_compositions(spark, d):
     return chemistry.compositions(c, ("id",)).join(energy, "id")
 
 
-@query(f"""WITH {COMP_SQL}, pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.fraction - b2.fraction AS there, b.fraction - c2.fraction AS here FROM comp a JOIN comp b2 ON a.id = b2.id
-JOIN comp b ON b.symbol = a.symbol JOIN comp c2 ON c2.id = b.id AND c2.symbol = b2.symbol),
-n AS (SELECT id, count(*) AS n FROM comp GROUP BY id),
-inside AS (SELECT a.id AS a_id, b.id AS b_id FROM comp a JOIN comp b USING (symbol) JOIN n ON n.id = b.id GROUP BY a.id, b.id, n.n HAVING count(*) = n.n),
-fits AS (SELECT a_id, b_id FROM pairs JOIN inside USING (a_id, b_id) GROUP BY ALL HAVING bool_and(here < there + 0.06 AND here > there - 0.06))
+@query(f"""WITH {COMP_SQL}, ids AS (SELECT DISTINCT id FROM comp), n AS (SELECT id, count(*) AS n FROM comp GROUP BY id),
+apart AS (SELECT DISTINCT a1.id AS a_id, b1.id AS b_id FROM comp b1 JOIN comp b2 ON b1.id = b2.id JOIN comp a1 ON a1.symbol = b1.symbol JOIN comp a2 ON a2.id = a1.id AND a2.symbol = b2.symbol
+WHERE NOT (abs(b1.fraction - b2.fraction) < abs(a1.fraction - a2.fraction) + 0.06 AND abs(b1.fraction - b2.fraction) > abs(a1.fraction - a2.fraction) - 0.06)),
+fits AS (SELECT a.id AS a_id, b.id AS b_id FROM ids a, ids b ANTI JOIN apart ON apart.a_id = a.id AND apart.b_id = b.id)
 SELECT x.a_id, x.b_id, y.b_id AS c_id, round(e.energy - (f.energy + g.energy) / 2, 4) AS enthalpy
 FROM fits x JOIN fits y ON x.a_id = y.a_id JOIN energy e ON e.id = x.a_id JOIN energy f ON f.id = x.b_id JOIN energy g ON g.id = y.b_id
 JOIN n na ON na.id = x.a_id WHERE na.n = (SELECT count(DISTINCT symbol) FROM comp WHERE comp.id IN (x.b_id, y.b_id))""")
@@ -229,12 +230,35 @@ def mixing_triples(spark, d):
     return chemistry.mixing_triples(c, c, c, 0.06).withColumn("enthalpy", r("enthalpy", 4))
 
 
-@query("""WITH s AS (SELECT c_nationkey AS id, count(DISTINCT c_mktsegment) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
-SELECT a.id AS a_id, b.id AS b_id, a.n = (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_acctbal > 9000 AND c_nationkey IN (a.id, b.id)) AS same FROM s a JOIN s b ON a.id <= b.id""")
+@query("""WITH s AS (SELECT c_custkey // 100 AS page, c_nationkey AS id, list_sort(list(DISTINCT c_mktsegment)) AS s FROM customer GROUP BY ALL)
+SELECT a.page, a.id AS a_id, b.id AS b_id, len(a.s) = len(list_distinct(list_concat(a.s, b.s))) AS same FROM s a JOIN s b ON a.page = b.page AND a.id <= b.id""")
 def num_elements_match(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("id")).agg(F.collect_set("c_mktsegment").alias("s"))
-    pairs = c.toDF("a_id", "sa").join(c.toDF("b_id", "sb"), F.col("a_id") <= F.col("b_id"))
-    return pairs.select("a_id", "b_id", chemistry.same_number_of_elements(F.col("sa"), [F.col("sa"), F.col("sb")]).alias("same"))
+    """Segments as elements, the customers of a nation on a page of a hundred as a structure."""
+    c = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("page"), F.col("c_nationkey").alias("id")).agg(F.collect_set("c_mktsegment").alias("s"))
+    pairs = c.toDF("page", "a_id", "sa").join(c.toDF("page", "b_id", "sb"), "page").where("a_id <= b_id")
+    return pairs.select("page", "a_id", "b_id", chemistry.same_number_of_elements(F.col("sa"), [F.col("sa"), F.col("sb")]).alias("same"))
+
+
+@query(f"WITH {COMP_SQL} SELECT a.id AS a_id, b.id AS b_id, round(a.energy - (b.energy + c.energy) / 2, 4) AS enthalpy FROM energy a JOIN energy b ON b.id = (a.id + 1) % 25 JOIN energy c ON c.id = (a.id + 2) % 25")
+def reaction_enthalpy(spark, d):
+    e = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg((F.sum("c_acctbal") / F.count("*")).alias("e"))
+    of = lambda n, shift: e.select(F.pmod(F.col("id") - shift, F.lit(25)).alias("a_id"), F.col("id").alias(f"{n}_id"), F.col("e").alias(n))
+    met = e.toDF("a_id", "a").join(of("b", 1), "a_id").join(of("c", 2), "a_id")
+    return met.select("a_id", "b_id", r(chemistry.reaction_enthalpy(F.col("a"), [F.col("b"), F.col("c")]), 4).alias("enthalpy"))
+
+
+@query(f"""WITH {COMP_SQL}, pairs AS (SELECT a1.id AS a_id, b1.id AS b_id, abs(b1.fraction - b2.fraction) AS here, abs(a1.fraction - a2.fraction) AS there
+FROM comp b1 JOIN comp b2 ON b1.id = b2.id JOIN comp a1 ON a1.symbol = b1.symbol JOIN comp a2 ON a2.id = a1.id AND a2.symbol = b2.symbol)
+SELECT a_id, b_id, bool_and(here < there + 0.06 AND here > there - 0.06) AS same FROM pairs GROUP BY ALL""")
+def stoich_match(spark, d):
+    c = nation_compositions(spark, d).select("id", "symbols", "fractions")
+    pairs = c.toDF("a_id", "sa", "fa").crossJoin(c.toDF("b_id", "sb", "fb")).where(F.arrays_overlap("sa", "sb"))  # a row per nation
+    return pairs.select("a_id", "b_id", chemistry.ratios_match(F.col("sa"), F.col("fa"), F.col("sb"), F.col("fb"), 0.06).alias("same"))
+
+
+@query(f"WITH {ATOMS} SELECT DISTINCT symbol FROM atoms WHERE symbol IN ('A', 'R')")
+def required_species(spark, d):
+    return chemistry.require_species(atoms(spark, d), ["A", "R"]).where(F.col("symbol").isin("A", "R")).select("symbol").distinct()
 
 
 @query()
@@ -265,17 +289,16 @@ def graph_readout_sum(spark, d):
     return readout.accumulated(typed_rows(spark, d), "exact").withColumn("value", r("value", 4))
 
 
-@query(f"WITH {ROWS_SQL} SELECT CAST(0 AS INTEGER) AS dim, round(sum(v), 0) AS value FROM rows_")
+@query(f"WITH {ROWS_SQL} SELECT CAST(0 AS INTEGER) AS dim, round(sum(v), 2) AS value FROM rows_")
 def batch_total(spark, d):
-    return readout.accumulated(typed_rows(spark, d), "sum").withColumn("value", r("value", 0))
+    return readout.accumulated(typed_rows(spark, d), "sum").withColumn("value", r("value", 2))
 
 
 RATIO_SQL = f"{ROWS_SQL}, ratios AS (SELECT *, v / sum(v) OVER (PARTITION BY gid) AS ratio FROM rows_)"
 
 
 def ratio_rows(spark, d):
-    rows = typed_rows(spark, d)
-    return readout.contribution_ratios(rows.select("gid", "kind", "local_id", "value")).join(rows.select("gid", "kind", "local_id", "type_key"), ["gid", "kind", "local_id"])
+    return readout.contribution_ratios(typed_rows(spark, d))
 
 
 @query(f"WITH {RATIO_SQL} SELECT gid, kind, local_id, round(ratio, 6) AS ratio FROM ratios")
@@ -324,11 +347,11 @@ def unique_3body(spark, d):
     return readout.distinct_lists(t, "key3", "p_partkey", fold=False).select("p_partkey", "type_id")
 
 
-@query("SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(list_sum(list(l_partkey ORDER BY l_partkey)[1:3]) AS BIGINT) AS first3 FROM lineitem GROUP BY ALL")
+@query("SELECT l_suppkey, l_returnflag, count(*) AS n, md5(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey)) AS digest FROM lineitem GROUP BY ALL")
 def grouped_values(spark, d):
     t = table(spark, d, "lineitem").select(F.struct("l_suppkey", "l_returnflag").alias("g"), "l_partkey")
     g = readout.grouped(t, "g", "l_partkey", "l_partkey")
-    return g.select("g.l_suppkey", "g.l_returnflag", F.size("values").cast("long").alias("n"), F.aggregate(F.slice("values", 1, 3), F.lit(0).cast("long"), lambda a, b: a + b).alias("first3"))
+    return g.select("g.l_suppkey", "g.l_returnflag", F.size("values").cast("long").alias("n"), F.md5(F.array_join(F.col("values").cast("array<string>"), ",").cast("binary")).alias("digest"))
 
 
 @query("SELECT l_suppkey, round(max(l_extendedprice), 2) AS value FROM lineitem GROUP BY ALL")
@@ -482,9 +505,7 @@ def three_way_split(spark, d):
 def model_sample(method):
     def run(spark, d):
         points = cloud(spark, d).withColumnRenamed("node_id", "id").select("id", "x")
-        if method == "gaussian_mixture":  # full covariances need far more points than dimensions
-            points = paths.project(points, 4).select("id", F.col("p").alias("x"))
-        return sampled(sampling.by_model(points, method, 5, 0.2, 7, restarts=3))
+        return sampled(sampling.by_model(points, method, 5, 0.2, 7))
 
     run.__name__ = f"sample_{method}"
     return query()(run)
@@ -636,7 +657,11 @@ def best_checkpoint(spark, d):
     return training_windows.best_epochs(runs(spark, d)).select("run_id", F.col("epoch").cast("long").alias("epoch"), "best_before", "improved")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RUNS_SQL}, fold AS (
+SELECT run_id, epoch, loss_train AS best_train, loss_valid AS best_valid, true AS saved FROM runs WHERE epoch = 0
+UNION ALL SELECT r.run_id, r.epoch, least(f.best_train, r.loss_train), CASE WHEN r.loss_train < f.best_train AND r.loss_valid < f.best_valid THEN r.loss_valid ELSE f.best_valid END, r.loss_train < f.best_train AND r.loss_valid < f.best_valid
+FROM fold f JOIN runs r ON r.run_id = f.run_id AND r.epoch = f.epoch + 1)
+SELECT run_id, CAST(epoch AS INTEGER) AS epoch, saved FROM fold""")
 def saved_checkpoints(spark, d):
     return training_windows.checkpoints(runs(spark, d)).select("run_id", "epoch", "saved")
 
@@ -652,22 +677,16 @@ def reshuffle_epochs(spark, d):
 
 
 @query("""WITH o AS (SELECT l_suppkey, l_extendedprice - 30000 AS diff, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
-SELECT l_suppkey, round(avg(diff * diff), 0) AS loss FROM o WHERE i <= ceil(n * 0.1) GROUP BY l_suppkey""")
+SELECT l_suppkey, round(avg(diff * diff), 2) AS loss FROM o WHERE i <= ceil(n * 0.1) GROUP BY l_suppkey""")
 def max_n_percent_loss(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", F.lit(30000.0).alias("pred"), F.col("l_extendedprice").alias("y"))
-    return training_windows.worst_share_loss(rows, 0.1, ("l_suppkey",)).withColumn("loss", r("loss", 0))
+    return training_windows.worst_share_loss(rows, 0.1, ("l_suppkey",)).withColumn("loss", r("loss", 2))
 
 
 @query(f"WITH {ATOMS} SELECT gid, count(*) AS n, sum(count(*)) OVER (ORDER BY gid ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS last FROM atoms GROUP BY gid")
 def cumulative_amounts(spark, d):
-    """Running totals over all graphs in two levels: within ranges of gids, and over the ranges' sums."""
     counts = atoms(spark, d).groupBy("gid").agg(F.count("*").alias("n"))
-    width = 1000
-    own = counts.withColumn("part", F.floor(F.col("gid") / width))
-    sums = own.groupBy("part").agg(F.sum("n").alias("s"))
-    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    inner = training_windows.running_total(own, "n", ("part",), "gid").join(before, "part")
-    return inner.select("gid", "n", (F.col("upto") + F.col("before") - 1).cast("decimal(38,0)").cast("long").alias("last"))
+    return training_windows.running_sum(counts, "n", "gid").select("gid", "n", (F.col("upto") - 1).cast("long").alias("last"))
 
 
 # ---- networks --------------------------------------------------------------
