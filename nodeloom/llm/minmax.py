@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from .common import cut, heavy, parallelism, slices, stored
-from .tokens import mixed, shingle_set, split_lower, word_hashes
+from .tokens import hashed, mixed, shingle_set
 
 BANDS, ROWS, BLOCK = 40, 6, 256
 
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
         import xxhash
 
         for batch in slices(batches):
-            sets = [shingle_set(word_hashes(split_lower(x)), words) for x in batch.column("text").to_pylist()]
+            sets = [shingle_set(h, words) for h in hashed([x or "" for x in batch.column("text").to_pylist()], lower=True)]
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(signatures(full, bands * rows // 2), bands, rows).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in slices(batches):
-            sets = pa.array([shingle_set(word_hashes(split_lower(x)), words).tobytes() for x in batch.column("text").to_pylist()], pa.binary())
+            sets = pa.array([shingle_set(h, words).tobytes() for h in hashed([x or "" for x in batch.column("text").to_pylist()], lower=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=schema.names)
 
     return docs.join(nodes.select("node"), F.col("doc_id") == F.col("node")).select("node", "text").mapInArrow(run, schema)

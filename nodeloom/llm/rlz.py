@@ -26,13 +26,15 @@ several tasks, which share them.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import heavy, parallelism, release, slices, stored
-from .tokens import mixed, split, windows, word_hashes
+from .tokens import hashed, mixed, split, windows
 
 SPAN, GRAM, BLOCK_WORDS = 13, 4, 1_000_000
 
@@ -222,7 +224,7 @@ def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFra
         def out():
             d, x = distinct(*map(np.concatenate, zip(*waiting)))
             waiting.clear()
-            part = block_of(d, buckets)
+            part = block_of(d, parts)
             order = np.argsort(part, kind="stable")
             d, x, part = d[order], x[order], part[order]
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(d) else _NONE
@@ -250,7 +252,7 @@ def meet(docs: DataFrame, records, within, between, block_words: int) -> DataFra
             for i in range(0, len(cuts), 4096):
                 yield _frame([(int(d[a]), x[m:b].tobytes(), (-1 - x[a:m]).tolist()) for a, m, b in zip(cuts[i : i + 4096], middle[i : i + 4096], ends[i : i + 4096])], FOUND)
 
-        yield from by_first(batches, REPLY.names, part)
+        yield from by_first(batches, REPLY.names, part)  # a part is as large as a shuffle partition
 
     replies = docs.mapInArrow(to_buckets, MET).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, REPLY)
     return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, FOUND)
@@ -262,7 +264,7 @@ class Block:
     def __init__(self, span: int):
         self.span, self.vocabulary, self.parts, self.docs, self.places = span, {}, [], [], []
         self.ids = self.start = self.at = _NONE
-        self.keys = np.empty(0, np.uint64)
+        self.keys, self.shift, self.there = np.empty(0, np.uint64), np.uint64(63), np.zeros(2, bool)
 
     def add(self, doc: int, fragments: bytes, starts: np.ndarray) -> None:
         """Fragments are lines, their words parted by spaces; documents come by ascending id."""
@@ -283,10 +285,12 @@ class Block:
         keys = windows(mixed(self.ids.astype(np.uint64)), self.span)[starts]
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], starts[order]
+        self.shift = np.uint64(64 - min(24, max(10, len(keys).bit_length() + 3)))
+        self.there = np.zeros(1 << 64 - int(self.shift), bool)  # by the first bits of a key: most others are told here
+        self.there[self.keys >> self.shift] = True
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -2) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-2)), np.int64, len(words))
 
     def match(self, ids: np.ndarray, at: int, place: int) -> int:
         """How many words from at on equal those from place on."""
@@ -303,20 +307,20 @@ class Block:
         """Greedy factors (start, words, document, its place there): at the first known phrase the longest match in a smaller document, then on from the phrases that reach over its end."""
         last = len(ids) - self.span
         hashes = windows(mixed(ids.astype(np.uint64)), self.span)
-        out, at, low, high, known = [], 0, 0, 0, _NONE
+        out, at, high, known, left = [], 0, 0, _NONE, _NONE
         while at <= last:
             if at >= high:  # look some phrases up; those within a factor are jumped over
                 low, high = at, min(last + 1, at + 1024)
-                left, right = (np.searchsorted(self.keys, hashes[low:high], side) for side in ("left", "right"))
-                known = low + np.flatnonzero(right > left)
+                known = low + np.flatnonzero(self.there[hashes[low:high] >> self.shift])
+                left = np.searchsorted(self.keys, hashes[known])
             i = int(np.searchsorted(known, at))
             if i == len(known):
                 at = high
                 continue
-            at = int(known[i])
+            at, k, key = int(known[i]), int(left[i]), hashes[known[i]]
             best, where = 0, 0
-            for k in range(left[at - low], right[at - low]):
-                place = int(self.at[k])
+            while k < len(self.keys) and self.keys[k] == key:
+                place, k = int(self.at[k]), k + 1
                 piece = int(np.searchsorted(self.start, place, "right")) - 1
                 if self.docs[piece] >= doc:
                     break
@@ -407,26 +411,24 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
 
     def anchor_records(batch):
         n, out = 0, []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            words = split(text)
-            n += len(words)
-            if len(words) >= span:
-                grams, best = anchors(word_hashes(words), span, gram)
-                at = np.unique(best)
+        for doc, hashes in zip(batch.column("doc_id").to_pylist(), hashed(batch.column("text").to_pylist())):
+            n += len(hashes)
+            if len(hashes) >= span:
+                grams, best = anchors(hashes, span, gram)
+                at = best[np.append(True, best[1:] != best[:-1])]  # they never go back
                 out.append((grams[at], doc, at))
         return n, out
 
     def phrase_records(batch):
         n, out = 0, []
-        for doc, text, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at"))):
-            words = split(text)
-            n += len(words)
-            if len(words) >= span:
-                hashes = word_hashes(words)
+        texts = batch.column("text").to_pylist()
+        for doc, text, hashes, known in zip(batch.column("doc_id").to_pylist(), texts, hashed(texts), batch.column("at").to_pylist()):
+            n += len(hashes)
+            if len(hashes) >= span:
                 grams, best = anchors(hashes, span, gram)
-                marked = np.zeros(len(words), bool)
+                marked = np.zeros(len(hashes), bool)
                 known = np.frombuffer(known, np.int64)
-                marked[known[known < len(words)]] = True
+                marked[known[known < len(hashes)]] = True
                 at = np.flatnonzero(marked[best])
                 if len(at):
                     own = tag(text)
