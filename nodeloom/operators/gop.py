@@ -2,83 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 9
-
-
-def local_components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys.., node_id, component) within each group of one graph, for groups that fit a task: a union-find per group."""
-    names = list(keys)
-    packed_edges = edges.groupBy(*names).agg(F.collect_list(F.struct("src", "dst")).alias("e"))
-    packed = nodes.groupBy(*names).agg(F.collect_list("node_id").alias("n")).join(packed_edges, names, "left")
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for *key, n, e in frame[[*names, "n", "e"]].itertuples(index=False):
-                parent = {int(x): int(x) for x in n}
+from ..storage import cut as stored_cut
+from .components import connected_components
+from .neighbors import radius_graph
 
-                def root(x, parent=parent):
-                    while parent[x] != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
-
-                for pair in e if e is not None else ():
-                    a, b = root(int(pair["src"])), root(int(pair["dst"]))
-                    parent[max(a, b)] = min(a, b)
-                rows += [(*key, x, root(x)) for x in parent]
-            yield pd.DataFrame(rows, columns=[*names, "node_id", "component"])
+DIGITS = 9
 
-    from pyspark.sql import types as T
 
-    kept = [f for f in nodes.schema.fields if f.name in names]
-    schema = T.StructType(sorted(kept, key=lambda f: names.index(f.name)) + [T.StructField("node_id", T.LongType()), T.StructField("component", T.LongType())])
-    return packed.mapInPandas(run, schema)
+def linked_components(edges: DataFrame, keys: tuple[str, ...], cut=stored_cut) -> DataFrame:
+    """(keys.., node_id, component) of the nodes that an edge (keys.., src, dst) joins: all graphs are one to connected_components, their keys part of each node."""
+    node = lambda c: F.struct(*keys, F.col(c).alias("node"))
+    found = connected_components(edges.select(node("src").alias("u"), node("dst").alias("v")), cut)
+    return found.select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.node").alias("node_id"), F.col("component.node").alias("component"))
 
 
-def order_parameter(nodes: DataFrame, edges: DataFrame, k: int = 1, keys: tuple[str, ...] = ("gid",), components: DataFrame | None = None) -> DataFrame:
+def order_parameter(nodes: DataFrame, edges: DataFrame, k: float = 1, keys: tuple[str, ...] = ("gid",), components: DataFrame | None = None, cut=stored_cut) -> DataFrame:
     """(keys.., gop) from nodes (keys.., node_id) and undirected edges (keys.., src < dst, weight).
 
     In every component the share p of nodes that have the same weighted degree
-    gives p ln p + degree * p, their sum goes to the power k, and the graph has
-    the sum over its components. Degrees are rounded to nine digits, so that
-    equal ones meet whatever order they were summed in.
+    gives p ln p + degree * p, their sum goes to the power k above 0, and the
+    graph has the sum over its components; a node alone gives 0. Degrees are
+    rounded to nine digits, so that equal ones meet whatever order they were
+    summed in. components: of all nodes or of those with an edge.
     """
+    if k <= 0:
+        raise ValueError("the power must be above 0")
     names = list(keys)
     ends = edges.select(*names, F.col("src").alias("node_id"), "weight").unionByName(edges.select(*names, F.col("dst").alias("node_id"), "weight"))
     degrees = ends.groupBy(*names, "node_id").agg(F.round(F.sum("weight"), DIGITS).alias("degree"))
-    components = local_components(nodes, edges, keys) if components is None else components
+    components = linked_components(edges, keys, cut) if components is None else components
     own = components.join(degrees, [*names, "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
     counts = own.groupBy(*names, "component", "degree").agg(F.count("*").alias("n"))
-    sizes = own.groupBy(*names, "component").agg(F.count("*").alias("size"))
-    p = F.col("n") / F.col("size")
-    per = counts.join(sizes, [*names, "component"]).groupBy(*names, "component").agg(F.sum(p * F.log(p) + F.col("degree") * p).alias("entropy"))
-    return per.groupBy(*names).agg(F.sum(F.pow("entropy", F.lit(float(k)))).alias("gop"))
+    # Nodes of one degree are summed up first, so a window sees a row per degree.
+    p = F.col("n") / F.sum("n").over(Window.partitionBy(*names, "component"))
+    per = counts.withColumn("p", p).groupBy(*names, "component").agg(F.sum(F.col("p") * F.log("p") + F.col("degree") * F.col("p")).alias("entropy"))
+    found = per.groupBy(*names).agg(F.sum(F.pow("entropy", F.lit(float(k)))).alias("gop"))
+    return nodes.select(*names).distinct().join(found, names, "left").withColumn("gop", F.coalesce("gop", F.lit(0.0)))
+
 
+def parameters(spark, cutoffs: list[float], interactions: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(float(c), a, b) for c in cutoffs for a, b in interactions], "cutoff double, a string, b string")
 
-def pair_edges(atoms: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], keys: tuple[str, ...] = ("gid",)) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) per group, cutoff and interaction: atoms of either species, weight 1 / r where 0.01 < r < cutoff; no images."""
-    spark = atoms.sparkSession
-    params = spark.createDataFrame([(float(c), a, b) for c in cutoffs for a, b in interactions], "cutoff double, a string, b string")
-    nodes = atoms.join(F.broadcast(params), (F.col("symbol") == F.col("a")) | (F.col("symbol") == F.col("b")))
+
+def pair_edges(atoms: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], keys: tuple[str, ...] = ("gid",), method: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) per group, cutoff and interaction: atoms of either species, weight 1 / r where 0.01 < r < cutoff; no images.
+
+    Neighbors are looked for once, at the largest cutoff; each pair then counts
+    for the parameters that its distance and species fit.
+    """
+    params = F.broadcast(parameters(atoms.sparkSession, cutoffs, interactions))  # as many rows as were asked for
+    nodes = atoms.join(params, (F.col("symbol") == F.col("a")) | (F.col("symbol") == F.col("b")))
     inner = [*keys, "cutoff", "a", "b"]
-    own = nodes.select(*inner, F.col("node_id").alias("src"), F.col("symbol").alias("s1"), *(F.col(c).alias(c + "0") for c in "xyz"))
-    other = nodes.select(*inner, F.col("node_id").alias("dst"), F.col("symbol").alias("s2"), "x", "y", "z")
-    d = [F.col(c) - F.col(c + "0") for c in "xyz"]
-    r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    species = ((F.col("s1") == F.col("a")) & (F.col("s2") == F.col("b"))) | ((F.col("s1") == F.col("b")) & (F.col("s2") == F.col("a")))
-    edges = own.join(other, inner).where((F.col("src") < F.col("dst")) & species).withColumn("r", r).where((F.col("r") > 0.01) & (F.col("r") < F.col("cutoff")))
-    return nodes.select(*inner, "node_id"), edges.select(*inner, "src", "dst", (1 / F.col("r")).alias("weight"))
+    pairs = radius_graph(atoms, max(cutoffs), method=method, keys=keys, carry=("symbol",)).where("src < dst AND dist > 0.01")
+    s1, s2 = F.col("src_symbol"), F.col("dst_symbol")
+    species = ((s1 == F.col("a")) & (s2 == F.col("b"))) | ((s1 == F.col("b")) & (s2 == F.col("a")))
+    edges = pairs.join(params, species & (F.col("dist") < F.col("cutoff")))
+    return nodes.select(*inner, "node_id"), edges.select(*inner, "src", "dst", (1 / F.col("dist")).alias("weight"))
 
 
 def graph_pair_edges(nodes: DataFrame, edges: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], keys: tuple[str, ...] = ("gid",), legacy: bool = False) -> tuple[DataFrame, DataFrame]:
     """The same from a graph's own edges: the shortest image of each pair, weight 1 / dist below the cutoff; beyond it none, or dist itself with legacy."""
-    spark = nodes.sparkSession
-    params = spark.createDataFrame([(float(c), a, b) for c in cutoffs for a, b in interactions], "cutoff double, a string, b string")
+    params = parameters(nodes.sparkSession, cutoffs, interactions)
     inner = [*keys, "cutoff", "a", "b"]
     chosen = nodes.join(F.broadcast(params), (F.col("symbol") == F.col("a")) | (F.col("symbol") == F.col("b"))).select(*inner, "node_id", "symbol")
     pairs = edges.where("src <> dst").groupBy(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
@@ -91,10 +78,10 @@ def graph_pair_edges(nodes: DataFrame, edges: DataFrame, cutoffs: list[float], i
     return chosen.drop("symbol"), found
 
 
-def predict(atoms: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], k: int = 1, keys: tuple[str, ...] = ("gid",), edges: DataFrame | None = None) -> DataFrame:
-    """(keys.., cutoff, a, b, gop) from positions, or from a graph's edges if given."""
+def predict(atoms: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], k: float = 1, keys: tuple[str, ...] = ("gid",), edges: DataFrame | None = None, cut=stored_cut) -> DataFrame:
+    """(keys.., cutoff, a, b, gop) from positions, or from a graph's edges if given; only interactions of species that occur."""
     nodes, found = pair_edges(atoms, cutoffs, interactions, keys) if edges is None else graph_pair_edges(atoms, edges, cutoffs, interactions, keys)
-    return order_parameter(nodes, found, k, (*keys, "cutoff", "a", "b"))
+    return order_parameter(nodes, cut(found), k, (*keys, "cutoff", "a", "b"), cut=cut)
 
 
 def flattened(gops: DataFrame, keys: tuple[str, ...] = ("gid",)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import angle3, dihedral3
 from ..functions.vectors import angle_between, minus
 from .neighbors import edges_from_neighbors, radius_graph
+from .training_windows import running_sum
 
 
 def with_edge_ids(edges: DataFrame, keys: tuple[str, ...] = ("gid",), order: tuple[str, ...] = ("src", "dst", "sx", "sy", "sz")) -> DataFrame:
@@ -22,6 +23,14 @@ def with_edge_ids(edges: DataFrame, keys: tuple[str, ...] = ("gid",), order: tup
     return edges.withColumn("edge_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*chosen)) - 1)
 
 
+def with_edge_ids_of_one(edges: DataFrame, order: tuple[str, ...] = ("dst",)) -> DataFrame:
+    """edges of one large graph numbered from 0 by src and the stated order: within every src, on top of the number of edges from smaller ones, so that no task sorts all of them. src must be a number."""
+    counts = running_sum(edges.groupBy("src").agg(F.count("*").alias("__n")), "__n", "src", "__upto")
+    number = F.row_number().over(Window.partitionBy("src").orderBy(*order)) - 1
+    before = counts.select(F.col("src").alias("__src"), (F.col("__upto") - F.col("__n")).alias("__before"))
+    return edges.withColumn("edge_id", number).join(before, F.col("src") == F.col("__src")).withColumn("edge_id", F.col("edge_id") + F.col("__before")).drop("__src", "__before")
+
+
 def line_graph(edges: DataFrame, keys: tuple[str, ...] = ("gid",)) -> DataFrame:
     """(keys.., edge_u, edge_v): ordered pairs of different edges into the same node, d * (d - 1) for a node with d."""
     u = edges.select(*keys, "dst", F.col("edge_id").alias("edge_u"))
@@ -106,9 +115,10 @@ def ego_graphs(edges: DataFrame, keys: tuple[str, ...] = ("gid",)) -> DataFrame:
     return numbered.select(*ego, "edge_id", F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "dist", *vector)
 
 
-def generic_graph(nodes: DataFrame, angles: bool = True, keys: tuple[str, ...] = ("gid",)) -> dict[str, DataFrame]:
-    """A graph from points with lists of their neighbors: nodes (keys.., node_id, x, ind, dist)."""
-    edges = with_edge_ids(edges_from_neighbors(nodes, keys), keys, ("src", "rank"))
+def generic_graph(nodes: DataFrame, angles: bool = True, keys: tuple[str, ...] = ("gid",), one: bool = False) -> dict[str, DataFrame]:
+    """A graph from points with lists of their neighbors: nodes (keys.., node_id, x, ind, dist). one: all points are one large graph."""
+    found = edges_from_neighbors(nodes, keys)
+    edges = with_edge_ids_of_one(found, ("rank",)) if one else with_edge_ids(found, keys, ("src", "rank"))
     out = {"nodes": nodes.drop("ind", "dist"), "edges": edges}
     if angles:
         out["angles"] = three_body_angles(edges, nodes, keys)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import minimum_image
 from ..functions.vectors import distance
 
-#: The most bytes of vectors that are shipped to all executors at once.
+#: The most bytes of vectors that are shipped to all executors.
 SHIPPED_BYTES = 64_000_000
 
 
@@ -29,10 +29,12 @@ def with_images(atoms: DataFrame, cell: list[list[float]], periodic: tuple[bool,
 
 def radius_graph(
     atoms: DataFrame, cutoff: float, cell: list[list[float]] | None = None, periodic: tuple[bool, bool, bool] = (True, True, True),
-    self_images: bool = True, method: str = "auto", keys: tuple[str, ...] = ("gid",), wrap: bool = False,
+    self_images: bool = True, method: str = "auto", keys: tuple[str, ...] = ("gid",), wrap: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(keys.., src, dst, dist, dx, dy, dz, sx, sy, sz) of ordered pairs with dist < cutoff, in every group of atoms (keys.., node_id, x, y, z).
 
+    carry: columns of atoms that come along as src_<column> and dst_<column>.
+
     cell: rows are lattice vectors, the same for all groups; None: no images.
     self_images: keep pairs of an atom with its own images. wrap: bring atoms
     of a rectangular cell into it first. method: "cells" gives each atom the
@@ -43,17 +45,15 @@ def radius_graph(
     keys_ = list(keys)
     if wrap and cell is not None:
         atoms = atoms.withColumns({c: F.pmod(F.col(c), F.lit(float(cell[i][i]))) if periodic[i] else F.col(c) for i, c in enumerate("xyz")})
-    other = atoms.select(*keys_, F.col("node_id").alias("dst"), "x", "y", "z")
+    along = lambda end: [F.col(c).alias(f"{end}_{c}") for c in carry]
+    other = atoms.select(*keys_, F.col("node_id").alias("dst"), "x", "y", "z", *along("dst"))
     if cell is None:
         other = other.withColumns({s: F.lit(0) for s in ("sx", "sy", "sz")})
     else:
         other = with_images(other, cell, periodic, cutoff)
-    own = atoms.select(*keys_, F.col("node_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"))
+    own = atoms.select(*keys_, F.col("node_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"), *along("src"))
     if method == "auto":
-        ranges = [F.floor((F.max(c) - F.min(c)) / cutoff) + 1 for c in "xyz"]
-        per = atoms.groupBy(*keys_).agg(F.count("*").alias("n"), (ranges[0] * ranges[1] * ranges[2]).alias("cells"))
-        group, cells = per.agg(F.sum(F.col("n") * F.col("n")), F.sum(27 * F.col("n") * F.col("n") / F.col("cells") + 27 * F.col("n"))).first()
-        method = "cells" if group is not None and cells < group else "group"
+        method = cheaper(atoms, cutoff, keys)
     on = list(keys_)
     if method == "cells":
         cube = lambda c: F.floor(F.col(c) / cutoff).cast("int")
@@ -67,17 +67,44 @@ def radius_graph(
     image = (F.col("sx") != 0) | (F.col("sy") != 0) | (F.col("sz") != 0)
     distinct = (F.col("src") != F.col("dst")) | image if self_images else F.col("src") != F.col("dst")
     pairs = own.join(other, on).where(close & distinct)
-    return pairs.select(*keys_, "src", "dst", F.sqrt(dx * dx + dy * dy + dz * dz).alias("dist"), dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), "sx", "sy", "sz")
+    return pairs.select(*keys_, "src", "dst", F.sqrt(dx * dx + dy * dy + dz * dz).alias("dist"), dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), "sx", "sy", "sz", *(f"{end}_{c}" for end in ("src", "dst") for c in carry))
 
 
-def minimum_image_graph(atoms: DataFrame, cutoff: float, box: tuple[float | None, float | None, float | None], keys: tuple[str, ...] = ("gid",)) -> DataFrame:
-    """(keys.., src, dst, dist): pairs by their nearest image in a rectangular box; None: not periodic that way."""
-    own = atoms.select(*keys, F.col("node_id").alias("src"), *(F.col(c).alias(c + "0") for c in "xyz"))
-    other = atoms.select(*keys, F.col("node_id").alias("dst"), "x", "y", "z")
+def minimum_image_graph(atoms: DataFrame, cutoff: float, box: tuple[float | None, float | None, float | None], keys: tuple[str, ...] = ("gid",), method: str = "auto") -> DataFrame:
+    """(keys.., src, dst, dist, dx, dy, dz): pairs by their nearest image in a rectangular box; None: not periodic that way.
+
+    method "cells" gives each atom the number of a cube, which goes round where
+    the box is periodic, and meets the 27 cubes around it; that takes a box of
+    three cubes or more that way, otherwise all of the group meet, as with
+    "group". "auto" compares both costs.
+    """
     d = [F.col(c) - F.col(c + "0") for c in "xyz"]
     d = [minimum_image(v, F.lit(float(b))) if b else v for v, b in zip(d, box)]
-    square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    return own.join(other, list(keys)).where("src <> dst").withColumn("square", square).where(F.col("square") < cutoff * cutoff).select(*keys, "src", "dst", F.sqrt("square").alias("dist"))
+    own = atoms.select(*keys, F.col("node_id").alias("src"), *(F.col(c).alias(c + "0") for c in "xyz"))
+    other = atoms.select(*keys, F.col("node_id").alias("dst"), "x", "y", "z")
+    on = list(keys)
+    around = [int(b // cutoff) if b else None for b in box]
+    if method == "auto":
+        method = cheaper(atoms, cutoff, keys)
+    if method == "cells" and all(n is None or n >= 3 for n in around):
+        cube = [F.floor(F.col(c) / F.lit(b / n if b else cutoff)) for c, b, n in zip("xyz", box, around)]
+        wrapped = lambda x, n: x if n is None else F.pmod(x, F.lit(n))
+        other = other.withColumns({f"c{c}": wrapped(at, n).cast("int") for c, at, n in zip("xyz", cube, around)})
+        for c, b, n in zip("xyz", box, around):
+            at = F.floor(F.col(c + "0") / F.lit(b / n if b else cutoff)).cast("int")
+            own = own.withColumn(f"c{c}", F.explode(F.transform(F.sequence(at - 1, at + 1), lambda i: wrapped(i, n).cast("int"))))
+        on += ["cx", "cy", "cz"]
+    near = own.join(other, on).where("src <> dst").select(*keys, "src", "dst", *(v.alias(f"d{c}") for c, v in zip("xyz", d)))
+    square = sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "yz"), F.col("dx") * F.col("dx"))
+    return near.withColumn("square", square).where(F.col("square") < cutoff * cutoff).select(*keys, "src", "dst", F.sqrt("square").alias("dist"), "dx", "dy", "dz")
+
+
+def cheaper(atoms: DataFrame, cutoff: float, keys: tuple[str, ...]) -> str:
+    """"cells" or "group", by the number of pairs that a join on each of them looks at."""
+    ranges = [F.floor((F.max(c) - F.min(c)) / cutoff) + 1 for c in "xyz"]
+    per = atoms.groupBy(*keys).agg(F.count("*").alias("n"), (ranges[0] * ranges[1] * ranges[2]).alias("cells"))
+    group, cells = per.agg(F.sum(F.col("n") * F.col("n")), F.sum(27 * F.col("n") * F.col("n") / F.col("cells") + 27 * F.col("n"))).first()
+    return "cells" if group is not None and cells < group else "group"
 
 
 def nearest_of(edges: DataFrame, k: int, keys: tuple[str, ...] = ("gid",), strict: bool = True) -> DataFrame:
@@ -90,67 +117,101 @@ def nearest_of(edges: DataFrame, k: int, keys: tuple[str, ...] = ("gid",), stric
     return ranked.where(F.col("rank") <= k)
 
 
-def vector_blocks(points: DataFrame, id_col: str, vec_col: str, most_bytes: int = SHIPPED_BYTES):
-    """(ids, matrix) of one block after another, none larger than most_bytes, as the ids' hashes deal them out."""
-    shape = points.agg(F.count("*"), F.max(F.size(vec_col))).first()
-    count = max(1, -(-int(shape[0]) * 8 * int(shape[1] or 0) // most_bytes))
-    for b in range(count):
-        block = points if count == 1 else points.where(F.pmod(F.xxhash64(id_col), F.lit(count)) == b)
-        rows = block.select(F.col(id_col), F.col(vec_col).cast("array<double>")).collect()
-        yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-
-
-def knn(points: DataFrame, k: int, among: DataFrame | None = None, id_col: str = "node_id", vec_col: str = "x", include_self: bool = False, positive: bool = False) -> DataFrame:
+POINT = T.StructType([T.StructField("node_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+NEAR = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("dist", T.DoubleType())])
+
+
+def nearest_in(own: np.ndarray, x: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, itself: bool, positive: bool):
+    """(src, dst, dist) of the k nearest rows of matrix to each row of x, ties by ids."""
+    if not len(ids) or not len(own):
+        return
+    squares, keep = (matrix**2).sum(1), k + (1 if itself else 0)
+    for at in range(0, len(own), 512):
+        rough = squares[None] - 2 * x[at : at + 512] @ matrix.T
+        width = min(len(ids), keep + 8 if not positive else len(ids))
+        near = np.argpartition(rough, width - 1, 1)[:, :width]
+        # Rows that tie with the last candidate must be in as well.
+        edge = np.take_along_axis(rough, near, 1).max(1)
+        slack = 1e-9 * (1 + np.abs(edge))
+        out = []
+        for i, (src, v) in enumerate(zip(own[at : at + 512], x[at : at + 512])):
+            chosen = near[i] if (rough[i] <= edge[i] + slack[i]).sum() == width else np.flatnonzero(rough[i] <= edge[i] + slack[i])
+            d = np.sqrt(((matrix[chosen] - v) ** 2).cumsum(1)[:, -1])
+            good = (ids[chosen] != src) if itself else np.ones(len(chosen), bool)
+            if positive:
+                good &= d > 0
+            order = np.lexsort((ids[chosen], d))
+            order = order[good[order]][:k]
+            out.append((np.full(len(order), src), ids[chosen][order], d[order]))
+        yield [np.concatenate(c) for c in zip(*out)]
+
+
+def _vectors(batch) -> tuple[np.ndarray, np.ndarray]:
+    ids = batch.column("node_id").to_numpy()
+    return ids, np.array(batch.column("x").to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)
+
+
+def knn(points: DataFrame, k: int, among: DataFrame | None = None, id_col: str = "node_id", vec_col: str = "x", include_self: bool = False, positive: bool = False, most_bytes: int = SHIPPED_BYTES) -> DataFrame:
     """(src, dst, rank, dist): the k nearest of among (default: the points themselves) to every point, ties by dst.
 
     Rank counts from 1; a point itself has rank 0 if include_self. positive:
-    only what is at a distance above 0. The vectors of among are shipped in
-    blocks of bounded size; each block needs one pass over the points, and the
-    best of all blocks are ranked at the end.
+    only what is at a distance above 0. Vectors of among that take no more than
+    most_bytes are shipped to where the points lie. More are dealt into blocks
+    of that size, the points into as many of their own, and each two blocks
+    meet in a task by a shuffle; the best of all blocks are ranked at the end.
     """
     itself = among is None
-    schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("dist", T.DoubleType())])
-    keep = k + (1 if itself else 0)
-    found, passes = None, 0
-    for ids, matrix in vector_blocks(points if itself else among, id_col, vec_col):
-        shipped = points.sparkSession.sparkContext.broadcast((ids, matrix))
+    named = lambda df: df.select(F.col(id_col).cast("long").alias("node_id"), F.col(vec_col).cast("array<double>").alias("x"))
+    points, among = named(points), named(points if itself else among)
+    n, width = among.agg(F.count("*"), F.max(F.size("x"))).first()
+    blocks = max(1, -(-int(n) * 8 * int(width or 0) // most_bytes))
+
+    def batches_of(found):
+        import pyarrow as pa
+
+        for columns in found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=NEAR.names)
+
+    if blocks == 1:
+        rows = among.collect()  # most_bytes at most
+        shipped = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), int(width or 0))))
 
-        def run(batches, shipped=shipped):
-            import pyarrow as pa
+        def run(batches):
+            for batch in batches:
+                yield from batches_of(nearest_in(*_vectors(batch), *shipped.value, k, itself, positive))
+
+        found = points.mapInArrow(run, NEAR)
+    else:
+        every, block = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")
+        theirs = among.select(F.explode(every).alias("i"), block.alias("j"), F.lit(False).alias("asks"), "node_id", "x")
+        ours = points.select(block.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), "node_id", "x")
+        dealt = theirs.unionByName(ours).repartition(blocks * blocks, "i", "j").sortWithinPartitions("i", "j", "asks")
 
-            ids, matrix = shipped.value
-            squares = (matrix**2).sum(1)
+        def meet(batches):
+            key, held, matrix = None, [], None
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    own = part.column(0).to_numpy()
-                    x = np.array(part.column(1).to_pylist(), float).reshape(len(own), -1)
-                    if not len(ids) or not len(own):
+                pairs = np.stack([batch.column(c).to_numpy() for c in "ij"], 1)
+                asks = batch.column("asks").to_numpy(zero_copy_only=False)
+                edge = np.flatnonzero((np.diff(pairs, axis=0) != 0).any(1) | (np.diff(asks.astype(int)) != 0)) + 1
+                for a, b in zip([0, *edge], [*edge, len(asks)]):
+                    if b == a:
                         continue
-                    rough = squares[None] - 2 * x @ matrix.T
-                    width = min(len(ids), keep + 8 if not positive else len(ids))
-                    near = np.argpartition(rough, width - 1, 1)[:, :width]
-                    # Rows that tie with the last candidate must be in as well.
-                    edge = np.take_along_axis(rough, near, 1).max(1)
-                    slack = 1e-9 * (1 + np.abs(edge))
-                    out = []
-                    for i in range(len(own)):
-                        chosen = near[i] if (rough[i] <= edge[i] + slack[i]).sum() == width else np.flatnonzero(rough[i] <= edge[i] + slack[i])
-                        d = np.sqrt(((matrix[chosen] - x[i]) ** 2).cumsum(1)[:, -1])
-                        good = (ids[chosen] != own[i]) if itself else np.ones(len(chosen), bool)
-                        if positive:
-                            good &= d > 0
-                        order = np.lexsort((ids[chosen], d))
-                        order = order[good[order]][:k]
-                        out.append((np.full(len(order), own[i]), ids[chosen][order], d[order]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=schema.names)
-
-        one = points.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(run, schema)
-        found, passes = (one if found is None else found.unionByName(one)), passes + 1
+                    if tuple(pairs[a]) != key:
+                        key, held, matrix = tuple(pairs[a]), [], None
+                    part = batch.slice(a, b - a)
+                    if not asks[a]:
+                        held.append(_vectors(part))
+                        continue
+                    if matrix is None and held:
+                        matrix = tuple(map(np.concatenate, zip(*held)))
+                    if matrix is not None:
+                        yield from batches_of(nearest_in(*_vectors(part), *matrix, k, itself, positive))
+
+        found = dealt.mapInArrow(meet, NEAR)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
     ranked = ranked.select("src", "dst", "rank", "dist")
     if include_self and itself:
-        ranked = ranked.unionByName(points.select(F.col(id_col).cast("long").alias("src"), F.col(id_col).cast("long").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")))
+        ranked = ranked.unionByName(points.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")))
     return ranked
 
 

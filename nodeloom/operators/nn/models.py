@@ -133,11 +133,16 @@ def gated_conv(p: Params, name: str, x: Value, e: Value, i: np.ndarray, j: np.nd
     return new, e + silu(normed(p, f"{name}.edge.norm", raw))
 
 
+CONVS = {"mesh": mesh_conv, "gated": gated_conv, "gated_v2": lambda *a: gated_conv(*a, factored=True)}
+
+
 def process(p: Params, b: Batch, atoms: Value, bonds: Value, angles: Value, convs: int, conv: str = "mesh", on_angles: bool = True):
-    """Layer by layer the line graph (bonds and angles), then the graph (atoms and bonds)."""
-    step = {"mesh": mesh_conv, "gated": gated_conv, "gated_v2": lambda *a: gated_conv(*a, factored=True)}[conv]
+    """Layer by layer the line graph (bonds and angles), then the graph (atoms and bonds). A graph without angles goes through the same layers, so that its batch doesn't matter."""
+    if conv not in CONVS:
+        raise ValueError(f"no such convolution: {conv}")
+    step = CONVS[conv]
     for k in range(convs):
-        if on_angles and len(b.u):
+        if on_angles:
             bonds, angles = step(p, f"proc.{k}.a", bonds, angles, b.u, b.v)
         atoms, bonds = step(p, f"proc.{k}.g", atoms, bonds, b.src, b.dst)
     return atoms, bonds, angles
@@ -150,13 +155,17 @@ def decode(p: Params, parts, dim: int, out_dim: int, positive: bool = False):
     return [mlp(p, "dec", x, [dim, out_dim]) for x in parts]
 
 
-def line_graph_net(p: Params, b: Batch, species: int, dim: int, convs: int, cutoff: float, out_dim: int = 1, conv: str = "mesh", positive: bool = False, generic: bool = False):
-    enc = encode_generic(p, b, dim, cutoff) if generic else encode_atomic(p, b, species, dim, cutoff)
-    return decode(p, process(p, b, *enc, convs, conv), dim, out_dim, positive)
+def encode(p: Params, b: Batch, species: int, dim: int, cutoff: float, generic: bool = False, basis: str = "gaussian"):
+    return encode_generic(p, b, dim, cutoff, basis) if generic else encode_atomic(p, b, species, dim, cutoff)
+
+
+def line_graph_net(p: Params, b: Batch, species: int, dim: int, convs: int, cutoff: float, out_dim: int = 1, conv: str = "mesh", positive: bool = False, generic: bool = False, on_angles: bool = True, basis: str = "gaussian"):
+    enc = encode(p, b, species, dim, cutoff, generic, basis)
+    return decode(p, process(p, b, *enc, convs, conv, on_angles), dim, out_dim, positive)
 
 
-def latent(p: Params, b: Batch, species: int, dim: int, convs: int, cutoff: float, conv: str = "mesh"):
-    return process(p, b, *encode_atomic(p, b, species, dim, cutoff), convs, conv)
+def latent(p: Params, b: Batch, species: int, dim: int, convs: int, cutoff: float, conv: str = "mesh", generic: bool = False, on_angles: bool = True, basis: str = "gaussian"):
+    return process(p, b, *encode(p, b, species, dim, cutoff, generic, basis), convs, conv, on_angles)
 
 
 def mesh_graph_net(p: Params, b: Batch, species: int, dim: int, convs: int, out_dim: int = 3, time_dim: int = 0):
@@ -177,3 +186,21 @@ def gated_net(p: Params, b: Batch, species: int, dim: int = 100, convs: int = 3,
     for k in range(convs):
         x, e = gated_conv(p, f"conv.{k}", x, e, b.src, b.dst)
     return linear(p, "out", x, out_dim)
+
+
+KINDS = ("atom", "bond", "angle")
+#: The networks, by the name that settings give under "net", and the kinds of rows that they have results for.
+NETS = {
+    "line_graph": (lambda p, b, **s: line_graph_net(p, b, **s), KINDS),
+    "mesh_graph": (lambda p, b, **s: [mesh_graph_net(p, b, **s)], KINDS[:1]),
+    "gated": (lambda p, b, **s: [gated_net(p, b, **s)], KINDS[:1]),
+}
+
+
+def apply(p: Params, b: Batch, settings: dict) -> list[tuple[str, Value]]:
+    """(kind, contributions) of the network that settings name: net, the size of generic features, and the network's own arguments."""
+    name = settings.get("net", "line_graph")
+    if name not in NETS:
+        raise ValueError(f"no such network: {name}")
+    net, kinds = NETS[name]
+    return list(zip(kinds, net(p, b, **{k: v for k, v in settings.items() if k not in ("net", "features")})))

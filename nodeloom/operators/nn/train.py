@@ -13,51 +13,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import models
+from .models import KINDS
 from .tape import Value, scatter, total
 
-ARRAYS = ("species", "src", "dst", "dist", "u", "v", "angle", "dihedral")
-KINDS = ("atom", "bond", "angle")
+#: The arrays of a packed graph and their types. Vectors of bonds, features of nodes and a time are there if the tables have them.
+ARRAYS = {"species": "array<int>", "src": "array<int>", "dst": "array<int>", "dist": "array<double>", "dx": "array<double>", "dy": "array<double>", "dz": "array<double>", "u": "array<int>", "v": "array<int>", "angle": "array<double>", "dihedral": "array<boolean>", "features": "array<array<double>>"}
+LOSSES = ("mse", "mae", "huber", "max_n_percent")
 
 
-def pack(graph: dict[str, DataFrame], targets: DataFrame | None = None) -> DataFrame:
-    """(gid, species, src, dst, dist, u, v, angle, dihedral, y) from nodes (gid, node_id, species_idx), edges and angles, ids from 0 in every graph."""
+def pack(graph: dict[str, DataFrame], targets: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
+    """(gid, species, src, dst, dist, dx, dy, dz, u, v, angle, dihedral, features, y, time) from nodes (gid, node_id, species_idx or features), edges and angles, ids from 0 in every graph."""
     rows = lambda df, order, *cols: df.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias("r"))
-    nodes = rows(graph["nodes"], ["node_id"], "species_idx").select("gid", F.col("r.species_idx").alias("species"))
-    edges = rows(graph["edges"], ["edge_id"], "src", "dst", "dist").select("gid", *(F.col(f"r.{c}").alias(c) for c in ("src", "dst", "dist")))
-    packed = nodes.join(edges, "gid", "left")
+    found = {c: None for c in ARRAYS}
+    has = [c for c in ("species_idx", "features") if c in graph["nodes"].columns]
+    packed = rows(graph["nodes"], ["node_id"], *has).select("gid", *(F.col(f"r.{c}").alias({"species_idx": "species"}.get(c, c)) for c in has))
+    found |= {{"species_idx": "species"}.get(c, c): True for c in has}
+    edges, ends = graph["edges"], [c for c in ("src", "dst", "dist", "dx", "dy", "dz") if c in graph["edges"].columns]
+    packed = packed.join(rows(edges, ["edge_id"], *ends).select("gid", *(F.col(f"r.{c}").alias(c) for c in ends)), "gid", "left")
+    found |= {c: True for c in ends}
     if "angles" in graph:
         angles = rows(graph["angles"], ["edge_u", "edge_v", "is_dihedral"], "angle").select("gid", F.col("r.edge_u").alias("u"), F.col("r.edge_v").alias("v"), F.col("r.angle").alias("angle"), F.col("r.is_dihedral").alias("dihedral"))
         packed = packed.join(angles, "gid", "left")
-    else:
-        packed = packed.withColumns({c: F.array() for c in ("u", "v", "angle", "dihedral")})
+        found |= {c: True for c in ("u", "v", "angle", "dihedral")}
     packed = packed.join(targets.select("gid", F.col("y").cast("array<double>").alias("y")), "gid", "left") if targets is not None else packed.withColumn("y", F.array().cast("array<double>"))
-    return packed.select("gid", *(F.coalesce(F.col(c).cast(t), F.array().cast(t)).alias(c) for c, t in (("species", "array<int>"), ("src", "array<int>"), ("dst", "array<int>"), ("dist", "array<double>"), ("u", "array<int>"), ("v", "array<int>"), ("angle", "array<double>"), ("dihedral", "array<boolean>"))), "y")
+    packed = packed.join(times.select("gid", F.col("time").cast("double").alias("time")), "gid", "left") if times is not None else packed.withColumn("time", F.lit(0.0))
+    arrays = (F.coalesce(F.col(c).cast(t) if found[c] else F.lit(None).cast(t), F.array().cast(t)).alias(c) for c, t in ARRAYS.items())
+    return packed.select("gid", *arrays, "y", F.coalesce("time", F.lit(0.0)).alias("time"))
 
 
 def to_batch(frame) -> models.Batch:
     """The graphs of a pandas frame as one."""
-    columns = {c: [np.asarray(x) for x in frame[c]] for c in ARRAYS}
-    n, m = [len(x) for x in columns["species"]], [len(x) for x in columns["src"]]
+    columns = {c: [np.asarray(x) for x in frame[c]] for c in ARRAYS if c != "features"}
+    features = [np.array([np.asarray(r, float) for r in x]) for x in frame["features"]]
+    n, m = [max(len(x), len(f)) for x, f in zip(columns["species"], features)], [len(x) for x in columns["src"]]
     before, edges_before = np.cumsum([0, *n[:-1]]), np.cumsum([0, *m[:-1]])
     join = lambda c, kind, shift=None: np.concatenate([x.astype(kind) + (s if shift is not None else 0) for x, s in zip(columns[c], shift if shift is not None else columns[c])]) if len(frame) else np.zeros(0, kind)
     of = lambda sizes: np.repeat(np.arange(len(frame)), sizes)
+    vec = np.stack([join(c, float) for c in ("dx", "dy", "dz")], 1)
+    wide = [f for f in features if len(f)]
     return models.Batch(
         join("species", int), join("src", int, before), join("dst", int, before), join("dist", float), join("u", int, edges_before), join("v", int, edges_before),
         join("angle", float), join("dihedral", bool), {"atom": of(n), "bond": of(m), "angle": of([len(x) for x in columns["u"]])},
+        vec if len(vec) == sum(m) else None, np.concatenate(wide) if wide else None, np.asarray(frame["time"], float),
     )
 
 
 def initial_weights(settings: dict, seed: int = 0) -> dict[str, np.ndarray]:
-    """Seeded weights of the network that settings (arguments of models.line_graph_net) describe."""
+    """Seeded weights of the network that settings describe: net ("line_graph", "mesh_graph" or "gated"), features (the number of generic ones), and the arguments of that network."""
     one = np.zeros(1, int)
-    b = models.Batch(one, one, one, np.ones(1), one, one, np.ones(1), np.zeros(1, bool), {k: one for k in KINDS})
+    b = models.Batch(one, one, one, np.ones(1), one, one, np.ones(1), np.zeros(1, bool), {k: one for k in KINDS}, np.ones((1, 3)), np.ones((1, settings.get("features", 1))), np.ones(1))
     p = models.Params(seed=seed)
-    models.line_graph_net(p, b, **settings)
+    models.apply(p, b, settings)
     return p.arrays()
 
 
 def contributions(packed: DataFrame, weights: dict, settings: dict, rows: int = 100) -> DataFrame:
-    """(gid, kind, local_id, value) of every atom, bond and angle."""
+    """(gid, kind, local_id, value) of every row that the network has a result for: atoms, and for line graphs bonds and angles."""
     shipped = packed.sparkSession.sparkContext.broadcast(weights)  # as large as the model, whatever the input
     gid = packed.schema["gid"].dataType.simpleString()
 
@@ -68,8 +79,7 @@ def contributions(packed: DataFrame, weights: dict, settings: dict, rows: int =
             for at in range(0, len(frame), rows):
                 part = frame.iloc[at : at + rows]
                 b = to_batch(part)
-                out = models.line_graph_net(models.Params(shipped.value), b, **settings)
-                for kind, x in zip(KINDS, out):
+                for kind, x in models.apply(models.Params(shipped.value), b, settings):
                     graph = b.graph[kind]
                     first = np.searchsorted(graph, graph)
                     yield pd.DataFrame({"gid": part["gid"].to_numpy()[graph], "kind": kind, "local_id": np.arange(len(graph)) - first, "value": list(x.data)})
@@ -78,10 +88,10 @@ def contributions(packed: DataFrame, weights: dict, settings: dict, rows: int =
 
 
 def latent_space(packed: DataFrame, weights: dict, settings: dict, rows: int = 100) -> DataFrame:
-    """(gid, x): the mean of all rows of a graph before the decoder."""
+    """(gid, x): the mean of all rows of a graph before the decoder of a line graph's network."""
     shipped = packed.sparkSession.sparkContext.broadcast(weights)
     gid = packed.schema["gid"].dataType.simpleString()
-    inner = {k: settings[k] for k in ("species", "dim", "convs", "cutoff", "conv") if k in settings}
+    inner = {k: settings[k] for k in ("species", "dim", "convs", "cutoff", "conv", "generic", "on_angles", "basis") if k in settings}
 
     def run(frames):
         import pandas as pd
@@ -102,7 +112,7 @@ def latent_space(packed: DataFrame, weights: dict, settings: dict, rows: int = 1
 def loss_of(p: models.Params, b: models.Batch, y: np.ndarray, settings: dict, loss: str) -> Value:
     """The summed loss of a batch: graphs' predictions are the sums of their contributions."""
     pred = None
-    for kind, x in zip(KINDS, models.line_graph_net(p, b, **settings)):
+    for kind, x in models.apply(p, b, settings):
         s = scatter(x, b.graph[kind], len(y))
         pred = s if pred is None else pred + s
     diff = pred - y
@@ -115,8 +125,20 @@ def loss_of(p: models.Params, b: models.Batch, y: np.ndarray, settings: dict, lo
     return total(diff * diff * (0.5 * inside) + (size - 0.5) * (~inside * 1.0))
 
 
-def gradients(packed: DataFrame, weights: dict, settings: dict, loss: str = "mse", rows: int = 100) -> tuple[dict[str, np.ndarray], float, int]:
-    """(gradient by name, summed loss, graphs): sums over all rows, taken in Spark element by element."""
+def worst_graphs(packed: DataFrame, weights: dict, settings: dict, share: float) -> DataFrame:
+    """The share of packed, the number rounded up, whose targets lie farthest above their predictions; of a batch, which a task ranks."""
+    gap = F.aggregate(F.zip_with("y", "pred", lambda a, b: a - b), F.lit(0.0), lambda a, b: a + b)
+    gaps = predictions(packed, weights, settings).select("gid", gap.alias("gap"))
+    chosen = gaps.orderBy(F.col("gap").desc(), "gid").limit(int(np.ceil(share * packed.count())))
+    return packed.join(chosen.select("gid"), "gid", "left_semi")
+
+
+def gradients(packed: DataFrame, weights: dict, settings: dict, loss: str = "mse", rows: int = 100, share: float = 0.1) -> tuple[dict[str, np.ndarray], float, int]:
+    """(gradient by name, summed loss, graphs): sums over all rows, taken in Spark element by element. With the loss "max_n_percent" squared errors of the worst share count alone."""
+    if loss not in LOSSES:
+        raise ValueError(f"no such loss: {loss}")
+    if loss == "max_n_percent":
+        packed, loss = worst_graphs(packed, weights, settings, share), "mse"
     shipped = packed.sparkSession.sparkContext.broadcast(weights)
 
     def run(frames):
@@ -142,26 +164,64 @@ def gradients(packed: DataFrame, weights: dict, settings: dict, loss: str = "mse
     found: dict[str, np.ndarray] = {"": np.zeros(2)} | {k: np.zeros(w.size) for k, w in weights.items()}
     for r in rows_:
         found[r["name"]][r["i"]] = r["g"]
+    shipped.destroy()
     lost, seen = found.pop("")
     return {k: g.reshape(weights[k].shape) for k, g in found.items()}, float(lost), int(seen)
 
 
 class Optimizer:
-    """One step per call, with state that lasts. Rules by their published formulas."""
+    """One step per call, with state that lasts. Rules by their published formulas, with the constants that are common for them."""
+
+    NAMES = ("sgd", "momentum", "asgd", "adam", "adamw", "sparseadam", "adamax", "nadam", "radam", "adagrad", "adadelta", "rmsprop", "rprop", "lion", "lbfgs")
 
     def __init__(self, name: str = "adam", rate: float = 1e-3, decay: float = 0.0):
-        self.name, self.rate, self.decay, self.t, self.state = name, rate, decay, 0, {}
+        if name.lower() not in self.NAMES:
+            raise ValueError(f"no such optimizer: {name}")
+        self.name, self.rate, self.decay, self.t, self.state = name.lower(), rate, decay, 0, {}
 
     def step(self, weights: dict, grads: dict, frozen: tuple[str, ...] = ()) -> dict:
         self.t += 1
-        return {k: w if k.startswith(frozen or ("\0",)) else w - self.change(k, w, grads[k]) for k, w in weights.items()}
+        moved = {k: w for k, w in weights.items() if not k.startswith(frozen or ("\0",))}
+        changes = self.joint(moved, grads) if self.name == "lbfgs" else {k: self.change(k, w, grads[k]) for k, w in moved.items()}
+        return {k: w - changes[k] if k in changes else w for k, w in weights.items()}
+
+    def joint(self, weights: dict, grads: dict, history: int = 100) -> dict:
+        """Limited-memory BFGS on all weights at once, one evaluation a step: the two-loop recursion over the last steps and changes of the gradient."""
+        flat = lambda d: np.concatenate([np.ravel(d[k]) for k in weights]) if weights else np.zeros(0)
+        g, s = flat(grads) + self.decay * flat(weights), self.state.setdefault("", {"pairs": []})
+        if "g" in s:
+            y = g - s["g"]
+            if y @ s["step"] > 1e-10:
+                s["pairs"] = [*s["pairs"], (s["step"], y)][-history:]
+        q, used = g.copy(), []
+        for d, y in reversed(s["pairs"]):
+            a = (d @ q) / (d @ y)
+            q, used = q - a * y, [*used, a]
+        if s["pairs"]:
+            d, y = s["pairs"][-1]
+            q = q * (d @ y) / (y @ y)
+        for (d, y), a in zip(s["pairs"], reversed(used)):
+            q = q + d * (a - (y @ q) / (d @ y))
+        length = self.rate * (min(1.0, 1 / max(np.abs(g).sum(), 1e-30)) if self.t == 1 else 1.0)
+        s["g"], s["step"] = g, -length * q
+        out, at = {}, 0
+        for k, w in weights.items():
+            out[k], at = (length * q[at : at + w.size]).reshape(w.shape), at + w.size
+        return out
 
     def change(self, k: str, w: np.ndarray, g: np.ndarray) -> np.ndarray:
         s, r, t, eps = self.state.setdefault(k, {"m": np.zeros_like(w), "v": np.zeros_like(w)}), self.rate, self.t, 1e-8
         if self.decay and self.name != "adamw":
             g = g + self.decay * w
-        if self.name in ("sgd", "asgd"):
+        if self.name == "sgd":
             return r * g
+        if self.name == "asgd":  # a rate that falls, and from step t0 on the mean of the weights, kept in "mean"
+            fall, power, t0 = 1e-4, 0.75, 1e6
+            eta = r / (1 + fall * r * (t - 1)) ** power
+            new = w * (1 - fall * eta) - eta * g
+            share = 1 / max(1.0, t - 1 - t0)
+            s["mean"] = new if share == 1 else s["mean"] + share * (new - s["mean"])
+            return w - new
         if self.name == "momentum":
             s["m"] = 0.9 * s["m"] + g
             return r * s["m"]
@@ -171,7 +231,7 @@ class Optimizer:
             return r * step
         if self.name == "adagrad":
             s["v"] = s["v"] + g * g
-            return r * g / (np.sqrt(s["v"]) + eps)
+            return r * g / (np.sqrt(s["v"]) + 1e-10)
         if self.name == "rmsprop":
             s["v"] = 0.99 * s["v"] + 0.01 * g * g
             return r * g / (np.sqrt(s["v"]) + eps)
@@ -185,51 +245,78 @@ class Optimizer:
             s["size"] = np.clip(size * np.where(g * s["m"] > 0, 1.2, np.where(g * s["m"] < 0, 0.5, 1.0)), 1e-6, 50)
             s["m"] = np.where(g * s["m"] < 0, 0, g)
             return np.sign(s["m"]) * s["size"]
+        if self.name == "sparseadam":  # what has no gradient keeps its state
+            there = g != 0
+            s["m"] = np.where(there, 0.9 * s["m"] + 0.1 * g, s["m"])
+            s["v"] = np.where(there, 0.999 * s["v"] + 0.001 * g * g, s["v"])
+            return np.where(there, r * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * s["m"] / (np.sqrt(s["v"]) + eps), 0.0)
         s["m"] = 0.9 * s["m"] + 0.1 * g
         if self.name == "adamax":
             s["v"] = np.maximum(0.999 * s["v"], np.abs(g) + eps)
             return r / (1 - 0.9**t) * s["m"] / s["v"]
         s["v"] = 0.999 * s["v"] + 0.001 * g * g
-        m, v = s["m"] / (1 - 0.9**t), s["v"] / (1 - 0.999**t)
-        if self.name == "nadam":
-            m = 0.9 * m + 0.1 * g / (1 - 0.9**t)
+        m, root = s["m"] / (1 - 0.9**t), np.sqrt(s["v"] / (1 - 0.999**t)) + eps
+        if self.name == "nadam":  # momentum that warms up
+            now, then = (0.9 * (1 - 0.5 * 0.96 ** (i * 4e-3)) for i in (t, t + 1))
+            s["product"] = s.get("product", 1.0) * now
+            return r * ((1 - now) / (1 - s["product"]) * g + then / (1 - s["product"] * then) * s["m"]) / root
         if self.name == "radam":
             most = 2 / (1 - 0.999) - 1
             long = most - 2 * t * 0.999**t / (1 - 0.999**t)
             if long <= 5:
                 return r * m
-            return r * m * np.sqrt((long - 4) * (long - 2) * most / ((most - 4) * (most - 2) * long)) / (np.sqrt(v) + eps)
-        step = r * m / (np.sqrt(v) + eps)
+            return r * m * np.sqrt((long - 4) * (long - 2) * most / ((most - 4) * (most - 2) * long)) * np.sqrt(1 - 0.999**t) / (np.sqrt(s["v"]) + eps)
+        step = r * m / root
         return step + r * self.decay * w if self.name == "adamw" else step
 
 
-def train(packed: DataFrame, valid: DataFrame, settings: dict, epochs: int = 10, batches: int = 1, optimizer: str = "adam", rate: float = 1e-2, loss: str = "mse", most: int = 4, tolerance: float = 0.0, seed: int = 0, frozen: tuple[str, ...] = (), weights: dict | None = None, reshuffle: int = 10, schedule=None) -> tuple[dict, list[dict]]:
-    """(best weights, a record per epoch). It stops once the mean change of the validation loss over the last epochs is within tolerance; batches are dealt anew every reshuffle epochs."""
+def train(
+    packed: DataFrame, valid: DataFrame | None, settings: dict, epochs: int = 10, batches: int = 1, optimizer: str = "adam", rate: float = 1e-2, loss: str = "mse", most: int = 4, tolerance: float = 0.0,
+    seed: int = 0, frozen: tuple[str, ...] = (), weights: dict | None = None, reshuffle: int = 10, schedule=None, share: float = 0.1, most_loss: float = np.inf, save=None,
+) -> tuple[dict, list[dict]]:
+    """(best weights, a record per epoch).
+
+    It stops once the mean change of the validation loss over the last most
+    epochs is within tolerance and their mean within most_loss; batches are
+    dealt anew every reshuffle epochs. valid None, as for a first training:
+    the training loss stands for both. save(weights, record), if given, is
+    called in every epoch that is the best so far. share: of the worst graphs,
+    for the loss "max_n_percent".
+    """
     import time
 
     weights = weights or initial_weights(settings, seed)
-    packed, valid = packed.cache(), valid.cache()
     step, best, log = Optimizer(optimizer, rate), (np.inf, np.inf, weights), []
-    for epoch in range(epochs):
-        began, lost, seen = time.time(), 0.0, 0
-        step.rate = schedule(epoch) if schedule else rate
-        for b in range(batches):
-            part = packed if batches == 1 else packed.where(F.pmod(F.xxhash64(F.lit(seed + epoch // reshuffle), "gid"), F.lit(batches)) == b)
-            g, part_lost, n = gradients(part, weights, settings, loss)
-            if n:
-                weights = step.step(weights, {k: v / n for k, v in g.items()}, frozen)
-            lost, seen = lost + part_lost, seen + n
-        _, valid_lost, valid_n = gradients(valid, weights, settings, loss)
-        record = {"epoch": epoch, "loss_train": lost / max(seen, 1), "loss_valid": valid_lost / max(valid_n, 1), "seconds": time.time() - began}
-        log.append(record)
-        if record["loss_train"] < best[0]:
-            better = record["loss_valid"] < best[1]
-            best = (record["loss_train"], record["loss_valid"] if better else best[1], weights if better else best[2])
-        change = [abs(a["loss_valid"] - b["loss_valid"]) for a, b in zip(log, log[1:])][-most:]
-        if len(change) >= most and sum(change) / most <= tolerance:
-            break
-    packed.unpersist()
-    valid.unpersist()
+    packed, valid = packed.cache(), valid.cache() if valid is not None else None
+    try:
+        for epoch in range(epochs):
+            began, lost, seen = time.time(), 0.0, 0
+            step.rate = schedule(epoch) if schedule else rate
+            for b in range(batches):
+                part = packed if batches == 1 else packed.where(F.pmod(F.xxhash64(F.lit(seed + epoch // reshuffle), "gid"), F.lit(batches)) == b)
+                g, part_lost, n = gradients(part, weights, settings, loss, share=share)
+                if n:
+                    weights = step.step(weights, {k: v / n for k, v in g.items()}, frozen)
+                lost, seen = lost + part_lost, seen + n
+            record = {"epoch": epoch, "loss_train": lost / max(seen, 1), "loss_valid": lost / max(seen, 1)}
+            if valid is not None:
+                _, valid_lost, valid_n = gradients(valid, weights, settings, loss, share=share)
+                record["loss_valid"] = valid_lost / max(valid_n, 1)
+            record |= {"seconds": time.time() - began, "saved": False}
+            log.append(record)
+            if record["loss_train"] < best[0]:
+                record["saved"] = record["loss_valid"] < best[1]
+                best = (record["loss_train"], *((record["loss_valid"], weights) if record["saved"] else best[1:]))
+                if record["saved"] and save is not None:
+                    save(weights, record)
+            last = [x["loss_valid"] for x in log[-most:]]
+            change = [abs(a["loss_valid"] - b["loss_valid"]) for a, b in zip(log, log[1:])][-most:]
+            if len(change) >= most and sum(change) / most <= tolerance and sum(last) / most <= most_loss:
+                break
+    finally:
+        packed.unpersist()
+        if valid is not None:
+            valid.unpersist()
     return best[2], log
 
 

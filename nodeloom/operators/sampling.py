@@ -20,17 +20,28 @@ def draw_order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def first_rows(df: DataFrame, n: int, id_col: str, seed: int, where: Column | None = None, name: str = "drawn") -> DataFrame:
-    """df with name: whether a row is among the first n of the draw, of those that where admits.
-
-    Only the hash at which the draw ends is looked for, in an ordered limit;
-    nothing is ranked over the whole table.
+def first_rows(df: DataFrame, n: int, id_col: str, seed: int, per: tuple[str, ...] = (), name: str = "drawn") -> DataFrame:
+    """df with name: whether a row is among the first n of the draw, in all or of each value of the columns per.
+
+    The first 16 bits of each row's hash are counted, at most 65,536 sums a
+    group; running sums over them tell which are drawn whole and which one the
+    draw ends in. Only rows that share these bits are ranked, so nothing is
+    sorted over the table, and a group with most of the rows is spread as any
+    other. Exactly n rows are drawn, as far as there are so many; rows under
+    one repeated id follow one another.
     """
-    order = draw_order(id_col, seed)
-    open_ = df if where is None else df.where(where)
-    last = open_.select(order.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first()["h"] if n > 0 else None
-    hit = F.lit(False) if last is None else order <= F.lit(last)
-    return df.withColumn(name, hit if where is None else hit & where)
+    per = list(per)
+    keyed = df.withColumn("__h", draw_order(id_col, seed)).withColumn("__b", F.substring("__h", 1, 4))
+    counts = keyed.groupBy(*per, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*per).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    left = counts.withColumn("__left", F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").where("__left > 0")
+    same = F.lit(True)
+    for i, c in enumerate([*per, "__b"]):
+        left = left.withColumnRenamed(c, f"__k{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    rank = F.row_number().over(Window.partitionBy(*per, "__b").orderBy("__h"))
+    found = keyed.join(left, same, "left").withColumn("__rank", rank)
+    return found.withColumn(name, F.coalesce(F.col("__rank") <= F.col("__left"), F.lit(False))).select(*(c for c in df.columns if c != name), name)
 
 
 def random_sample(df: DataFrame, split: float, seed: int = 0, count: int = 0, id_col: str = "id") -> DataFrame:
@@ -40,15 +51,14 @@ def random_sample(df: DataFrame, split: float, seed: int = 0, count: int = 0, id
 
 def by_quota(df: DataFrame, split: float, seed: int = 0, id_col: str = "id", clusters: int | None = None) -> DataFrame:
     """df (cluster, ..) with sampled: ceil(split * n / clusters) rows of every cluster, small clusters whole, then more from the rest up to ceil(split * n)."""
-    n = df.count()
-    kinds = clusters or max(1, df.select("cluster").distinct().count())
-    goal = math.ceil(split * n)
-    quota = math.ceil(split * n / kinds)
-    own = Window.partitionBy("cluster").orderBy(draw_order(id_col, seed))
-    ranked = df.withColumn("rank", F.row_number().over(own)).withColumn("picked", F.col("rank") <= quota)
-    missing = goal - ranked.where("picked").count()
-    out = first_rows(ranked, missing, id_col, seed + 1, ~F.col("picked"), "more")
-    return out.withColumn("sampled", F.col("picked") | F.col("more")).drop("rank", "picked", "more")
+    n, found = df.agg(F.count("*"), F.count_distinct("cluster")).first()
+    kinds = clusters or max(1, found)
+    picked = first_rows(df, math.ceil(split * n / kinds), id_col, seed, ("cluster",), "sampled")
+    missing = math.ceil(split * n) - picked.where("sampled").count()
+    if missing <= 0:
+        return picked
+    more = first_rows(picked.where("NOT sampled").drop("sampled"), missing, id_col, seed + 1, name="sampled")
+    return picked.where("sampled").unionByName(more)
 
 
 def by_property(df: DataFrame, value: str, clusters: int, split: float, seed: int = 0, id_col: str = "id") -> DataFrame:

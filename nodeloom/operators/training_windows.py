@@ -85,3 +85,14 @@ def batches(graphs: DataFrame, size: int, seed: int = 0, epoch: int = 0, id_col:
     """graphs with batch: groups of about size, dealt anew for each seed and epoch by a hash; no global order is made."""
     count = max(1, -(-graphs.count() // size))
     return graphs.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(id_col)), F.lit(count)).cast("int"))
+
+
+#: What a loader of each mode reads, and which of the three batch sizes counts for it.
+MODES = {0: (("training", 0),), 1: (("training", 1), ("validation", 2)), 2: (("validation", 2),)}
+
+
+def loader(graphs: dict[str, DataFrame], mode: int, sizes: tuple[int, int, int], seed: int = 0, epoch: int = 0, every: int = 10, shuffle: bool = True, id_col: str = "gid") -> dict[str, DataFrame]:
+    """The tables of a mode (0: a first training, 1: training with validation, 2: validation) with batch; dealt anew every so many epochs if shuffle."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    return {role: batches(graphs[role], sizes[at], seed, epoch // every if shuffle and role == "training" else 0, id_col) for role, at in MODES[mode]}

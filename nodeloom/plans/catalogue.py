@@ -64,7 +64,7 @@ SELECT node_id AS src, dst, round(dist, 6) AS dist, row_number() OVER (ORDER BY
 def generic_pairwise_edges(spark, d):
     near = neighbors.knn(cloud(spark, d), 5, include_self=True)
     lists = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst", "dist"))).alias("n")).select(F.lit(0).alias("gid"), F.col("src").alias("node_id"), F.col("n.dst").alias("ind"), F.col("n.dist").alias("dist"))
-    return graphs.generic_graph(lists, angles=False)["edges"].select("src", "dst", r("dist").alias("dist"), F.col("edge_id").cast("long").alias("edge_id"))
+    return graphs.generic_graph(lists, angles=False, one=True)["edges"].select("src", "dst", r("dist").alias("dist"), F.col("edge_id").cast("long").alias("edge_id"))
 
 
 @query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, round(dist, 6) AS dist FROM edges")
@@ -124,7 +124,7 @@ def minimum_image_shift(spark, d):
 
 @query(f"WITH {knn_sql(5)}, d AS (SELECT dst, count(*) AS n FROM knn GROUP BY dst) SELECT dst, n * (n - 1) AS pairs FROM d WHERE n > 1")
 def line_graph_counts(spark, d):
-    e = graphs.with_edge_ids(knn5(spark, d).withColumn("gid", F.lit(0)))
+    e = graphs.with_edge_ids_of_one(knn5(spark, d).withColumn("gid", F.lit(0)))
     pairs = graphs.line_graph(e).join(e.select(F.col("edge_id").alias("edge_u"), "dst"), "edge_u")
     return pairs.groupBy("dst").agg(F.count("*").alias("pairs"))
 
@@ -134,7 +134,7 @@ SELECT u.dst AS center, u.src AS a, v.src AS b, round(acos(greatest(-1, least(1,
 FROM arms u JOIN arms v ON u.dst = v.dst AND u.src <> v.src""")
 def three_body_angles(spark, d):
     points = cloud(spark, d).withColumn("gid", F.lit(0))
-    e = graphs.with_edge_ids(knn5(spark, d).withColumn("gid", F.lit(0)))
+    e = graphs.with_edge_ids_of_one(knn5(spark, d).withColumn("gid", F.lit(0)))
     found = graphs.three_body_angles(e, points)
     ends = e.select("edge_id", "src", "dst")
     return found.join(ends.toDF("edge_u", "a", "center"), "edge_u").join(ends.select("edge_id", "src").toDF("edge_v", "b"), "edge_v").select("center", "a", "b", r("angle").alias("angle"))
@@ -161,7 +161,7 @@ def dihedral_angles(spark, d):
 JOIN cloud a ON a.node_id = u.src JOIN cloud b ON b.node_id = v.src JOIN cloud c ON c.node_id = u.dst GROUP BY ALL""")
 def three_body_types(spark, d):
     points = cloud(spark, d).withColumn("gid", F.lit(0))
-    e = graphs.with_edge_ids(knn5(spark, d).withColumn("gid", F.lit(0)))
+    e = graphs.with_edge_ids_of_one(knn5(spark, d).withColumn("gid", F.lit(0)))
     found = readout.angle_types(graphs.line_graph(e), e, points, "label")
     key = F.col("type_key")
     return found.groupBy(key[0].alias("label_a"), key[1].alias("label_c"), key[2].alias("label_b")).agg(F.count("*").alias("n"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STRUCTURE = T.StructType([T.StructField("structure_id", T.StringType()), T.StructField("comment", T.StringType()), T.StructField("cell", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("symbols", T.ArrayType(T.StringType())), T.StructField("positions", T.ArrayType(T.ArrayType(T.DoubleType())))])
-_ENERGY = re.compile(r"^\s*(\d+)\s+F=\s*([-+.\dEe]+)", re.M)
 
 
 def parse_poscar(text: str) -> tuple[str, list[list[float]], list[str], list[list[float]]]:
@@ -48,6 +47,48 @@ def parse_extxyz(text: str) -> list[tuple[str, list[list[float]], list[str], lis
     return out
 
 
+FRAME = T.StructType([*STRUCTURE.fields, T.StructField("step", T.IntegerType()), T.StructField("energy", T.DoubleType()), T.StructField("free_energy", T.DoubleType()), T.StructField("forces", T.ArrayType(T.ArrayType(T.DoubleType())))])
+_number = re.compile(r"[-+]?\d+\.\d+(?:[eE][-+]?\d+)?").findall
+
+
+def parse_outcar(text: str) -> list[tuple]:
+    """(comment, cell, symbols, positions, step, energy, free_energy, forces) for each ionic step that ends with its energies; energy is the one extrapolated to no smearing."""
+    kinds = re.findall(r"VRHFIN\s*=\s*([A-Z][a-z]?)\s*:", text) or [x.split("_")[0] for x in re.findall(r"TITEL\s*=\s*\S+\s+(\S+)", text)]
+    counts = re.search(r"ions per type\s*=\s*([\d ]+)", text)
+    symbols = [s for s, n in zip(kinds, map(int, counts[1].split())) for _ in range(n)] if counts else []
+    comment = re.search(r"SYSTEM\s*=\s*(.*)", text)
+    rows, out, cell, block, free = text.splitlines(), [], None, None, None
+    for i, row in enumerate(rows):
+        if "direct lattice vectors" in row:
+            cell = [[float(v) for v in _number(r)[:3]] for r in rows[i + 1 : i + 4]]
+        elif "POSITION" in row and "TOTAL-FORCE" in row:
+            block = [[float(v) for v in _number(r)[:6]] for r in rows[i + 2 : i + 2 + len(symbols)]]
+        elif "free  energy" in row and "TOTEN" in row:
+            free = float(_number(row)[0])
+        elif "energy  without entropy" in row and block is not None and cell is not None and free is not None:
+            if len(block) == len(symbols) and all(len(b) == 6 for b in block):
+                out.append((comment[1].strip() if comment else "", cell, symbols, [b[:3] for b in block], len(out), float(_number(row)[-1]), free, [b[3:] for b in block]))
+            block = free = None
+    return out
+
+
+def read_outcar(spark: SparkSession, path: str, last: bool = True) -> DataFrame:
+    """A row of FRAME per file, its last ionic step, or one per step; a file without a finished step gives none."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for name, text in zip(frame["path"], frame["value"]):
+                parts = name.rstrip("/").rsplit("/", 2)
+                found = parse_outcar(text)
+                rows += [(f"{parts[-2]}/{parts[-1]}", *f) for f in (found[-1:] if last else found)]
+            yield pd.DataFrame(rows, columns=FRAME.names)
+
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, FRAME)
+
+
 def _read(spark: SparkSession, path: str, parse) -> DataFrame:
     """Whole files as text, one task per some of them; the id is the file's name without its ending."""
 

@@ -51,6 +51,33 @@ def read_model_info(spark: SparkSession, path: str) -> list[dict]:
     return [json.loads(r[0]) for r in spark.read.text(f"{path}/info").collect()]
 
 
+def write_dictionary(spark: SparkSession, values: dict, path: str) -> None:
+    """A dictionary as JSON, a row per key; arrays become lists."""
+    plain = lambda v: v.tolist() if hasattr(v, "tolist") else str(v)
+    rows = [(str(k), json.dumps(v, default=plain)) for k, v in values.items()]
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> dict:
+    return {r["key"]: json.loads(r["value"]) for r in spark.read.parquet(path).collect()}
+
+
+def write_predictions(predictions: DataFrame, path: str, name: str = "all") -> None:
+    """(gid, pred, y, loss) under path, a folder per name; writing again replaces it."""
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions/name={name}")
+
+
+def write_rankings(ratios: DataFrame, path: str) -> None:
+    """Contributions and their ratios, a folder per dimension and kind."""
+    ratios.write.mode("overwrite").partitionBy("dim", "kind").parquet(f"{path}/rankings")
+
+
+def write_epochs(spark: SparkSession, log: list[dict], path: str, run_id: str) -> None:
+    """The records of a training as rows (epoch, loss_train, loss_valid, seconds, saved), a folder per run; writing again replaces it."""
+    rows = [(x["epoch"], float(x["loss_train"]), float(x["loss_valid"]), float(x["seconds"]), bool(x["saved"])) for x in log]
+    spark.createDataFrame(rows, "epoch int, loss_train double, loss_valid double, seconds double, saved boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/epochs/run_id={run_id}")
+
+
 def system_info(spark: SparkSession) -> DataFrame:
     context = spark.sparkContext
     row = (platform.node(), platform.system(), platform.machine(), platform.python_version(), spark.version, context.master, context.defaultParallelism)

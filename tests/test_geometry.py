@@ -82,7 +82,7 @@ def test_minimum_image_in_a_cell(spark):
     assert np.allclose(row, (f - np.round(f)) @ np.array(cell))
 
 
-def test_knn_blocks_ties_and_duplicates(spark, monkeypatch):
+def test_knn_blocks_ties_and_duplicates(spark):
     draw = np.random.default_rng(3)
     x = draw.integers(0, 3, (60, 3)).astype(float)  # many ties and equal points
     cloud = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, x array<double>")
@@ -91,8 +91,7 @@ def test_knn_blocks_ties_and_duplicates(spark, monkeypatch):
         near = sorted((float(np.linalg.norm(x[i] - x[j])), j) for j in range(60) if j != i)[:4]
         want |= {(i, j, r + 1) for r, (_, j) in enumerate(near)}
     for most in (64_000_000, 400):
-        monkeypatch.setattr(neighbors.vector_blocks, "__defaults__", (most,))
-        assert {(r.src, r.dst, r.rank) for r in neighbors.knn(cloud, 4).collect()} == want
+        assert {(r.src, r.dst, r.rank) for r in neighbors.knn(cloud, 4, most_bytes=most).collect()} == want
 
 
 def test_neighbors_by_radius_need_enough(spark):
@@ -158,3 +157,38 @@ def test_structure_files(spark, tmp_path):
 def test_clouds_are_reproducible(spark):
     a, b = (tables.random_clouds(spark, 5, 10, 20, 3)[0].orderBy("gid", "node_id").collect() for _ in range(2))
     assert a == b and len(a) == sum((10, 12, 15, 17, 20)) and all(-1 <= v <= 1 for r in a for v in r.x)
+
+
+def test_blocks_of_vectors_meet(spark):
+    draw = np.random.default_rng(8)
+    x = np.round(draw.normal(0, 1, (60, 3)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, x array<double>").repartition(3)
+    few = spark.createDataFrame([(100 + i, v.tolist()) for i, v in enumerate(x[:10])], "node_id long, x array<double>")
+    rows = lambda f: sorted((r.src, r.rank, r.dst, round(r.dist, 9)) for r in f.collect())
+    for most in (24 * 60 // 4, 24 * 60 // 7):
+        assert rows(neighbors.knn(df, 4, most_bytes=most)) == rows(neighbors.knn(df, 4))
+        assert rows(neighbors.knn(df, 2, few, positive=True, most_bytes=most // 5)) == rows(neighbors.knn(df, 2, few, positive=True))
+    assert neighbors.knn(df.limit(0), 3).count() == 0
+
+
+def test_minimum_images_in_cells_and_groups(spark):
+    draw = np.random.default_rng(3)
+    x = draw.uniform(-5, 25, (150, 3))
+    df = spark.createDataFrame([(i % 2, i, *map(float, v)) for i, v in enumerate(x)], "gid int, node_id long, x double, y double, z double")
+    rows = lambda f: sorted((r.gid, r.src, r.dst, *(round(r[c], 9) for c in ("dist", "dx", "dy", "dz"))) for r in f.collect())
+    for box in ((20.0, 20.0, 20.0), (20.0, None, 13.0), (None, None, None), (20.0, 7.0, 20.0)):
+        cells, group = (rows(neighbors.minimum_image_graph(df, 4.0, box, method=m)) for m in ("cells", "group"))
+        assert cells == group and len(cells) > 100
+
+
+def test_edges_of_one_large_graph(spark):
+    draw = np.random.default_rng(5)
+    edges = sorted({(int(a), int(b)) for a, b in draw.integers(0, 300, (900, 2))})
+    got = graphs.with_edge_ids_of_one(spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect()
+    assert sorted((r.edge_id, r.src, r.dst) for r in got) == [(i, *e) for i, e in enumerate(edges)]
+
+
+def test_carried_columns(spark):
+    df = spark.createDataFrame([(0, 0, "A", 0.0), (0, 1, "B", 1.0), (0, 2, "C", 9.0)], "gid int, node_id long, symbol string, x double").selectExpr("*", "0D AS y", "0D AS z")
+    for method in ("cells", "group"):
+        assert {(r.src_symbol, r.dst_symbol) for r in neighbors.radius_graph(df, 2.0, method=method, carry=("symbol",)).collect()} == {("A", "B"), ("B", "A")}

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -94,6 +95,38 @@ def test_samples_partition_their_input(spark, tmp_path):
     assert {r["role"]: r["count"] for r in roles} == {"test": 10, "pretrain": 18, "training": 58, "validation": 14}
 
 
+def test_draws_are_exact_whatever_the_ties(spark):
+    df = spark.createDataFrame([(i // 3, "x" if i % 7 else None, i) for i in range(3000)], "id long, cluster string, __n int").repartition(5)
+    for n in (0, 1, 500, 2999, 3000, 9000):
+        got = sampling.first_rows(df, n, "id", 4)
+        assert got.columns == ["id", "cluster", "__n", "drawn"] and got.where("drawn").count() == min(n, 3000) and got.count() == 3000
+    per = sampling.first_rows(df, 100, "id", 4, ("cluster",)).where("drawn").groupBy("cluster").count().collect()
+    assert {r.cluster: r["count"] for r in per} == {"x": 100, None: 100}
+    want = sorted(range(1000), key=lambda i: hashlib.md5(f"4:{i}".encode()).hexdigest())[:50]
+    assert {r.id for r in sampling.first_rows(df, 150, "id", 4).where("drawn").collect()} == set(want)
+
+
+def test_running_sums_and_parts(spark):
+    draw = random.Random(6)
+    rows = [(i * 3, draw.randrange(0, 9)) for i in range(700)]
+    df = spark.createDataFrame(rows, "part_id long, n long").repartition(7)
+    total, want = 0, {}
+    for i, n in rows:
+        total += n
+        want[i] = total
+    for ranges in (1, 10, 2000):
+        assert {r.part_id: r.upto for r in training_windows.running_sum(df, "n", "part_id", ranges=ranges).collect()} == want
+    part = [i for i, n in rows for _ in range(n)]
+    got = readout.part_of(spark.range(total + 5).withColumnRenamed("id", "ordinal"), df).collect()
+    assert {r.ordinal: r.part_id for r in got} == dict(enumerate(part)) and len(got) == total
+    assert readout.part_of(spark.range(5).withColumnRenamed("id", "ordinal"), df.limit(0)).count() == 0
+
+
+def test_ratios_keep_other_columns(spark):
+    rows = spark.createDataFrame([(0, "atom", 0, [1.0, 0.0], "X"), (0, "bond", 0, [3.0, 0.0], "Y")], "gid int, kind string, local_id int, value array<double>, type_key string")
+    assert {(r.kind, r.dim, r.type_key, r.ratio) for r in readout.contribution_ratios(rows).collect()} == {("atom", 0, "X", 0.25), ("bond", 0, "Y", 0.75), ("atom", 1, "X", None), ("bond", 1, "Y", None)}
+
+
 def test_quota_tops_up_and_takes_small_clusters(spark):
     df = spark.createDataFrame([(i, 0 if i < 2 else 1) for i in range(50)], "id long, cluster int")
     got = sampling.by_quota(df, 0.4, 3).collect()
