@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +27,15 @@ def expand(x: Column, start: float, end: float, count: int, basis: str = "gaussi
     return (gaussian if basis == "gaussian" else bessel)(x, start, end, count)
 
 
+def normal_numbers(count: int, seed: int) -> list[float]:
+    """Normal numbers that any engine can repeat, from digests of "seed:place" by the polar formula."""
+    share = lambda i: int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:12], 16)
+    return [math.sqrt(-2 * math.log((share(2 * i) + 1) / (2.0**48 + 1))) * math.cos(2 * math.pi * (share(2 * i + 1) / 2.0**48)) for i in range(count)]
+
+
 def random_fourier(x: Column, size: int, sigma: float = 1.0, seed: int = 0) -> Column:
     """[cos(2 pi x B), sin(2 pi x B)] with size / 2 fixed normal numbers B."""
-    b = F.array(*(F.lit(float(v)) for v in np.random.default_rng(seed).normal(0, sigma, size // 2)))
+    b = F.array(*(F.lit(sigma * v) for v in normal_numbers(size // 2, seed)))
     wave = lambda f: F.transform(b, lambda v: f(F.lit(2 * math.pi) * x * v))
     return F.concat(wave(F.cos), wave(F.sin))
 

@@ -278,8 +278,8 @@ def train(
 
     It stops once the mean change of the validation loss over the last most
     epochs is within tolerance and their mean within most_loss; batches are
-    dealt anew every reshuffle epochs. valid None, as for a first training:
-    the training loss stands for both. save(weights, record), if given, is
+    dealt anew every reshuffle epochs. valid None, as for a first training,
+    or without rows: the training loss stands for both. save(weights, record), if given, is
     called in every epoch that is the best so far. share: of the worst graphs,
     for the loss "max_n_percent".
     """
@@ -301,7 +301,7 @@ def train(
             record = {"epoch": epoch, "loss_train": lost / max(seen, 1), "loss_valid": lost / max(seen, 1)}
             if valid is not None:
                 _, valid_lost, valid_n = gradients(valid, weights, settings, loss, share=share)
-                record["loss_valid"] = valid_lost / max(valid_n, 1)
+                record["loss_valid"] = valid_lost / valid_n if valid_n else record["loss_train"]
             record |= {"seconds": time.time() - began, "saved": False}
             log.append(record)
             if record["loss_train"] < best[0]:

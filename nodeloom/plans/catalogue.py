@@ -12,6 +12,7 @@ from ..operators import chemistry, gop, graphs, neighbors, paths, readout, sampl
 from ..operators.components import connected_components
 from ..sources import elements as element_table
 from ..storage import cut
+from . import net_sql
 from .views import CLOUD_SQL, CUTOFF, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,7 +262,7 @@ def required_species(spark, d):
     return chemistry.require_species(atoms(spark, d), ["A", "R"]).where(F.col("symbol").isin("A", "R")).select("symbol").distinct()
 
 
-@query()
+@query(f"SELECT CAST(unnest(range(1, {len(element_table.SYMBOLS) + 1})) AS INTEGER) AS z, unnest(string_split('{' '.join(element_table.SYMBOLS)}', ' ')) AS symbol")
 def periodic_table(spark, d):
     return element_table.elements(spark)
 
@@ -419,6 +420,11 @@ def gop_graph(spark, d):
     return gop.predict(own, [3.2, 6.5], [("A", "A"), ("A", "N")], k=2, edges=e).withColumn("gop", r("gop", 5))
 
 
+@query("SELECT gid, CAST(row_number() OVER (PARTITION BY gid ORDER BY cutoff, a, b) - 1 AS INTEGER) AS place, gop AS value FROM (" + gop_sql(GOP_ATOMS) + ")")
+def gop_features(spark, d):
+    return gop.flattened(gop_atoms(spark, d)).select("gid", F.posexplode("features").alias("place", "value"))
+
+
 # ---- edges, masks, sets ----------------------------------------------------
 
 
@@ -575,6 +581,17 @@ def gamma_v2(spark, d):
     return paths.assign_gammas(points, label_path(spark, d), "2", 3, cutoff=1.5).select("id", r("gamma").alias("gamma"))
 
 
+@query(f"""WITH {knn_sql(3)}, path AS (SELECT node, x, gamma FROM (WITH {NODES_SQL.replace(CLOUD_SQL + ", ", "")}, steps AS (SELECT node, x, coalesce(list_distance(x, lag(x) OVER (ORDER BY node)), 0) AS step FROM cent) SELECT node, x, sum(step) OVER (ORDER BY node) / sum(step) OVER () AS gamma FROM steps)),
+p AS (SELECT c.node_id AS id, gamma, list_distance(c.x, path.x) AS dist, row_number() OVER (PARTITION BY c.node_id ORDER BY list_distance(c.x, path.x), node) AS i FROM cloud c, path WHERE list_distance(c.x, path.x) > 0),
+g1 AS (SELECT id, greatest(0, avg(CASE WHEN dist < 1.5 THEN 0.5 * (cos(pi() / 1.5 * dist) + 1) ELSE 0 END * gamma)) AS gamma FROM p WHERE i <= 3 GROUP BY id),
+near AS (SELECT src, dst, dist FROM knn UNION ALL SELECT node_id, node_id, 0 FROM cloud), w AS (SELECT src, dst, CASE WHEN dist < 0.001 THEN 1 WHEN dist < 1.5 THEN 0.5 * (cos(pi() / 1.5 * dist) + 1) ELSE 0 END AS w FROM near),
+g2 AS (SELECT src, sum(w * gamma) / 4 AS gamma FROM w JOIN g1 ON g1.id = dst GROUP BY src)
+SELECT w.src AS id, round(sum(w * gamma) / 4, 6) AS gamma FROM w JOIN g2 ON g2.src = dst GROUP BY w.src""")
+def gamma_iterated(spark, d):
+    points = cloud(spark, d).withColumnRenamed("node_id", "id")
+    return paths.assign_gammas(points, label_path(spark, d), "2", 3, iterations=3, cutoff=1.5).select("id", r("gamma").alias("gamma"))
+
+
 @query(f"""WITH {knn_sql(2)}, near AS (SELECT src, dst, dist FROM knn UNION ALL SELECT node_id, node_id, 0 FROM cloud), w AS (SELECT src, dst, CASE WHEN dist < 0.001 THEN 1 WHEN dist < 1.8 THEN 0.5 * (cos(pi() / 1.8 * dist) + 1) ELSE 0 END AS w FROM near),
 g1 AS (SELECT src, sum(w * label) / 3 AS gamma FROM w JOIN cloud ON node_id = dst GROUP BY src), g2 AS (SELECT w.src, sum(w * gamma) / 3 AS gamma FROM w JOIN g1 ON g1.src = dst GROUP BY w.src)
 SELECT src AS id, round(gamma, 6) AS gamma FROM g2""")
@@ -583,12 +600,32 @@ def gamma_smooth(spark, d):
     return paths.smooth(points, points.select("id", F.col("label").cast("double").alias("gamma")), 2, 2, 1.8).select("id", r("gamma").alias("gamma"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {knn_sql(7)}, near AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM knn UNION ALL SELECT dst, src, dist FROM knn) GROUP BY ALL),
+steps AS (SELECT src, list(dst ORDER BY dist, dst) AS there FROM near GROUP BY src),
+walk(i, path, seen) AS (SELECT 0, [0::BIGINT], [0::BIGINT] UNION ALL
+SELECT i + 1, CASE WHEN n IS NULL THEN path[1:len(path) - 1] ELSE list_append(path, n) END, CASE WHEN n IS NULL THEN seen ELSE list_append(seen, n) END
+FROM (SELECT i, path, seen, list_filter(there, lambda x: NOT list_contains(seen, x))[1] AS n FROM walk JOIN steps ON steps.src = path[len(path)] WHERE path[len(path)] <> 1)),
+last AS (SELECT path FROM walk ORDER BY i DESC LIMIT 1), nodes AS (SELECT unnest(path) AS node_id, unnest(range(len(path))) AS o FROM last),
+legs AS (SELECT o, coalesce(list_distance(x, lag(x) OVER (ORDER BY o)), 0) AS leg FROM nodes JOIN cloud USING (node_id))
+SELECT CAST(o AS INTEGER) AS "order", round(sum(leg) OVER (ORDER BY o) / sum(leg) OVER (), 6) AS gamma FROM legs""")
 def latent_path(spark, d):
     points = cloud(spark, d).withColumnRenamed("node_id", "id")
     return paths.latent_path(points, 0, 1, 7).select("order", r("gamma").alias("gamma"))
 
 
+def latent_path_version(version):
+    def run(spark, d):
+        points = cloud(spark, d).withColumnRenamed("node_id", "id")
+        return paths.latent_path(points, 0, 1, 7, version, 0.1).select("order", r("gamma").alias("gamma"))
+
+    run.__name__ = f"latent_path_v{version}"
+    return query()(run)
+
+
+for _version in "23":
+    latent_path_version(_version)
+
+
 @query(f"WITH {CLOUD_SQL} SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(x[i]), 6) AS value FROM (SELECT * FROM cloud ORDER BY node_id LIMIT 20), range(1, 65) t(i) GROUP BY i")
 def boundary_mean(spark, d):
     return paths.boundary_mean(cloud(spark, d), first=20, order="node_id").withColumn("value", r("value"))
@@ -637,9 +674,13 @@ def angle_between(spark, d):
     return a.join(b, "node_id").select("node_id", r(vectors.angle_between(F.col("x"), F.col("y"))).alias("angle"))
 
 
-@query()
+@query("""WITH u AS (SELECT i, (CAST('0x' || substr(md5('0:' || (2 * i)), 1, 12) AS BIGINT) + 1) / 281474976710657.0::DOUBLE AS a, CAST('0x' || substr(md5('0:' || (2 * i + 1)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS b FROM range(4) t(i)),
+f AS (SELECT i, sqrt(-2 * ln(a)) * cos(2 * pi() * b) AS f FROM u)
+SELECT p_partkey, CAST(i AS INTEGER) AS i, round(cos(2 * pi() * (p_size / 50.0::DOUBLE) * f), 6) + 0.0 AS cosine, round(sin(2 * pi() * (p_size / 50.0::DOUBLE) * f), 6) + 0.0 AS sine FROM part, f""")
 def fourier_features(spark, d):
-    return table(spark, d, "part").select("p_partkey", basis.random_fourier(F.col("p_size") / F.lit(50.0), 8).alias("features"))
+    waves = basis.random_fourier(F.col("p_size") / F.lit(50.0), 8)
+    each = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), waves.alias("w"))
+    return each.select("p_partkey", "i", (r(F.get("w", F.col("i"))) + 0.0).alias("cosine"), (r(F.get("w", F.col("i") + 4)) + 0.0).alias("sine"))
 
 
 # ---- runs ------------------------------------------------------------------
@@ -691,7 +732,14 @@ def cumulative_amounts(spark, d):
 
 # ---- networks --------------------------------------------------------------
 
-NET = {"species": 3, "dim": 8, "convs": 2, "cutoff": CUTOFF}
+NET = {"species": 3, "dim": 4, "convs": 1, "cutoff": CUTOFF}
+GATED = {"net": "gated", "species": 3, "dim": 3, "convs": 2, "cutoff": CUTOFF}
+MESH = {"net": "mesh_graph", "species": 3, "dim": 3, "convs": 2, "out_dim": 2}
+GRAPH_SQL = f"""{ATOMS}, {EDGES_SQL.replace("edges AS (", "edges AS MATERIALIZED (", 1)},
+species_atoms AS (SELECT gid, node_id, dense_rank() OVER (ORDER BY symbol) - 1 AS species FROM atoms),
+angles AS (SELECT u.gid, u.edge_id AS edge_u, v.edge_id AS edge_v, coalesce(acos(greatest(-1, least(1, (u.dx * v.dx + u.dy * v.dy + u.dz * v.dz) / nullif(u.dist * v.dist, 0)))), 0) AS angle
+FROM edges u JOIN edges v ON u.gid = v.gid AND u.dst = v.dst AND u.edge_id <> v.edge_id),
+targets AS (SELECT gid, avg(x) / 50 AS y FROM atoms GROUP BY gid)"""
 
 
 def packed_graphs(spark, d):
@@ -703,18 +751,59 @@ def packed_graphs(spark, d):
     return train.pack({"nodes": own, "edges": e, "angles": graphs.bond_angles(e).fillna({"angle": 0.0})}, targets)
 
 
-@query()
+_STEPS, _LAST = net_sql.line_graph_sql(net_sql.fixed_weights(NET), NET)
+
+
+@query(f"WITH {GRAPH_SQL}, {_STEPS} SELECT gid, round(pred, 5) AS pred, round((pred - y) ** 2, 5) AS loss FROM {_LAST} JOIN targets USING (gid)")
 def gnn_forward(spark, d):
     from ..operators.nn import train
 
-    return train.predictions(packed_graphs(spark, d), train.initial_weights(NET), NET).select("gid", "pred", "loss")
+    return train.predictions(packed_graphs(spark, d), net_sql.fixed_weights(NET), NET).select("gid", r(F.col("pred")[0], 5).alias("pred"), r("loss", 5).alias("loss"))
 
 
-@query()
+_STEPS, _LAST = net_sql.latent_sql(net_sql.fixed_weights(NET), NET)
+
+
+@query(f"WITH {GRAPH_SQL}, {_STEPS} SELECT gid, dim, round(value, 5) AS value FROM {_LAST}")
 def gnn_latent(spark, d):
     from ..operators.nn import train
 
-    return train.latent_space(packed_graphs(spark, d), train.initial_weights(NET), NET)
+    found = train.latent_space(packed_graphs(spark, d), net_sql.fixed_weights(NET), NET)
+    return found.select("gid", F.posexplode("x").alias("dim", "v")).select("gid", "dim", r("v", 5).alias("value"))
+
+
+_STEPS, _LAST = net_sql.gated_sql(net_sql.fixed_weights(GATED), GATED)
+
+
+@query(f"WITH {GRAPH_SQL}, {_STEPS} SELECT gid, round(pred, 5) AS pred FROM {_LAST}")
+def gnn_gated(spark, d):
+    from ..operators.nn import train
+
+    return train.predictions(packed_graphs(spark, d), net_sql.fixed_weights(GATED), GATED).select("gid", r(F.col("pred")[0], 5).alias("pred"))
+
+
+_STEPS, _LAST = net_sql.mesh_sql(net_sql.fixed_weights(MESH), MESH)
+
+
+@query(f"WITH {GRAPH_SQL}, {_STEPS} SELECT gid, dim, round(pred, 5) AS pred FROM {_LAST}")
+def gnn_mesh(spark, d):
+    from ..operators.nn import train
+
+    found = train.predictions(packed_graphs(spark, d), net_sql.fixed_weights(MESH), MESH)
+    return found.select("gid", F.posexplode("pred").alias("dim", "p")).select("gid", "dim", r("p", 5).alias("pred"))
+
+
+_STEPS, _LAST = net_sql.line_graph_sql(net_sql.fixed_weights(NET), NET)
+
+
+@query(f"""WITH {GRAPH_SQL}, {_STEPS}, n AS (SELECT gid, (SELECT count(*) FROM atoms a WHERE a.gid = t.gid) + (SELECT count(*) FROM edges e WHERE e.gid = t.gid) + (SELECT count(*) FROM angles g WHERE g.gid = t.gid) AS rows_ FROM targets t)
+SELECT count(*) AS graphs, round(avg((pred - y) ** 2), 5) AS loss, round(avg(2 * (pred - y) * rows_), 4) AS slope FROM {_LAST} JOIN targets USING (gid) JOIN n USING (gid)""")
+def gnn_loss_and_slope(spark, d):
+    """The loss over all graphs and its slope in the decoder's last bias, which every row adds once, as back propagation has it."""
+    from ..operators.nn import train
+
+    found, lost, n = train.gradients(packed_graphs(spark, d), net_sql.fixed_weights(NET), NET)
+    return spark.createDataFrame([(n, round(lost / n, 5), round(float(found["dec.1.b"][0, 0]) / n, 4))], "graphs long, loss double, slope double")
 
 
 @query()
@@ -724,5 +813,3 @@ def gnn_train(spark, d):
     packed = packed_graphs(spark, d)
     _, log = train.train(packed.where("gid % 5 <> 0"), packed.where("gid % 5 = 0"), NET, epochs=3)
     return spark.createDataFrame([(x["epoch"], x["loss_train"], x["loss_valid"]) for x in log], "epoch int, loss_train double, loss_valid double")
-
-

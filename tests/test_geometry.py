@@ -192,3 +192,40 @@ def test_carried_columns(spark):
     df = spark.createDataFrame([(0, 0, "A", 0.0), (0, 1, "B", 1.0), (0, 2, "C", 9.0)], "gid int, node_id long, symbol string, x double").selectExpr("*", "0D AS y", "0D AS z")
     for method in ("cells", "group"):
         assert {(r.src_symbol, r.dst_symbol) for r in neighbors.radius_graph(df, 2.0, method=method, carry=("symbol",)).collect()} == {("A", "B"), ("B", "A")}
+
+
+OUTCAR = """ vasp.5.4.4
+   VRHFIN =Co: d8 s1
+   VRHFIN =Mo: 4d55s1
+ SYSTEM = two of a kind
+   ions per type =               2   1
+      direct lattice vectors                 reciprocal lattice vectors
+     4.000000000  0.000000000  0.000000000     0.250000000  0.000000000  0.000000000
+     0.000000000  5.000000000 -0.500000000     0.000000000  0.200000000  0.000000000
+     0.000000000  0.000000000  6.000000000     0.000000000  0.000000000  0.166666667
+  free energy    TOTEN  =        -1.00000000 eV
+ POSITION                                       TOTAL-FORCE (eV/Angst)
+ -----------------------------------------------------------------------------------
+      0.00000      0.00000      0.00000         0.100000     -0.200000      0.300000
+      1.00000      2.00000      3.00000         0.000000      0.000000      0.000000
+     -1.50000      2.50000      0.00000        -0.100000      0.200000     -0.300000
+ -----------------------------------------------------------------------------------
+  FREE ENERGIE OF THE ION-ELECTRON SYSTEM (eV)
+  free  energy   TOTEN  =       ENERGY eV
+  energy  without entropy=      -9.00000000  energy(sigma->0) =       -8.50000000
+"""
+
+
+def test_outcar(spark, tmp_path):
+    (tmp_path / "A").mkdir()
+    second = OUTCAR[OUTCAR.index(" POSITION") :].replace("1.00000      2.00000", "1.25000      2.00000").replace("-8.5", "-8.75")
+    (tmp_path / "A" / "OUTCAR").write_text(OUTCAR.replace("ENERGY", "-8.25") + second.replace("ENERGY", "-8.5"))
+    (tmp_path / "A" / "OUTCAR.cut").write_text(OUTCAR.replace("ENERGY", "-8.25") + second[:200])
+    (tmp_path / "A" / "OUTCAR.none").write_text("nothing")
+    got = {r.structure_id: r for r in structures.read_outcar(spark, str(tmp_path / "A")).collect()}
+    assert set(got) == {"A/OUTCAR", "A/OUTCAR.cut"}
+    r = got["A/OUTCAR"]
+    assert (r.step, r.energy, r.free_energy, r.symbols, r.comment) == (1, -8.75, -8.5, ["Co", "Co", "Mo"], "two of a kind")
+    assert r.positions[1] == [1.25, 2.0, 3.0] and r.cell[1] == [0.0, 5.0, -0.5] and r.forces[2] == [-0.1, 0.2, -0.3] and got["A/OUTCAR.cut"].step == 0
+    assert structures.read_outcar(spark, str(tmp_path / "A"), last=False).count() == 3
+    assert structures.atoms_of(structures.read_outcar(spark, str(tmp_path / "A/OUTCAR"))).count() == 3

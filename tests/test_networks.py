@@ -55,7 +55,64 @@ def test_nodes_in_any_order():
     assert np.allclose(one[0].data[order], two[0].data) and np.allclose(one[1].data, two[1].data)
 
 
-@pytest.mark.parametrize("name", ["sgd", "momentum", "adam", "adamw", "rmsprop", "adagrad", "adamax", "nadam", "radam", "adadelta", "asgd", "rprop", "lion"])
+def test_a_graph_without_angles_does_not_depend_on_its_batch():
+    b = batch(6)
+    p = models.Params(seed=1)
+    models.line_graph_net(p, b, 3, 8, 2, 4.0)
+    own = lambda k: b.graph[k] == 0
+    none = np.zeros(0, int)
+    few = models.Batch(b.species, b.src, b.dst, b.dist, none, none, np.zeros(0), np.zeros(0, bool), b.graph | {"angle": none})
+    more = models.Batch(*(np.concatenate([getattr(few, c), getattr(b, c) + s]) for c, s in (("species", 0), ("src", 7), ("dst", 7), ("dist", 0), ("u", 16), ("v", 16), ("angle", 0))), np.concatenate([few.dihedral, b.dihedral]), {k: np.concatenate([few.graph[k], b.graph[k] + 2]) for k in b.graph})
+    alone, together = (models.line_graph_net(models.Params(p.arrays()), x, 3, 8, 2, 4.0) for x in (few, more))
+    assert np.allclose(alone[0].data, together[0].data[:7]) and np.allclose(alone[1].data, together[1].data[:16]) and own("atom").any()
+
+
+def steps_of(name, rate, grads, start):
+    w, step, out = {"w": np.array(start)}, train.Optimizer(name, rate), []
+    for g in grads:
+        w = step.step(w, {"w": np.array(g)})
+        out.append(w["w"].copy())
+    return np.array(out)
+
+
+def test_optimizers_by_their_formulas():
+    """Two or three steps written out by hand."""
+    g = [[1.0, -2.0], [0.5, 0.0], [-1.0, 1.0]]
+    start = [1.0, 1.0]
+    # averaged descent: the weight shrinks, the rate falls
+    got = steps_of("ASGD", 0.1, g, start)
+    w, eta = np.array(start), 0.1
+    for t, x in enumerate(g, 1):
+        w = w * (1 - 1e-4 * eta) - eta * np.array(x)
+        eta = 0.1 / (1 + 1e-4 * 0.1 * t) ** 0.75
+        assert np.allclose(got[t - 1], w, atol=1e-12)
+    # sparse moments: nothing happens where there is no gradient
+    got = steps_of("SparseAdam", 0.1, g, start)
+    assert got[1][1] == got[0][1] != got[2][1] and np.allclose(got[0], np.array(start) - 0.1 * np.sign(g[0]), atol=1e-6)
+    m, v = 0.1 * 1.0, 0.001 * 1.0
+    m, v = 0.9 * m + 0.1 * 0.5, 0.999 * v + 0.001 * 0.25
+    assert np.isclose(got[1][0], got[0][0] - 0.1 * np.sqrt(1 - 0.999**2) / (1 - 0.9**2) * m / (np.sqrt(v) + 1e-8))
+    # momentum that warms up
+    got = steps_of("NAdam", 0.1, g[:1], start)
+    mu1, mu2 = (0.9 * (1 - 0.5 * 0.96 ** (i * 0.004)) for i in (1, 2))
+    x = np.array(g[0])
+    root = np.sqrt(0.001 * x * x / (1 - 0.999)) + 1e-8
+    assert np.allclose(got[0], np.array(start) - 0.1 * (1 - mu1) / (1 - mu1) * x / root - 0.1 * mu2 / (1 - mu1 * mu2) * 0.1 * x / root)
+    with pytest.raises(ValueError, match="nope"):
+        train.Optimizer("nope")
+
+
+def test_lbfgs_solves_a_quadratic():
+    a = np.diag([1.0, 10.0, 100.0])
+    w, step = {"b": np.array([5.0, -3.0]), "c": np.array([[2.0]])}, train.Optimizer("LBFGS", 1.0)
+    for _ in range(60):
+        x = np.concatenate([w["b"], w["c"].ravel()])
+        g = a @ x
+        w = step.step(w, {"b": g[:2], "c": g[2:].reshape(1, 1)})
+    assert np.abs(w["b"]).max() < 1e-6 and abs(w["c"][0, 0]) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["sparseadam", "sgd", "momentum", "adam", "adamw", "rmsprop", "adagrad", "adamax", "nadam", "radam", "adadelta", "asgd", "rprop", "lion"])
 def test_optimizers_descend(name):
     w, step = {"w": np.array([3.0, -2.0])}, train.Optimizer(name, 1.0 if name in ("adadelta", "adagrad") else 0.05)
     for _ in range(400):
@@ -85,3 +142,59 @@ def test_training_on_spark(spark, tmp_path):
     back = tables.read_model(spark, str(tmp_path / "m"))
     assert all(np.array_equal(back[k], weights[k]) for k in weights) and tables.read_model_info(spark, str(tmp_path / "m"))[0]["model_id"] == "one"
     assert train.latent_space(packed, weights, settings).count() == 12
+
+
+def small_graphs(spark):
+    points, targets = tables.random_clouds(spark, 10, 4, 7, 3)
+    named = points.selectExpr("*", "x[0] AS px", "x[1] AS py", "x[2] AS pz")
+    a, b = (named.select("gid", *(F.col(c).alias(f"{n}_{c}") for c in ("node_id", "px", "py", "pz"))) for n in "ab")
+    pairs = a.join(b, "gid").where("a_node_id <> b_node_id")
+    edges = pairs.selectExpr("gid", "a_node_id AS src", "b_node_id AS dst", "b_px - a_px AS dx", "b_py - a_py AS dy", "b_pz - a_pz AS dz").withColumn("dist", F.sqrt(F.expr("dx * dx + dy * dy + dz * dz")))
+    edges = graphs.with_edge_ids(edges.where("dist < 1.5"))
+    return points, edges, targets
+
+
+@pytest.mark.parametrize("settings", [{"net": "mesh_graph", "species": 4, "dim": 6, "convs": 1, "out_dim": 1}, {"net": "mesh_graph", "species": 4, "dim": 6, "convs": 1, "out_dim": 1, "time_dim": 4}, {"net": "gated", "species": 4, "dim": 6, "convs": 1, "cutoff": 2.0}, {"species": 4, "dim": 6, "convs": 1, "cutoff": 2.0, "generic": True, "features": 3}, {"species": 4, "dim": 6, "convs": 1, "cutoff": 2.0, "positive": True, "conv": "gated_v2"}])
+def test_every_network_trains_on_spark(spark, settings):
+    points, edges, targets = small_graphs(spark)
+    nodes = points.withColumn("features", F.col("x")) if settings.get("generic") else points
+    times = targets.select("gid", F.rand(3).alias("time"))
+    packed = train.pack({"nodes": nodes, "edges": edges, "angles": graphs.bond_angles(edges).fillna({"angle": 0.0})}, targets, times)
+    weights, log = train.train(packed, None, settings, epochs=5, rate=0.003, loss="max_n_percent" if settings.get("net") == "gated" else "mse", share=0.5)
+    assert min(x["loss_train"] for x in log[1:]) < log[0]["loss_train"] and log[0]["saved"]
+    assert {r.kind for r in train.contributions(packed, weights, settings).select("kind").distinct().collect()} == set(models.NETS[settings.get("net", "line_graph")][1])
+    with pytest.raises(ValueError):
+        train.gradients(packed, weights, settings, loss="nope")
+    with pytest.raises(ValueError):
+        train.initial_weights({"net": "nope"})
+
+
+def test_a_run_from_its_settings(spark, tmp_path):
+    from nodeloom.plans import config, runner
+
+    points, edges, targets = small_graphs(spark)
+    packed = train.pack({"nodes": points, "edges": edges, "angles": graphs.bond_angles(edges).fillna({"angle": 0.0})}, targets).cache()
+    run = config.Run(config.Sampling(split=0.15), config.Model(species=4, dim=6, convs=1, cutoff=2.0, interpretable=True), config.Training(epochs=3, pretrain_epochs=2, batch_size=4, learning_rate=0.01, tolerance=0.0), str(tmp_path / "m"), str(tmp_path / "d"))
+    weights, log = runner.run_training(packed, run, "first")
+    read = lambda p: spark.read.parquet(str(tmp_path / p))
+    roles = {r.role: r["count"] for r in read("d/splits/first").groupBy("role").count().collect()}
+    assert sum(roles.values()) == 10 and set(roles) == {"test", "pretrain", "training", "validation"}
+    assert read("m/first/epochs").groupBy("run_id").count().count() == 2 and len(log) == 3
+    assert read("d/results/first/predictions").count() == roles["test"] and {"kind", "dim", "ratio"} <= set(read("d/results/first/rankings").columns)
+    saved = tables.read_model(spark, str(tmp_path / "m/first/training"))
+    assert set(saved) == set(weights) and tables.read_model_info(spark, str(tmp_path / "m/first/training"))[0]["saved"]
+    assert config.Run.from_json("\n".join(r.value for r in spark.read.text(str(tmp_path / "m/first/settings"), wholetext=True).collect())) == run
+    packed.unpersist()
+
+
+def test_dictionaries_and_loaders(spark, tmp_path):
+    from nodeloom.operators import training_windows
+
+    tables.write_dictionary(spark, {"a": np.arange(3), "b": {"c": [1.5, None]}}, str(tmp_path / "x"))
+    assert tables.read_dictionary(spark, str(tmp_path / "x")) == {"a": [0, 1, 2], "b": {"c": [1.5, None]}}
+    rows = spark.range(100).withColumnRenamed("id", "gid")
+    both = training_windows.loader({"training": rows, "validation": rows}, 1, (5, 10, 50))
+    assert both["training"].select("batch").distinct().count() == 10 and both["validation"].select("batch").distinct().count() == 2
+    assert set(training_windows.loader({"validation": rows}, 2, (5, 10, 50))) == {"validation"}
+    with pytest.raises(ValueError):
+        training_windows.loader({}, 3, (1, 1, 1))
