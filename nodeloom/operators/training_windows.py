@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.search import place_in
+
 
 def early_stop(epochs: DataFrame, most: int, tolerance: float, keys: tuple[str, ...] = ("run_id",), order: str = "epoch", loss: str = "loss_valid") -> DataFrame:
     """epochs with delta, mean_delta and mean_loss over the last most epochs, and stop: whether the mean change is within tolerance."""
@@ -61,8 +63,7 @@ def running_sum(rows: DataFrame, value: str, order: str, name: str = "upto", ran
     range carries on what came before.
     """
     bounds = sorted(set(rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    cut = rows.withColumn("__range", part)
+    cut = rows.withColumn("__range", place_in(bounds, F.col(order)))
     sums = cut.groupBy("__range").agg(F.sum(value).alias("__sum"))  # one row per range
     before = sums.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__before"))
     inner = running_total(cut, value, ("__range",), order, name).join(F.broadcast(before), "__range")

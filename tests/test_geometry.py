@@ -229,3 +229,13 @@ def test_outcar(spark, tmp_path):
     assert r.positions[1] == [1.25, 2.0, 3.0] and r.cell[1] == [0.0, 5.0, -0.5] and r.forces[2] == [-0.1, 0.2, -0.3] and got["A/OUTCAR.cut"].step == 0
     assert structures.read_outcar(spark, str(tmp_path / "A"), last=False).count() == 3
     assert structures.atoms_of(structures.read_outcar(spark, str(tmp_path / "A/OUTCAR"))).count() == 3
+
+
+def test_places_by_bisection(spark):
+    from nodeloom.functions.search import place_in
+
+    values = spark.createDataFrame([(v,) for v in [None, *range(-2, 40)]], "x long")
+    for n in (0, 1, 2, 3, 7, 8, 9, 30):
+        bounds = list(range(0, n))
+        got = values.select("x", place_in(bounds, F.col("x")).alias("p")).collect()
+        assert all(r.p == (0 if r.x is None else sum(b <= r.x for b in bounds)) for r in got)
