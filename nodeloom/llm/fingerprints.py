@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.search import place_in
 from .common import WORD, let, parallelism, sha256_of
 
 WORDS, BINS, BITS = 5, 128, 8
@@ -82,8 +83,7 @@ def with_next(rows: DataFrame, columns: list[str], tie: str) -> DataFrame:
     count = 4 * parallelism(spark)
     bounds = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)).first()[0] or []
     bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    keyed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)).withColumn("tie", F.xxhash64(tie))
+    keyed = rows.withColumn("part", place_in(bounds, F.col("doc_id"))).withColumn("tie", F.xxhash64(tie))
     key = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("tie").alias("t"))
     firsts = {r["part"]: r["first"] for r in keyed.groupBy("part").agg(F.max(key).alias("first")).collect()}
     there = sorted(firsts)
