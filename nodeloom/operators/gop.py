@@ -12,15 +12,54 @@ from .neighbors import radius_graph
 DIGITS = 9
 
 
+def stars(edges: DataFrame, keys: tuple[str, ...], most: int = 1_000_000) -> DataFrame:
+    """(keys.., src, dst) that join what edges join, fewer and shorter: each task joins the edges of its own graphs, up to most nodes at a time, and names the smallest node for every other."""
+    names = [*keys, "src", "dst"]
+    schema = edges.select(*names).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = None
+        parent: dict = {}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def out():
+            rows = [(*x[0], x[1], root(x)[1]) for x in parent if root(x) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names]
+            for *key, u, v in zip(*(batch.column(c).to_pylist() for c in names)):
+                key = tuple(key)
+                a, b = ((key, n) for n in (u, v))
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b, key=lambda x: x[1])] = min(a, b, key=lambda x: x[1])
+            if len(parent) >= most:
+                yield out()
+        if parent:
+            yield out()
+
+    return edges.select(*names).repartition(*keys).mapInArrow(run, schema)
+
+
 def linked_components(edges: DataFrame, keys: tuple[str, ...], cut=stored_cut) -> DataFrame:
-    """(keys.., node_id, component) of the nodes that an edge (keys.., src, dst) joins: all graphs are one to connected_components, their keys part of each node."""
+    """(keys.., node_id, component) of the nodes that an edge (keys.., src, dst) joins: all graphs are one to connected_components, their keys part of each node. Small graphs come to it as stars, which it only confirms; a graph of any size may take its rounds."""
     node = lambda c: F.struct(*keys, F.col(c).alias("node"))
-    found = connected_components(edges.select(node("src").alias("u"), node("dst").alias("v")), cut)
+    found = connected_components(stars(edges, keys).select(node("src").alias("u"), node("dst").alias("v")), cut)
     return found.select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.node").alias("node_id"), F.col("component.node").alias("component"))
 
 
 def order_parameter(nodes: DataFrame, edges: DataFrame, k: float = 1, keys: tuple[str, ...] = ("gid",), components: DataFrame | None = None, cut=stored_cut) -> DataFrame:
-    """(keys.., gop) from nodes (keys.., node_id) and undirected edges (keys.., src < dst, weight).
+    """(keys.., gop) from nodes or groups (keys.., ..) and undirected edges (keys.., src < dst, weight).
 
     In every component the share p of nodes that have the same weighted degree
     gives p ln p + degree * p, their sum goes to the power k above 0, and the
@@ -48,19 +87,19 @@ def parameters(spark, cutoffs: list[float], interactions: list[tuple[str, str]])
 
 
 def pair_edges(atoms: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], keys: tuple[str, ...] = ("gid",), method: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) per group, cutoff and interaction: atoms of either species, weight 1 / r where 0.01 < r < cutoff; no images.
+    """(groups, edges) per group, cutoff and interaction that has atoms of either species; edges have weight 1 / r where 0.01 < r < cutoff; no images.
 
     Neighbors are looked for once, at the largest cutoff; each pair then counts
     for the parameters that its distance and species fit.
     """
     params = F.broadcast(parameters(atoms.sparkSession, cutoffs, interactions))  # as many rows as were asked for
-    nodes = atoms.join(params, (F.col("symbol") == F.col("a")) | (F.col("symbol") == F.col("b")))
     inner = [*keys, "cutoff", "a", "b"]
+    groups = atoms.select(*keys, "symbol").distinct().join(params, (F.col("symbol") == F.col("a")) | (F.col("symbol") == F.col("b"))).select(*inner).distinct()
     pairs = radius_graph(atoms, max(cutoffs), method=method, keys=keys, carry=("symbol",)).where("src < dst AND dist > 0.01")
     s1, s2 = F.col("src_symbol"), F.col("dst_symbol")
     species = ((s1 == F.col("a")) & (s2 == F.col("b"))) | ((s1 == F.col("b")) & (s2 == F.col("a")))
     edges = pairs.join(params, species & (F.col("dist") < F.col("cutoff")))
-    return nodes.select(*inner, "node_id"), edges.select(*inner, "src", "dst", (1 / F.col("dist")).alias("weight"))
+    return groups, edges.select(*inner, "src", "dst", (1 / F.col("dist")).alias("weight"))
 
 
 def graph_pair_edges(nodes: DataFrame, edges: DataFrame, cutoffs: list[float], interactions: list[tuple[str, str]], keys: tuple[str, ...] = ("gid",), legacy: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -410,7 +410,7 @@ GOP_GRAPH = f"SELECT p.gid, p.cutoff, p.a, p.b, p.node_id AS src, q.node_id AS d
 
 @query(gop_sql(GOP_ATOMS))
 def gop_atoms(spark, d):
-    return gop.predict(atoms(spark, d), [3.2, 6.5], [("A", "A"), ("A", "N")], k=2).withColumn("gop", r("gop", 5))
+    return gop.predict(cut(atoms(spark, d)), [3.2, 6.5], [("A", "A"), ("A", "N")], k=2).withColumn("gop", r("gop", 5))
 
 
 @query(gop_sql(GOP_GRAPH))

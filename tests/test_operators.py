@@ -65,6 +65,26 @@ def test_order_parameter_of_a_star_and_a_loner(spark):
         assert math.isclose(gop.order_parameter(nodes, edges, k).first().gop, star**k + 0.0)
 
 
+def test_stars_join_what_edges_join(spark):
+    draw = random.Random(8)
+    rows = [(g, draw.randrange(60), draw.randrange(60)) for g in ("x", "y", None) for _ in range(45)] + [("z", i, i + 1) for i in range(80)]
+    edges = spark.createDataFrame(rows, "gid string, src long, dst long")
+    for most in (10**6, 5):
+        found = {(r.gid, r.node_id): r.component for r in gop.linked_components(spark.createDataFrame(gop.stars(edges, ("gid",), most).collect(), edges.schema), ("gid",)).collect()}
+        parent = {(g, n): n for g, u, v in rows for n in (u, v)}
+
+        def root(g, n):
+            while parent[g, n] != n:
+                n = parent[g, n]
+            return n
+
+        for g, u, v in rows:
+            a, b = root(g, u), root(g, v)
+            parent[g, max(a, b)] = min(a, b)
+        several = {(g, n) for g, u, v in rows if u != v for n in (u, v)}
+        assert found == {(g, n): root(g, n) for g, n in several}
+
+
 def test_order_parameter_ignores_numbering_and_place(spark):
     x = np.random.default_rng(2).uniform(0, 3, (12, 3))
     frame = lambda y, ids: spark.createDataFrame([(0, int(i), "AB"[j % 2], *map(float, v)) for j, (i, v) in enumerate(zip(ids, y))], "gid int, node_id long, symbol string, x double, y double, z double")
