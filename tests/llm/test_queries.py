@@ -85,6 +85,42 @@ def test_op3(spark, docs):
         assert got[d].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
 
 
+def test_op1(spark):
+    """Every offset of every query and every clip of the table, one by one: no false links, and few missed."""
+    import numpy as np
+
+    from nodeloom.llm import chroma
+
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    prints = {i: chroma.fingerprint(chroma.sonify(v)) for i, v in vectors.items()}
+    classes: dict = {}
+    for i in sorted(prints):
+        classes.setdefault(prints[i].tobytes(), []).append(i)
+    named = {ids[0]: np.frombuffer(k, np.uint32) for k, ids in classes.items()}
+    asking = [ids[0] for ids in classes.values() if any(i % 50 == 0 for i in ids)]
+    got = {r.vec_id: r for r in queries.op1_chroma_fingerprints(spark, SF).collect()}
+    assert set(got) == set(vectors)
+    links = found = 0
+    for c, a in named.items():
+        best = {}
+        for q in asking:
+            b, errors = named[q], {}
+            for d in range(3 - len(b), len(a) - 2):
+                x, y = (a[d:], b) if d >= 0 else (a, b[-d:])
+                n = min(len(x), len(y))
+                errors[d] = np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
+            if q != c and errors and min(errors.values()) <= chroma.MOST_ERROR:
+                best[q] = errors
+        r = got[c]
+        links, found = links + len(best), found + min(r.n_links, len(best))
+        assert r.n_frames == len(a) and r.n_links <= len(best)
+        if r.n_links:
+            assert abs(best[r.best_query][r.offset] - r.bit_error) < 1e-6
+    assert links > 100 and found >= 0.9 * links
+    for ids in classes.values():
+        assert len({(got[i].class_id, got[i].n_links, got[i].best_query) for i in ids}) == 1 and got[ids[0]].class_id == ids[0]
+
+
 def test_op4(spark, docs):
     """Scores by hand from the fitted model, and how well they do on the held-out labels."""
     scores = {r.doc_id: r for r in queries.op4_toxicity(spark, SF).collect()}
