@@ -37,6 +37,8 @@ from .tokens import mixed
 EDITS = ((32, 1), (96, 2))
 #: So many different lines under one key are paired where they meet; more are dealt into blocks of about BLOCK_CHARS characters.
 GROUP, BLOCK_CHARS = 128, 1 << 23
+#: About so many characters are cut into lines at once.
+PIECE = 1 << 19
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _CLASS = np.uint64(31)
 
@@ -59,7 +61,7 @@ class _Tables:
             for i, factor in enumerate(_FACTORS):
                 both = []
                 for x in (factor, pow(factor, -1, 1 << 64)):
-                    steps = np.full(2 * n, x, np.uint64)
+                    steps = np.full(n + n // 4, x, np.uint64)
                     steps[0] = 1
                     both.append(np.multiply.accumulate(steps))
                 self.power[i] = tuple(both)
@@ -116,6 +118,34 @@ class Cut:
         return np.bitwise_xor.reduceat(np.concatenate((bit, np.zeros(2, np.uint64))), self.start)
 
 
+def cuts(texts: list[str], most: int = PIECE):
+    """Cut after Cut of all lines of the texts, each of about most characters, so that memory doesn't grow with the texts: longer ones are taken apart at line feeds. Numbers of texts and lines are those in the whole."""
+    held, size = [], 0
+
+    def made():
+        rows, firsts = np.array([r for r, _, _ in held]), np.array([f for _, f, _ in held])
+        found = Cut([x for _, _, x in held])
+        found.number, found.text = found.number + firsts[found.text], rows[found.text]
+        held.clear()
+        return found
+
+    for row, text in enumerate(texts):
+        at = first = 0
+        while at <= len(text):
+            stop = len(text)
+            if stop - at > most:
+                stop = text.rfind("\n", at, at + most)
+                stop = text.find("\n", at + most) if stop < 0 else stop
+                stop = len(text) if stop < 0 else stop
+            if held and size + stop - at > most:
+                yield made()
+                size = 0
+            held.append((row, first, text[at:stop]))
+            size, first, at = size + stop - at, first + text.count("\n", at, stop) + 1, stop + 1
+    if held:
+        yield made()
+
+
 def places(t: int, shorter: int):
     """(segment from 0, shift) at which a line holds a segment of one that is shorter by so many and within t edits."""
     for i in range(t + 1):
@@ -242,10 +272,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            lines = Cut(batch.column("text").to_pylist())
-            keep = np.flatnonzero(~lines.blank)
-            doc, tag = (batch.column(c).to_numpy(zero_copy_only=False)[lines.text[keep]] for c in ("doc_id", "tag"))
-            yield _arrow((lines.id[keep].astype(np.int64), lines.check()[keep], doc, tag, lines.number[keep]), schema)
+            for lines in cuts(batch.column("text").to_pylist()):
+                keep = np.flatnonzero(~lines.blank)
+                doc, tag = (batch.column(c).to_numpy(zero_copy_only=False)[lines.text[keep]] for c in ("doc_id", "tag"))
+                yield _arrow((lines.id[keep].astype(np.int64), lines.check()[keep], doc, tag, lines.number[keep]), schema)
 
     return docs.mapInArrow(run, schema)
 
@@ -269,8 +299,7 @@ def meetings(docs: DataFrame, edits=EDITS, group: int = GROUP, chars_per_block:
             return _arrow(zip(*rows) if rows else [[]] * 4, blobs)
 
         held, chars, seen = [], 0, np.empty(0, np.uint64)
-        for batch in slices(batches):
-            lines = Cut(batch.column("text").to_pylist())
+        for lines in (x for batch in slices(batches) for x in cuts(batch.column("text").to_pylist())):
             _, once = np.unique(lines.id, return_index=True)
             once = once[~np.isin(lines.id[once], seen) & (lines.length[once] >= least) & ~lines.blank[once]]
             seen = np.concatenate((seen, lines.id[once]))
@@ -309,12 +338,10 @@ def texts_of(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, least: int)
     schema = _schema(id=T.LongType(), check=T.LongType(), line=T.StringType())
 
     def run(batches):
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            lines = Cut(texts)
+        for texts, lines in ((texts, x) for batch in slices(batches) for texts in [batch.column("text").to_pylist()] for x in cuts(texts)):
             _, once = np.unique(lines.id, return_index=True)
             once = once[lines.length[once] >= least]
-            cut_texts = [x.split("\n") for x in texts]
+            cut_texts = {t: texts[t].split("\n") for t in set(lines.text[once].tolist())}
             yield _arrow((lines.id[once].astype(np.int64), lines.check()[once], [cut_texts[t][n] for t, n in zip(lines.text[once].tolist(), lines.number[once].tolist())]), schema)
 
     found = docs.mapInArrow(run, schema).join(wanted, F.col("id") == F.col("want")).groupBy("id", "check").agg(F.first("line").alias("line"))

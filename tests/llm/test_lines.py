@@ -117,3 +117,16 @@ def test_part_hashes():
     assert found.text.tolist() == [0, 1, 2, 2] and found.number.tolist() == [0, 0, 0, 1]
     one = found.part(np.array([0, 0, 3]), np.array([0, 3, 0]), 2)
     assert one[0] == one[1] == one[2] != found.part(np.array([0]), 1, 2)[0]
+
+
+def test_pieces_of_long_texts():
+    draw = random.Random(3)
+    texts = ["\n".join("x" * draw.randrange(12) for _ in range(draw.randrange(1, 40))) for _ in range(30)] + ["", "\n", "y" * 100, "\n\n" + "z" * 70 + "\n"]
+    want = [(t, n, len(x)) for t, text in enumerate(texts) for n, x in enumerate(text.split("\n"))]
+    whole = lines.Cut(texts)
+    for most in (1, 7, 50, 10_000):
+        parts = list(lines.cuts(texts, most))
+        assert [x for p in parts for x in zip(p.text.tolist(), p.number.tolist(), p.length.tolist())] == want
+        assert np.concatenate([p.id for p in parts]).tolist() == whole.id.tolist() and np.concatenate([p.check() for p in parts]).tolist() == whole.check().tolist()
+        assert np.concatenate([p.blank for p in parts]).tolist() == whole.blank.tolist() and np.concatenate([p.parity for p in parts]).tolist() == whole.parity.tolist()
+    assert list(lines.cuts([])) == []
