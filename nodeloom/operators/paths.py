@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basis import cosine_cutoff
 from ..functions.vectors import distance
+from ..storage import cut as stored_cut
 from .neighbors import k_nearest_nodes, knn, nearest_node
 
 
@@ -116,13 +117,14 @@ def assign_gammas(points: DataFrame, path: DataFrame, version: str = "1", k: int
     return gammas
 
 
-def smooth(points: DataFrame, gammas: DataFrame, k: int = 2, iterations: int = 1, cutoff: float = 10.0, id_col: str = "id", vec: str = "x", cut=lambda df: df) -> DataFrame:
+def smooth(points: DataFrame, gammas: DataFrame, k: int = 2, iterations: int = 1, cutoff: float = 10.0, id_col: str = "id", vec: str = "x", cut=stored_cut) -> DataFrame:
     """(id, gamma): iterations times the sum of gamma over a point and its k nearest, weighed by a cosine of the distance, over k + 1. cut: ends the lineage after a round."""
     near = knn(points.select(F.col(id_col).alias("node_id"), F.col(vec).alias("x")), k, include_self=True)
-    near = near.withColumn("w", F.when(F.col("dist") < 1e-3, 1.0).otherwise(cosine_cutoff(F.col("dist"), cutoff))).select("src", "dst", "w").cache()
-    for _ in range(iterations):
+    near = near.withColumn("w", F.when(F.col("dist") < 1e-3, 1.0).otherwise(cosine_cutoff(F.col("dist"), cutoff))).select("src", "dst", "w")
+    near = cut(near) if iterations > 1 else near  # read in every round
+    for i in range(iterations):
         gammas = near.join(gammas.select(F.col(id_col).alias("dst"), "gamma"), "dst").groupBy(F.col("src").alias(id_col)).agg((F.sum(F.col("w") * F.col("gamma")) / (k + 1)).alias("gamma"))
-        gammas = cut(gammas)
+        gammas = cut(gammas) if i + 1 < iterations else gammas
     return gammas
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import basis, geometry, vectors
 from ..operators import chemistry, gop, graphs, neighbors, paths, readout, sampling, training_windows
-from ..operators.components import connected_components
+from ..operators.components import connected_components, has_path
 from ..sources import elements as element_table
-from ..storage import cut
+from ..sources import structures, tables
+from ..storage import cut, shared_dir
+from ..streaming import graphs as streams
 from . import net_sql
 from .views import CLOUD_SQL, CUTOFF, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
 
@@ -730,6 +733,140 @@ def cumulative_amounts(spark, d):
     return training_windows.running_sum(counts, "n", "gid").select("gid", "n", (F.col("upto") - 1).cast("long").alias("last"))
 
 
+# ---- sources, sinks and streams --------------------------------------------
+
+
+def new_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {ATOMS}, {EDGES_SQL} SELECT e.gid, edge_id, src, dst, a.symbol AS symbol, round(dist, 6) AS dist FROM edges e JOIN atoms a ON a.gid = e.gid AND a.node_id = e.src")
+def graph_sink(spark, d):
+    """A graph written as tables and read again."""
+    own, path = atoms(spark, d), new_folder(spark, "graph")
+    tables.write_graph({"nodes": own, "edges": edges_of(spark, d)}, path)
+    back = tables.read_graph(spark, path, ("nodes", "edges"))
+    met = back["edges"].join(back["nodes"].select("gid", F.col("node_id").alias("src"), "symbol"), ["gid", "src"])
+    return met.select("gid", F.col("edge_id").cast("long").alias("edge_id"), "src", "dst", "symbol", r("dist").alias("dist"))
+
+
+@query("SELECT o_orderkey AS gid, o_totalprice FROM orders WHERE o_orderkey % 5 = 1 AND (o_orderkey // 5) % 3 = 2")
+def split_rows(spark, d):
+    """The rows of one role and model of a written split."""
+    own, path = table(spark, d, "orders").select(F.col("o_orderkey").alias("gid"), "o_totalprice"), new_folder(spark, "split")
+    role = F.element_at(F.array(*map(F.lit, ("test", "training", "validation", "pretrain", "none"))), (F.col("gid") % 5 + 1).cast("int"))
+    own.select("gid", role.alias("role"), (F.floor(F.col("gid") / 5) % 3).cast("int").alias("model_iter")).write.parquet(path)
+    return tables.read_split(own, spark.read.parquet(path), "training", 2)
+
+
+@query(f"WITH {atoms_sql('l_suppkey')} SELECT CAST(gid AS VARCHAR) AS structure_id, node_id, symbol, x, y, z FROM atoms")
+def extxyz_round_trip(spark, d):
+    """Structures written as extended XYZ files, one for a supplier, and read again."""
+    own, path = atoms(spark, d, "l_suppkey").withColumn("structure_id", F.col("gid").cast("string")), new_folder(spark, "xyz")
+    cell = F.array(*(F.array(*(F.lit(60.0 * (i == j)) for j in range(3))) for i in range(3)))
+    structures.write_extxyz(structures.labelled_extxyz(own.withColumn("label", F.col("node_id")), own.select("structure_id").distinct().withColumn("cell", cell), 4.0), path)
+    found = structures.atoms_of(structures.read_extxyz(spark, f"{path}/*/*.txt", folder=True))
+    return found.select("structure_id", "node_id", "symbol", "x", "y", "z")
+
+
+@query(f"WITH {RUNS_SQL} SELECT CAST(epoch AS INTEGER) AS epoch, loss_train, loss_valid, seconds, loss_train < 500 AS saved, CAST(run_id AS VARCHAR) AS run_id FROM runs")
+def epoch_log(spark, d):
+    """The records of all runs written as trainings do, and read again."""
+    path = new_folder(spark, "epochs")
+    tables.write_epoch_rows(runs(spark, d).withColumn("saved", F.col("loss_train") < 500), path)
+    return tables.read_epochs(spark, path)
+
+
+@query(f"WITH {RATIO_SQL} SELECT CAST(0 AS INTEGER) AS dim, kind, gid, local_id, round(ratio, 6) AS ratio FROM ratios")
+def rankings_sink(spark, d):
+    path = new_folder(spark, "rankings")
+    tables.write_rankings(ratio_rows(spark, d), path)
+    return spark.read.parquet(f"{path}/rankings").select("dim", "kind", "gid", "local_id", r("ratio").alias("ratio"))
+
+
+@query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, round(dist, 6) AS dist FROM edges")
+def streamed_graphs(spark, d):
+    """Structures that arrive as files, one batch each, and the graphs that are left of them."""
+    path = new_folder(spark, "stream")
+    own = atoms(spark, d).select("gid", "node_id", "x", "y", "z")
+    own.repartition(3, "gid").write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.build_graphs(arriving, CUTOFF, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("gid", "src", "dst", r("dist").alias("dist"))
+
+
+# ---- further functions on columns -------------------------------------------
+
+
+@query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, edge_id, dx, dy, dz FROM edges")
+def edge_vectors(spark, d):
+    e = edges_of(spark, d).drop("dx", "dy", "dz")
+    return graphs.edge_vectors(e, atoms(spark, d)).select("gid", F.col("edge_id").cast("long").alias("edge_id"), "dx", "dy", "dz")
+
+
+@query(f"WITH {CLOUD_SQL} SELECT node_id, CAST(i - 1 AS INTEGER) AS dim, round(x[i] / sqrt(list_dot_product(x, x)), 6) + 0.0 AS value FROM cloud, range(1, 65) t(i)")
+def unit_vectors(spark, d):
+    return cloud(spark, d).select("node_id", F.posexplode(vectors.unit(F.col("x"))).alias("dim", "v")).select("node_id", "dim", (r("v") + 0.0).alias("value"))
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS i, round(p_size * (-1 + i * 2 / 4.0::DOUBLE), 6) + 0.0 AS value FROM part, range(5) t(i)")
+def linspace(spark, d):
+    t = table(spark, d, "part").select("p_partkey", "p_size", F.posexplode(basis.linspace(-1.0, 1.0, 5)).alias("i", "v"))
+    return t.select("p_partkey", "i", (r(F.col("p_size") * F.col("v")) + 0.0).alias("value"))
+
+
+@query("SELECT p_partkey, greatest(1000.0::DOUBLE, p_retailprice) AS value FROM part")
+def clipped(spark, d):
+    return table(spark, d, "part").select("p_partkey", basis.clip_low(F.col("p_retailprice"), 1000.0).alias("value"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x, l_linenumber * 3.0::DOUBLE AS y, l_tax * 100 AS z FROM lineitem),
+f AS (SELECT *, x / 10.3::DOUBLE - y * 2.1::DOUBLE / 89.61::DOUBLE AS a, y / 8.7::DOUBLE AS b, z / 5.3::DOUBLE AS c FROM v), w AS (SELECT *, a - round(a) AS p, b - round(b) AS q, c - round(c) AS s FROM f)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(10.3::DOUBLE * p + 2.1::DOUBLE * q, 6) + 0.0 AS dx, round(8.7::DOUBLE * q, 6) + 0.0 AS dy, round(5.3::DOUBLE * s, 6) + 0.0 AS dz FROM w""")
+def minimum_image_oblique(spark, d):
+    """Shortest images in an oblique cell, of lengths that leave no difference on the border between two images."""
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity AS x", "l_linenumber * 3.0D AS y", "l_tax * 100 AS z")
+    image = geometry.minimum_image_cell(tuple(F.col(c) for c in "xyz"), [[10.3, 0, 0], [2.1, 8.7, 0], [0, 0, 5.3]])
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *((r(v) + 0.0).alias(f"d{c}") for c, v in zip("xyz", image)))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def mask_index(spark, d):
+    return graphs.mask_to_index(index_mask(spark, d))
+
+
+@query(f"""WITH {ATOMS}, {EDGES_SQL}, rows_ AS (SELECT gid, 0 AS dim, price AS v FROM atoms UNION ALL SELECT gid, 1, x FROM atoms UNION ALL SELECT gid, 0, dist FROM edges UNION ALL SELECT gid, 1, -dist FROM edges)
+SELECT gid, CAST(dim AS INTEGER) AS dim, round(sum(v), 4) AS total, round(avg(v), 6) AS mean FROM rows_ GROUP BY gid, dim""")
+def vector_readout(spark, d):
+    """Two outputs of atoms and bonds, stacked, summed and averaged in every graph."""
+    own, e = atoms(spark, d), edges_of(spark, d)
+    rows = readout.stacked(own.select("gid", F.col("node_id").alias("local_id"), F.array("price", "x").alias("value")), e.select("gid", F.col("edge_id").cast("long").alias("local_id"), F.array(F.col("dist"), -F.col("dist")).alias("value")), None)
+    sums, means = readout.accumulated(rows, "exact").withColumnRenamed("value", "total"), readout.readout(rows, "mean").withColumnRenamed("value", "mean")
+    return sums.join(means, ["gid", "dim"]).select("gid", "dim", r("total", 4).alias("total"), r("mean").alias("mean"))
+
+
+@query(f"""WITH {ATOMS}, rows_ AS (SELECT 0 AS dim, price AS v FROM atoms UNION ALL SELECT 1, x FROM atoms) SELECT CAST(dim AS INTEGER) AS dim, round(sum(v), 2) AS value FROM rows_ GROUP BY dim""")
+def vector_total(spark, d):
+    rows = readout.stacked(atoms(spark, d).select("gid", F.col("node_id").alias("local_id"), F.array("price", "x").alias("value")), None, None)
+    return readout.accumulated(rows, "sum").withColumn("value", r("value", 2))
+
+
+@query(f"""WITH RECURSIVE {KNN1}, links AS (SELECT src AS a, dst AS b FROM knn UNION SELECT dst, src FROM knn),
+reach(a, b) AS (SELECT node_id, node_id FROM cloud UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT x.node_id AS a, y.node_id AS b, EXISTS (SELECT 1 FROM reach WHERE reach.a = x.node_id AND reach.b = y.node_id) AS linked FROM cloud x JOIN cloud y ON y.node_id = (x.node_id * 7 + 3) % (SELECT count(*) FROM cloud)""")
+def paths_between(spark, d):
+    points = cloud(spark, d).select("node_id")
+    near = neighbors.knn(cloud(spark, d), 1).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    pairs = points.select(F.col("node_id").alias("a"), F.pmod(F.col("node_id") * 7 + 3, F.lit(points.count())).alias("b"))
+    return has_path(near, pairs, cut)
+
+
+@query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, count(*) AS n, round(sum(dist), 4) AS total FROM edges GROUP BY gid")
+def built_by_kind(spark, d):
+    found = graphs.build("atomic", atoms(spark, d), CUTOFF, angles=False, method="group")["edges"]
+    return found.groupBy("gid").agg(F.count("*").alias("n"), r(F.sum("dist"), 4).alias("total"))
+
+
 # ---- networks --------------------------------------------------------------
 
 NET = {"species": 3, "dim": 4, "convs": 1, "cutoff": CUTOFF}

@@ -89,8 +89,8 @@ def read_outcar(spark: SparkSession, path: str, last: bool = True) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, FRAME)
 
 
-def _read(spark: SparkSession, path: str, parse) -> DataFrame:
-    """Whole files as text, one task per some of them; the id is the file's name without its ending."""
+def _read(spark: SparkSession, path: str, parse, folder: bool = False) -> DataFrame:
+    """Whole files as text, one task per some of them; the id is the file's name without its ending, or with folder what its folder's name says behind an equals sign."""
 
     def run(frames):
         import pandas as pd
@@ -99,6 +99,8 @@ def _read(spark: SparkSession, path: str, parse) -> DataFrame:
             rows = []
             for name, text in zip(frame["path"], frame["value"]):
                 stem = re.sub(r"\.[^.]*$", "", name.rsplit("/", 1)[-1]) if name.endswith((".poscar", ".xyz", ".extxyz", ".vasp")) else name.rsplit("/", 1)[-1]
+                if folder:
+                    stem = name.rsplit("/", 2)[-2].rsplit("=", 1)[-1]
                 found = parse(text)
                 found = found if isinstance(found, list) else [found]
                 rows += [(stem if len(found) == 1 else f"{stem}#{i}", *f) for i, f in enumerate(found)]
@@ -111,8 +113,8 @@ def read_poscar(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, parse_poscar)
 
 
-def read_extxyz(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, parse_extxyz)
+def read_extxyz(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
+    return _read(spark, path, parse_extxyz, folder)
 
 
 def atoms_of(structures: DataFrame) -> DataFrame:

@@ -72,10 +72,23 @@ def write_rankings(ratios: DataFrame, path: str) -> None:
     ratios.write.mode("overwrite").partitionBy("dim", "kind").parquet(f"{path}/rankings")
 
 
+EPOCH = "epoch int, loss_train double, loss_valid double, seconds double, saved boolean"
+
+
 def write_epochs(spark: SparkSession, log: list[dict], path: str, run_id: str) -> None:
-    """The records of a training as rows (epoch, loss_train, loss_valid, seconds, saved), a folder per run; writing again replaces it."""
+    """The records of a training as rows of EPOCH, a folder per run; writing again replaces it."""
     rows = [(x["epoch"], float(x["loss_train"]), float(x["loss_valid"]), float(x["seconds"]), bool(x["saved"])) for x in log]
-    spark.createDataFrame(rows, "epoch int, loss_train double, loss_valid double, seconds double, saved boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/epochs/run_id={run_id}")
+    spark.createDataFrame(rows, EPOCH).coalesce(1).write.mode("overwrite").parquet(f"{path}/epochs/run_id={run_id}")
+
+
+def write_epoch_rows(epochs: DataFrame, path: str) -> None:
+    """The same for rows of EPOCH of many runs (run_id, ..) at once; runs that are there already are replaced."""
+    typed = epochs.select(*(F.col(name).cast(kind) for name, kind in (x.split() for x in EPOCH.split(", "))), F.col("run_id").cast("string"))
+    typed.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/epochs")
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{EPOCH}, run_id string").parquet(f"{path}/epochs")
 
 
 def system_info(spark: SparkSession) -> DataFrame:
