@@ -29,6 +29,9 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
+_after, _before = list(range(1, 257)), list(range(-1, 256))  # to be copied by short pieces
+
+
 class Encoder(dict):
     """Piece of text -> its ids as little-endian unsigned 32-bit integers; remembers keep to 2 * keep pieces."""
 
@@ -44,6 +47,7 @@ class Encoder(dict):
         if any(bytes([b]) not in ranks for b in range(256)) or len(self.vocabulary) < len(ranks) or min(ranks.values()) < 0 or max(ranks.values()) >= 1 << 32:
             raise ValueError("ranks must name every single byte, each token by a number of its own below 2^32")
         self.single = [ranks[bytes([b])] for b in range(256)]
+        self.first = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]  # the ranks of two bytes
         self.leaves = [0] * ((max(ranks.values()) >> 8) + 1)  # all 0 between pieces
         self.bits = [1 << i for i in range(max(256, len(self.leaves)))]
         # White space as Unicode has it: the module's own \s takes in four more control characters.
@@ -64,32 +68,39 @@ class Encoder(dict):
         """The ids of one piece: always the pair of lowest rank, of equal ones the leftmost, becomes one token."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        n, get, leaves, bits = len(piece), self.pairs.get, self.leaves, self.bits
+        n, get, leaves, bits, first = len(piece), self.pairs.get, self.leaves, self.bits, self.first
         ids = list(map(self.single.__getitem__, piece))
-        waiting = [get(a << 32 | b) for a, b in zip(ids, ids[1:])]  # the rank of the pair that starts here
+        waiting = [first[a][b] for a, b in zip(piece, piece[1:])]  # the rank of the pair that starts here
         waiting.append(None)
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        buckets: dict[int, list[int]] = {}
+        after, before = (_after[:n], _before[: n + 1]) if n <= len(_after) else (list(range(1, n + 1)), list(range(-1, n)))
+        buckets: dict = {}  # a position, or a heap of several
         top = 0
         for i, rank in enumerate(waiting):
             if rank is not None:
                 if rank in buckets:
-                    buckets[rank].append(i)
+                    held = buckets[rank]
+                    if held.__class__ is list:
+                        held.append(i)
+                    else:
+                        buckets[rank] = [held, i]
                 else:
-                    buckets[rank] = [i]
-                    leaves[rank >> 8] |= bits[rank & 255]
-                    top |= bits[rank >> 8]
+                    buckets[rank] = i
+                    leaf = rank >> 8
+                    leaves[leaf] |= bits[rank & 255]
+                    top |= bits[leaf]
         while top:
             leaf = (top & -top).bit_length() - 1
             word = leaves[leaf]
-            rank = (leaf << 8) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+            low = word & -word
+            rank = (leaf << 8) + low.bit_length() - 1
+            i = buckets[rank]
+            if i.__class__ is list:
+                held, i = i, heappop(i)
+                if len(held) == 1:
+                    buckets[rank] = held[0]
             else:
-                i = bucket[0]
                 del buckets[rank]
-                leaves[leaf] = word = word & (word - 1)
+                leaves[leaf] = word = word ^ low
                 if not word:
                     top &= top - 1
             if waiting[i] != rank:
@@ -97,24 +108,35 @@ class Encoder(dict):
             j = after[i]
             k = after[i] = after[j]
             ids[i], waiting[j], before[k] = rank, None, i
-            waiting[i] = new = get(rank << 32 | ids[k]) if k < n else None
-            if new is not None:
-                if new in buckets:
-                    heappush(buckets[new], i)
-                else:
-                    buckets[new] = [i]
-                    leaves[new >> 8] |= bits[new & 255]
-                    top |= bits[new >> 8]
             p = before[i]
+            new = get(rank << 32 | ids[k]) if k < n else None
+            waiting[i] = new
             if p >= 0:
-                waiting[p] = new = get(ids[p] << 32 | rank)
-                if new is not None:
-                    if new in buckets:
-                        heappush(buckets[new], p)
+                waiting[p] = left = get(ids[p] << 32 | rank)
+                if left is not None:
+                    if left in buckets:
+                        held = buckets[left]
+                        if held.__class__ is list:
+                            heappush(held, p)
+                        else:
+                            buckets[left] = [held, p] if held < p else [p, held]
+                    else:
+                        buckets[left] = p
+                        leaf = left >> 8
+                        leaves[leaf] |= bits[left & 255]
+                        top |= bits[leaf]
+            if new is not None:
+                if new in buckets:
+                    held = buckets[new]
+                    if held.__class__ is list:
+                        heappush(held, i)
                     else:
-                        buckets[new] = [p]
-                        leaves[new >> 8] |= bits[new & 255]
-                        top |= bits[new >> 8]
+                        buckets[new] = [held, i] if held < i else [i, held]
+                else:
+                    buckets[new] = i
+                    leaf = new >> 8
+                    leaves[leaf] |= bits[new & 255]
+                    top |= bits[leaf]
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -141,19 +163,18 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _mapped(df: DataFrame, made: str, source: str, content: bytes, pattern: str, decode: bool) -> DataFrame:
-    schema = T.StructType([f for f in df.schema.fields if f.name not in (made, source)] + [T.StructField(made, T.BinaryType())])
+def _mapped(df: DataFrame, dropped: str, made: list[str], content: bytes, pattern: str, work) -> DataFrame:
+    """df without the column dropped and with binary columns made, of which work(coder, value of dropped) gives one each."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (*made, dropped)] + [T.StructField(m, T.BinaryType()) for m in made])
     shipped = df.sparkSession.sparkContext.broadcast(content)  # a vocabulary file, about a megabyte whatever the input
 
     def run(batches):
         import pyarrow as pa
 
         coder = encoder(shipped.value, pattern)
-        work = coder.decode if decode else coder.encode
-        empty = b"" if decode else ""
         for batch in slices(batches):
-            out = pa.array([work(empty if x is None else x) for x in batch.column(source).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema.fields[:-1]] + [out], names=[f.name for f in schema.fields])
+            out = zip(*(work(coder, x) for x in batch.column(dropped).to_pylist())) if batch.num_rows else [[]] * len(made)
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema.fields[: -len(made)]] + [pa.array(c, pa.binary()) for c in out], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -167,10 +188,20 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     gives an empty result. Rows stay as they are otherwise, repeated ones and
     other columns too.
     """
-    return _mapped(docs, out_col, text_col, ranks, pattern, False)
+    return _mapped(docs, text_col, [out_col], ranks, pattern, lambda coder, text: (coder.encode(text or ""),))
 
 
 def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """tokens with out_col added: the bytes that the ids stand for; null ids give none."""
     (copy,) = fresh([*tokens.columns, out_col], "ids")
-    return _mapped(tokens.withColumn(copy, F.col(ids_col)), out_col, copy, ranks, pattern, True)
+    return _mapped(tokens.withColumn(copy, F.col(ids_col)), copy, [out_col], ranks, pattern, lambda coder, ids: (coder.decode(ids or b""),))
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """docs with text_col replaced by ids_col and out_col: encode() and then decode() of its ids, in one worker, so that a vocabulary is held once for each task."""
+
+    def both(coder, text):
+        ids = coder.encode(text or "")
+        return ids, coder.decode(ids)
+
+    return _mapped(docs, text_col, [ids_col, out_col], ranks, pattern, both)

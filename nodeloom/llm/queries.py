@@ -44,10 +44,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
-    ranks, pattern = tokenizer()
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), *tokenizer())
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

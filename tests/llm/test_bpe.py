@@ -50,6 +50,7 @@ def test_frames(spark, known):
     assert len(rows) == 5
     for r, text in zip(sorted(rows, key=lambda r: bytes(r.decoded)), ["", "", "Ab cd", "Ab cd", "é" * 5000]):
         assert bytes(r.decoded) == text.encode() and ids(bytes(r.token_ids)) == known.encode_ordinary(text)
+    assert sorted(map(tuple, bpe.round_trip(docs, ranks, pattern).collect()), key=str) == sorted(map(tuple, rows), key=str)
     out = {r.doc_id: r for r in queries.bpe_digests(docs).collect()}
     assert out[3].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in known.encode_ordinary("Ab cd"))).hexdigest()
     assert out[1].n_tokens == 0
