@@ -52,20 +52,24 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def heavy(counts: DataFrame, n: str, total: int) -> tuple[DataFrame, int]:
-    """(rows of counts whose n is above a share of total, that bound): with the rows' n adding up to total at most, there are no more than 4 for each shuffle partition, which bounds a broadcast."""
-    bound = max(4096, total // (4 * parallelism(counts.sparkSession)))
+def heavy(counts: DataFrame, n: str, total: int, least: int = 4096) -> tuple[DataFrame, int]:
+    """(rows of counts whose n is above a bound, the bound): least, or a share of total if that is more. Since n adds up to total at most, there are no more than 4 such rows for each shuffle partition, which bounds a broadcast."""
+    bound = max(least, total // (4 * parallelism(counts.sparkSession)))
     return counts.where(F.col(n) > bound), bound
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer referenced.
+    """Lets Spark delete the shuffle files of frames that are no longer referenced, which it does once the driver collects garbage.
 
-    Twice, since the listeners of the last query may hold it for a moment.
+    Only disk space on a cluster depends on it, no result; a single machine
+    isn't kept waiting. Twice, since the listeners of the last query may hold
+    it for a moment.
     """
     import gc
     import time
 
+    if spark.sparkContext.master.startswith("local"):
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

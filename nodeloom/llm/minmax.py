@@ -184,7 +184,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): which of the pairs (node, hub) are links on their full sets (node, shingles)."""
     spark = pairs.sparkSession
     counts = pairs.groupBy("hub").count()
-    frequent, bound = heavy(counts, "count", pairs.count())
+    frequent, bound = heavy(counts, "count", pairs.count(), 512)
     copies = frequent.select(F.col("hub").alias("h"), F.ceil(F.col("count") / bound).cast("int").alias("copies"))
     dealt = lambda df: df.join(F.broadcast(copies), F.col("hub") == F.col("h"), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("h")
     hubs = dealt(pairs.select("hub").distinct()).join(sets, F.col("hub") == F.col("node"))

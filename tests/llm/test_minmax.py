@@ -110,7 +110,7 @@ def test_hub_of_many(spark, monkeypatch):
     draw = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:100] + [f"x{i}"] + base[100:])) for i in range(300)] + [(1000, " ".join(draw.choices(base, k=200)))]
-    monkeypatch.setattr(minmax, "heavy", lambda counts, n, total: (counts.where(F.col(n) > 20), 20))
+    monkeypatch.setattr(minmax, "heavy", lambda counts, n, total, least: (counts.where(F.col(n) > 20), 20))
     got = {r.doc_id: r.component_id for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
     assert got == {d: 0 if d < 1000 else d for d, _ in rows}
 
