@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..storage import cut as stored_cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u above v, are stars: no node has two smaller neighbors, and no center has one. Then each center is its component's smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, cut=stored_cut, limit: int = 60) -> DataFrame:
@@ -17,17 +19,16 @@ def connected_components(edges: DataFrame, cut=stored_cut, limit: int = 60) -> D
 
     cut(df) computes a frame once and returns it without its history. Each
     round links the larger neighbors of every node to its smallest neighbor
-    (large star), then all smaller ones (small star); it ends when nothing
-    changes, after about log2(nodes) rounds. Should limit rounds not be enough,
+    (large star), then all smaller ones (small star); it ends once all edges
+    are stars, after about log2(nodes) rounds. Should limit rounds not be enough,
     it raises an error rather than return unfinished components. The joins are
     on nodes: that of a node with very many edges is split by adaptive
     execution, and minima are taken before the shuffle. Nodes may be of any
     type that has an order, structs too; null ends make no edge.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
     for _ in range(limit):
-        if not before[0]:
+        if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
@@ -36,12 +37,9 @@ def connected_components(edges: DataFrame, cut=stored_cut, limit: int = 60) -> D
         small = large.join(low, F.col("u") == F.col("at"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
         edges = cut(small)
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     else:
-        raise RuntimeError(f"components have not settled after {limit} rounds")
+        if not _settled(edges):
+            raise RuntimeError(f"components have not settled after {limit} rounds")
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

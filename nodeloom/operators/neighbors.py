@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import minimum_image
-from ..functions.vectors import distance
 
 #: The most bytes of vectors that are shipped to all executors.
 SHIPPED_BYTES = 64_000_000

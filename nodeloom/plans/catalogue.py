@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basis, geometry, vectors
@@ -40,6 +40,11 @@ def knn5(spark, d):
     return neighbors.knn(cloud(spark, d), 5)
 
 
+def knn_edges(spark, d):
+    """The nearest neighbors as the edges of one graph, found once."""
+    return cut(graphs.with_edge_ids_of_one(cut(knn5(spark, d)).withColumn("gid", F.lit(0))))
+
+
 def edges_of(spark, d):
     return graphs.with_edge_ids(neighbors.radius_graph(atoms(spark, d), CUTOFF, method="group"))
 
@@ -128,7 +133,7 @@ def minimum_image_shift(spark, d):
 
 @query(f"WITH {knn_sql(5)}, d AS (SELECT dst, count(*) AS n FROM knn GROUP BY dst) SELECT dst, n * (n - 1) AS pairs FROM d WHERE n > 1")
 def line_graph_counts(spark, d):
-    e = graphs.with_edge_ids_of_one(knn5(spark, d).withColumn("gid", F.lit(0)))
+    e = knn_edges(spark, d)
     pairs = graphs.line_graph(e).join(e.select(F.col("edge_id").alias("edge_u"), "dst"), "edge_u")
     return pairs.groupBy("dst").agg(F.count("*").alias("pairs"))
 
@@ -138,7 +143,7 @@ SELECT u.dst AS center, u.src AS a, v.src AS b, round(acos(greatest(-1, least(1,
 FROM arms u JOIN arms v ON u.dst = v.dst AND u.src <> v.src""")
 def three_body_angles(spark, d):
     points = cloud(spark, d).withColumn("gid", F.lit(0))
-    e = graphs.with_edge_ids_of_one(knn5(spark, d).withColumn("gid", F.lit(0)))
+    e = knn_edges(spark, d)
     found = graphs.three_body_angles(e, points)
     ends = e.select("edge_id", "src", "dst")
     return found.join(ends.toDF("edge_u", "a", "center"), "edge_u").join(ends.select("edge_id", "src").toDF("edge_v", "b"), "edge_v").select("center", "a", "b", r("angle").alias("angle"))
@@ -165,7 +170,7 @@ def dihedral_angles(spark, d):
 JOIN cloud a ON a.node_id = u.src JOIN cloud b ON b.node_id = v.src JOIN cloud c ON c.node_id = u.dst GROUP BY ALL""")
 def three_body_types(spark, d):
     points = cloud(spark, d).withColumn("gid", F.lit(0))
-    e = graphs.with_edge_ids_of_one(knn5(spark, d).withColumn("gid", F.lit(0)))
+    e = knn_edges(spark, d)
     found = readout.angle_types(graphs.line_graph(e), e, points, "label")
     key = F.col("type_key")
     return found.groupBy(key[0].alias("label_a"), key[1].alias("label_c"), key[2].alias("label_b")).agg(F.count("*").alias("n"))
