@@ -87,3 +87,59 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+ORACLES["op11_filter_interactions"] = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS_SQL} AS words FROM documents),
+marks AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN marks ON marks.doc_id = w.doc_id),
+sets AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+orders AS (
+  SELECT [a, b, c, d, e] AS p FROM range(1, 6) t1(a), range(1, 6) t2(b), range(1, 6) t3(c), range(1, 6) t4(d), range(1, 6) t5(e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+gone AS (
+  SELECT part, p, coalesce(list_position(list_transform(p, lambda f: fails[f]), true), 6) AS goes, fails, n, good, toxic FROM sets, orders),
+steps AS (
+  SELECT part, p, CAST(step AS INTEGER) AS step, p[step] AS f, sum(CASE WHEN goes > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN goes = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN goes < step AND fails[p[step]] THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails[p[step]] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN goes = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN goes = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM gone, range(1, 6) s(step) GROUP BY part, p, step)
+SELECT part, array_to_string(list_transform(p, lambda f: 'ABCDE'[f]), '') AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps
+"""
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+starts AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, range(1, 5) t(k)),
+f AS MATERIALIZED (
+  SELECT lang, k, p, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 30),
+n AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT lang, k, p, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+scores AS (
+  SELECT c.*, l.a AS l, r.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.p = c.p[:c.cut] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.cut + 1:]),
+best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, a, k, p, unnest(range(2, k)) AS length FROM f WHERE k > 2),
+inner_ AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - length + 2), lambda i: p[i:i + length - 1])) AS p FROM longer),
+covered AS (
+  SELECT lang, p, max(a) AS most FROM inner_ GROUP BY ALL),
+left_ AS (
+  SELECT b.* FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.p = b.p WHERE c.most IS NULL OR 100 * c.most < 80 * b.a),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ') COLLATE "binary") AS rank FROM left_)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

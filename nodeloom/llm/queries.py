@@ -94,4 +94,26 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256_of(written(F.col("base"))).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma_fingerprints, op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op8_line_edit_join, op9_source_mix, op10_pii_spans)}
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        found = pack(table(spark, sf_dir, "documents"), file.read())
+    return found.select("doc_id", "start", (F.octet_length("token_ids") / 4).cast("long").alias("length"), F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma_fingerprints, op2_rlz_substrings, op3_byte_bpe, op4_toxicity, op5_minmax_near_duplicates, op6_oph_fingerprints, op7_warc_revisits, op8_line_edit_join, op9_source_mix, op10_pii_spans, op11_filter_interactions, op12_bounded_packing, op13_phrase_collocations)}
