@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def species_index(atoms: DataFrame, symbol: str = "symbol", elements: DataFrame | None = None) -> DataFrame:
     """atoms with species_idx from 0: a place among the sorted symbols that occur, or z - 1 in the table elements (z, symbol)."""
@@ -59,22 +61,60 @@ def per_atom(energy: Column, n_atoms: Column) -> Column:
     return energy / F.nullif(n_atoms, F.lit(0))
 
 
+def matching_compositions(a: DataFrame, b: DataFrame, delta: float, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Pairs of compositions whose ratios match: a (a_symbols, a_fractions) and b (b_symbols, b_fractions), symbols in order, each composition once.
+
+    A band join: what matches in all pairs of shared symbols matches in those
+    of the first three, so compositions meet by these symbols and by cells of
+    width delta that hold the differences of the first and second and of the
+    first and third, a's in the neighboring cells too. The rest is checked
+    after. Compositions that share fewer than two symbols always match; they
+    meet by set of symbols, and all of these pairs are part of the result.
+    """
+    x, y = ends
+    shared = F.array_intersect(f"{x}_symbols", f"{y}_symbols")
+    cell = lambda p, q: F.floor(F.abs(p - q) / F.lit(float(delta))).cast("long")
+
+    def keyed(df: DataFrame, n: str, width: int, spread: bool) -> DataFrame:
+        out = df
+        for i in range(width):
+            out = out.select(*out.columns, F.posexplode(F.arrays_zip(F.col(f"{n}_symbols").alias("s"), F.col(f"{n}_fractions").alias("f"))).alias(f"i{i}", f"p{i}"))
+            out = out.where(F.col(f"i{i}") > F.col(f"i{i - 1}")) if i else out
+        for i in range(1, width):
+            at = cell(F.col("p0.f"), F.col(f"p{i}.f"))
+            out = out.withColumn(f"c{i}", F.explode(F.sequence(at - 1, at + 1)) if spread else at)
+        return out.select(*df.columns, *(F.col(f"p{i}.s").alias(f"s{i}") for i in range(width)), *(f"c{i}" for i in range(1, width)))
+
+    out = None
+    for width in (2, 3):
+        on = [*(f"s{i}" for i in range(width)), *(f"c{i}" for i in range(1, width))]
+        met = keyed(a, x, width, True).join(keyed(b, y, width, False), on)
+        first = F.slice(shared, 1, 3) == F.array(*(F.col(f"s{i}") for i in range(width)))
+        met = met.where(first & ratios_match(*(F.col(f"{n}_{c}") for n in (x, y) for c in ("symbols", "fractions")), delta)).drop(*on)
+        out = met if out is None else out.unionByName(met)
+    sets = lambda df, n: df.select(f"{n}_symbols").distinct()
+    size = lambda df, n: sets(df, n).withColumn("part", F.pmod(F.xxhash64(f"{n}_symbols"), F.lit(64)))
+    apart = size(a, x).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(size(b, y).withColumnRenamed("part", "other"), "other").where(F.size(shared) < 2).drop("part", "other")
+    return out.unionByName(apart.join(a, f"{x}_symbols").join(b, f"{y}_symbols").select(*out.columns))
+
+
 def mixing_triples(a: DataFrame, b: DataFrame, c: DataFrame, delta: float = 0.2) -> DataFrame:
     """(a_id, b_id, c_id, enthalpy): each structure of a with one of b and one of c that together have as many elements, in matching ratios.
 
     Each has id, symbols, fractions, energy (per atom), one row per structure.
     Symbols that a lacks may occur, so nothing but the predicates limits the
-    pairs. Equal compositions are paired as one, and ids join what has passed.
+    pairs. Equal compositions are paired as one, partners of a composition
+    meet by their sets of symbols, and ids join what has passed.
     """
-    named = lambda df, n: df.select(*(F.col(x).alias(f"{n}_{x}") for x in ("id", "symbols", "fractions", "energy")))
+    parts = F.array_sort(F.arrays_zip(F.col("symbols").alias("s"), F.col("fractions").alias("f")))
+    named = lambda df, n: df.withColumn("__p", parts).select(F.col("id").alias(f"{n}_id"), F.col("__p.s").alias(f"{n}_symbols"), F.col("__p.f").alias(f"{n}_fractions"), F.col("energy").alias(f"{n}_energy"))
     legs = {n: named(df, n) for n, df in (("a", a), ("b", b), ("c", c))}
     of = lambda n: [f"{n}_symbols", f"{n}_fractions"]
     kinds = {n: leg.select(*of(n)).distinct() for n, leg in legs.items()}
-
-    def partner(n: str) -> DataFrame:
-        return kinds["a"].crossJoin(F.broadcast(kinds[n])).where(ratios_match(*map(F.col, of("a")), *map(F.col, of(n)), delta))
-
-    met = partner("b").join(partner("c"), of("a")).where(same_number_of_elements(F.col("a_symbols"), [F.col("b_symbols"), F.col("c_symbols")]))
+    pairs = {n: stored(matching_compositions(kinds["a"], kinds[n], delta, ("a", n)), f"matching-{n}") for n in "bc"}
+    sets = {n: pairs[n].select(*of("a"), f"{n}_symbols").distinct() for n in "bc"}
+    fitting = sets["b"].join(sets["c"], of("a")).where(same_number_of_elements(F.col("a_symbols"), [F.col("b_symbols"), F.col("c_symbols")]))
+    met = fitting.join(pairs["b"], [*of("a"), "b_symbols"]).join(pairs["c"], [*of("a"), "c_symbols"])
     for n, leg in legs.items():
         met = met.join(leg, of(n))
     return met.select("a_id", "b_id", "c_id", reaction_enthalpy(F.col("a_energy"), [F.col("b_energy"), F.col("c_energy")]).alias("enthalpy"))

@@ -8,22 +8,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import minimum_image
+from ..storage import stored
 
 #: The most bytes of vectors that are shipped to all executors.
 SHIPPED_BYTES = 64_000_000
 
 
-def with_images(atoms: DataFrame, cell: list[list[float]], periodic: tuple[bool, bool, bool], cutoff: float) -> DataFrame:
-    """atoms (.., x, y, z) with a row for each periodic image that may lie within cutoff of the cell, and its shift sx, sy, sz."""
+def wrapped(atoms: DataFrame, cell: list[list[float]], periodic: tuple[bool, bool, bool]) -> DataFrame:
+    """atoms with wx, wy, wz, the number of the cell that an atom lies in, counted along the periodic directions, and fx, fy, fz, its place in that cell in shares of the lattice vectors."""
+    inverse = np.linalg.inv(np.array(cell, float))
+    place = [sum((F.col(c) * F.lit(float(inverse[i, j])) for i, c in enumerate("xyz")), F.lit(0.0)) for j in range(3)]
+    numbered = atoms.withColumns({f"w{c}": F.floor(f).cast("int") if p else F.lit(0) for c, f, p in zip("xyz", place, periodic)})
+    return numbered.withColumns({f"f{c}": f - F.col(f"w{c}") for c, f in zip("xyz", place)})
+
+
+def halo(atoms: DataFrame, cell: list[list[float]], periodic: tuple[bool, bool, bool], cutoff: float) -> DataFrame:
+    """wrapped() atoms with a row for each image that lies in the cell or within cutoff of its faces, and its shift sx, sy, sz from the atom in the cell: (1 + 2 cutoff / height) ** 3 rows of an atom on average."""
     m = np.array(cell, float)
     volume = abs(np.linalg.det(m))
-    heights = [volume / np.linalg.norm(np.cross(m[(i + 1) % 3], m[(i + 2) % 3])) for i in range(3)]
-    # One more than the cutoff needs, since atoms may lie outside of the cell by less than it.
-    reach = [int(np.ceil(cutoff / h)) + 1 if p else 0 for h, p in zip(heights, periodic)]
-    for name, n in zip(("sx", "sy", "sz"), reach):
-        atoms = atoms.withColumn(name, F.explode(F.sequence(F.lit(-n), F.lit(n))))
-    moved = lambda i: F.col("xyz"[i]) + sum((F.col(s) * F.lit(float(m[j, i])) for j, s in enumerate(("sx", "sy", "sz"))), F.lit(0.0))
-    return atoms.withColumns({c: moved(i) for i, c in enumerate("xyz")})
+    for i, (c, p) in enumerate(zip("xyz", periodic)):
+        reach = float(cutoff * np.linalg.norm(np.cross(m[(i + 1) % 3], m[(i + 2) % 3])) / volume) * (1 + 1e-9) if p else 0.0
+        images = F.sequence(F.ceil(-F.lit(reach) - F.col(f"f{c}")).cast("int"), F.floor(F.lit(1 + reach) - F.col(f"f{c}")).cast("int"))
+        atoms = atoms.withColumn(f"s{c}", F.explode(images) if p else F.lit(0))
+    return atoms
+
+
+#: Of a cube and the 26 around it, itself and one of each two that lie opposite one another.
+HALF = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+ALL = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+
+
+def around(df: DataFrame, cube: list[Column], offsets: list[tuple[int, int, int]], wrap: list[int | None] = (None, None, None)) -> DataFrame:
+    """df with a row for each cube cx, cy, cz at one of the offsets, and own: whether it is the cube itself."""
+    steps = F.array(*(F.struct(*(F.lit(v).alias(f"o{c}") for c, v in zip("xyz", o))) for o in offsets))
+    moved = df.withColumns({f"b{c}": b for c, b in zip("xyz", cube)}).withColumn("o", F.explode(steps))
+    at = [F.col(f"b{c}") + F.col(f"o.o{c}") for c in "xyz"]
+    out = moved.withColumns({f"c{c}": (v if n is None else F.pmod(v, F.lit(n))).cast("int") for c, v, n in zip("xyz", at, wrap)})
+    return out.withColumn("own", (F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)).drop("o", "bx", "by", "bz")
+
+
+def both_ways(pairs: DataFrame, keys: list[str], signed: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+    """Each pair and its mirror image: ends change places, and the columns signed their sign."""
+    there = F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), *(F.col(c).alias(c) for c in signed), *(F.col(f"{e}_{c}").alias(f"{e}_{c}") for c in carry for e in ("src", "dst")))
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), *((F.lit(0) - F.col(c)).alias(c) for c in signed), *(F.col(f"{o}_{c}").alias(f"{e}_{c}") for c in carry for e, o in (("src", "dst"), ("dst", "src"))))
+    return pairs.select(*keys, "dist", F.explode(F.array(there, back)).alias("p")).select(*keys, "p.src", "p.dst", "dist", *(f"p.{c}" for c in signed), *(f"p.{e}_{c}" for e in ("src", "dst") for c in carry))
 
 
 def radius_graph(
@@ -35,67 +63,84 @@ def radius_graph(
     carry: columns of atoms that come along as src_<column> and dst_<column>.
 
     cell: rows are lattice vectors, the same for all groups; None: no images.
-    self_images: keep pairs of an atom with its own images. wrap: bring atoms
-    of a rectangular cell into it first. method: "cells" gives each atom the
-    number of a cube of the cutoff's width and meets the 27 cubes around it,
-    which pays where a group fills many cubes; "group" meets all of the
-    group; "auto" compares both costs.
+    Atoms may lie anywhere: they meet in the cell, and the shifts say between
+    which images of the atoms as they are given. self_images: keep pairs of an
+    atom with its own images. wrap: bring atoms of a rectangular cell into it
+    first. method: "cells" gives each atom the number of a cube of the
+    cutoff's width and meets half of the cubes around it, which pays where a
+    group fills many cubes; "group" meets all of the group; "auto" compares
+    both costs. Each pair is found once and mirrored: between two atoms of the
+    cell in one direction, and of images only those on the upper side.
     """
     keys_ = list(keys)
     if wrap and cell is not None:
         atoms = atoms.withColumns({c: F.pmod(F.col(c), F.lit(float(cell[i][i]))) if periodic[i] else F.col(c) for i, c in enumerate("xyz")})
-    along = lambda end: [F.col(c).alias(f"{end}_{c}") for c in carry]
-    other = atoms.select(*keys_, F.col("node_id").alias("dst"), "x", "y", "z", *along("dst"))
-    if cell is None:
-        other = other.withColumns({s: F.lit(0) for s in ("sx", "sy", "sz")})
-    else:
-        other = with_images(other, cell, periodic, cutoff)
-    own = atoms.select(*keys_, F.col("node_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"), *along("src"))
     if method == "auto":
         method = cheaper(atoms, cutoff, keys)
-    on = list(keys_)
+    own = atoms.select(*keys_, "node_id", "x", "y", "z", *carry)
+    if cell is None:
+        own = own.withColumns({f"w{c}": F.lit(0) for c in "xyz"})
+    else:
+        own = wrapped(own, cell, periodic)
+    m = np.zeros((3, 3)) if cell is None else np.array(cell, float)
+    move = lambda i, n: sum((F.col(f"{n}{a}") * F.lit(float(m[j, i])) for j, a in enumerate("xyz") if m[j, i]), F.lit(0.0))
+    inside = [F.col(c) - move(i, "w") for i, c in enumerate("xyz")]
+    cube_of = lambda columns: [F.floor(v / F.lit(float(cutoff))).cast("int") for v in columns]
+    end = lambda df, n, more=(): df.select(*keys_, *more, F.col("node_id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in (*"xyz", *(f"w{c}" for c in "xyz"), *carry)))
+    first = end(own, "src", [v.alias(f"h{c}") for c, v in zip("xyz", cube_of(inside))])
+    others = end(own, "dst", [v.alias(f"h{c}") for c, v in zip("xyz", cube_of(inside))])
+    on, home = list(keys_), [F.col(f"h{c}") for c in "xyz"]
     if method == "cells":
-        cube = lambda c: F.floor(F.col(c) / cutoff).cast("int")
-        other = other.withColumns({f"c{c}": cube(c) for c in "xyz"})
-        own = own.withColumns({f"c{c}": F.explode(F.sequence(cube(c + "0") - 1, cube(c + "0") + 1)) for c in "x"})
-        for c in "yz":
-            own = own.withColumn(f"c{c}", F.explode(F.sequence(cube(c + "0") - 1, cube(c + "0") + 1)))
         on += ["cx", "cy", "cz"]
-    dx, dy, dz = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("z") - F.col("z0")
-    close = dx * dx + dy * dy + dz * dz < cutoff * cutoff
-    image = (F.col("sx") != 0) | (F.col("sy") != 0) | (F.col("sz") != 0)
-    distinct = (F.col("src") != F.col("dst")) | image if self_images else F.col("src") != F.col("dst")
-    pairs = own.join(other, on).where(close & distinct)
-    return pairs.select(*keys_, "src", "dst", F.sqrt(dx * dx + dy * dy + dz * dz).alias("dist"), dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), "sx", "sy", "sz", *(f"{end}_{c}" for end in ("src", "dst") for c in carry))
+        here = around(first, home, HALF).drop("hx", "hy", "hz")
+        there = others.withColumns({f"c{c}": F.col(f"h{c}") for c in "xyz"}).drop("hx", "hy", "hz")
+        pairs = here.join(there, on).where(~F.col("own") | (F.col("src") < F.col("dst"))).drop("own", "cx", "cy", "cz")
+    else:
+        pairs = first.drop("hx", "hy", "hz").join(others.drop("hx", "hy", "hz"), on).where("src < dst")
+    pairs = pairs.withColumns({f"s{c}": F.lit(0) for c in "xyz"})
+    if cell is not None and any(periodic):
+        ghosts = halo(own, cell, periodic, cutoff).where("(sx > 0) OR (sx = 0 AND sy > 0) OR (sx = 0 AND sy = 0 AND sz > 0)")
+        at = [x + move(i, "s") for i, x in enumerate(inside)]
+        ghosts = end(ghosts, "dst", ["sx", "sy", "sz", *(v.alias(f"h{c}") for c, v in zip("xyz", cube_of(at)))])
+        if method == "cells":
+            ghosts = around(ghosts, home, ALL).drop("hx", "hy", "hz", "own")
+            met = first.withColumns({f"c{c}": F.col(f"h{c}") for c in "xyz"}).drop("hx", "hy", "hz").join(ghosts, on).drop("cx", "cy", "cz")
+        else:
+            met = first.drop("hx", "hy", "hz").join(ghosts.drop("hx", "hy", "hz"), on)
+        pairs = pairs.unionByName(met if self_images else met.where("src <> dst"))
+    # From the atoms in the cell to the atoms as they are given.
+    pairs = pairs.withColumns({f"s{c}": (F.col(f"s{c}") + F.col(f"src_w{c}") - F.col(f"dst_w{c}")).cast("int") for c in "xyz"})
+    d = {f"d{c}": F.col(f"dst_{c}") + move(i, "s") - F.col(f"src_{c}") for i, c in enumerate("xyz")}
+    near = pairs.withColumns(d).withColumn("square", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("square") < cutoff * cutoff)
+    found = both_ways(near.withColumn("dist", F.sqrt("square")), keys_, ("dx", "dy", "dz", "sx", "sy", "sz"), carry)
+    return found if self_images or cell is None else found.where("src <> dst")
 
 
 def minimum_image_graph(atoms: DataFrame, cutoff: float, box: tuple[float | None, float | None, float | None], keys: tuple[str, ...] = ("gid",), method: str = "auto") -> DataFrame:
     """(keys.., src, dst, dist, dx, dy, dz): pairs by their nearest image in a rectangular box; None: not periodic that way.
 
     method "cells" gives each atom the number of a cube, which goes round where
-    the box is periodic, and meets the 27 cubes around it; that takes a box of
-    three cubes or more that way, otherwise all of the group meet, as with
-    "group". "auto" compares both costs.
+    the box is periodic, and meets half of the cubes around it; that takes a box
+    of three cubes or more that way, otherwise all of the group meet, as with
+    "group". "auto" compares both costs. Each pair is found once and mirrored.
     """
     d = [F.col(c) - F.col(c + "0") for c in "xyz"]
     d = [minimum_image(v, F.lit(float(b))) if b else v for v, b in zip(d, box)]
     own = atoms.select(*keys, F.col("node_id").alias("src"), *(F.col(c).alias(c + "0") for c in "xyz"))
     other = atoms.select(*keys, F.col("node_id").alias("dst"), "x", "y", "z")
-    on = list(keys)
-    around = [int(b // cutoff) if b else None for b in box]
+    number = [int(b // cutoff) if b else None for b in box]
     if method == "auto":
         method = cheaper(atoms, cutoff, keys)
-    if method == "cells" and all(n is None or n >= 3 for n in around):
-        cube = [F.floor(F.col(c) / F.lit(b / n if b else cutoff)) for c, b, n in zip("xyz", box, around)]
-        wrapped = lambda x, n: x if n is None else F.pmod(x, F.lit(n))
-        other = other.withColumns({f"c{c}": wrapped(at, n).cast("int") for c, at, n in zip("xyz", cube, around)})
-        for c, b, n in zip("xyz", box, around):
-            at = F.floor(F.col(c + "0") / F.lit(b / n if b else cutoff)).cast("int")
-            own = own.withColumn(f"c{c}", F.explode(F.transform(F.sequence(at - 1, at + 1), lambda i: wrapped(i, n).cast("int"))))
-        on += ["cx", "cy", "cz"]
-    near = own.join(other, on).where("src <> dst").select(*keys, "src", "dst", *(v.alias(f"d{c}") for c, v in zip("xyz", d)))
-    square = sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "yz"), F.col("dx") * F.col("dx"))
-    return near.withColumn("square", square).where(F.col("square") < cutoff * cutoff).select(*keys, "src", "dst", F.sqrt("square").alias("dist"), "dx", "dy", "dz")
+    if method == "cells" and all(n is None or n >= 3 for n in number):
+        cube = lambda end: [F.floor(F.col(c + end) / F.lit(float(b / n if b else cutoff))).cast("int") for c, b, n in zip("xyz", box, number)]
+        here, there = around(own, cube("0"), HALF, number), around(other, cube(""), [(0, 0, 0)], number).drop("own")
+        pairs = here.join(there, [*keys, "cx", "cy", "cz"]).where(~F.col("own") | (F.col("src") < F.col("dst")))
+    else:
+        pairs = own.join(other, list(keys)).where("src < dst")
+    near = pairs.select(*keys, "src", "dst", *(v.alias(f"d{c}") for c, v in zip("xyz", d)))
+    square = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
+    near = near.withColumn("square", square).where(F.col("square") < cutoff * cutoff).withColumn("dist", F.sqrt("square"))
+    return both_ways(near, list(keys), ("dx", "dy", "dz"), ()).where("src <> dst")
 
 
 def cheaper(atoms: DataFrame, cutoff: float, keys: tuple[str, ...]) -> str:
@@ -116,38 +161,92 @@ def nearest_of(edges: DataFrame, k: int, keys: tuple[str, ...] = ("gid",), stric
     return ranked.where(F.col("rank") <= k)
 
 
-POINT = T.StructType([T.StructField("node_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 NEAR = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("dist", T.DoubleType())])
 
 
-def nearest_in(own: np.ndarray, x: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, itself: bool, positive: bool):
-    """(src, dst, dist) of the k nearest rows of matrix to each row of x, ties by ids."""
+def nearest_in(own: np.ndarray, x: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, itself: bool, positive: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest rows of matrix to each row of x, a row of k for each, ties by ids; infinite where there are fewer. itself: rows under the asking id don't count; positive: nor do those at distance 0."""
+    found, far = np.full((len(own), k), -1, np.int64), np.full((len(own), k), np.inf)
     if not len(ids) or not len(own):
-        return
-    squares, keep = (matrix**2).sum(1), k + (1 if itself else 0)
-    for at in range(0, len(own), 512):
-        rough = squares[None] - 2 * x[at : at + 512] @ matrix.T
-        width = min(len(ids), keep + 8 if not positive else len(ids))
+        return found, far
+    squares, width = (matrix**2).sum(1), min(len(ids), k + itself + 8)
+    rows = max(1, min(512, 4_000_000 // len(ids)))
+
+    def ranked(at: slice | np.ndarray, near: np.ndarray) -> None:
+        d = np.sqrt(((matrix[near] - x[at][:, None]) ** 2).cumsum(2)[:, :, -1])  # summed in order, so that equal vectors tie in every plan
+        if itself:
+            d[ids[near] == own[at][:, None]] = np.inf
+        if positive:
+            d[d == 0] = np.inf
+        order = np.lexsort((ids[near], d), axis=1)[:, :k]
+        best = np.take_along_axis(d, order, 1)
+        far[at, : best.shape[1]] = best
+        found[at, : best.shape[1]] = np.where(np.isinf(best), -1, np.take_along_axis(ids[near], order, 1))
+
+    for at in range(0, len(own), rows):
+        here = np.arange(at, min(at + rows, len(own)))
+        rough = squares[None] - 2 * x[here] @ matrix.T
         near = np.argpartition(rough, width - 1, 1)[:, :width]
-        # Rows that tie with the last candidate must be in as well.
-        edge = np.take_along_axis(rough, near, 1).max(1)
-        slack = 1e-9 * (1 + np.abs(edge))
-        out = []
-        for i, (src, v) in enumerate(zip(own[at : at + 512], x[at : at + 512])):
-            chosen = near[i] if (rough[i] <= edge[i] + slack[i]).sum() == width else np.flatnonzero(rough[i] <= edge[i] + slack[i])
-            d = np.sqrt(((matrix[chosen] - v) ** 2).cumsum(1)[:, -1])
-            good = (ids[chosen] != src) if itself else np.ones(len(chosen), bool)
-            if positive:
-                good &= d > 0
-            order = np.lexsort((ids[chosen], d))
-            order = order[good[order]][:k]
-            out.append((np.full(len(order), src), ids[chosen][order], d[order]))
-        yield [np.concatenate(c) for c in zip(*out)]
+        ranked(here, near)
+        if width < len(ids):
+            # Rows that tie with the last candidate must be in as well, and more where some of the candidates don't count.
+            edge = np.take_along_axis(rough, near, 1).max(1)
+            ties = (rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None]).sum(1) > width
+            for i in np.flatnonzero(ties | np.isinf(far[here, k - 1])):
+                ranked(here[i : i + 1], np.arange(len(ids))[None] if np.isinf(far[here[i], k - 1]) else np.flatnonzero(rough[i] <= edge[i] + 1e-9 * (1 + abs(edge[i])))[None])
+    return found, far
 
 
 def _vectors(batch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("node_id").to_numpy()
-    return ids, np.array(batch.column("x").to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)
+    ids, x = batch.column("node_id").to_numpy(), batch.column("x")
+    if len(ids) and not x.null_count and not x.values.null_count:
+        return ids, x.flatten().to_numpy().reshape(len(ids), -1)
+    return ids, np.array(x.to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)
+
+
+def _near_batch(own: np.ndarray, found: np.ndarray, far: np.ndarray):
+    import pyarrow as pa
+
+    good = np.isfinite(far)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, good.sum(1))), pa.array(found[good]), pa.array(far[good])], names=NEAR.names)
+
+
+class Cells:
+    """Vectors dealt into cells around pivots, and cells into units that a task holds.
+
+    Each vector belongs to the nearest pivot. A cell knows how near and how far
+    from its pivot its vectors lie, so that a search whose k nearest are within
+    a radius passes over cells that lie beyond it by the triangle inequality or
+    on the far side of a bisecting plane.
+    """
+
+    def __init__(self, pivots: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, rows: int):
+        self.pivots, self.counts, self.low, self.high = pivots, counts, low, high
+        self.squares = (pivots**2).sum(1)
+        # Cells that lie near one another share a unit: they are taken in the order of the nearest of a few pivots.
+        lead = pivots[: max(1, int(counts.sum() // rows) + 1)]
+        order = np.lexsort((self.squares, ((pivots[:, None, :] - lead[None]) ** 2).sum(2).argmin(1))) if len(pivots) * lead.size < 5e7 else np.arange(len(pivots))
+        self.pieces, self.first = np.maximum(1, -(-counts // rows)), np.zeros(len(pivots), np.int64)
+        unit, filled = 0, 0
+        for c in order:
+            if filled and (filled + counts[c] > rows or self.pieces[c] > 1):
+                unit, filled = unit + 1, 0
+            self.first[c] = unit
+            filled += counts[c]
+            if self.pieces[c] > 1:
+                unit, filled = unit + int(self.pieces[c]), 0
+        self.units = int((self.first + self.pieces).max())
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + self.squares[None] - 2 * x @ self.pivots.T))
+
+    def reached(self, far: np.ndarray, cells: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Which cells may hold something within the radius of each search, from its distances to all pivots and its own cell."""
+        home = far[np.arange(len(cells)), cells][:, None]
+        between = np.sqrt(np.maximum(1e-300, self.squares[cells][:, None] + self.squares[None] - 2 * self.pivots[cells] @ self.pivots.T))
+        bound = np.maximum(np.maximum(far - self.high[None], self.low[None] - far), (far**2 - home**2) / (2 * between))
+        slack = 1e-6 * (1 + far + home)
+        return (bound <= radius[:, None] + slack) & (self.counts > 0)[None]
 
 
 def knn(points: DataFrame, k: int, among: DataFrame | None = None, id_col: str = "node_id", vec_col: str = "x", include_self: bool = False, positive: bool = False, most_bytes: int = SHIPPED_BYTES) -> DataFrame:
@@ -155,63 +254,161 @@ def knn(points: DataFrame, k: int, among: DataFrame | None = None, id_col: str =
 
     Rank counts from 1; a point itself has rank 0 if include_self. positive:
     only what is at a distance above 0. Vectors of among that take no more than
-    most_bytes are shipped to where the points lie. More are dealt into blocks
-    of that size, the points into as many of their own, and each two blocks
-    meet in a task by a shuffle; the best of all blocks are ranked at the end.
+    most_bytes are shipped to where the points lie. More are dealt into cells
+    around pivots: see knn_by_cells(). Null vectors are no points.
     """
     itself = among is None
-    named = lambda df: df.select(F.col(id_col).cast("long").alias("node_id"), F.col(vec_col).cast("array<double>").alias("x"))
+    named = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("node_id"), F.col(vec_col).cast("array<double>").alias("x"))
     points, among = named(points), named(points if itself else among)
     n, width = among.agg(F.count("*"), F.max(F.size("x"))).first()
-    blocks = max(1, -(-int(n) * 8 * int(width or 0) // most_bytes))
-
-    def batches_of(found):
-        import pyarrow as pa
-
-        for columns in found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=NEAR.names)
-
-    if blocks == 1:
+    if int(n) * 8 * int(width or 0) <= most_bytes:
         rows = among.collect()  # most_bytes at most
         shipped = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), int(width or 0))))
 
         def run(batches):
             for batch in batches:
-                yield from batches_of(nearest_in(*_vectors(batch), *shipped.value, k, itself, positive))
+                own, x = _vectors(batch)
+                yield _near_batch(own, *nearest_in(own, x, *shipped.value, k, itself, positive))
 
         found = points.mapInArrow(run, NEAR)
     else:
-        every, block = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")
-        theirs = among.select(F.explode(every).alias("i"), block.alias("j"), F.lit(False).alias("asks"), "node_id", "x")
-        ours = points.select(block.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), "node_id", "x")
-        dealt = theirs.unionByName(ours).repartition(blocks * blocks, "i", "j").sortWithinPartitions("i", "j", "asks")
+        found = knn_by_cells(points, among, k, int(n), int(width), itself, positive, most_bytes)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+    ranked = ranked.select("src", "dst", "rank", "dist")
+    if include_self and itself:
+        ranked = ranked.unionByName(points.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")))
+    return ranked
+
+
+#: Vectors around a pivot on average.
+CELL_ROWS = 2048
+
+
+def knn_by_cells(points: DataFrame, among: DataFrame, k: int, n: int, width: int, itself: bool, positive: bool, most_bytes: int = SHIPPED_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(src, dst, dist) with the k nearest of every point among them, without comparing all pairs.
+
+    Vectors belong to the nearest of some pivots, whose number is bounded by
+    most_bytes; cells of neighboring pivots form units of most_bytes, and cells
+    larger than that are split. A first pass searches each point's own cell (or
+    a piece of it), which gives a radius for its k nearest. A second pass sends
+    the point once to each unit that has a cell within this radius. A unit
+    that many points ask is held by several tasks, a share of the points each.
+    """
+    spark, unit_rows = points.sparkSession, max(1, most_bytes // (8 * width))
+    every = max(1, n // max(2, min(n // cell_rows, unit_rows)))
+    drawn = among.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).select("x").distinct().limit(2 * unit_rows)
+    pivots = np.array([r[0] for r in drawn.collect()] or [among.first()[1]], float)  # twice most_bytes at most; any choice gives the same result
+    sent = spark.sparkContext.broadcast(pivots)
 
-        def meet(batches):
-            key, held, matrix = None, [], None
+    def place(batches):
+        import pyarrow as pa
+
+        pivots = sent.value
+        squares = (pivots**2).sum(1)
+        for batch in batches:
+            ids, x = _vectors(batch)
+            rows = max(1, 4_000_000 // len(pivots))
+            cell = np.concatenate([np.empty(0, np.int64), *((squares[None] - 2 * x[at : at + rows] @ pivots.T).argmin(1) for at in range(0, len(ids), rows))])
+            away = np.sqrt(((x - pivots[cell]) ** 2).sum(1)) if len(ids) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("node_id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(away)], names=["node_id", "x", "cell", "away"])
+
+    placed = stored(among.mapInArrow(place, "node_id long, x array<double>, cell int, away double"), "cells")
+    counts, low, high = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect():  # a row per pivot
+        counts[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
+    cells = spark.sparkContext.broadcast(Cells(pivots, counts, low, high, unit_rows))
+    table = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(cells.value.first, cells.value.pieces))], "cell int, first int, pieces int")
+    piece = F.pmod(F.xxhash64("node_id", "x"), F.col("pieces")).cast("int")
+    theirs = placed.join(F.broadcast(table), "cell").select((F.col("first") + piece).alias("unit"), "node_id", "x", "cell")
+    asking = (placed if itself else points.mapInArrow(place, placed.schema)).join(F.broadcast(table), "cell").select((F.col("first") + piece).alias("unit"), "node_id", "x", "cell", F.lit(None).cast("double").alias("radius"))
+
+    def meet(asks: DataFrame, parts: dict[int, int], schema, answer) -> DataFrame:
+        """answer(ids, x, cells, radii, held) for the asks of each unit; parts: in how many tasks a unit is held, if not in one."""
+        shares = F.lit(1)
+        if parts:
+            lookup = F.create_map(*(F.lit(v) for item in parts.items() for v in item))
+            shares = F.coalesce(F.try_element_at(lookup, F.col("unit")), F.lit(1))
+        held = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), shares - 1))).select("unit", "part", F.lit(False).alias("asks"), "node_id", "x", "cell", F.lit(None).cast("double").alias("radius"))
+        dealt = asks.withColumn("part", F.pmod(F.xxhash64("node_id", F.lit(1)), shares).cast("int")).select("unit", "part", F.lit(True).alias("asks"), "node_id", "x", "cell", "radius")
+        tasks = cells.value.units + sum(p - 1 for p in parts.values())
+        met = held.unionByName(dealt).repartition(max(1, tasks), "unit", "part").sortWithinPartitions("unit", "part", "asks")
+
+        def run(batches):
+            key, parts, unit = None, [], None
             for batch in batches:
-                pairs = np.stack([batch.column(c).to_numpy() for c in "ij"], 1)
+                pairs = np.stack([batch.column(c).to_numpy() for c in ("unit", "part")], 1)
                 asks = batch.column("asks").to_numpy(zero_copy_only=False)
                 edge = np.flatnonzero((np.diff(pairs, axis=0) != 0).any(1) | (np.diff(asks.astype(int)) != 0)) + 1
                 for a, b in zip([0, *edge], [*edge, len(asks)]):
                     if b == a:
                         continue
                     if tuple(pairs[a]) != key:
-                        key, held, matrix = tuple(pairs[a]), [], None
+                        key, parts, unit = tuple(pairs[a]), [], None
                     part = batch.slice(a, b - a)
                     if not asks[a]:
-                        held.append(_vectors(part))
+                        parts.append((*_vectors(part), part.column("cell").to_numpy()))
                         continue
-                    if matrix is None and held:
-                        matrix = tuple(map(np.concatenate, zip(*held)))
-                    if matrix is not None:
-                        yield from batches_of(nearest_in(*_vectors(part), *matrix, k, itself, positive))
+                    if unit is None and parts:
+                        ids, x, cell = map(np.concatenate, zip(*parts))
+                        order = np.argsort(cell, kind="stable")
+                        first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                        unit = {int(cell[order[s]]): (ids[order[s:e]], x[order[s:e]]) for s, e in zip(first, [*first[1:], len(order)])}
+                        parts = []
+                    for at in range(0, part.num_rows, 2048):
+                        some = part.slice(at, 2048)
+                        yield answer(*_vectors(some), some.column("cell").to_numpy(), some.column("radius"), unit or {})
+
+        return met.mapInArrow(run, schema)
+
+    def radii(own, x, home, _, unit):
+        import pyarrow as pa
 
-        found = dealt.mapInArrow(meet, NEAR)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
-    ranked = ranked.select("src", "dst", "rank", "dist")
-    if include_self and itself:
-        ranked = ranked.unionByName(points.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")))
-    return ranked
+        radius = np.full(len(own), np.inf)
+        for c in np.unique(home):
+            here = np.flatnonzero(home == c)
+            if int(c) in unit:
+                radius[here] = nearest_in(own[here], x[here], *unit[int(c)], k, itself, positive)[1][:, -1]
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(x), pa.list_(pa.float64())), pa.array(home), pa.array(radius)], names=["node_id", "x", "cell", "radius"])
+
+    known = stored(meet(asking, {}, "node_id long, x array<double>, cell int, radius double", radii), "radii")
+
+    def units_of(x, home, radius):
+        """For each cell that each search must visit, the search and the unit, both once."""
+        every = cells.value
+        search, cell = np.nonzero(every.reached(every.distances(x), home, radius))
+        n = every.pieces[cell]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs = np.unique(np.stack([np.repeat(search, n), np.repeat(every.first[cell], n) + step], 1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def visits(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids, x = _vectors(some)
+                search, unit = units_of(x, some.column("cell").to_numpy(), some.column("radius").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), *(some.column(c).take(pa.array(search)) for c in ("node_id", "x", "cell", "radius"))], names=["unit", "node_id", "x", "cell", "radius"])
+
+    sought = known.mapInArrow(visits, "unit int, node_id long, x array<double>, cell int, radius double")
+    asked = {r.unit: r.n for r in sought.groupBy("unit").agg(F.count("*").alias("n")).collect()}  # a row per unit
+    parts = {u: -(-v // (4 * unit_rows)) for u, v in asked.items() if v > 4 * unit_rows}
+
+    def search(own, x, home, radius, unit):
+        every, radius = cells.value, radius.to_numpy()
+        reached = every.reached(every.distances(x), home, radius)
+        found, far = np.full((len(own), k), -1, np.int64), np.full((len(own), k), np.inf)
+        for c, (ids, matrix) in unit.items():
+            here = np.flatnonzero(reached[:, c])
+            if len(here):
+                more, away = nearest_in(own[here], x[here], ids, matrix, k, itself, positive)
+                more, away = np.concatenate([found[here], more], 1), np.concatenate([far[here], away], 1)
+                order = np.lexsort((more, away), axis=1)[:, :k]
+                found[here], far[here] = np.take_along_axis(more, order, 1), np.take_along_axis(away, order, 1)
+        return _near_batch(own, found, far)
+
+    return meet(sought, parts, NEAR, search)
 
 
 def edges_from_neighbors(nodes: DataFrame, keys: tuple[str, ...] = ("gid",)) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .selection import chosen, draw_orders, thresholds, value_order
 from .training_windows import running_sum
 
 
@@ -51,7 +53,9 @@ def distinct_lists(rows: DataFrame, value: str, order: str, fold: bool = True) -
     """rows with key and type_id: lists that are equal, or with fold equal as sets with repeats, share a type, numbered from 0 by first appearance."""
     keyed = rows.withColumn("key", F.array_sort(value) if fold else F.col(value))
     kinds = keyed.groupBy("key").agg(F.min(order).alias("first"))  # one row per type
-    kinds = kinds.withColumn("type_id", F.row_number().over(Window.orderBy("first", "key")) - 1).select("key", "type_id")
+    firsts = running_sum(kinds.groupBy("first").agg(F.count("*").alias("n")), "n", "first").select("first", (F.col("upto") - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("first").orderBy("key")) - 1  # of types that appear at the same place
+    kinds = kinds.withColumn("number", number).join(firsts, "first").select("key", (F.col("before") + F.col("number")).cast("int").alias("type_id"))
     return keyed.join(kinds, "key")
 
 
@@ -90,18 +94,19 @@ def total_statistics(stats: DataFrame, keys: tuple[str, ...] = ("kind", "type_ke
 
 
 def lowest_share_mean(rows: DataFrame, keys: tuple[str, ...], value: str, share: float = 0.25) -> DataFrame:
-    """(keys.., low_mean): the mean of the lowest share of the values, the number rounded down; null if that leaves none."""
-    own = Window.partitionBy(*keys)
-    ranked = rows.withColumn("r", F.row_number().over(own.orderBy(value))).withColumn("n", F.count("*").over(own))
-    return ranked.groupBy(*keys).agg(F.avg(F.when(F.col("r") <= F.floor(F.col("n") * share), F.col(value))).alias("low_mean"))
-
-
-def extremes(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """rows among the lowest or highest share, with side."""
-    own = Window.partitionBy(*keys)
-    ranked = rows.withColumn("up", F.row_number().over(own.orderBy(value))).withColumn("down", F.row_number().over(own.orderBy(F.col(value).desc()))).withColumn("n", F.count("*").over(own))
-    side = F.when(F.col("up") <= F.floor(F.col("n") * share), "low").when(F.col("down") <= F.floor(F.col("n") * share), "high")
-    return ranked.withColumn("side", side).where("side IS NOT NULL").drop("up", "down", "n")
+    """(keys.., low_mean): the mean of the lowest share of the values, the number rounded down; null if that leaves none. Null values don't count."""
+    slim = stored(rows.select(*keys, F.col(value).alias("v")), "values")
+    ends = thresholds(slim, value_order(F.col("v")), lambda n: F.floor(n * share), keys, F.col("v"))
+    return ends.select(*keys, ((F.col("__sum") + F.col("__rest") * F.col("__value")) / F.nullif(F.col("__below") + F.col("__rest"), F.lit(0))).alias("low_mean"))
+
+
+def extremes(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
+    """rows among the lowest or highest share, with side; low where both hold. Of equal values those whose id comes first in a draw go first, or without id_col any. Null values don't count."""
+    ties = draw_orders(id_col, 0) if id_col else []
+    order, wanted = value_order(F.col(value)), lambda n: F.floor(n * share)
+    low = chosen(rows, [order, *ties], wanted, keys, "__low")
+    both = chosen(low, [F.bitwise_not(order), *ties], wanted, keys, "__high")
+    return both.where("__low OR __high").withColumn("side", F.when(F.col("__low"), "low").otherwise("high")).drop("__low", "__high")
 
 
 def part_of(elements: DataFrame, amounts: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -7,58 +7,45 @@ rows are drawn is that of md5(seed:id), so reruns and other engines agree.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, stored
+from . import mixture
 from .components import connected_components
 from .neighbors import knn
+from .selection import DRAW_STEPS, chosen, draw_orders
 
 
-def draw_order(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+def first_rows(df: DataFrame, n: int | Callable[[Column], Column], id_col: str, seed: int, per: tuple[str, ...] = (), name: str = "drawn", among: Column | None = None) -> DataFrame:
+    """df with name: whether a row is among the first n of the draw, in all or of each value of the columns per; n may be a function of the number of rows. among: only rows for which it holds are drawn from.
 
-
-def first_rows(df: DataFrame, n: int, id_col: str, seed: int, per: tuple[str, ...] = (), name: str = "drawn") -> DataFrame:
-    """df with name: whether a row is among the first n of the draw, in all or of each value of the columns per.
-
-    The first 16 bits of each row's hash are counted, at most 65,536 sums a
-    group; running sums over them tell which are drawn whole and which one the
-    draw ends in. Only rows that share these bits are ranked, so nothing is
-    sorted over the table, and a group with most of the rows is spread as any
-    other. Exactly n rows are drawn, as far as there are so many; rows under
-    one repeated id follow one another.
+    Nothing is ranked: histograms of the hashes tell where the draw ends.
+    Exactly n rows are drawn, as far as there are so many.
     """
-    per = list(per)
-    keyed = df.withColumn("__h", draw_order(id_col, seed)).withColumn("__b", F.substring("__h", 1, 4))
-    counts = keyed.groupBy(*per, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*per).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    left = counts.withColumn("__left", F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").where("__left > 0")
-    same = F.lit(True)
-    for i, c in enumerate([*per, "__b"]):
-        left = left.withColumnRenamed(c, f"__k{i}")
-        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    rank = F.row_number().over(Window.partitionBy(*per, "__b").orderBy("__h"))
-    found = keyed.join(left, same, "left").withColumn("__rank", rank)
-    return found.withColumn(name, F.coalesce(F.col("__rank") <= F.col("__left"), F.lit(False))).select(*(c for c in df.columns if c != name), name)
+    wanted = n if callable(n) else lambda total: F.lit(n)
+    return chosen(df, draw_orders(id_col, seed), wanted, per, name, among, DRAW_STEPS)
 
 
 def random_sample(df: DataFrame, split: float, seed: int = 0, count: int = 0, id_col: str = "id") -> DataFrame:
-    n = count or math.ceil(split * df.count())
-    return first_rows(df.withColumn("cluster", F.lit(0)), n, id_col, seed, name="sampled")
+    share = lambda total: F.lit(count) if count else F.ceil(F.lit(split) * total)
+    return first_rows(df.withColumn("cluster", F.lit(0)), share, id_col, seed, name="sampled")
 
 
 def by_quota(df: DataFrame, split: float, seed: int = 0, id_col: str = "id", clusters: int | None = None) -> DataFrame:
     """df (cluster, ..) with sampled: ceil(split * n / clusters) rows of every cluster, small clusters whole, then more from the rest up to ceil(split * n)."""
-    n, found = df.agg(F.count("*"), F.count_distinct("cluster")).first()
-    kinds = clusters or max(1, found)
-    picked = first_rows(df, math.ceil(split * n / kinds), id_col, seed, ("cluster",), "sampled")
-    missing = math.ceil(split * n) - picked.where("sampled").count()
+    sizes = stored(df.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    n, found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    quota = math.ceil(split * n / (clusters or max(1, found)))
+    drawn = sizes.agg(F.sum(F.least("n", F.lit(quota)))).first()[0] or 0
+    picked = first_rows(df, quota, id_col, seed, ("cluster",), "sampled")
+    missing = math.ceil(split * n) - drawn
     if missing <= 0:
         return picked
-    more = first_rows(picked.where("NOT sampled").drop("sampled"), missing, id_col, seed + 1, name="sampled")
-    return picked.where("sampled").unionByName(more)
+    more = first_rows(picked, missing, id_col, seed + 1, name="__more", among=~F.col("sampled"))
+    return more.withColumn("sampled", F.col("sampled") | F.col("__more")).drop("__more")
 
 
 def by_property(df: DataFrame, value: str, clusters: int, split: float, seed: int = 0, id_col: str = "id") -> DataFrame:
@@ -91,7 +78,7 @@ def by_subgraph(df: DataFrame, neighbors: int, split: float, seed: int = 0, id_c
 
 def by_model(df: DataFrame, method: str, clusters: int, split: float, seed: int = 0, id_col: str = "id", vec: str = "x", restarts: int = 10) -> DataFrame:
     """Clusters of a fitted model: kmeans (the best of restarts), gaussian_mixture, birch (bisecting k-means over micro-clusters) or spectral (power iteration over similarities of nearest neighbors)."""
-    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+    from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
     from pyspark.ml.functions import array_to_vector
 
     data = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
@@ -106,8 +93,8 @@ def by_model(df: DataFrame, method: str, clusters: int, split: float, seed: int
         models = [KMeans(k=clusters, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(data) for i in range(restarts)]
         model = min(models, key=lambda m: m.summary.trainingCost)
     elif method == "gaussian_mixture":
-        model = GaussianMixture(k=clusters, seed=seed, featuresCol="__v", predictionCol="cluster").fit(data)
-        data = data.withColumn("probability", F.lit(None)).drop("probability")
+        fitted, _ = mixture.fit(df, clusters, seed, vec)
+        return by_quota(mixture.assigned(df, fitted, vec), split, seed, id_col)
     elif method == "birch":
         micro = KMeans(k=min(10 * clusters, max(2, data.count() // 2)), seed=seed, featuresCol="__v", predictionCol="micro").fit(data)
         centers = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(micro.clusterCenters())], "micro int, c array<double>").withColumn("__v", array_to_vector("c"))
@@ -116,7 +103,7 @@ def by_model(df: DataFrame, method: str, clusters: int, split: float, seed: int
         return by_quota(named, split, seed, id_col)
     else:
         raise ValueError(f"no such clustering: {method}")
-    return by_quota(model.transform(data).drop("__v", "probability"), split, seed, id_col)
+    return by_quota(model.transform(data).drop("__v"), split, seed, id_col)
 
 
 def sample(df: DataFrame, method: str, split: float, seed: int = 0, **params) -> DataFrame:
@@ -134,13 +121,10 @@ def sample(df: DataFrame, method: str, split: float, seed: int = 0, **params) ->
 
 def three_way(df: DataFrame, test: float, pretrain: float, train: float, seed: int = 0, method: str = "random", id_col: str = "id", **params) -> DataFrame:
     """df with role: test first, then pretrain from what is left, then training, and validation for the rest."""
-    role = df.withColumn("role", F.lit("validation"))
-    left = df
+    columns, left, roles = [c for c in df.columns if c != "role"], df, None
     for i, (name, split) in enumerate((("test", test), ("pretrain", pretrain), ("training", train))):
         drawn = sample(left, method, split, seed + i, id_col=id_col, **params)
-        ids = drawn.where("sampled").select(id_col).withColumn("__hit", F.lit(name))
-        role = role.join(ids, id_col, "left").withColumn("role", F.when(F.col("role") == "validation", F.coalesce("__hit", "role")).otherwise(F.col("role"))).drop("__hit")
-        left = left.join(ids.drop("__hit"), id_col, "left_anti")
-    return role
-
-
+        part = drawn.where("sampled").select(*columns, F.lit(name).alias("role"))
+        roles = part if roles is None else roles.unionByName(part)
+        left = drawn.where("NOT sampled").select(*columns)
+    return roles.unionByName(left.withColumn("role", F.lit("validation")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.search import place_in
+from ..storage import stored
+from .selection import thresholds, value_order
 
 
 def early_stop(epochs: DataFrame, most: int, tolerance: float, keys: tuple[str, ...] = ("run_id",), order: str = "epoch", loss: str = "loss_valid") -> DataFrame:
@@ -71,12 +73,13 @@ def running_sum(rows: DataFrame, value: str, order: str, name: str = "upto", ran
 
 
 def worst_share_loss(rows: DataFrame, share: float, keys: tuple[str, ...] = (), predicted: str = "pred", wanted: str = "y", legacy: bool = False) -> DataFrame:
-    """(keys.., loss): the mean squared error of the share of rows with the largest target less prediction, the number rounded up. legacy: of all rows."""
+    """(keys.., loss): the mean squared error of the share of rows with the largest target less prediction, the number rounded up. legacy: of all rows. Null differences don't count."""
     diff = F.col(wanted) - F.col(predicted)
-    own = Window.partitionBy(*keys)
-    ranked = rows.withColumn("r", F.row_number().over(own.orderBy(diff.desc()))).withColumn("n", F.count("*").over(own))
-    chosen = F.lit(True) if legacy else F.col("r") <= F.ceil(F.col("n") * share)
-    return ranked.where(chosen).groupBy(*keys).agg(F.avg(diff * diff).alias("loss"))
+    if legacy:
+        return rows.groupBy(*keys).agg(F.avg(diff * diff).alias("loss"))
+    slim = stored(rows.select(*keys, diff.alias("d")), "differences")
+    ends = thresholds(slim, value_order(-F.col("d")), lambda n: F.ceil(n * share), keys, F.col("d") * F.col("d"))
+    return ends.select(*keys, ((F.col("__sum") + F.col("__rest") * F.col("__value")) / F.nullif(F.col("__below") + F.col("__rest"), F.lit(0))).alias("loss"))
 
 
 LOSSES = {"mse": lambda a, b: (a - b) * (a - b), "mae": lambda a, b: F.abs(a - b), "huber": lambda a, b: F.when(F.abs(a - b) <= 1, 0.5 * (a - b) * (a - b)).otherwise(F.abs(a - b) - 0.5)}

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basis, geometry, vectors
-from ..operators import chemistry, gop, graphs, neighbors, paths, readout, sampling, training_windows
+from ..operators import chemistry, gop, graphs, mixture, neighbors, paths, readout, sampling, training_windows
 from ..operators.components import connected_components, has_path
 from ..sources import elements as element_table
 from ..sources import structures, tables
-from ..storage import cut, shared_dir
+from ..storage import cut, new_path
 from ..streaming import graphs as streams
 from . import net_sql
 from .views import CLOUD_SQL, CUTOFF, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
@@ -337,7 +337,7 @@ def low_quartile_mean(spark, d):
 @query("""WITH o AS (SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS up, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS down, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
 SELECT s_suppkey, s_nationkey, s_acctbal, CASE WHEN up <= floor(n * 0.3) THEN 'low' ELSE 'high' END AS side FROM o WHERE up <= floor(n * 0.3) OR down <= floor(n * 0.3)""")
 def extreme_rows(spark, d):
-    return readout.extremes(table(spark, d, "supplier").drop("s_name"), "s_acctbal", 0.3, ("s_nationkey",))
+    return readout.extremes(table(spark, d, "supplier").drop("s_name"), "s_acctbal", 0.3, ("s_nationkey",), "s_suppkey")
 
 
 @query(f"""WITH {knn_sql(5)}, t AS (SELECT src, rank, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi FROM knn JOIN cloud a ON a.node_id = src JOIN cloud b ON b.node_id = dst),
@@ -525,6 +525,26 @@ def model_sample(method):
     return query()(run)
 
 
+@query(f"""WITH {CLOUD_SQL}, parts AS MATERIALIZED (SELECT node_id, label, unnest(range(64)) AS dim, unnest(x) AS v FROM cloud),
+centers AS MATERIALIZED (SELECT label AS component, dim, avg(v) AS c FROM parts GROUP BY ALL),
+far AS (SELECT node_id, component, sum((v - c) ** 2) AS d FROM parts JOIN centers USING (dim) GROUP BY ALL),
+raw AS (SELECT *, exp((min(d) OVER (PARTITION BY node_id) - d) / 0.1) AS e FROM far), shares AS MATERIALIZED (SELECT node_id, component, e / sum(e) OVER (PARTITION BY node_id) AS s FROM raw),
+total AS (SELECT component, sum(s) AS s FROM shares GROUP BY component),
+means AS MATERIALIZED (SELECT component, dim, sum(shares.s * v) / max(total.s) AS m FROM shares JOIN parts USING (node_id) JOIN total USING (component) GROUP BY ALL),
+offs AS MATERIALIZED (SELECT node_id, component, dim, v - m AS o FROM parts JOIN means USING (dim)), rows_ AS (SELECT node_id, component, sum(o) AS o FROM offs GROUP BY ALL),
+spread AS (SELECT component, dim, sum(s * offs.o * offs.o) AS v, sum(s * offs.o * rows_.o) AS r FROM offs JOIN shares USING (node_id, component) JOIN rows_ USING (node_id, component) GROUP BY ALL)
+SELECT component, CAST(dim AS INTEGER) AS dim, round(s / (SELECT count(*) FROM cloud), 6) AS weight, round(m, 6) AS mean, round((v + 0.02) / (s + 2), 6) AS variance, round((r + 0.02) / (s + 2), 6) AS row_sum
+FROM spread JOIN means USING (component, dim) JOIN total USING (component)""")
+def mixture_step(spark, d):
+    """One step from a spherical component around the mean of each label: its share, mean, variances and row sums of the covariance."""
+    points, centers = cloud(spark, d), label_centroids(spark, d).orderBy("node").collect()
+    start = mixture.Mixture(np.full(len(centers), 1 / len(centers)), np.array([c.x for c in centers]), np.tile(0.05 * np.eye(64), (len(centers), 1, 1)), 0.01, 2.0)
+    after, _, _ = mixture.step(points, start)
+    rows = [(int(c.node), i, float(w), float(m[i]), float(v[i, i]), float(v[i].sum())) for c, w, m, v in zip(centers, after.weights, after.means, after.covariances) for i in range(64)]
+    found = spark.createDataFrame(rows, "component int, dim int, weight double, mean double, variance double, row_sum double")
+    return found.select("component", "dim", *(r(c).alias(c) for c in ("weight", "mean", "variance", "row_sum")))
+
+
 for _method in ("kmeans", "gaussian_mixture", "birch", "spectral"):
     model_sample(_method)
 
@@ -741,14 +761,10 @@ def cumulative_amounts(spark, d):
 # ---- sources, sinks and streams --------------------------------------------
 
 
-def new_folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {ATOMS}, {EDGES_SQL} SELECT e.gid, edge_id, src, dst, a.symbol AS symbol, round(dist, 6) AS dist FROM edges e JOIN atoms a ON a.gid = e.gid AND a.node_id = e.src")
 def graph_sink(spark, d):
     """A graph written as tables and read again."""
-    own, path = atoms(spark, d), new_folder(spark, "graph")
+    own, path = atoms(spark, d), new_path(spark, "graph")
     tables.write_graph({"nodes": own, "edges": edges_of(spark, d)}, path)
     back = tables.read_graph(spark, path, ("nodes", "edges"))
     met = back["edges"].join(back["nodes"].select("gid", F.col("node_id").alias("src"), "symbol"), ["gid", "src"])
@@ -758,7 +774,7 @@ def graph_sink(spark, d):
 @query("SELECT o_orderkey AS gid, o_totalprice FROM orders WHERE o_orderkey % 5 = 1 AND (o_orderkey // 5) % 3 = 2")
 def split_rows(spark, d):
     """The rows of one role and model of a written split."""
-    own, path = table(spark, d, "orders").select(F.col("o_orderkey").alias("gid"), "o_totalprice"), new_folder(spark, "split")
+    own, path = table(spark, d, "orders").select(F.col("o_orderkey").alias("gid"), "o_totalprice"), new_path(spark, "split")
     role = F.element_at(F.array(*map(F.lit, ("test", "training", "validation", "pretrain", "none"))), (F.col("gid") % 5 + 1).cast("int"))
     own.select("gid", role.alias("role"), (F.floor(F.col("gid") / 5) % 3).cast("int").alias("model_iter")).write.parquet(path)
     return tables.read_split(own, spark.read.parquet(path), "training", 2)
@@ -767,7 +783,7 @@ def split_rows(spark, d):
 @query(f"WITH {atoms_sql('l_suppkey')} SELECT CAST(gid AS VARCHAR) AS structure_id, node_id, symbol, x, y, z FROM atoms")
 def extxyz_round_trip(spark, d):
     """Structures written as extended XYZ files, one for a supplier, and read again."""
-    own, path = atoms(spark, d, "l_suppkey").withColumn("structure_id", F.col("gid").cast("string")), new_folder(spark, "xyz")
+    own, path = atoms(spark, d, "l_suppkey").withColumn("structure_id", F.col("gid").cast("string")), new_path(spark, "xyz")
     cell = F.array(*(F.array(*(F.lit(60.0 * (i == j)) for j in range(3))) for i in range(3)))
     structures.write_extxyz(structures.labelled_extxyz(own.withColumn("label", F.col("node_id")), own.select("structure_id").distinct().withColumn("cell", cell), 4.0), path)
     found = structures.atoms_of(structures.read_extxyz(spark, f"{path}/*/*.txt", folder=True))
@@ -777,14 +793,14 @@ def extxyz_round_trip(spark, d):
 @query(f"WITH {RUNS_SQL} SELECT CAST(epoch AS INTEGER) AS epoch, loss_train, loss_valid, seconds, loss_train < 500 AS saved, CAST(run_id AS VARCHAR) AS run_id FROM runs")
 def epoch_log(spark, d):
     """The records of all runs written as trainings do, and read again."""
-    path = new_folder(spark, "epochs")
+    path = new_path(spark, "epochs")
     tables.write_epoch_rows(runs(spark, d).withColumn("saved", F.col("loss_train") < 500), path)
     return tables.read_epochs(spark, path)
 
 
 @query(f"WITH {RATIO_SQL} SELECT CAST(0 AS INTEGER) AS dim, kind, gid, local_id, round(ratio, 6) AS ratio FROM ratios")
 def rankings_sink(spark, d):
-    path = new_folder(spark, "rankings")
+    path = new_path(spark, "rankings")
     tables.write_rankings(ratio_rows(spark, d), path)
     return spark.read.parquet(f"{path}/rankings").select("dim", "kind", "gid", "local_id", r("ratio").alias("ratio"))
 
@@ -792,7 +808,7 @@ def rankings_sink(spark, d):
 @query(f"WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, round(dist, 6) AS dist FROM edges")
 def streamed_graphs(spark, d):
     """Structures that arrive as files, one batch each, and the graphs that are left of them."""
-    path = new_folder(spark, "stream")
+    path = new_path(spark, "stream")
     own = atoms(spark, d).select("gid", "node_id", "x", "y", "z")
     own.repartition(3, "gid").write.parquet(f"{path}/in")
     arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")

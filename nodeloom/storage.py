@@ -1,21 +1,43 @@
-"""The folder that a cluster shares, and frames that are cut off from their history in it."""
+"""The folder that a cluster shares, what is written there, and frames that are cut off from their history in it."""
 
 from __future__ import annotations
 
-import warnings
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset a folder in the warehouse, which only serves a machine alone: elsewhere it warns."""
+    """spark.checkpoint.dir, or where it is unset on a machine alone, a folder in the warehouse; elsewhere it must be set."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named and not context.master.startswith("local"):
-        warnings.warn("spark.checkpoint.dir is unset: the warehouse must be a folder that driver and executors share", stacklevel=2)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, remembered for clear()."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet into the shared folder and read again: later scans prune its columns and know its size."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this session has written under new_path(). Results that haven't been read out need it until then."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once into the shared folder, so that a lost executor costs no recomputation of what came before."""
     context = df.sparkSession.sparkContext
