@@ -284,6 +284,26 @@ def knn(points: DataFrame, k: int, among: DataFrame | None = None, id_col: str =
 CELL_ROWS = 2048
 
 
+def visits(known: DataFrame, cells) -> DataFrame:
+    """A copy of each search (node_id, x, cell, radius) for every unit that has a cell within its radius, with unit; cells: a broadcast of Cells."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        every = cells.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                _, x = _vectors(some)
+                search, cell = np.nonzero(every.reached(every.distances(x), some.column("cell").to_numpy(), some.column("radius").to_numpy()))
+                n = every.pieces[cell]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pairs = np.unique(np.stack([np.repeat(search, n), np.repeat(every.first[cell], n) + step], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].astype(np.int32)), *(some.column(c).take(pa.array(pairs[:, 0])) for c in ("node_id", "x", "cell", "radius"))], names=["unit", "node_id", "x", "cell", "radius"])
+
+    return known.mapInArrow(run, "unit int, node_id long, x array<double>, cell int, radius double")
+
+
 def knn_by_cells(points: DataFrame, among: DataFrame, k: int, n: int, width: int, itself: bool, positive: bool, most_bytes: int = SHIPPED_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(src, dst, dist) with the k nearest of every point among them, without comparing all pairs.
 
@@ -295,7 +315,7 @@ def knn_by_cells(points: DataFrame, among: DataFrame, k: int, n: int, width: int
     that many points ask is held by several tasks, a share of the points each.
     """
     spark, unit_rows = points.sparkSession, max(1, most_bytes // (8 * width))
-    every = max(1, n // max(2, min(n // cell_rows, unit_rows)))
+    every = max(1, n // max(2, min(max(n // cell_rows, 8 * n // unit_rows), unit_rows)))  # several cells a unit, so that few are split
     drawn = among.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).select("x").distinct().limit(2 * unit_rows)
     pivots = np.array([r[0] for r in drawn.collect()] or [among.first()[1]], float)  # twice most_bytes at most; any choice gives the same result
     sent = spark.sparkContext.broadcast(pivots)
@@ -372,26 +392,7 @@ def knn_by_cells(points: DataFrame, among: DataFrame, k: int, n: int, width: int
 
     known = stored(meet(asking, {}, "node_id long, x array<double>, cell int, radius double", radii), "radii")
 
-    def units_of(x, home, radius):
-        """For each cell that each search must visit, the search and the unit, both once."""
-        every = cells.value
-        search, cell = np.nonzero(every.reached(every.distances(x), home, radius))
-        n = every.pieces[cell]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(np.stack([np.repeat(search, n), np.repeat(every.first[cell], n) + step], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def visits(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids, x = _vectors(some)
-                search, unit = units_of(x, some.column("cell").to_numpy(), some.column("radius").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), *(some.column(c).take(pa.array(search)) for c in ("node_id", "x", "cell", "radius"))], names=["unit", "node_id", "x", "cell", "radius"])
-
-    sought = known.mapInArrow(visits, "unit int, node_id long, x array<double>, cell int, radius double")
+    sought = visits(known, cells)
     asked = {r.unit: r.n for r in sought.groupBy("unit").agg(F.count("*").alias("n")).collect()}  # a row per unit
     parts = {u: -(-v // (4 * unit_rows)) for u, v in asked.items() if v > 4 * unit_rows}
 
