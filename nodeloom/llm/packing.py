@@ -11,7 +11,10 @@ the very last is cut into sequences whose lengths are powers of two.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,32 +26,84 @@ FAN_IN = 32
 _SCHEMA = "doc_id {id}, start long, token_ids binary, doc_tokens long, sequence_id long, offset long, origin long, window int"
 
 
+#: Letters beyond ASCII that are one character in NFC, and whose lower case is one character whatever stands around them.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+
+
+def latin_pieces(spec: str):
+    """A function that cuts a word of printable ASCII and LATIN as the tokenizer does before its merges, into pieces as its model takes them; for other words it gives None. None itself if the tokenizer isn't of the kind whose rules are known here: NFC and lower case, the matches of one pattern, bytes as characters."""
+    parts = json.loads(spec)
+    normal, before = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    split, *rest = before.get("pretokenizers") or [{}]
+    plain = [x.get("type") for x in normal.get("normalizers") or []] == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    cut = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+    pattern = (split.get("pattern") or {}).get("Regex", "") if plain and cut else ""
+    if not pattern or not pattern.isascii() or re.search(r"\\(?!p\{[LN]\}|s)", pattern):
+        return None
+    find = re.compile(pattern.replace(r"\p{L}", f"a-z{LATIN}").replace(r"\p{N}", "0-9")).findall
+    known = re.compile(f"[!-~{LATIN}]+").fullmatch
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow after them
+    table = {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    table = str.maketrans(table)
+
+    def pieces(word: bytes) -> list[str] | None:
+        text = word.decode()
+        if not known(text):
+            return None
+        found = find(text.lower())
+        return found if text.isascii() else [p.encode().decode("latin-1").translate(table) for p in found]
+
+    return pieces
+
+
 class Words(dict):
     """Stretch of text without ASCII white space, as UTF-8 -> the ids of its tokens as little-endian unsigned 32-bit integers.
 
     For tokenizers whose tokens never span white space: a text's ids are then
-    those of its stretches, and frequent stretches are tokenized once.
+    those of its stretches, and frequent stretches are tokenized once. Most
+    others are cut into pieces, which repeat more often, and given straight to
+    the library's model; it is the whole tokenizer that takes the rest.
     """
 
-    def __init__(self, spec: str, keep_bytes: int = 24_000_000):
+    def __init__(self, spec: str, keep_bytes: int = 160_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.cut, self.model = latin_pieces(spec), self.tokenizer.model
+        letters = "abcdefghijklmnopqrstuvwxyz" * 4
+        self.whole = self.cut is not None and self.cut(letters.encode()) == [letters]  # letters stay together
+        self.pieces: dict[str, bytes] = {}
         self.keep_bytes, self.held = keep_bytes, 0
 
     def learn(self, words: set[bytes]) -> None:
-        import numpy as np
-
         if self.held > self.keep_bytes:
             self.clear()
+            self.pieces.clear()
             self.held = 0
-        new = [w for w in words if w not in self]
-        for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-            self.held += len(word) + 4 * len(found.ids) + 150
+        new, rest, known = [w for w in words if w not in self], [], self.pieces
+        for word in new:
+            if self.whole and word.isalpha():  # ASCII letters
+                p = word.lower().decode()
+                found = known.get(p)
+                if found is None:
+                    found = known[p] = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
+                self[word] = found
+                continue
+            pieces = self.cut(word) if self.cut else None
+            if pieces is None:
+                rest.append(word)
+                continue
+            for p in pieces:
+                if p not in known:
+                    known[p] = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
+                    self.held += 150
+            self[word] = b"".join(map(known.__getitem__, pieces))
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            self[word] = array("I", found.ids).tobytes()
+        self.held += 180 * len(new)
 
     def encode(self, text: bytes, chunk: int = 1 << 20) -> bytes:
         out, at = [], 0

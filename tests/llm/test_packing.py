@@ -30,7 +30,10 @@ def test_words_as_the_library(spec, known):
     alphabet = "aab  \n\t\r\x0b\x0c\x1c\x1f\x85  　éßñİΣς漢字🙂'sTll09_.-=<>|é̸​\x00"
     texts = ["", " ", "a" * 3000, "it's we'LL 're", "<|endoftext|> <|startoftext|>", " ́x", "ΑΣ ΑΣ", "Å̇ 가"]
     texts += ["".join(draw.choice(alphabet) for _ in range(draw.randrange(200))) for _ in range(400)]
+    latin = "".join(map(chr, [*range(33, 127), *range(0xA1, 0x180)]))
+    texts += ["".join(draw.choice(latin + "  abcdef") for _ in range(draw.randrange(80))) for _ in range(400)] + [" ".join(latin), latin]
     words = packing.Words(spec)
+    assert words.cut and words.cut("Ab1é's".encode()) == ["ab", "1", "Ã©", "'s"] and words.cut(b"\x1c") is None and packing.latin_pieces("{}") is None
     for text in texts:
         assert ids(words.encode(text.encode())) == known.encode(text, add_special_tokens=False).ids
         assert ids(words.encode(text.encode(), 5)) == known.encode(text, add_special_tokens=False).ids
