@@ -28,14 +28,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet into the shared folder and read again: later scans prune its columns and know its size."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df, before clear() does; neither df nor what is made of it may be asked for again."""
+    _written.remove(df.stored_at)
+    _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes what this session has written under new_path(). Results that haven't been read out need it until then."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
