@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir  # noqa: F401
+from ..storage import clear, cut, forget, new_path, shared_dir, stored  # noqa: F401
 
 #: The white space that separates words: space and the control characters tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -29,29 +27,6 @@ def fresh(columns, *names: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet into the shared folder and read again: later scans prune its columns and know its size."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, remembered for clear()."""
-    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes what stored() and the archives of this session have written. Results that haven't been read out need it until then."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def heavy(counts: DataFrame, n: str, total: int, least: int = 4096) -> tuple[DataFrame, int]:
     """(rows of counts whose n is above a bound, the bound): least, or a share of total if that is more. Since n adds up to total at most, there are no more than 4 such rows for each shuffle partition, which bounds a broadcast."""
     bound = max(least, total // (4 * parallelism(counts.sparkSession)))

@@ -18,11 +18,11 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import forget, slices, stored
 
-#: Words of a shard: what is held in a Python worker at a time. A shard's places and pairs are numbered in 21 bits.
-SHARD = 1 << 20
-BITS = 21
+#: Words of a shard: what is held in a Python worker at a time. A shard's words and pairs are numbered in 23 bits.
+SHARD = 1 << 22
+BITS = 23
 #: What ends a piece becomes a byte that no UTF-8 text has.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\v\f\r", bytes(range(97, 123)) + b"\xff" * 10)
 CHUNK = 1 << 20
@@ -39,6 +39,21 @@ def word_chunks(text: bytes):
         at = to
 
 
+def packed(numbers) -> bytes:
+    """32-bit numbers, all first bytes before all second ones and so on, compressed: most of the upper bytes are the same."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes):
+    import numpy as np
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 class Shard:
     """Places filled with numbers of words, from 1 on by order of appearance; 0 between pieces. After a text that goes on in the next shard come its next words, as negative numbers: they complete phrases, but start none that counts."""
 
@@ -69,7 +84,7 @@ class Shard:
         places = np.concatenate(self.places)
         words = sorted((n, lang, word) for lang, known in self.langs.items() for word, n in known.items() if n)
         counts = np.bincount(places[places > 0], minlength=len(words) + 1)[1:]
-        return number, places.tobytes(), [x[1] for x in words], [x[2].decode() for x in words], counts.tolist()
+        return number, packed(places), [x[1] for x in words], [x[2].decode() for x in words], counts.tolist()
 
 
 class Numbered(dict):
@@ -132,36 +147,36 @@ def pairs_of(places):
 
 
 def counted_pairs(shards: DataFrame) -> DataFrame:
-    """code, key, a, b, n: for each distinct pair of a shard its number in all shards and in this one, its two names, and how often it counts."""
+    """code, a, b, n: for each distinct pair of a shard its number in all shards, by order in this one, its two names, and how often it counts."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in slices(batches, 1):
-            shard, places = batch.column("shard").to_pylist()[0], np.frombuffer(batch.column("places").to_pylist()[0], np.int32)
+            shard, places = batch.column("shard").to_pylist()[0], unpacked(batch.column("places").to_pylist()[0])
             names = np.frombuffer(batch.column("names").to_pylist()[0], np.int64)
             _, counts, keys = pairs_of(places)
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             n = np.add.reduceat(counts.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-            keys = keys[first]
-            code = (shard << BITS) + np.arange(len(keys))
+            keys, code = keys[first], (shard << BITS) + np.arange(len(first))
             for s in range(0, len(keys), 1 << 16):
-                part = keys[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code[s : s + (1 << 16)], part, names[part >> 32], names[part & 0xFFFFFFFF], n[s : s + (1 << 16)])], names=["code", "key", "a", "b", "n"])
+                part = slice(s, s + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code[part], names[keys[part] >> 32], names[keys[part] & 0xFFFFFFFF], n[part])], names=["code", "a", "b", "n"])
 
-    return shards.select("shard", "places", "names").mapInArrow(run, "code long, key long, a long, b long, n long")
+    return shards.select("shard", "places", "names").mapInArrow(run, "code long, a long, b long, n long")
 
 
 def frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """rows whose n adds up to least over all that share the columns by, with f, the sum, and name, the smallest code among them.
+    """code and name of the rows whose n adds up to least over all that share the columns by: name is the smallest code among them. Its own row also has these columns, and f, the sum.
 
     A group has a row for each shard that holds it, since shards have counted before.
     """
     group = Window.partitionBy(*by)
-    return rows.withColumns({"f": F.sum("n").over(group), "name": F.min("code").over(group)}).where(F.col("f") >= least).drop("n")
+    found = rows.withColumns({"f": F.sum("n").over(group), "name": F.min("code").over(group)}).where(F.col("f") >= least)
+    return found.select("code", "name", *(F.when(F.col("code") == F.col("name"), F.col(c)).alias(c) for c in (*by, "f")))
 
 
 def renamed(shards: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -172,30 +187,30 @@ def renamed(shards: DataFrame, found: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         shard, places = left.column("shard").to_pylist(), left.column("places").to_pylist()
-        keys, names = np.asarray(right.column("key")), np.asarray(right.column("name"))
+        codes, names = np.asarray(right.column("code")) & ((1 << BITS) - 1), np.asarray(right.column("name"))
         kind = pa.schema([("shard", pa.int64()), ("places", pa.binary()), ("names", pa.binary())])
-        if not shard or not len(keys):
+        if not shard or not len(codes):
             return kind.empty_table()
-        old = np.frombuffer(places[0], np.int32)
-        order = np.argsort(keys)
-        keys, names = keys[order], np.append(np.int64(0), names[order])
+        order = np.argsort(codes)
+        old, codes, names = unpacked(places[0]), codes[order], np.append(np.int64(0), names[order])
         if k == 1:
-            number = np.zeros(int(np.abs(old).max()) + 1, np.int32)
-            number[keys] = np.arange(1, len(keys) + 1)
+            number = np.zeros(max(int(np.abs(old).max()), int(codes[-1]) + 1) + 1, np.int32)
+            number[codes + 1] = np.arange(1, len(codes) + 1)
             new = np.sign(old) * number[np.abs(old)]
         else:
             at, counts, pairs = pairs_of(old)
-            place = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-            number = np.where(keys[place] == pairs, place + 1, 0).astype(np.int32)
+            kinds, place = np.unique(pairs, return_inverse=True)
+            number = np.zeros(len(kinds), np.int32)
+            number[codes] = np.arange(1, len(codes) + 1)
             new = np.zeros(len(old), np.int32)
-            new[at] = np.where(counts, number, -number)
+            new[at] = np.where(counts, number[place], -number[place])
             filled = new != 0
             near = filled.copy()
             near[1:] |= filled[:-1]  # of places without a name, one after each run is enough
             new = new[near]
-        return pa.Table.from_arrays([pa.array(shard), pa.array([new.astype(np.int32).tobytes()]), pa.array([names.tobytes()])], schema=kind)
+        return pa.Table.from_arrays([pa.array(shard), pa.array([packed(new)]), pa.array([names.tobytes()])], schema=kind)
 
-    own = found.select(F.shiftright("code", BITS).alias("shard"), "key", "name")
+    own = found.select(F.shiftright("code", BITS).alias("shard"), "code", "name")
     return shards.select("shard", "places").groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(rename, "shard long, places binary, names binary")
 
 
@@ -221,14 +236,16 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int |
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     shards = stored(sharded(texts, min(shard_words, SHARD), longest - 1), "phrases-shards")
-    words = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "w")).select((F.shiftleft("shard", BITS) + F.col("at")).alias("code"), (F.col("at") + 1).cast("long").alias("key"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = shards.select(F.explode(F.arrays_zip("langs", "counts")).alias("w")).groupBy(F.col("w.langs").alias("lang")).agg(F.sum("w.counts").alias("n"))
+    words = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "w")).select((F.shiftleft("shard", BITS) + F.col("at")).alias("code"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    totals = stored(shards.select(F.explode(F.arrays_zip("langs", "counts")).alias("w")).groupBy(F.col("w.langs").alias("lang")).agg(F.sum("w.counts").alias("n")), "phrases-totals")
     found = stored(frequent(words, ["lang", "word"], least), "phrases-1")
     none = F.array().cast("array<long>")
-    level = found.where("code = name").select("name", "lang", "f", F.array("word").alias("words"), none.alias("before"), none.alias("after"))
+    level = stored(found.where("code = name").select("name", "lang", "f", F.array("word").alias("words"), none.alias("before"), none.alias("after")), "phrases-level-1")
     levels = []
     for k in range(2, longest + 1):
-        shards = stored(renamed(shards, found, k - 1), f"phrases-places-{k - 1}")
+        old, shards = (shards, found), stored(renamed(shards, found, k - 1), f"phrases-places-{k - 1}")
+        for done in old:
+            forget(done)
         found = stored(frequent(counted_pairs(shards), ["a", "b"], least), f"phrases-{k}")
         pairs = found.where("code = name").select("name", "a", "b", "f")
         head = level.select(F.col("name").alias("a"), "lang", F.col("f").alias("f_a"), F.col("words").alias("head"), "before")
@@ -236,6 +253,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int |
         met = pairs.join(head, "a").join(tail, "b")
         level = stored(met.select("name", "a", "b", "lang", "f", F.concat("head", F.array("last")).alias("words"), F.concat("before", F.array("f_a")).alias("before"), F.concat(F.array("f_b"), "after").alias("after")), f"phrases-level-{k}")
         levels.append(level)
+    for done in (shards, found):
+        forget(done)
     kept = None
     for own, longer in zip(levels, [*levels[1:], None]):
         if longer is not None:

@@ -1,16 +1,24 @@
 import os
 
+from nodeloom import storage
 from nodeloom.llm import common
 
 
 def test_what_is_stored_can_be_cleared(spark, monkeypatch):
-    monkeypatch.setattr(common, "_written", [])
+    monkeypatch.setattr(storage, "_written", [])
     df = common.stored(spark.range(5), "some")
-    (path,) = common._written
+    (path,) = storage._written
     local = path.removeprefix("file:")
     assert df.count() == 5 and os.path.isdir(local)
     common.clear(spark)
-    assert not os.path.exists(local) and common._written == []
+    assert not os.path.exists(local) and storage._written == []
+
+
+def test_what_is_stored_can_be_forgotten(spark):
+    df, other = common.stored(spark.range(5), "some"), common.stored(spark.range(3), "some")
+    common.forget(df)
+    assert not os.path.exists(df.stored_at.removeprefix("file:")) and other.count() == 3
+    assert df.stored_at not in storage._written and other.stored_at in storage._written
 
 
 def test_fresh_names():
