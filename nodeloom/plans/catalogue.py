@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import basis, geometry, vectors
@@ -16,7 +16,7 @@ from ..sources import structures, tables
 from ..storage import cut, new_path
 from ..streaming import graphs as streams
 from . import net_sql
-from .views import CLOUD_SQL, CUTOFF, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
+from .views import ANGLE_LISTS_SQL, CLOUD_SQL, CUTOFF, EDGE_LISTS_SQL, EDGES_SQL, RUNS_SQL, atoms, atoms_sql, cloud, knn_sql, runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,16 @@ def radius_graph_images(spark, d):
     return found.select("gid", "src", "dst", "sx", r("dist").alias("dist"))
 
 
+@query(f"""WITH {ATOMS}, groups AS (SELECT gid, list({{n: node_id, x: x, y: y, z: z}}) AS l FROM atoms GROUP BY gid), firsts AS (SELECT gid, l, unnest(l) AS p FROM groups), pairs AS (SELECT gid, p, unnest(l) AS q FROM firsts),
+shifts AS (SELECT i - 1 AS sx, j - 1 AS sy, k - 1 AS sz FROM range(3) t1(i), range(3) t2(j), range(3) t3(k)),
+near AS (SELECT gid, p.n AS src, q.n AS dst, sx, sy, sz, (q.x + 50 * sx - p.x) ** 2 + (q.y + 11 * sy - p.y) ** 2 + (q.z + 9 * sz - p.z) ** 2 AS square FROM pairs, shifts WHERE p.n <> q.n OR sx <> 0 OR sy <> 0 OR sz <> 0)
+SELECT gid, src, dst, CAST(sx AS INTEGER) AS sx, CAST(sy AS INTEGER) AS sy, CAST(sz AS INTEGER) AS sz, round(sqrt(square), 6) AS dist FROM near WHERE square < {CUTOFF**2}""")
+def radius_graph_box(spark, d):
+    """A box that is periodic three ways, by cells."""
+    cell = [[50.0, 0, 0], [0, 11.0, 0], [0, 0, 9.0]]
+    return neighbors.radius_graph(atoms(spark, d), CUTOFF, cell, method="cells").select("gid", "src", "dst", "sx", "sy", "sz", r("dist").alias("dist"))
+
+
 @query(f"""WITH {ATOMS}, {EDGES_SQL} SELECT gid, src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM
 (SELECT *, row_number() OVER (PARTITION BY gid, dst ORDER BY dist, src) AS rank FROM edges) WHERE rank <= 2""")
 def radius_knn(spark, d):
@@ -149,15 +159,14 @@ def three_body_angles(spark, d):
     return found.join(ends.toDF("edge_u", "a", "center"), "edge_u").join(ends.select("edge_id", "src").toDF("edge_v", "b"), "edge_v").select("center", "a", "b", r("angle").alias("angle"))
 
 
-@query(f"""WITH {ATOMS}, {EDGES_SQL.replace('edges AS (', 'edges AS MATERIALIZED (', 1)} SELECT u.gid, u.edge_id AS edge_u, v.edge_id AS edge_v,
-round(acos(greatest(-1, least(1, (u.dx * v.dx + u.dy * v.dy + u.dz * v.dz) / nullif(u.dist * v.dist, 0)))), 6) AS angle
-FROM edges u JOIN edges v ON u.gid = v.gid AND u.dst = v.dst AND u.edge_id <> v.edge_id""")
+@query(f"WITH {ATOMS}, {EDGE_LISTS_SQL}, {ANGLE_LISTS_SQL} SELECT gid, edge_u, edge_v, round(angle, 6) AS angle FROM angles")
 def bond_angles(spark, d):
     return graphs.bond_angles(edges_of(spark, d)).select("gid", F.col("edge_u").cast("long").alias("edge_u"), F.col("edge_v").cast("long").alias("edge_v"), r("angle").alias("angle"))
 
 
-@query(f"""WITH {ATOMS}, {EDGES_SQL}, chains AS (SELECT f.gid, f.edge_id AS edge_u, l.edge_id AS edge_v, f.dx AS ax, f.dy AS ay, f.dz AS az, m.dx AS bx, m.dy AS by_, m.dz AS bz, -l.dx AS cx, -l.dy AS cy, -l.dz AS cz
-FROM edges f JOIN edges m ON f.gid = m.gid AND f.dst = m.src AND f.src <> m.dst JOIN edges l ON l.gid = m.gid AND l.dst = m.dst AND l.src <> m.src AND l.src <> f.src),
+@query(f"""WITH {ATOMS}, {EDGE_LISTS_SQL}, per_group AS (SELECT gid, list({{id: edge_id, s: src, t: dst, x: dx, y: dy, z: dz}}) AS l FROM edges GROUP BY gid),
+fs AS (SELECT gid, l, unnest(l) AS f FROM per_group), ms AS (SELECT gid, f, l, unnest(list_filter(l, lambda m: m.s = f.t AND m.t <> f.s)) AS m FROM fs), ls AS (SELECT gid, f, m, unnest(list_filter(l, lambda e: e.t = m.t AND e.s <> m.s AND e.s <> f.s)) AS l FROM ms),
+chains AS (SELECT gid, f.id AS edge_u, l.id AS edge_v, f.x AS ax, f.y AS ay, f.z AS az, m.x AS bx, m.y AS by_, m.z AS bz, -l.x AS cx, -l.y AS cy, -l.z AS cz FROM ls),
 normal AS (SELECT *, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz, by_ * cz - bz * cy AS px, bz * cx - bx * cz AS py, bx * cy - by_ * cx AS pz FROM chains)
 SELECT gid, edge_u, edge_v, round(cos(angle), 6) + 0.0 AS cosine, round(sin(angle), 6) + 0.0 AS sine FROM (SELECT *, CASE WHEN nx * nx + ny * ny + nz * nz > 0 AND px * px + py * py + pz * pz > 0
 THEN atan2((ax * px + ay * py + az * pz) * sqrt(bx * bx + by_ * by_ + bz * bz), nx * px + ny * py + nz * pz) END AS angle FROM normal)""")
@@ -198,6 +207,26 @@ def joined_graphs(spark, d):
     return found.select("gid", "part_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("edge_id").cast("long").alias("edge_id"), r("dist").alias("dist"))
 
 
+@query(f"""WITH {ATOMS}, {EDGE_LISTS_SQL}, {ANGLE_LISTS_SQL}, first_edges AS (SELECT gid // 2 AS pair, count(*) AS n FROM edges WHERE gid % 2 = 0 GROUP BY ALL),
+parts AS (SELECT gid // 2 AS pair, CAST(gid % 2 AS INTEGER) AS part_id, edge_u + CASE WHEN gid % 2 = 1 THEN coalesce(n, 0) ELSE 0 END AS edge_u, edge_v + CASE WHEN gid % 2 = 1 THEN coalesce(n, 0) ELSE 0 END AS edge_v, angle FROM angles LEFT JOIN first_edges ON pair = gid // 2)
+SELECT pair AS gid, part_id, row_number() OVER (PARTITION BY pair ORDER BY part_id, edge_u, edge_v) - 1 AS angle_id, edge_u, edge_v, round(angle, 6) AS angle FROM parts""")
+def joined_angles(spark, d):
+    """The angles of graphs joined from two orders each: those of the second go on where the first one's edges end."""
+    own = atoms(spark, d).drop("price")
+    parts = [own.where(F.col("gid") % 2 == i).withColumn("gid", F.floor(F.col("gid") / 2)) for i in (0, 1)]
+    found = graphs.joined_graph(parts, CUTOFF)["angles"]
+    return found.select("gid", "part_id", *(F.col(c).cast("long").alias(c) for c in ("angle_id", "edge_u", "edge_v")), r("angle").alias("angle"))
+
+
+@query(f"""WITH {ATOMS}, {EDGE_LISTS_SQL}, {ANGLE_LISTS_SQL}, e AS (SELECT gid, count(*) AS edges FROM edges GROUP BY gid), a AS (SELECT gid, count(*) AS angles, sum(angle) AS turn FROM angles GROUP BY gid)
+SELECT gid, edges, coalesce(angles, 0) AS angles, round(coalesce(turn, 0), 4) AS turn FROM e LEFT JOIN a USING (gid)""")
+def built_with_angles(spark, d):
+    """Graphs with their line graphs by the name of their kind."""
+    found = graphs.build("atomic", atoms(spark, d), CUTOFF)
+    edges, angles = found["edges"].groupBy("gid").agg(F.count("*").alias("edges")), found["angles"].groupBy("gid").agg(F.count("*").alias("angles"), F.sum("angle").alias("turn"))
+    return edges.join(angles, "gid", "left").select("gid", "edges", F.coalesce("angles", F.lit(0)).alias("angles"), r(F.coalesce("turn", F.lit(0.0)), 4).alias("turn"))
+
+
 # ---- chemistry -------------------------------------------------------------
 
 
@@ -281,8 +310,8 @@ ROWS_SQL = f"""{ATOMS}, {EDGES_SQL}, rows_ AS (SELECT gid, 'atom' AS kind, symbo
 UNION ALL SELECT e.gid, 'bond', CASE WHEN a.symbol <= b.symbol THEN a.symbol || b.symbol ELSE b.symbol || a.symbol END, edge_id, dist * 100 FROM edges e JOIN atoms a ON a.gid = e.gid AND a.node_id = src JOIN atoms b ON b.gid = e.gid AND b.node_id = dst)"""
 
 
-def typed_rows(spark, d):
-    own, e = atoms(spark, d), edges_of(spark, d)
+def typed_rows(spark, d, e=None):
+    own, e = atoms(spark, d), e or edges_of(spark, d)
     a = own.select("gid", F.lit("atom").alias("kind"), F.col("symbol").alias("type_key"), F.col("node_id").alias("local_id"), F.array("price").alias("value"))
     b = readout.bond_types(e, own).select("gid", F.lit("bond").alias("kind"), F.array_join("type_key", "").alias("type_key"), F.col("edge_id").cast("long").alias("local_id"), F.array(F.col("dist") * 100).alias("value"))
     return a.unionByName(b)
@@ -303,16 +332,23 @@ def batch_total(spark, d):
     return readout.accumulated(typed_rows(spark, d), "sum").withColumn("value", r("value", 2))
 
 
-RATIO_SQL = f"{ROWS_SQL}, ratios AS (SELECT *, v / sum(v) OVER (PARTITION BY gid) AS ratio FROM rows_)"
+RATIO_SQL = f"""{ATOMS}, {EDGE_LISTS_SQL}, {ANGLE_LISTS_SQL}, rows_ AS (SELECT gid, 'atom' AS kind, symbol AS type_key, node_id AS local_id, price AS v FROM atoms
+UNION ALL SELECT gid, 'bond', least(src_symbol, dst_symbol) || greatest(src_symbol, dst_symbol), edge_id, dist * 100 FROM edges
+UNION ALL SELECT gid, 'angle', type_key, row_number() OVER (PARTITION BY gid ORDER BY edge_u, edge_v) - 1, coalesce(angle, 0) * 10 FROM angles), ratios AS (SELECT *, v / sum(v) OVER (PARTITION BY gid) AS ratio FROM rows_)"""
 
 
 def ratio_rows(spark, d):
-    return readout.contribution_ratios(typed_rows(spark, d))
+    """The shares of atoms, bonds and angles in the sum of their graph."""
+    own, e = atoms(spark, d), cut(edges_of(spark, d))
+    found = readout.angle_types(graphs.bond_angles(e), e, own)
+    number = F.row_number().over(Window.partitionBy("gid").orderBy("edge_u", "edge_v")) - 1
+    c = found.select("gid", F.lit("angle").alias("kind"), F.array_join("type_key", "").alias("type_key"), number.cast("long").alias("local_id"), F.array(F.coalesce("angle", F.lit(0.0)) * 10).alias("value"))
+    return readout.contribution_ratios(typed_rows(spark, d, e).unionByName(c))
 
 
 @query(f"WITH {RATIO_SQL} SELECT gid, kind, local_id, round(ratio, 6) AS ratio FROM ratios")
 def contrib_ratio(spark, d):
-    return readout.contribution_ratios(typed_rows(spark, d)).select("gid", "kind", "local_id", r("ratio").alias("ratio"))
+    return ratio_rows(spark, d).select("gid", "kind", "local_id", r("ratio").alias("ratio"))
 
 
 @query(f"WITH {RATIO_SQL} SELECT gid, kind, type_key, count(*) AS n, round(avg(ratio), 6) AS mean, round(stddev_pop(ratio), 6) AS std FROM ratios GROUP BY ALL")

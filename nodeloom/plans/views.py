@@ -35,6 +35,15 @@ EDGES_SQL = f"""edges AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY
     FROM atoms a JOIN atoms b ON a.gid = b.gid AND a.node_id <> b.node_id) WHERE dist * dist < {CUTOFF * CUTOFF})"""
 
 
+#: The same edges from a list of atoms per group: no join that could be planned badly. Wants atoms.
+EDGE_LISTS_SQL = f"""groups AS (SELECT gid, list({{n: node_id, s: symbol, x: x, y: y, z: z}}) AS l FROM atoms GROUP BY gid), firsts AS (SELECT gid, l, unnest(l) AS p FROM groups), seconds AS (SELECT gid, p, unnest(l) AS q FROM firsts),
+met AS (SELECT gid, p.n AS src, q.n AS dst, p.s AS src_symbol, q.s AS dst_symbol, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz FROM seconds WHERE p.n <> q.n),
+near AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM met), edges AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1 AS edge_id FROM near WHERE dist * dist < {CUTOFF * CUTOFF})"""
+#: Pairs of edges into one node, from a list of edges per node. Wants edges.
+ANGLE_LISTS_SQL = """into_node AS (SELECT gid, dst, list({id: edge_id, n: src, s: src_symbol, c: dst_symbol, x: dx, y: dy, z: dz, d: dist}) AS l FROM edges GROUP BY gid, dst), us AS (SELECT gid, dst, l, unnest(l) AS u FROM into_node), vs AS (SELECT gid, dst, u, unnest(l) AS v FROM us),
+angles AS MATERIALIZED (SELECT gid, u.id AS edge_u, v.id AS edge_v, u.s || u.c || v.s AS type_key, acos(greatest(-1, least(1, (u.x * v.x + u.y * v.y + u.z * v.z) / nullif(u.d * v.d, 0)))) AS angle FROM vs WHERE u.id <> v.id)"""
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_id, x, label)."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("x"), "label")
