@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, stored
-from . import mixture
+from . import birch, mixture, spectral
 from .components import connected_components
 from .neighbors import knn
 from .selection import DRAW_STEPS, chosen, draw_orders
@@ -76,34 +76,25 @@ def by_subgraph(df: DataFrame, neighbors: int, split: float, seed: int = 0, id_c
     return by_quota(named, split, seed, id_col)
 
 
-def by_model(df: DataFrame, method: str, clusters: int, split: float, seed: int = 0, id_col: str = "id", vec: str = "x", restarts: int = 10) -> DataFrame:
-    """Clusters of a fitted model: kmeans (the best of restarts), gaussian_mixture, birch (bisecting k-means over micro-clusters) or spectral (power iteration over similarities of nearest neighbors)."""
-    from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+def by_model(df: DataFrame, method: str, clusters: int | None, split: float, seed: int = 0, id_col: str = "id", vec: str = "x", restarts: int = 10, **params) -> DataFrame:
+    """Clusters of a fitted model: kmeans (the best of restarts), gaussian_mixture, birch or spectral; params go to the last three. Rows without a vector are cluster 0."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
     if method == "spectral":
-        near = knn(df.select(F.col(id_col).alias("node_id"), F.col(vec).alias("x")), 10)
-        scale = near.agg(F.avg(F.col("dist") * F.col("dist"))).first()[0] or 1.0
-        pairs = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.exp(-F.col("dist") * F.col("dist") / scale).alias("weight")).distinct()
-        found = PowerIterationClustering(k=clusters, maxIter=20, weightCol="weight").assignClusters(pairs)
-        named = df.join(found.select(F.col("id").alias("__i"), F.col("cluster")), F.col(id_col) == F.col("__i"), "left").drop("__i").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
-        return by_quota(named, split, seed, id_col)
-    if method == "kmeans":
-        models = [KMeans(k=clusters, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(data) for i in range(restarts)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
+        found = spectral.clusters_of(df, clusters, seed=seed, id_col=id_col, vec=vec, **params).withColumnsRenamed({id_col: "__i", "cluster": "__c"})
+        named = df.drop("cluster").join(found, F.col(id_col) == F.col("__i"), "left").withColumn("cluster", F.col("__c")).drop("__i", "__c")
     elif method == "gaussian_mixture":
-        fitted, _ = mixture.fit(df, clusters, seed, vec)
-        return by_quota(mixture.assigned(df, fitted, vec), split, seed, id_col)
+        named = mixture.assigned(df, mixture.fit(df, clusters, seed, vec, **params)[0], vec)
     elif method == "birch":
-        micro = KMeans(k=min(10 * clusters, max(2, data.count() // 2)), seed=seed, featuresCol="__v", predictionCol="micro").fit(data)
-        centers = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(micro.clusterCenters())], "micro int, c array<double>").withColumn("__v", array_to_vector("c"))
-        of = BisectingKMeans(k=clusters, seed=seed, featuresCol="__v", predictionCol="cluster").fit(centers).transform(centers).select("micro", "cluster")
-        named = micro.transform(data).join(F.broadcast(of), "micro").drop("micro", "__v")
-        return by_quota(named, split, seed, id_col)
+        named = birch.assigned(df, clusters, vec=vec, **params)
+    elif method == "kmeans":
+        data = df.drop("cluster").withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
+        models = [KMeans(k=clusters, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(data) for i in range(restarts)]
+        named = min(models, key=lambda m: m.summary.trainingCost).transform(data).drop("__v")
     else:
         raise ValueError(f"no such clustering: {method}")
-    return by_quota(model.transform(data).drop("__v"), split, seed, id_col)
+    return by_quota(named.withColumn("cluster", F.coalesce("cluster", F.lit(0))), split, seed, id_col)
 
 
 def sample(df: DataFrame, method: str, split: float, seed: int = 0, **params) -> DataFrame:

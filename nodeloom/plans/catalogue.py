@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import basis, geometry, vectors
-from ..operators import chemistry, gop, graphs, mixture, neighbors, paths, readout, sampling, training_windows
+from ..operators import birch, chemistry, gop, graphs, mixture, neighbors, paths, readout, sampling, training_windows
 from ..operators.components import connected_components, has_path
 from ..sources import elements as element_table
 from ..sources import structures, tables
@@ -581,6 +581,21 @@ def mixture_step(spark, d):
     return found.select("component", "dim", *(r(c).alias(c) for c in ("weight", "mean", "variance", "row_sum")))
 
 
+@query("WITH clustered AS (SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_size) - 1 AS cluster FROM part)" + SAMPLED_SQL.replace("SPLIT", "0.3"))
+def sample_birch_leaves(spark, d):
+    """Leaves of radius 0, each a cluster of its own: parts of one size."""
+    points = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double")).alias("x"))
+    return sampled(sampling.by_model(points, "birch", None, 0.3, 7, threshold=0.0))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT CAST(i - 1 AS INTEGER) AS dim, CAST(count(*) AS BIGINT) AS n, round(sum(x[i]), 6) AS total, round(sum(list_dot_product(x, x)), 6) AS square FROM cloud, range(1, 65) t(i) GROUP BY i")
+def birch_leaf_sums(spark, d):
+    """The leaves of a tree under a radius, added up: features of groups add up to those of all points."""
+    found = birch.leaves(cloud(spark, d), 0.6, most=200)
+    each = found.select("n", "square", F.posexplode("sums").alias("dim", "v"))
+    return each.groupBy("dim").agg(F.sum("n").cast("long").alias("n"), r(F.sum("v")).alias("total"), r(F.sum("square")).alias("square"))
+
+
 for _method in ("kmeans", "gaussian_mixture", "birch", "spectral"):
     model_sample(_method)
 
