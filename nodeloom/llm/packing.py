@@ -65,7 +65,7 @@ class Words(dict):
     the library's model; it is the whole tokenizer that takes the rest.
     """
 
-    def __init__(self, spec: str, keep_bytes: int = 48_000_000):
+    def __init__(self, spec: str, keep_bytes: int = 40_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -76,34 +76,32 @@ class Words(dict):
         letters = "abcdefghijklmnopqrstuvwxyz" * 4
         self.whole = self.cut is not None and self.cut(letters.encode()) == [letters]  # letters stay together
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was remembered before, so that frequent words outlast a full memory
         self.keep_bytes, self.held = keep_bytes, 0
 
-    def learn(self, words: set[bytes]) -> None:
+    def piece(self, p: str) -> bytes:
+        found = self.pieces.get(p)
+        if found is None:
+            found = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
+            self.held += 150
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if self.whole and word.isalpha():  # ASCII letters
+                found = self.piece(word.lower().decode())
+            else:
+                pieces = self.cut(word) if self.cut else None
+                found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes() if pieces is None else b"".join(map(self.piece, pieces))
         if self.held > self.keep_bytes:
+            self.older = dict(self)
             self.clear()
             self.pieces.clear()
             self.held = 0
-        new, rest, known = [w for w in words if w not in self], [], self.pieces
-        for word in new:
-            if self.whole and word.isalpha():  # ASCII letters
-                p = word.lower().decode()
-                found = known.get(p)
-                if found is None:
-                    found = known[p] = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
-                self[word] = found
-                continue
-            pieces = self.cut(word) if self.cut else None
-            if pieces is None:
-                rest.append(word)
-                continue
-            for p in pieces:
-                if p not in known:
-                    known[p] = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
-                    self.held += 150
-            self[word] = b"".join(map(known.__getitem__, pieces))
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            self[word] = array("I", found.ids).tobytes()
-        self.held += 180 * len(new)
+        self[word] = found
+        self.held += 180
+        return found
 
     def encode(self, text: bytes, chunk: int = 1 << 20) -> bytes:
         out, at = [], 0
@@ -111,9 +109,7 @@ class Words(dict):
             to = at + chunk
             while 0 < to < len(text) and text[to] not in b" \t\n\v\f\r":
                 to += 1
-            words = text[at:to].split()
-            self.learn(set(words))
-            out.append(b"".join(map(self.__getitem__, words)))
+            out.append(b"".join(map(self.__getitem__, text[at:to].split())))
             at = to
         return b"".join(out)
 
