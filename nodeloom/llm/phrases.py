@@ -18,7 +18,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, slices, stored
+from .common import forget, parallelism, slices, stored
 
 #: Words of a shard: what is held in a Python worker at a time. A shard's words and pairs are numbered in 23 bits.
 SHARD = 1 << 22
@@ -105,12 +105,12 @@ def sharded(docs: DataFrame, shard_words: int, ahead: int) -> DataFrame:
         from pyspark import TaskContext
 
         kind = pa.schema([("shard", pa.int64()), ("places", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-        number, shard = TaskContext.get().partitionId() << 20, Shard()
+        number, shard = TaskContext.get().partitionId(), Shard()
 
         def given(full):
             nonlocal number
-            number += 1
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(full.row(number - 1), kind)], schema=kind)
+            number += 1 << 22  # above the number of the task
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(full.row(number - (1 << 22)), kind)], schema=kind)
 
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -147,7 +147,7 @@ def pairs_of(places):
 
 
 def counted_pairs(shards: DataFrame) -> DataFrame:
-    """code, a, b, n: for each distinct pair of a shard its number in all shards, by order in this one, its two names, and how often it counts."""
+    """shard, a, b, n: the distinct pairs of a shard, as two names, and how often each counts."""
 
     def run(batches):
         import numpy as np
@@ -161,57 +161,94 @@ def counted_pairs(shards: DataFrame) -> DataFrame:
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             n = np.add.reduceat(counts.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-            keys, code = keys[first], (shard << BITS) + np.arange(len(first))
+            keys = keys[first]
             for s in range(0, len(keys), 1 << 16):
-                part = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code[part], names[keys[part] >> 32], names[keys[part] & 0xFFFFFFFF], n[part])], names=["code", "a", "b", "n"])
+                part = keys[s : s + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(part), shard, np.int64), names[part >> 32], names[part & 0xFFFFFFFF], n[s : s + (1 << 16)])], names=["shard", "a", "b", "n"])
 
-    return shards.select("shard", "places", "names").mapInArrow(run, "code long, a long, b long, n long")
+    return shards.select("shard", "places", "names").mapInArrow(run, "shard long, a long, b long, n long")
 
 
-def frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """code and name of the rows whose n adds up to least over all that share the columns by: name is the smallest code among them. Its own row also has these columns, and f, the sum.
+def frequent(rows: DataFrame, by: list[str], place: str, least: int) -> DataFrame:
+    """(place, by.., name, f) of the rows whose n adds up to f >= least over all that share the columns by, which have one name; f is null for all of these rows but one.
 
-    A group has a row for each shard that holds it, since shards have counted before.
+    A group has a row for each shard that holds it, since shards have counted
+    before. Its rows follow one another, so that a name is the number of the
+    group in its task, by task. Small numbers make small shuffles.
     """
-    group = Window.partitionBy(*by)
-    found = rows.withColumns({"f": F.sum("n").over(group), "name": F.min("code").over(group)}).where(F.col("f") >= least)
-    return found.select("code", "name", *(F.when(F.col("code") == F.col("name"), F.col(c)).alias(c) for c in (*by, "f")))
+    spread = 4 * parallelism(rows.sparkSession)
+    found = rows.withColumn("f", F.sum("n").over(Window.partitionBy(*by))).where(F.col("f") >= least).select(place, *by, "f")
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, count, last = TaskContext.get().partitionId(), 0, None
+        if task >= spread:
+            raise RuntimeError("more tasks than names have been set apart for")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in by]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.any([np.asarray(differs(k)) for k in keys], axis=0)
+            new[0] = last != (last := tuple(k[0].as_py() for k in keys))
+            last = tuple(k[-1].as_py() for k in keys)
+            names = (count + new.cumsum() - 1) * spread + task
+            count += int(new.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(place), *keys, pa.array(names), pa.array(np.asarray(batch.column("f")), mask=~new)], names=[place, *by, "name", "f"])
+
+    def differs(column):
+        import pyarrow.compute as pc
+
+        return pc.not_equal(column[1:], column[:-1])
+
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    return found.mapInArrow(number, ", ".join(f"{c} {kinds[c]}" for c in (place, *by)) + ", name long, f long")
 
 
 def renamed(shards: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Shards of places named by phrases of k words: of those of the level before and the frequent rows of this one. names holds the names of all shards by number, number 0 none."""
+    """Shards of places named by phrases of k words: of those of the level before and the frequent rows of this one. names holds the names of a shard in order, the place of each its number there; number 0 is none."""
 
     def rename(left, right):
         import numpy as np
         import pyarrow as pa
 
-        shard, places = left.column("shard").to_pylist(), left.column("places").to_pylist()
-        codes, names = np.asarray(right.column("code")) & ((1 << BITS) - 1), np.asarray(right.column("name"))
+        shard = left.column("shard").to_pylist()
         kind = pa.schema([("shard", pa.int64()), ("places", pa.binary()), ("names", pa.binary())])
-        if not shard or not len(codes):
+        if not shard or not right.num_rows:
             return kind.empty_table()
-        order = np.argsort(codes)
-        old, codes, names = unpacked(places[0]), codes[order], np.append(np.int64(0), names[order])
+        old = unpacked(left.column("places").to_pylist()[0])
+        names = np.asarray(right.column("name"))
+        order = np.argsort(names)
+        names = np.append(np.int64(0), names[order])
         if k == 1:
-            number = np.zeros(max(int(np.abs(old).max()), int(codes[-1]) + 1) + 1, np.int32)
-            number[codes + 1] = np.arange(1, len(codes) + 1)
+            at = (np.asarray(right.column("code")) & ((1 << BITS) - 1))[order] + 1
+            number = np.zeros(max(int(np.abs(old).max()), int(at.max())) + 1, np.int32)
+            number[at] = np.arange(1, len(at) + 1)
             new = np.sign(old) * number[np.abs(old)]
         else:
+            known = np.frombuffer(left.column("names").to_pylist()[0], np.int64)[1:]
+            a, b = (np.searchsorted(known, np.asarray(right.column(c))[order]).astype(np.int64) + 1 for c in "ab")
+            keys = a << 32 | b
+            sort = np.argsort(keys)
             at, counts, pairs = pairs_of(old)
-            kinds, place = np.unique(pairs, return_inverse=True)
-            number = np.zeros(len(kinds), np.int32)
-            number[codes] = np.arange(1, len(codes) + 1)
+            place = np.minimum(np.searchsorted(keys[sort], pairs), len(keys) - 1)
+            number = np.where(keys[sort][place] == pairs, sort[place] + 1, 0).astype(np.int32)
             new = np.zeros(len(old), np.int32)
-            new[at] = np.where(counts, number[place], -number[place])
+            new[at] = np.where(counts, number, -number)
             filled = new != 0
             near = filled.copy()
             near[1:] |= filled[:-1]  # of places without a name, one after each run is enough
             new = new[near]
         return pa.Table.from_arrays([pa.array(shard), pa.array([packed(new)]), pa.array([names.tobytes()])], schema=kind)
 
-    own = found.select(F.shiftright("code", BITS).alias("shard"), "code", "name")
-    return shards.select("shard", "places").groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(rename, "shard long, places binary, names binary")
+    if k == 1:
+        shards, own = shards.select("shard", "places"), found.select(F.shiftright("code", BITS).alias("shard"), "code", "name")
+    else:
+        own = found.select("shard", "a", "b", "name")
+    return shards.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(rename, "shard long, places binary, names binary")
 
 
 def wide(c: str):
@@ -238,16 +275,16 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int |
     shards = stored(sharded(texts, min(shard_words, SHARD), longest - 1), "phrases-shards")
     words = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "w")).select((F.shiftleft("shard", BITS) + F.col("at")).alias("code"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     totals = stored(shards.select(F.explode(F.arrays_zip("langs", "counts")).alias("w")).groupBy(F.col("w.langs").alias("lang")).agg(F.sum("w.counts").alias("n")), "phrases-totals")
-    found = stored(frequent(words, ["lang", "word"], least), "phrases-1")
+    found = stored(frequent(words, ["lang", "word"], "code", least), "phrases-1")
     none = F.array().cast("array<long>")
-    level = stored(found.where("code = name").select("name", "lang", "f", F.array("word").alias("words"), none.alias("before"), none.alias("after")), "phrases-level-1")
+    level = stored(found.where("f IS NOT NULL").select("name", "lang", "f", F.array("word").alias("words"), none.alias("before"), none.alias("after")), "phrases-level-1")
     levels = []
     for k in range(2, longest + 1):
         old, shards = (shards, found), stored(renamed(shards, found, k - 1), f"phrases-places-{k - 1}")
         for done in old:
             forget(done)
-        found = stored(frequent(counted_pairs(shards), ["a", "b"], least), f"phrases-{k}")
-        pairs = found.where("code = name").select("name", "a", "b", "f")
+        found = stored(frequent(counted_pairs(shards), ["a", "b"], "shard", least), f"phrases-{k}")
+        pairs = found.where("f IS NOT NULL").select("name", "a", "b", "f")
         head = level.select(F.col("name").alias("a"), "lang", F.col("f").alias("f_a"), F.col("words").alias("head"), "before")
         tail = level.select(F.col("name").alias("b"), F.col("f").alias("f_b"), F.element_at("words", -1).alias("last"), "after")
         met = pairs.join(head, "a").join(tail, "b")
