@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -867,6 +868,64 @@ def streamed_graphs(spark, d):
     return spark.read.parquet(f"{path}/out").select("gid", "src", "dst", r("dist").alias("dist"))
 
 
+@query(f"""WITH {atoms_sql('l_suppkey')} SELECT a.gid, count(*) AS n, round(sum(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2)), 4) AS total
+FROM atoms a JOIN atoms b ON a.gid = b.gid AND a.node_id <> b.node_id WHERE (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 < 6.25 GROUP BY a.gid""")
+def streamed_gathering(spark, d):
+    """Suppliers whose atoms arrive over three batches, gathered in state and then made graphs."""
+    path = new_path(spark, "gathering")
+    own = atoms(spark, d, "l_suppkey")
+    sizes = own.groupBy("gid").agg(F.count("*").alias("n_atoms"))
+    own = own.join(sizes, "gid").select("gid", "node_id", "x", "y", "z", "n_atoms", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.pmod("node_id", F.lit(3))).alias("ts"))
+    for part in range(3):
+        own.where(F.pmod("node_id", F.lit(3)) == part).coalesce(1).write.parquet(f"{path}/in/part={part}")
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        streams.build_graphs(streams.gathered(arriving).where("status = 'whole'"), 2.5, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    return spark.read.parquet(f"{path}/out").groupBy("gid").agg(F.count("*").alias("n"), r(F.sum("dist"), 4).alias("total"))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS begins, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT begins, event_type, n FROM w WHERE begins + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""")
+def streamed_windows(spark, d):
+    """Events counted by type in windows of six hours, those given out that the watermark has closed."""
+    path, own = new_path(spark, "windows"), table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    own.coalesce(1).write.parquet(f"{path}/in")
+    counted = streams.windowed_counts(spark.readStream.schema(own.schema).parquet(f"{path}/in"), "6 hours", "1 hour", "event_type")
+    counted.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.col("window.start").cast("timestamp_ntz").alias("begins"), "event_type", "n")
+
+
+@query(f"""WITH {RUNS_SQL}, o AS (SELECT *, abs(loss_valid - lag(loss_valid) OVER (PARTITION BY run_id ORDER BY epoch)) AS delta FROM runs)
+SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(epoch AS INTEGER) AS epoch, round(avg(delta) OVER w, 6) AS mean_delta, count(delta) OVER w >= 4 AND coalesce(avg(delta) OVER w <= 20, false) AS stop
+FROM o WINDOW w AS (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def streamed_stops(spark, d):
+    """Losses of runs that arrive in two batches, the last of each run kept in state."""
+    path = new_path(spark, "stops")
+    own = runs(spark, d).select(F.col("run_id").cast("string").alias("run_id"), F.col("epoch").cast("int").alias("epoch"), F.col("loss_valid").alias("loss"))
+    middle = F.lit(30)
+    for part, rows in enumerate((own.where(F.col("epoch") < middle), own.where(F.col("epoch") >= middle))):
+        rows.coalesce(1).write.parquet(f"{path}/in/{part}")
+    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    stops = streams.rolling_stop(arriving, 4, 20.0)
+    stops.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("run_id", "epoch", r("mean_delta").alias("mean_delta"), F.coalesce("stop", F.lit(False)).alias("stop"))
+
+
+@query(f"""WITH {ATOMS}, {EDGE_LISTS_SQL} SELECT gid, src_symbol, dst_symbol, count(*) AS n, round(sum(dist), 4) AS total FROM edges GROUP BY ALL""")
+def bucketed_types(spark, d):
+    """A graph in tables bucketed by gid: bonds meet their atoms without a shuffle of either."""
+    path, name = new_path(spark, "bucketed"), f"graph_{uuid.uuid4().hex}"
+    own = atoms(spark, d).select("gid", "node_id", "symbol")
+    spark.sql(f"CREATE DATABASE {name}")
+    tables.write_graph({"nodes": own, "edges": edges_of(spark, d).select("gid", "src", "dst", "dist")}, path, 8, name)
+    nodes, edges = (spark.table(f"{name}.{t}") for t in ("nodes", "edges"))
+    return tables.bond_symbols(edges, nodes).groupBy("gid", "src_symbol", "dst_symbol").agg(F.count("*").alias("n"), r(F.sum("dist"), 4).alias("total"))
+
+
 # ---- further functions on columns -------------------------------------------
 
 

@@ -22,6 +22,16 @@ def read_graph(spark: SparkSession, path: str, names: tuple[str, ...] = ("nodes"
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
+def bond_symbols(edges: DataFrame, nodes: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """edges with src_symbol and dst_symbol; over tables bucketed by gid, no rows move: all three joins and what is grouped by gid after use the buckets."""
+    end = lambda n: nodes.select("gid", F.col("node_id").alias(n), F.col(symbol).alias(f"{n}_symbol")).hint("merge")
+    found = edges.withColumn("__gid", F.col("gid"))
+    for n in ("src", "dst"):
+        of = end(n)
+        found = found.join(of, (found["gid"] == of["gid"]) & (found[n] == of[n])).select(*(found[c] for c in found.columns), of[f"{n}_symbol"])
+    return found.drop("__gid")
+
+
 def read_split(table: DataFrame, splits: DataFrame, role: str, model_iter: int | None = None) -> DataFrame:
     """The rows whose gid has a role; nothing is read before the result is."""
     chosen = splits.where(F.col("role") == role)
