@@ -2,9 +2,10 @@
 
 The merges that are possible in a piece of text wait in a queue: one bucket
 per merge rank, with the positions of the pair's left token in a linked list.
-Two levels of bitmaps tell which buckets are filled, leaves of 256 ranks and
-one bit for each leaf above them, as many as the largest rank asks for. So the
-lowest rank is found by two find-first-set steps, whatever the length of the
+Three levels of bitmaps of 256 bits tell which buckets are filled: leaves of
+256 ranks, a bit for each leaf above them, and a bit for each 256 leaves on
+top. Ranks count by their order among the tokens, whatever their size. So the
+lowest rank is found by three find-first-set steps, whatever the length of the
 piece. Entries whose pair has changed since are skipped when they come up.
 A piece of n bytes takes O(n log n) at worst, which keeps very long pieces
 (a base64 blob, a line of one character) from taking quadratic time.
@@ -40,23 +41,28 @@ class Encoder(dict):
 
         super().__init__()
         self.older: dict[str, bytes] = {}  # what was remembered before, so that frequent pieces outlast a full memory
-        self.ranks, self.keep = ranks, keep
-        self.vocabulary = dict(zip(ranks.values(), ranks.keys()))
+        self.keep, self.vocabulary = keep, dict(zip(ranks.values(), ranks.keys()))
+        if any(bytes([b]) not in ranks for b in range(256)) or len(self.vocabulary) < len(ranks) or min(self.vocabulary) < 0 or max(self.vocabulary) >= 1 << 32 or len(ranks) > 1 << 24:
+            raise ValueError("ranks must name every single byte, each of at most 2^24 tokens by a number of its own below 2^32")
+        self.names = sorted(self.vocabulary)  # what a place in the order stands for
+        plain = self.names[-1] == len(self.names) - 1
+        self.ranks = ranks = ranks if plain else {self.vocabulary[r]: i for i, r in enumerate(self.names)}
+        self.names = None if plain else self.names
         #: Two ids -> the rank of what they make together, for each way to cut a token in two.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        if any(bytes([b]) not in ranks for b in range(256)) or len(self.vocabulary) < len(ranks) or min(ranks.values()) < 0 or max(ranks.values()) >= 1 << 32:
-            raise ValueError("ranks must name every single byte, each token by a number of its own below 2^32")
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.first = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]  # the ranks of two bytes
-        self.leaves = [0] * ((max(ranks.values()) >> 8) + 1)  # all 0 between pieces
-        self.bits = [1 << i for i in range(max(256, len(self.leaves)))]
+        self.leaves = [0] * ((len(ranks) >> 8) + 1)  # all 0 between pieces
+        self.stems = [0] * ((len(ranks) >> 16) + 1)
+        self.bits = [1 << i for i in range(256)]
         # White space as Unicode has it: the module's own \s takes in four more control characters.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            found = array("I", self.merge(piece.encode())).tobytes()
+            ids = self.merge(piece.encode())
+            found = array("I", ids if self.names is None else map(self.names.__getitem__, ids)).tobytes()
         if len(self) >= self.keep:
             self.older = dict(self)
             self.clear()
@@ -65,10 +71,10 @@ class Encoder(dict):
         return found
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece: always the pair of lowest rank, of equal ones the leftmost, becomes one token."""
+        """The places in the order of ranks of one piece's tokens: always the pair of lowest rank, of equal ones the leftmost, becomes one token."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        n, get, leaves, bits, first = len(piece), self.pairs.get, self.leaves, self.bits, self.first
+        n, get, leaves, stems, bits, first = len(piece), self.pairs.get, self.leaves, self.stems, self.bits, self.first
         ids = list(map(self.single.__getitem__, piece))
         waiting = [first[a][b] for a, b in zip(piece, piece[1:])]  # the rank of the pair that starts here
         waiting.append(None)
@@ -87,9 +93,12 @@ class Encoder(dict):
                     buckets[rank] = i
                     leaf = rank >> 8
                     leaves[leaf] |= bits[rank & 255]
-                    top |= bits[leaf]
+                    stems[leaf >> 8] |= bits[leaf & 255]
+                    top |= bits[leaf >> 8]
         while top:
-            leaf = (top & -top).bit_length() - 1
+            stem = (top & -top).bit_length() - 1
+            filled = stems[stem]
+            leaf = (stem << 8) + (filled & -filled).bit_length() - 1
             word = leaves[leaf]
             low = word & -word
             rank = (leaf << 8) + low.bit_length() - 1
@@ -102,7 +111,9 @@ class Encoder(dict):
                 del buckets[rank]
                 leaves[leaf] = word = word ^ low
                 if not word:
-                    top &= top - 1
+                    stems[stem] = filled = filled & (filled - 1)
+                    if not filled:
+                        top &= top - 1
             if waiting[i] != rank:
                 continue  # stale
             j = after[i]
@@ -124,7 +135,8 @@ class Encoder(dict):
                         buckets[left] = p
                         leaf = left >> 8
                         leaves[leaf] |= bits[left & 255]
-                        top |= bits[leaf]
+                        stems[leaf >> 8] |= bits[leaf & 255]
+                        top |= bits[leaf >> 8]
             if new is not None:
                 if new in buckets:
                     held = buckets[new]
@@ -136,7 +148,8 @@ class Encoder(dict):
                     buckets[new] = i
                     leaf = new >> 8
                     leaves[leaf] |= bits[new & 255]
-                    top |= bits[leaf]
+                    stems[leaf >> 8] |= bits[leaf & 255]
+                    top |= bits[leaf >> 8]
         out, i = [], 0
         while i < n:
             out.append(ids[i])

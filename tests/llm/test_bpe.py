@@ -73,6 +73,16 @@ def test_ranks_of_any_size():
         assert coder.decode(coder.encode(text)) == text.encode()
     few = {bytes([b]): b for b in range(256)} | {b"ab": 70_000}
     assert ids(bpe.Encoder(few, pattern).encode("abc")) == [70_000, 99]
+    last = few | {b"cd": (1 << 32) - 1, b"abcd": 1 << 31}
+    assert ids(bpe.Encoder(last, pattern).encode("abcdcd")) == [1 << 31, (1 << 32) - 1] and bpe.Encoder(last, pattern).decode(bpe.Encoder(last, pattern).encode("abcdcd")) == b"abcdcd"
+    # More tokens than two levels of 256 hold, so that merges lie in several stems.
+    wide = {t: r if r < 256 else 400_000 + r for t, r in ranks.items()} | {b"\xff\xfe" + i.to_bytes(3, "big"): 256 + i for i in range(140_000)}
+    coder = bpe.Encoder(wide, pattern)
+    own = tiktoken.Encoding("wide", pat_str=pattern, mergeable_ranks=wide, special_tokens={})
+    assert len(coder.stems) == 3
+    for text in texts:
+        assert ids(coder.encode(text)) == own.encode_ordinary(text) and coder.decode(coder.encode(text)) == text.encode()
+        assert not any(coder.leaves) and not any(coder.stems)
     assert bpe.load_ranks(base64.b64encode(b"a") + b" 5\n") == {b"a": 5}
     for bad in ({b"a": 0}, few | {b"cd": 70_000}, few | {b"cd": 1 << 32}):
         with pytest.raises(ValueError):
