@@ -169,43 +169,66 @@ def counted_pairs(shards: DataFrame) -> DataFrame:
     return shards.select("shard", "places", "names").mapInArrow(run, "shard long, a long, b long, n long")
 
 
-def frequent(rows: DataFrame, by: list[str], place: str, least: int) -> DataFrame:
-    """(place, by.., name, f) of the rows whose n adds up to f >= least over all that share the columns by, which have one name; f is null for all of these rows but one.
+#: Rows of a task that are sorted by shard at a time.
+SENT_ROWS = 1 << 20
+
 
-    A group has a row for each shard that holds it, since shards have counted
-    before. Its rows follow one another, so that a name is the number of the
-    group in its task, by task. Small numbers make small shuffles.
+def frequent(rows: DataFrame, by: list[str], place: str, least: int) -> DataFrame:
+    """The groups of rows that share the columns by and whose n adds up to f >= least: (by.., name, f), and for each shard (shard, data), the names of what it holds.
+
+    rows have a place, the number of a shard or, with by of text, the code of
+    a word in its shard. data: 64-bit numbers, compressed, the places of words
+    or both names of pairs, and then their own names. A group has a row for
+    each shard that holds it, since shards have counted before. Its rows
+    follow one another, so that a name is the number of the group in its task,
+    by task. Small numbers make small shuffles.
     """
     spread = 4 * parallelism(rows.sparkSession)
     found = rows.withColumn("f", F.sum("n").over(Window.partitionBy(*by))).where(F.col("f") >= least).select(place, *by, "f")
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
 
     def number(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+        import zstandard
         from pyspark import TaskContext
 
         task, count, last = TaskContext.get().partitionId(), 0, None
         if task >= spread:
             raise RuntimeError("more tasks than names have been set apart for")
+        types = {"string": pa.string(), "bigint": pa.int64()}
+        kind = pa.schema([("shard", pa.int64()), ("data", pa.binary()), *((c, types[kinds[c]]) for c in by), ("name", pa.int64()), ("f", pa.int64())])
+        waiting: list = []
+
+        def sent():
+            shard, numbers = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting], axis=1)
+            order = np.argsort(shard, kind="stable")
+            shard, numbers = shard[order], numbers[:, order]
+            first = np.flatnonzero(np.diff(shard, prepend=-1))
+            data = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in np.split(numbers, first[1:], axis=1)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(data, pa.binary()), *(pa.nulls(len(first), f.type) for f in list(kind)[2:])], schema=kind)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = [batch.column(c) for c in by]
             new = np.ones(batch.num_rows, bool)
-            new[1:] = np.any([np.asarray(differs(k)) for k in keys], axis=0)
-            new[0] = last != (last := tuple(k[0].as_py() for k in keys))
+            new[1:] = np.any([np.asarray(pc.not_equal(k[1:], k[:-1])) for k in keys], axis=0)
+            new[0] = last != tuple(k[0].as_py() for k in keys)
             last = tuple(k[-1].as_py() for k in keys)
             names = (count + new.cumsum() - 1) * spread + task
             count += int(new.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(place), *keys, pa.array(names), pa.array(np.asarray(batch.column("f")), mask=~new)], names=[place, *by, "name", "f"])
+            at, own = np.asarray(batch.column(place)), pa.array(np.flatnonzero(new))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()), *(k.take(own) for k in keys), pa.array(names[new]), batch.column("f").take(own)], schema=kind)
+            waiting.append((at >> BITS, np.stack([at & ((1 << BITS) - 1), names])) if place == "code" else (at, np.stack([*map(np.asarray, keys), names])))
+            if sum(len(w[0]) for w in waiting) >= SENT_ROWS:
+                yield sent()
+                waiting.clear()
+        if waiting:
+            yield sent()
 
-    def differs(column):
-        import pyarrow.compute as pc
-
-        return pc.not_equal(column[1:], column[:-1])
-
-    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
-    return found.mapInArrow(number, ", ".join(f"{c} {kinds[c]}" for c in (place, *by)) + ", name long, f long")
+    return found.mapInArrow(number, "shard long, data binary, " + ", ".join(f"{c} {kinds[c]}" for c in by) + ", name long, f long")
 
 
 def renamed(shards: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -215,22 +238,24 @@ def renamed(shards: DataFrame, found: DataFrame, k: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        import zstandard
+
         shard = left.column("shard").to_pylist()
         kind = pa.schema([("shard", pa.int64()), ("places", pa.binary()), ("names", pa.binary())])
         if not shard or not right.num_rows:
             return kind.empty_table()
         old = unpacked(left.column("places").to_pylist()[0])
-        names = np.asarray(right.column("name"))
+        *keys, names = np.concatenate([np.frombuffer(zstandard.decompress(d), np.int64).reshape(2 if k == 1 else 3, -1) for d in right.column("data").to_pylist()], axis=1)
         order = np.argsort(names)
         names = np.append(np.int64(0), names[order])
         if k == 1:
-            at = (np.asarray(right.column("code")) & ((1 << BITS) - 1))[order] + 1
+            at = keys[0][order] + 1
             number = np.zeros(max(int(np.abs(old).max()), int(at.max())) + 1, np.int32)
             number[at] = np.arange(1, len(at) + 1)
             new = np.sign(old) * number[np.abs(old)]
         else:
             known = np.frombuffer(left.column("names").to_pylist()[0], np.int64)[1:]
-            a, b = (np.searchsorted(known, np.asarray(right.column(c))[order]).astype(np.int64) + 1 for c in "ab")
+            a, b = (np.searchsorted(known, x[order]).astype(np.int64) + 1 for x in keys)
             keys = a << 32 | b
             sort = np.argsort(keys)
             at, counts, pairs = pairs_of(old)
@@ -244,10 +269,8 @@ def renamed(shards: DataFrame, found: DataFrame, k: int) -> DataFrame:
             new = new[near]
         return pa.Table.from_arrays([pa.array(shard), pa.array([packed(new)]), pa.array([names.tobytes()])], schema=kind)
 
-    if k == 1:
-        shards, own = shards.select("shard", "places"), found.select(F.shiftright("code", BITS).alias("shard"), "code", "name")
-    else:
-        own = found.select("shard", "a", "b", "name")
+    own = found.where("shard IS NOT NULL").select("shard", "data")
+    shards = shards.select("shard", "places") if k == 1 else shards
     return shards.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(rename, "shard long, places binary, names binary")
 
 
