@@ -65,7 +65,7 @@ class Words(dict):
     the library's model; it is the whole tokenizer that takes the rest.
     """
 
-    def __init__(self, spec: str, keep_bytes: int = 40_000_000):
+    def __init__(self, spec: str, keep_bytes: int = 50_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
