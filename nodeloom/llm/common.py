@@ -33,24 +33,6 @@ def heavy(counts: DataFrame, n: str, total: int, least: int = 4096) -> tuple[Dat
     return counts.where(F.col(n) > bound), bound
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referenced, which it does once the driver collects garbage.
-
-    Only disk space on a cluster depends on it, no result; a single machine
-    isn't kept waiting. Twice, since the listeners of the last query may hold
-    it for a moment.
-    """
-    import gc
-    import time
-
-    if spark.sparkContext.master.startswith("local"):
-        return
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

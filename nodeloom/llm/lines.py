@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, fresh, heavy, let, parallelism, release, slices, stored
+from .common import claim, cut, fresh, heavy, let, parallelism, slices, stored
 from .tokens import mixed
 
 #: (least length, edits): the default.
@@ -430,11 +430,9 @@ def late_of_groups(members: DataFrame, texts: DataFrame, edits=EDITS, block_char
 
 def repeated_lines(docs: DataFrame, edits=EDITS, group: int = GROUP, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(of, of_tag, gone): for documents (doc_id, tag, text), the numbers of the lines that an earlier line is equal or near to."""
-    spark = docs.sparkSession
     seen = stored(occurrences(docs), "lines")
     firsts = cut(seen.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
     found = stored(meetings(docs, edits, group), "lines")
-    release(spark)
     pairs = cut(found.where("key IS NULL").select("a", "b").distinct())
     members = found.where("key IS NOT NULL")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionByName(members.select(F.col("a").alias("want"))).distinct()
@@ -443,7 +441,6 @@ def repeated_lines(docs: DataFrame, edits=EDITS, group: int = GROUP, block_chars
     late = late.select(F.col("id").alias("i"), F.col("check").alias("c")).distinct()
     decided = firsts.join(late, (F.col("id") == F.col("i")) & (F.col("check") == F.col("c")), "left").where("n > 1 OR i IS NOT NULL")
     decided = cut(decided.select(F.col("id").alias("i"), F.col("check").alias("c"), "first", F.col("i").isNotNull().alias("late"), "n"))
-    release(spark)
     # The occurrences of a frequent line stay where they are and meet it by a broadcast; all others are shuffled.
     frequent, bound = heavy(decided, "n", seen.count())
     same = (F.col("id") == F.col("i")) & (F.col("check") == F.col("c"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import heavy, parallelism, release, slices, stored
+from .common import heavy, parallelism, slices, stored
 from .tokens import hashed, mixed, split, windows
 
 SPAN, GRAM, BLOCK_WORDS = 13, 4, 1_000_000
@@ -403,7 +403,6 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
     always stands in the other document, and a phrase is missed if its 128
     bits of hash equal those of a different one.
     """
-    spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = chosen.where("doc_id IS NOT NULL")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -436,12 +435,9 @@ def deduplicate(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_words
         return n, out
 
     candidates = stored(meet(named, anchor_records, shared_anchor, met_anchor(blocks), block_words).select("of", "at"), "rlz")
-    release(spark)
     looked = named.join(candidates, F.col("doc_id") == F.col("of")).select("doc_id", "text", "at")
     found = stored(meet(looked, phrase_records, shared_phrase(blocks), met_phrase(blocks), block_words), "rlz")
-    release(spark)
     taken = stored(parse_all(named, found, blocks, span), "rlz")
-    release(spark)
     taken = taken.groupBy("of").agg(F.collect_list(F.struct("tag", "factors")).alias("taken"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", T.ArrayType(FACTOR)), T.StructField("spans", T.ArrayType(T.StructType(FACTOR.fields[:2])))])
 
