@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.basis import cosine_cutoff
 from ..functions.vectors import distance
 from ..storage import cut as stored_cut
+from . import mixture
 from .neighbors import k_nearest_nodes, knn, nearest_node
 
 
@@ -138,13 +141,32 @@ def standardized(points: DataFrame, id_col: str = "id", vec: str = "x") -> DataF
     return points.withColumn(vec, F.zip_with(centered, scale, lambda x, s: x / s) if rows else F.col(vec))
 
 
+def principal_axes(points: DataFrame, dims: int, vec: str = "x") -> tuple[np.ndarray, np.ndarray]:
+    """(axes, variances): the dims directions of largest variance, a column each, the largest entry of each positive, so that results can be compared. One pass sums products of coordinates; what reaches the driver is as large as their matrix."""
+    d = points.where(F.col(vec).isNotNull()).select(F.size(vec)).first()[0]
+    ((n, offsets, products),), _, _ = mixture.sums(points, mixture.Mixture(np.ones(1), np.zeros((1, d)), np.eye(d)[None]), vec)
+    variances, axes = np.linalg.eigh(products / n - np.outer(offsets / n, offsets / n))
+    variances, axes = variances[::-1][:dims], axes[:, ::-1][:, :dims]
+    return axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])]), variances
+
+
 def project(points: DataFrame, dims: int, vec: str = "x", reducer=None) -> DataFrame:
-    """points with p: standardized and projected, by principal components unless a reducer with fit(df) and transform(df) on a vector column is given."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """points with p: standardized and projected, by principal axes unless a reducer with fit(df) and transform(df) from the vector column __v to __p is given. Null vectors give null."""
+    scaled = standardized(points, vec=vec)
+    if reducer is not None:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        scaled = scaled.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
+        return reducer.fit(scaled).transform(scaled).withColumn("p", vector_to_array("__p")).drop("__v", "__p")
+    axes, _ = principal_axes(scaled, dims, vec)
+    sent = scaled.sparkSession.sparkContext.broadcast(axes)
+    schema = T.StructType([*(f for f in scaled.schema.fields if f.name != "p"), T.StructField("p", T.ArrayType(T.DoubleType()))])
 
-    scaled = standardized(points, vec=vec).withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
-    reducer = reducer or PCA(k=dims, inputCol="__v", outputCol="__p")
-    return reducer.fit(scaled).transform(scaled).withColumn("p", vector_to_array("__p")).drop("__v", "__p")
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            found = [None if x is None else np.array(x, float) @ sent.value for x in batch.column(vec).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(found, pa.list_(pa.float64()))], names=schema.names)
 
+    return scaled.select(*schema.names[:-1]).mapInArrow(run, schema)

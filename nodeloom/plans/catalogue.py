@@ -405,6 +405,13 @@ def scatter_max(spark, d):
     return readout.scattered(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", "max").withColumn("value", r("value", 2))
 
 
+@query("SELECT l_suppkey, round(max(l_extendedprice) - min(l_extendedprice), 2) AS value FROM lineitem GROUP BY ALL")
+def scatter_user(spark, d):
+    """A reduction of the user's own, over whole groups of values."""
+    spread = F.pandas_udf(lambda v: float(v.max() - v.min()), "double", F.PandasUDFType.GROUPED_AGG)
+    return readout.scattered(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", spread).withColumn("value", r("value", 2))
+
+
 @query("""WITH amounts AS (SELECT l_suppkey AS part_id, count(*) AS n FROM lineitem GROUP BY ALL), ends AS (SELECT part_id, sum(n) OVER (ORDER BY part_id) AS stop, n FROM amounts)
 SELECT o_orderkey AS ordinal, part_id FROM orders JOIN ends ON o_orderkey < stop AND o_orderkey >= stop - n""")
 def part_lookup(spark, d):
@@ -717,6 +724,23 @@ def standard_scale(spark, d):
     return scaled.select("id", F.posexplode("x").alias("dim", "v")).select("id", "dim", r("v", 5).alias("value"))
 
 
+@query(f"WITH {CLOUD_SQL}, f AS (SELECT node_id, i, x[i] AS v FROM cloud, range(1, 65) t(i)), s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM f GROUP BY i) SELECT node_id, round(sum(((v - m) / s) ** 2), 4) AS square FROM f JOIN s USING (i) GROUP BY node_id")
+def pca_isometry(spark, d):
+    """On all principal axes, which are orthogonal, vectors keep their length."""
+    found = paths.project(cloud(spark, d), 64)
+    return found.select("node_id", r(F.aggregate("p", F.lit(0.0), lambda a, v: a + v * v), 4).alias("square"))
+
+
+@query(f"WITH {CLOUD_SQL}, f AS (SELECT node_id, i, x[i] AS v FROM cloud, range(1, 3) t(i)), s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM f GROUP BY i) SELECT node_id, CAST(i - 1 AS INTEGER) AS dim, round((v - m) / s, 5) AS value FROM f JOIN s USING (i)")
+def project_user(spark, d):
+    """A projection of the user's own: any estimator over the standardized vectors."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorSlicer
+
+    found = paths.project(cloud(spark, d), 2, reducer=Pipeline(stages=[VectorSlicer(inputCol="__v", outputCol="__p", indices=[0, 1])]))
+    return found.select("node_id", F.posexplode("p").alias("dim", "v")).select("node_id", "dim", r("v", 5).alias("value"))
+
+
 @query()
 def pca_project(spark, d):
     return paths.project(cloud(spark, d), 2).select("node_id", "p")
@@ -834,14 +858,31 @@ def split_rows(spark, d):
 
 @query(f"WITH {atoms_sql('l_suppkey')} SELECT CAST(gid AS VARCHAR) AS structure_id, node_id, symbol, x, y, z FROM atoms")
 def extxyz_round_trip(spark, d):
-    """Structures written as extended XYZ files, one for a supplier, and read again."""
+    """Structures, one for a supplier, written as frames of extended XYZ files and read again."""
     own, path = atoms(spark, d, "l_suppkey").withColumn("structure_id", F.col("gid").cast("string")), new_path(spark, "xyz")
     cell = F.array(*(F.array(*(F.lit(60.0 * (i == j)) for j in range(3))) for i in range(3)))
-    structures.write_extxyz(structures.labelled_extxyz(own.withColumn("label", F.col("node_id")), own.select("structure_id").distinct().withColumn("cell", cell), 4.0), path)
-    found = structures.atoms_of(structures.read_extxyz(spark, f"{path}/*/*.txt", folder=True))
+    structures.write_extxyz_frames(structures.labelled_extxyz(own.withColumn("label", F.col("node_id")), own.select("structure_id").distinct().withColumn("cell", cell), 4.0), path)
+    frames = structures.read_extxyz_frames(spark, f"{path}/*.txt").withColumn("structure_id", F.regexp_extract("comment", 'structure_id="([^"]*)"', 1))
+    found = structures.atoms_of(frames)
     return found.select("structure_id", "node_id", "symbol", "x", "y", "z")
 
 
+@query(f"""WITH {atoms_sql('l_suppkey')}, sized AS (SELECT *, count(*) OVER (PARTITION BY gid) AS n FROM atoms)
+SELECT CAST(gid AS VARCHAR) AS structure_id, CAST(node_id // 10 AS INTEGER) AS step, CAST(node_id % 10 AS BIGINT) AS node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 0.0::DOUBLE - z AS fz, round(40.0::DOUBLE + node_id // 10, 6) AS height, round(-(node_id // 10) - 0.25::DOUBLE, 5) AS energy FROM sized WHERE node_id // 10 < n // 10""")
+def outcar_round_trip(spark, d):
+    """Suppliers as runs of ten atoms, written as OUTCAR files and read step by step."""
+    path, own = new_path(spark, "outcar"), atoms(spark, d, "l_suppkey")
+    rows = own.withColumns({"step": F.floor(F.col("node_id") / 10).cast("int"), "local": F.pmod("node_id", F.lit(10))})
+    atom = F.struct("local", F.array("x", "y", "z").alias("p"), F.array(F.lit(0.0), F.lit(0.0), -F.col("z")).alias("f"))
+    frames = rows.groupBy("gid", "step").agg(F.array_sort(F.collect_list(atom)).alias("a")).where(F.size("a") == 10)
+    side = lambda i, v: F.array(*(v if i == j else F.lit(0.0) for j in range(3)))
+    frames = frames.select(F.col("gid").cast("string").alias("structure_id"), "step", F.lit("run").alias("comment"), F.array(side(0, F.lit(60.0)), side(1, F.lit(20.0)), side(2, F.lit(40.0) + F.col("step"))).alias("cell"), F.array_repeat(F.lit("Fe"), 10).alias("symbols"), F.col("a.p").alias("positions"), F.col("a.f").alias("forces"), (-F.col("step") - F.lit(0.25)).alias("energy"), (-F.col("step") - F.lit(0.5)).alias("free_energy"))
+    structures.write_extxyz(structures.outcar_text(frames), path)
+    found = structures.read_outcar_frames(spark, f"{path}/*/*.txt")
+    each = found.select(F.regexp_extract("path", "structure_id=([^/]*)/", 1).alias("structure_id"), "step", F.posexplode(F.arrays_zip("positions", "forces")).alias("node_id", "a"), r(F.col("cell")[2][2]).alias("height"), r("energy", 5).alias("energy"))
+    return each.select("structure_id", "step", F.col("node_id").cast("long").alias("node_id"), F.col("a.positions")[0].alias("x"), F.col("a.positions")[1].alias("y"), (F.col("a.forces")[2] + 0.0).alias("fz"), "height", "energy")
+
+
 @query(f"WITH {RUNS_SQL} SELECT CAST(epoch AS INTEGER) AS epoch, loss_train, loss_valid, seconds, loss_train < 500 AS saved, CAST(run_id AS VARCHAR) AS run_id FROM runs")
 def epoch_log(spark, d):
     """The records of all runs written as trainings do, and read again."""
@@ -850,6 +891,27 @@ def epoch_log(spark, d):
     return tables.read_epochs(spark, path)
 
 
+@query(f"WITH {ATOMS} SELECT gid, round(avg(x) / 50, 6) AS pred, round(avg(y) / 10, 6) AS y, round((avg(x) / 50 - avg(y) / 10) ** 2, 6) AS loss FROM atoms GROUP BY gid")
+def predictions_round_trip(spark, d):
+    """A prediction, target and loss of every graph, written and read again."""
+    path = new_path(spark, "predictions")
+    found = atoms(spark, d).groupBy("gid").agg(F.array(F.avg("x") / 50).alias("pred"), F.array(F.avg("y") / 10).alias("y"))
+    tables.write_predictions(found.withColumn("loss", (F.col("pred")[0] - F.col("y")[0]) * (F.col("pred")[0] - F.col("y")[0])), path)
+    return spark.read.parquet(f"{path}/predictions/name=all").select("gid", r(F.col("pred")[0]).alias("pred"), r(F.col("y")[0]).alias("y"), r("loss").alias("loss"))
+
+
+@query(f"WITH {NODES_SQL}, n AS (SELECT label, count(*) AS n FROM cloud GROUP BY label) SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(m, 6) AS value, n FROM flat JOIN n USING (label)")
+def model_round_trip(spark, d):
+    """The mean of each label as the weights of a model and their numbers as a dictionary, written and read again."""
+    path, found = new_path(spark, "model"), label_centroids(spark, d).collect()  # a row per label
+    counts = {int(x.label): int(x["count"]) for x in cloud(spark, d).groupBy("label").count().collect()}
+    tables.write_model(spark, {f"label.{c.node}": np.array([c.x]) for c in found}, path, "means")
+    tables.write_dictionary(spark, counts, f"{path}/counts")
+    weights, known = tables.read_model(spark, path, "means"), tables.read_dictionary(spark, f"{path}/counts")
+    rows = [(int(name.split(".")[1]), i, float(v), known[name.split(".")[1]]) for name, w in weights.items() for i, v in enumerate(w[0])]
+    return spark.createDataFrame(rows, "label int, dim int, value double, n long").withColumn("value", r("value"))
+
+
 @query(f"WITH {RATIO_SQL} SELECT CAST(0 AS INTEGER) AS dim, kind, gid, local_id, round(ratio, 6) AS ratio FROM ratios")
 def rankings_sink(spark, d):
     path = new_path(spark, "rankings")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,114 @@ def read_extxyz(spark: SparkSession, path: str, folder: bool = False) -> DataFra
     return _read(spark, path, parse_extxyz, folder)
 
 
+def _records(spark: SparkSession, path: str, between: str) -> tuple[DataFrame, DataFrame]:
+    """The stretches of text files between the given words, as Spark splits files into tasks: (path, block, value), and (path, block, before), how many stretches of the file come before a block of it."""
+    text = spark.read.option("lineSep", between).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    counts = text.groupBy("path", "block").agg(F.count("*").alias("n"))  # a row per block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return text, counts.select(F.col("path").alias("of"), F.col("block").alias("at"), before.alias("before"))
+
+
+def _frames(text: DataFrame, starts: DataFrame, parse, schema: T.StructType) -> DataFrame:
+    """(path, step, ..) with what parse(value, first of its file) gives for every stretch, or nothing; step counts the stretches of a file from 0."""
+    full = T.StructType([T.StructField("path", T.StringType()), T.StructField("block", T.LongType()), T.StructField("i", T.LongType()), *schema.fields])
+
+    def run(frames):
+        import pandas as pd
+
+        last, i = None, 0
+        for frame in frames:
+            rows = []
+            for name, block, value in zip(frame["path"], frame["block"], frame["value"]):
+                i = i + 1 if (name, block) == last else 0
+                last = (name, block)
+                found = parse(value, block == 0 and i == 0)
+                if found is not None:
+                    rows.append((name, block, i, *found))
+            yield pd.DataFrame(rows, columns=full.names)
+
+    found = text.mapInPandas(run, full).join(F.broadcast(starts), (F.col("path") == F.col("of")) & (F.col("block") == F.col("at")))
+    return found.select("path", (F.col("before") + F.col("i")).cast("int").alias("step"), *schema.names)
+
+
+def _parsed(rows: list[list[str]], first: int, most: int) -> list[list[float]]:
+    return [[float(v) for v in row[first:most]] for row in rows]
+
+
+def read_extxyz_frames(spark: SparkSession, path: str, columns: tuple[str, ...] = ("comment", "cell", "symbols", "positions")) -> DataFrame:
+    """(path, step, columns..): a row for each frame of extended XYZ files whose comments begin with Lattice, read by several tasks where files are large. Columns that aren't asked for aren't parsed."""
+    schema = T.StructType([f for f in STRUCTURE.fields if f.name in columns])
+
+    def parse(value: str, first: bool):
+        if first:  # the number of atoms of the first frame
+            return None
+        head, _, body = value.partition("\n")
+        rows = [r.split() for r in body.split("\n")]
+        end = next((i for i, r in enumerate(rows) if len(r) < 2), len(rows))  # the number of atoms of the next
+        v = [float(x) for x in head.partition('"')[0].split()] if "cell" in columns else []
+        made = {"comment": lambda: f'Lattice="{head}', "cell": lambda: [v[i : i + 3] for i in range(0, len(v), 3)], "symbols": lambda: [r[0] for r in rows[:end]], "positions": lambda: _parsed(rows[:end], 1, 4)}
+        return [made[f.name]() for f in schema.fields]
+
+    return _frames(*_records(spark, path, 'Lattice="'), parse, schema).withColumn("step", F.col("step") - 1)
+
+
+def read_outcar_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(path, step, comment, cell, symbols, positions, energy, free_energy, forces): a row for each ionic step of OUTCAR files that ends with its energies, read by several tasks where files are large.
+
+    A file is cut where tables of forces begin. What holds for the whole file
+    comes from its beginning, the cell from the last that was written before;
+    both meet the steps by the file, as rows without positions.
+    """
+    schema = T.StructType([T.StructField("positions", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("forces", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("energy", T.DoubleType()), T.StructField("free_energy", T.DoubleType())])
+    top = T.StructType([T.StructField("comment", T.StringType()), T.StructField("symbols", T.ArrayType(T.StringType())), T.StructField("cell", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def steps(value: str, first: bool):
+        if first:
+            return None
+        rows = value.split("\n")
+        table = [_number(r) for r in rows[2:]]
+        end = next((i for i, r in enumerate(table) if len(r) < 6), len(table))
+        free, energy = re.search(r"free  energy.*TOTEN\D*?([-+]?\d+\.\d+)", value), re.search(r"energy  without entropy.*", value)
+        if not free or not energy:
+            return None
+        return [_parsed(table[:end], 0, 3), _parsed(table[:end], 3, 6), float(_number(energy[0])[-1]), float(free[1])]
+
+    def heads(value: str, first: bool):
+        comment = symbols = None
+        if first:
+            kinds = re.findall(r"VRHFIN\s*=\s*([A-Z][a-z]?)\s*:", value) or [x.split("_")[0] for x in re.findall(r"TITEL\s*=\s*\S+\s+(\S+)", value)]
+            counts, named = re.search(r"ions per type\s*=\s*([\d ]+)", value), re.search(r"SYSTEM\s*=\s*(.*)", value)
+            symbols = [s for s, n in zip(kinds, map(int, counts[1].split())) for _ in range(n)] if counts else []
+            comment = named[1].strip() if named else ""
+        at = value.rfind("direct lattice vectors")
+        cell = [[float(v) for v in _number(r)[:3]] for r in value[at:].split("\n")[1:4]] if at >= 0 else None
+        return None if cell is None and not first else [comment, symbols, cell]
+
+    text, starts = _records(spark, path, "TOTAL-FORCE (eV/Angst)")
+    known = _frames(text, starts, heads, top)
+    until = F.lead("step", 1, 1 << 30).over(Window.partitionBy("path").orderBy("step"))
+    cells = known.where("cell IS NOT NULL").select(F.col("path").alias("c_path"), F.col("step").alias("from"), until.alias("until"), "cell")
+    first = known.where("symbols IS NOT NULL").select(F.col("path").alias("h_path"), "comment", "symbols")
+    found = _frames(text, starts, steps, schema).join(first, F.col("path") == F.col("h_path"))
+    found = found.where(F.size("positions") == F.size("symbols"))
+    found = found.join(cells, (F.col("path") == F.col("c_path")) & (F.col("step") > F.col("from")) & (F.col("step") <= F.col("until")))
+    return found.select("path", (F.col("step") - 1).alias("step"), "comment", "cell", "symbols", "positions", "energy", "free_energy", "forces")
+
+
+def outcar_text(frames: DataFrame) -> DataFrame:
+    """(structure_id, value): the parts of an OUTCAR file that readers look at, from frames (structure_id, step, comment, cell, symbols, positions, energy, free_energy, forces); symbols must be grouped by kind."""
+    number = lambda v: F.format_string("%.5f", v)
+    vector = lambda x: F.array_join(F.transform(x, lambda v: F.format_string("%16.9f", v)), " ")
+    kinds = F.array_distinct("symbols")
+    head = F.concat_ws("\n", F.concat(F.lit(" SYSTEM = "), F.col("comment")), F.concat(F.lit("   VRHFIN ="), F.array_join(kinds, ":\n   VRHFIN ="), F.lit(":")), F.concat(F.lit("   ions per type = "), F.array_join(F.transform(kinds, lambda k: F.size(F.filter("symbols", lambda s: s == k)).cast("string")), " ")))
+    rows = F.array_join(F.transform(F.arrays_zip("positions", "forces"), lambda r: F.concat(vector(r["positions"]), F.lit(" "), vector(r["forces"]))), "\n")
+    lattice = F.concat(F.lit("      direct lattice vectors                 reciprocal lattice vectors\n"), F.array_join(F.transform("cell", vector), "\n"))
+    line = F.lit("-" * 80)
+    step = F.concat_ws("\n", lattice, F.lit(" POSITION                                       TOTAL-FORCE (eV/Angst)"), line, rows, line, F.concat(F.lit("  free  energy   TOTEN  = "), number("free_energy"), F.lit(" eV")), F.concat(F.lit("  energy  without entropy= "), number("free_energy"), F.lit("  energy(sigma->0) = "), number("energy")))
+    each = frames.select("structure_id", head.alias("head"), F.struct("step", step.alias("text")).alias("s"))
+    return each.groupBy("structure_id").agg(F.concat_ws("\n", F.first("head"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "\n")).alias("value"))
+
+
 def atoms_of(structures: DataFrame) -> DataFrame:
     """(structure_id, node_id, symbol, x, y, z)."""
     each = structures.select("structure_id", F.posexplode(F.arrays_zip("symbols", "positions")).alias("node_id", "a"))
@@ -139,10 +247,15 @@ def labelled_extxyz(atoms: DataFrame, cells: DataFrame, cutoff: float, label: st
     line = F.format_string("%s %.8f %.8f %.8f %s", "symbol", "x", "y", "z", F.col(label).cast("string"))
     body = atoms.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("node_id", line.alias("line")))).alias("rows"))
     lattice = F.array_join(F.transform(F.flatten("cell"), lambda v: F.format_string("%.8f", v)), " ")
-    head = F.concat(F.lit('Lattice="'), lattice, F.lit(f'" Properties=species:S:1:pos:R:3:label:S:1 cutoff={cutoff:g} pbc="T T T"'))
+    head = F.concat(F.lit('Lattice="'), lattice, F.lit(f'" Properties=species:S:1:pos:R:3:label:S:1 cutoff={cutoff:g} pbc="T T T" structure_id="'), F.col("structure_id").cast("string"), F.lit('"'))
     return body.join(cells, "structure_id").select("structure_id", F.concat_ws("\n", F.size("rows").cast("string"), head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("value"))
 
 
 def write_extxyz(files: DataFrame, path: str) -> None:
     """A folder per structure under path, with its file as text."""
     files.write.partitionBy("structure_id").mode("overwrite").text(path)
+
+
+def write_extxyz_frames(files: DataFrame, path: str) -> None:
+    """Many structures to a file under path, a frame each, as read_extxyz_frames() takes them; their comments name them."""
+    files.select("value").write.mode("overwrite").text(path)

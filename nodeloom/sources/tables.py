@@ -23,13 +23,10 @@ def read_graph(spark: SparkSession, path: str, names: tuple[str, ...] = ("nodes"
 
 
 def bond_symbols(edges: DataFrame, nodes: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """edges with src_symbol and dst_symbol; over tables bucketed by gid, no rows move: all three joins and what is grouped by gid after use the buckets."""
-    end = lambda n: nodes.select("gid", F.col("node_id").alias(n), F.col(symbol).alias(f"{n}_symbol")).hint("merge")
-    found = edges.withColumn("__gid", F.col("gid"))
-    for n in ("src", "dst"):
-        of = end(n)
-        found = found.join(of, (found["gid"] == of["gid"]) & (found[n] == of[n])).select(*(found[c] for c in found.columns), of[f"{n}_symbol"])
-    return found.drop("__gid")
+    """edges with src_symbol and dst_symbol. Both meet by gid alone, the nodes of a graph as a map, so that over tables bucketed by gid no row moves, nor in what is grouped by gid after; a graph's nodes must fit a row."""
+    of = nodes.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("node_id", symbol))).alias("__symbols"))
+    found = edges.join(of.hint("merge"), "gid")
+    return found.select(*edges.columns, *(F.element_at("__symbols", F.col(n)).alias(f"{n}_symbol") for n in ("src", "dst")))
 
 
 def read_split(table: DataFrame, splits: DataFrame, role: str, model_iter: int | None = None) -> DataFrame:

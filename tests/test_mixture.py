@@ -61,6 +61,19 @@ def test_groups_are_found(spark):
     assert mixture.assigned(points.limit(0), model).count() == 0
 
 
+def test_principal_axes(spark):
+    from nodeloom.operators import paths
+
+    _, x = drawn(9, 300, 5)
+    z = (x - x.mean(0)) / x.std(0)
+    values, vectors = np.linalg.eigh(z.T @ z / len(z))
+    want = vectors[:, ::-1][:, :2]
+    want = want * np.sign(want[np.abs(want).argmax(0), [0, 1]])
+    got = {r.id: r.p for r in paths.project(frame(spark, x).withColumn("p", F.lit("old")), 2).collect()}
+    assert np.allclose([got[i] for i in range(300)], z @ want)
+    assert np.allclose(np.var(list(got.values()), axis=0), values[::-1][:2])
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_query_at_every_size(spark, sf):
     path = f"/root/testdata/{sf}"
