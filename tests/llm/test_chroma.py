@@ -87,3 +87,28 @@ def test_recall_against_all_offsets(spark):
     for c in range(len(held)):
         links = [(r.bit_error, r.query_id, r.offset) for (q, k), r in got.items() if k == c != q]
         assert (summed[c].n_links, (summed[c].bit_error, summed[c].query_id, summed[c].offset)) == (len(links), min(links)) if links else c not in summed
+
+
+def test_filters_as_loops_over_rectangles():
+    """Each filter's two sums, frame by frame and class by class, without an integral image."""
+    draw = np.random.default_rng(8)
+    image = np.abs(draw.normal(size=(40, 12)))
+    image /= np.sqrt((image**2).sum(1, keepdims=True))
+    got = chroma.pack(image)
+    assert len(got) == len(image) - chroma.WIDEST + 1
+    for t, value in enumerate(got.tolist()):
+        for j, (kind, y, h, w) in enumerate(chroma.FILTERS):
+            one = other = 0.0
+            for f in range(w):
+                for c in range(12):
+                    x, inside = image[t + f, c], y <= c < y + h
+                    early, low = f < w // 2, c < y + h // 2
+                    if kind == 0:
+                        one, other = (one + x / h, other) if inside else (one, other + x / max(12 - h, 1))
+                    elif inside:
+                        first = {1: low, 2: early, 3: early == low, 4: w // 4 <= f < w - w // 4}[kind]
+                        one, other = (one + x, other) if first else (one, other + x)
+            response = np.log((1 + one) / (1 + other))
+            level = int(response > -chroma.STEP) + int(response > 0) + int(response > chroma.STEP)
+            near = min(abs(response - v) for v in (-chroma.STEP, 0.0, chroma.STEP)) < 1e-9
+            assert near or value >> 2 * (15 - j) & 3 == (0, 1, 3, 2)[level]

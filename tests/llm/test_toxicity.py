@@ -87,3 +87,21 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert tox.scored(docs, tox.fit(docs, none)).first().score < 0.5
     assert tox.scored(docs.limit(0), tox.fit(docs.limit(0), none)).count() == 0
+
+
+def test_held_out_fold_of_the_tables(spark):
+    """Precision, recall and the area under the curve where the driver's labels were held out."""
+    import os
+
+    import pytest
+
+    from nodeloom.llm import queries
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no tables")
+    scores = queries.op4_toxicity(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").select("score", "predicted", "toxic").where("toxic IS NOT NULL").collect()
+    good, bad = sorted(r.score for r in scores if r.toxic == 0), sorted(r.score for r in scores if r.toxic == 1)
+    area = sum(np.searchsorted(good, s, "left") + np.searchsorted(good, s, "right") for s in bad) / 2 / len(good) / len(bad)
+    hits = sum(r.predicted == 1 and r.toxic == 1 for r in scores)
+    assert area >= 0.95 and hits / len(bad) >= 0.75 and hits / sum(r.predicted for r in scores) >= 0.97
