@@ -97,16 +97,16 @@ def lowest_share_mean(rows: DataFrame, keys: tuple[str, ...], value: str, share:
     """(keys.., low_mean): the mean of the lowest share of the values, the number rounded down; null if that leaves none. Null values don't count."""
     slim = stored(rows.select(*keys, F.col(value).alias("v")), "values")
     ends = thresholds(slim, value_order(F.col("v")), lambda n: F.floor(n * share), keys, F.col("v"))
-    return ends.select(*keys, ((F.col("__sum") + F.col("__rest") * F.col("__value")) / F.nullif(F.col("__below") + F.col("__rest"), F.lit(0))).alias("low_mean"))
+    return ends.select(*keys, ((F.col("__sel_sum") + F.col("__sel_rest") * F.col("__sel_value")) / F.nullif(F.col("__sel_below") + F.col("__sel_rest"), F.lit(0))).alias("low_mean"))
 
 
 def extremes(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
     """rows among the lowest or highest share, with side; low where both hold. Of equal values those whose id comes first in a draw go first, or without id_col any. Null values don't count."""
     ties = draw_orders(id_col, 0) if id_col else []
     order, wanted = value_order(F.col(value)), lambda n: F.floor(n * share)
-    low = chosen(rows, [order, *ties], wanted, keys, "__low")
-    both = chosen(low, [F.bitwise_not(order), *ties], wanted, keys, "__high")
-    return both.where("__low OR __high").withColumn("side", F.when(F.col("__low"), "low").otherwise("high")).drop("__low", "__high")
+    low = chosen(rows, [order, *ties], wanted, keys, "__sel_low")
+    both = chosen(low, [F.bitwise_not(order), *ties], wanted, keys, "__sel_high")
+    return both.where("__sel_low OR __sel_high").withColumn("side", F.when(F.col("__sel_low"), "low").otherwise("high")).drop("__sel_low", "__sel_high")
 
 
 def part_of(elements: DataFrame, amounts: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -44,8 +44,8 @@ def by_quota(df: DataFrame, split: float, seed: int = 0, id_col: str = "id", clu
     missing = math.ceil(split * n) - drawn
     if missing <= 0:
         return picked
-    more = first_rows(picked, missing, id_col, seed + 1, name="__more", among=~F.col("sampled"))
-    return more.withColumn("sampled", F.col("sampled") | F.col("__more")).drop("__more")
+    more = first_rows(picked, missing, id_col, seed + 1, name="__sel_more", among=~F.col("sampled"))
+    return more.withColumn("sampled", F.col("sampled") | F.col("__sel_more")).drop("__sel_more")
 
 
 def by_property(df: DataFrame, value: str, clusters: int, split: float, seed: int = 0, id_col: str = "id") -> DataFrame:

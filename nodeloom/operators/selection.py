@@ -56,36 +56,36 @@ def same_key(left: list[str], right: list[str]) -> Column:
 
 
 def thresholds(rows: DataFrame, order: Column, wanted: Callable[[Column], Column], keys: tuple[str, ...] = (), value: Column | None = None, steps: tuple[int, ...] = VALUE_STEPS) -> DataFrame:
-    """Per key, where its first wanted(n) of n rows end: (keys.., __t, __rest, __at, __below, __sum, __value).
+    """Per key, where its first wanted(n) of n rows end: (keys.., __sel_t, __sel_rest, __sel_at, __sel_below, __sel_sum, __sel_value).
 
-    __t is the order of the last of them, __at how many rows have it and
-    __rest how many of those are wanted; __below rows come before, whose
-    values sum to __sum; __value is the smallest value at __t. If no row is
-    wanted, __rest and __below are 0. Rows whose order is null don't count.
+    __sel_t is the order of the last of them, __sel_at how many rows have it and
+    __sel_rest how many of those are wanted; __sel_below rows come before, whose
+    values sum to __sel_sum; __sel_value is the smallest value at __sel_t. If no row is
+    wanted, __sel_rest and __sel_below are 0. Rows whose order is null don't count.
     """
     keys = list(keys)
-    slim = rows.select(*keys, order.alias("__o"), (F.lit(0.0) if value is None else value).alias("__v")).where("__o IS NOT NULL")
+    slim = rows.select(*keys, order.alias("__sel_o"), (F.lit(0.0) if value is None else value).alias("__sel_v")).where("__sel_o IS NOT NULL")
     found, known = None, []
     for i, shift in enumerate(steps):
-        lead = F.shiftright("__o", shift)
+        lead = F.shiftright("__sel_o", shift)
         if found is None:
-            here = slim.withColumn("__lead", lead)
+            here = slim.withColumn("__sel_lead", lead)
         else:
-            there = found.withColumnsRenamed({k: f"__k{j}" for j, k in enumerate(keys)})
-            met = slim.join(there, same_key(keys, [f"__k{j}" for j in range(len(keys))]) & (F.shiftright("__o", steps[i - 1]) == F.col("__t")))
-            here = met.withColumn("__lead", lead)
-            known = ["__rest", "__below", "__sum"]
-        counts = here.groupBy(*keys, *known, "__lead").agg(F.count("*").alias("__n"), F.sum("__v").alias("__s"), F.min("__v").alias("__value"))
+            there = found.withColumnsRenamed({k: f"__sel_k{j}" for j, k in enumerate(keys)})
+            met = slim.join(there, same_key(keys, [f"__sel_k{j}" for j in range(len(keys))]) & (F.shiftright("__sel_o", steps[i - 1]) == F.col("__sel_t")))
+            here = met.withColumn("__sel_lead", lead)
+            known = ["__sel_rest", "__sel_below", "__sel_sum"]
+        counts = here.groupBy(*keys, *known, "__sel_lead").agg(F.count("*").alias("__sel_n"), F.sum("__sel_v").alias("__sel_s"), F.min("__sel_v").alias("__sel_value"))
         own = Window.partitionBy(*keys)
-        upto = own.orderBy("__lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counts = counts.withColumns({"__upto": F.sum("__n").over(upto), "__sums": F.sum("__s").over(upto), "__total": F.sum("__n").over(own)})
+        upto = own.orderBy("__sel_lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumns({"__sel_upto": F.sum("__sel_n").over(upto), "__sel_sums": F.sum("__sel_s").over(upto), "__sel_total": F.sum("__sel_n").over(own)})
         if found is None:
-            counts = counts.withColumns({"__rest": F.least(wanted(F.col("__total")).cast("long"), F.col("__total")), "__below": F.lit(0).cast("long"), "__sum": F.lit(0.0)})
-        first = F.col("__upto") - F.col("__n")
-        ends = counts.where(((F.col("__rest") > first) & (F.col("__rest") <= F.col("__upto"))) | ((F.col("__rest") <= 0) & (first == 0)))
-        found = ends.select(*keys, F.col("__lead").alias("__t"), F.greatest(F.col("__rest") - first, F.lit(0)).alias("__rest"), F.col("__n").alias("__at"), (F.col("__below") + F.when(F.col("__rest") > 0, first).otherwise(0)).alias("__below"), (F.col("__sum") + F.when(F.col("__rest") > 0, F.col("__sums") - F.col("__s")).otherwise(0.0)).alias("__sum"), "__value")
+            counts = counts.withColumns({"__sel_rest": F.least(wanted(F.col("__sel_total")).cast("long"), F.col("__sel_total")), "__sel_below": F.lit(0).cast("long"), "__sel_sum": F.lit(0.0)})
+        first = F.col("__sel_upto") - F.col("__sel_n")
+        ends = counts.where(((F.col("__sel_rest") > first) & (F.col("__sel_rest") <= F.col("__sel_upto"))) | ((F.col("__sel_rest") <= 0) & (first == 0)))
+        found = ends.select(*keys, F.col("__sel_lead").alias("__sel_t"), F.greatest(F.col("__sel_rest") - first, F.lit(0)).alias("__sel_rest"), F.col("__sel_n").alias("__sel_at"), (F.col("__sel_below") + F.when(F.col("__sel_rest") > 0, first).otherwise(0)).alias("__sel_below"), (F.col("__sel_sum") + F.when(F.col("__sel_rest") > 0, F.col("__sel_sums") - F.col("__sel_s")).otherwise(0.0)).alias("__sel_sum"), "__sel_value")
         if i + 1 < len(steps):
-            found = found.select(*keys, "__t", "__rest", "__below", "__sum")
+            found = found.select(*keys, "__sel_t", "__sel_rest", "__sel_below", "__sel_sum")
     return found
 
 
@@ -97,29 +97,29 @@ def chosen(df: DataFrame, orders: list[Column], wanted: Callable[[Column], Colum
     order is null are not. Of rows that are equal in everything the right
     number is chosen.
     """
-    keys_, renamed = list(keys), [f"__key{j}" for j in range(len(keys))]
+    keys_, renamed = list(keys), [f"__sel_key{j}" for j in range(len(keys))]
     taking = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-    ends = thresholds(df.where(taking), orders[0], wanted, keys, steps=steps).select(*(F.col(k).alias(r) for k, r in zip(keys_, renamed)), "__t", "__rest", "__at")
+    ends = thresholds(df.where(taking), orders[0], wanted, keys, steps=steps).select(*(F.col(k).alias(r) for k, r in zip(keys_, renamed)), "__sel_t", "__sel_rest", "__sel_at")
     ends = stored(ends, "thresholds")
     columns = [c for c in df.columns if c != name]
     if keys_:
         met = df.join(ends, same_key(keys_, renamed), "left")
-        t, rest, there = F.col("__t"), F.col("__rest"), F.col("__at")
+        t, rest, there = F.col("__sel_t"), F.col("__sel_rest"), F.col("__sel_at")
     else:
         met, (t, rest, there) = df, map(F.lit, ends.first() or (None, 0, 0))
     below, at = orders[0] < t, orders[0] == t
-    if ends.where("__rest > 0 AND __rest < __at").isEmpty():
+    if ends.where("__sel_rest > 0 AND __sel_rest < __sel_at").isEmpty():
         return met.withColumn(name, F.coalesce(taking & (below | (at & (rest == there))), F.lit(False))).select(*columns, name)
     tied = F.coalesce(taking & at & (rest > 0) & (rest < there), F.lit(False))
     clear = met.where(~tied).withColumn(name, F.coalesce(taking & (below | (at & (rest == there))), F.lit(False)))
-    ties, inner = met.where(tied).withColumn("__want", rest.cast("long")).select(*columns, "__want"), (*keys, "__want")
-    settled = chosen(ties, orders[1:], lambda n: F.col("__want"), inner, name, steps=steps) if len(orders) > 1 else dealt(ties, inner, name)
+    ties, inner = met.where(tied).withColumn("__sel_want", rest.cast("long")).select(*columns, "__sel_want"), (*keys, "__sel_want")
+    settled = chosen(ties, orders[1:], lambda n: F.col("__sel_want"), inner, name, steps=steps) if len(orders) > 1 else dealt(ties, inner, name)
     return clear.select(*columns, name).unionByName(settled.select(*columns, name))
 
 
 def dealt(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
-    """rows with name: true for __want of them per key. Equal rows are counted, and running sums over the counts deal out what each kind gets."""
-    kinds = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    """rows with name: true for __sel_want of them per key. Equal rows are counted, and running sums over the counts deal out what each kind gets."""
+    kinds = rows.groupBy(*rows.columns).agg(F.count("*").alias("__sel_n"))
     before = Window.partitionBy(*keys).orderBy(F.xxhash64(*rows.columns)).rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("__left", F.col("__want") - F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    return kinds.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*rows.columns, (F.col("__i") <= F.col("__left")).alias(name))
+    kinds = kinds.withColumn("__sel_left", F.col("__sel_want") - F.coalesce(F.sum("__sel_n").over(before), F.lit(0)))
+    return kinds.withColumn("__sel_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__sel_n")))).select(*rows.columns, (F.col("__sel_i") <= F.col("__sel_left")).alias(name))

@@ -79,7 +79,7 @@ def worst_share_loss(rows: DataFrame, share: float, keys: tuple[str, ...] = (),
         return rows.groupBy(*keys).agg(F.avg(diff * diff).alias("loss"))
     slim = stored(rows.select(*keys, diff.alias("d")), "differences")
     ends = thresholds(slim, value_order(-F.col("d")), lambda n: F.ceil(n * share), keys, F.col("d") * F.col("d"))
-    return ends.select(*keys, ((F.col("__sum") + F.col("__rest") * F.col("__value")) / F.nullif(F.col("__below") + F.col("__rest"), F.lit(0))).alias("loss"))
+    return ends.select(*keys, ((F.col("__sel_sum") + F.col("__sel_rest") * F.col("__sel_value")) / F.nullif(F.col("__sel_below") + F.col("__sel_rest"), F.lit(0))).alias("loss"))
 
 
 LOSSES = {"mse": lambda a, b: (a - b) * (a - b), "mae": lambda a, b: F.abs(a - b), "huber": lambda a, b: F.when(F.abs(a - b) <= 1, 0.5 * (a - b) * (a - b)).otherwise(F.abs(a - b) - 0.5)}

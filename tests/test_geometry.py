@@ -21,7 +21,7 @@ def fcc(cells, a):
 def brute(rows, cutoff, cell, periodic):
     """Ordered pairs over all images that can matter, one by one."""
     x, m = np.array(rows, float), np.array(cell, float)
-    reach = [range(-3, 4) if p else (0,) for p in periodic]
+    reach = [range(-6, 7) if p else (0,) for p in periodic]  # atoms may lie several cells apart
     out = set()
     for s in ((i, j, k) for i in reach[0] for j in reach[1] for k in reach[2]):
         d = np.linalg.norm(x[None] + np.array(s) @ m - x[:, None], axis=2)
