@@ -83,7 +83,7 @@ def clusters_of(points: DataFrame, clusters: int, neighbors: int = 10, seed: int
 
     near = cut(knn(points.select(F.col(id_col).alias("node_id"), F.col(vec).alias("x")), neighbors))
     scale = near.agg(F.avg(F.col("dist") * F.col("dist"))).first()[0] or 1.0
-    values, found = eigenvectors(near.select("src", "dst", F.exp(-F.col("dist") * F.col("dist") / F.lit(scale)).alias("weight")), clusters, tolerance=1e-6)
+    values, found = eigenvectors(near.select("src", "dst", F.exp(-F.col("dist") * F.col("dist") / F.lit(scale)).alias("weight")), clusters, rounds=15, tolerance=1e-6)
     rows = F.array(*(F.col(f"v{i}") for i in range(len(values))))
     length = F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x * x))
     data = found.select("node", array_to_vector(F.transform(rows, lambda x: x / F.greatest(length, F.lit(1e-300)))).alias("v"))
