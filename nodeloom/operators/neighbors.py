@@ -47,6 +47,21 @@ def around(df: DataFrame, cube: list[Column], offsets: list[tuple[int, int, int]
     return out.withColumn("own", (F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)).drop("o", "bx", "by", "bz")
 
 
+#: The most atoms of a group that meets whole, whatever the method: cubes would be more rows than its pairs.
+SMALL_GROUP = 32
+
+
+def cubes_of_cell(cell: list[list[float]], periodic: tuple[bool, bool, bool], width: float) -> Column:
+    """Whether the cube cx, cy, cz may hold an atom of the cell."""
+    m, held = np.array(cell, float), F.lit(True)
+    for i, c in enumerate("xyz"):
+        if all(periodic[j] or not m[j, i] for j in range(3)):
+            low, high = float(np.minimum(m[:, i], 0).sum()), float(np.maximum(m[:, i], 0).sum())
+            slack = 1e-6 * (high - low + width)
+            held &= F.col(f"c{c}").between(int(np.floor((low - slack) / width)), int(np.floor((high + slack) / width)))
+    return held
+
+
 def both_ways(pairs: DataFrame, keys: list[str], signed: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
     """Each pair and its mirror image: ends change places, and the columns signed their sign."""
     there = F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), *(F.col(c).alias(c) for c in signed), *(F.col(f"{e}_{c}").alias(f"{e}_{c}") for c in carry for e in ("src", "dst")))
@@ -69,7 +84,8 @@ def radius_graph(
     first. Joins of atoms are never broadcast: their size in files or in a
     stream says little about that in memory. method: "cells" gives each atom the number of a cube of the
     cutoff's width and meets half of the cubes around it, which pays where a
-    group fills many cubes; "group" meets all of the group; "auto" compares
+    group fills many cubes, so that groups of SMALL_GROUP atoms at most still
+    meet whole; "group" meets all of the group; "auto" compares
     both costs. Each pair is found once and mirrored: between two atoms of the
     cell in one direction, and of images only those on the upper side.
     """
@@ -88,27 +104,38 @@ def radius_graph(
     inside = [F.col(c) - move(i, "w") for i, c in enumerate("xyz")]
     cube_of = lambda columns: [F.floor(v / F.lit(float(cutoff))).cast("int") for v in columns]
     end = lambda df, n, more=(): df.select(*keys_, *more, F.col("node_id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in (*"xyz", *(f"w{c}" for c in "xyz"), *carry)))
-    first = end(own, "src", [v.alias(f"h{c}") for c, v in zip("xyz", cube_of(inside))])
-    others = end(own, "dst", [v.alias(f"h{c}") for c, v in zip("xyz", cube_of(inside))])
-    on, home = list(keys_), [F.col(f"h{c}") for c in "xyz"]
-    if method == "cells":
-        on += ["cx", "cy", "cz"]
-        here = around(first, home, HALF).drop("hx", "hy", "hz")
-        there = others.withColumns({f"c{c}": F.col(f"h{c}") for c in "xyz"}).drop("hx", "hy", "hz")
-        pairs = here.join(there.hint("merge"), on).where(~F.col("own") | (F.col("src") < F.col("dst"))).drop("own", "cx", "cy", "cz")
-    else:
-        pairs = first.drop("hx", "hy", "hz").join(others.drop("hx", "hy", "hz").hint("merge"), on).where("src < dst")
-    pairs = pairs.withColumns({f"s{c}": F.lit(0) for c in "xyz"})
-    if cell is not None and any(periodic):
+    home = [F.col(f"h{c}") for c in "xyz"]
+
+    def meeting(own: DataFrame, by: str) -> DataFrame:
+        first = end(own, "src", [v.alias(f"h{c}") for c, v in zip("xyz", cube_of(inside))])
+        others = end(own, "dst", [v.alias(f"h{c}") for c, v in zip("xyz", cube_of(inside))])
+        on = list(keys_)
+        if by == "cells":
+            on += ["cx", "cy", "cz"]
+            here = around(first, home, HALF).drop("hx", "hy", "hz")
+            there = others.withColumns({f"c{c}": F.col(f"h{c}") for c in "xyz"}).drop("hx", "hy", "hz")
+            pairs = here.join(there.hint("merge"), on).where(~F.col("own") | (F.col("src") < F.col("dst"))).drop("own", "cx", "cy", "cz")
+        else:
+            pairs = first.drop("hx", "hy", "hz").join(others.drop("hx", "hy", "hz").hint("merge"), on).where("src < dst")
+        pairs = pairs.withColumns({f"s{c}": F.lit(0) for c in "xyz"})
+        if cell is None or not any(periodic):
+            return pairs
         ghosts = halo(own, cell, periodic, cutoff).where("(sx > 0) OR (sx = 0 AND sy > 0) OR (sx = 0 AND sy = 0 AND sz > 0)")
         at = [x + move(i, "s") for i, x in enumerate(inside)]
         ghosts = end(ghosts, "dst", ["sx", "sy", "sz", *(v.alias(f"h{c}") for c, v in zip("xyz", cube_of(at)))])
-        if method == "cells":
-            ghosts = around(ghosts, home, ALL).drop("hx", "hy", "hz", "own")
+        if by == "cells":
+            ghosts = around(ghosts, home, ALL).drop("hx", "hy", "hz", "own").where(cubes_of_cell(cell, periodic, cutoff))
             met = first.withColumns({f"c{c}": F.col(f"h{c}") for c in "xyz"}).drop("hx", "hy", "hz").join(ghosts.hint("merge"), on).drop("cx", "cy", "cz")
         else:
             met = first.drop("hx", "hy", "hz").join(ghosts.drop("hx", "hy", "hz").hint("merge"), on)
-        pairs = pairs.unionByName(met if self_images else met.where("src <> dst"))
+        return pairs.unionByName(met if self_images else met.where("src <> dst"))
+
+    if method == "cells":
+        sizes = own.groupBy(*keys_).agg(F.count("*").alias("__n")).hint("merge")
+        small, large = (own.join(sizes.where(which), keys_, "left_semi") for which in (F.col("__n") <= SMALL_GROUP, F.col("__n") > SMALL_GROUP))
+        pairs = meeting(small, "group").unionByName(meeting(large, "cells"))
+    else:
+        pairs = meeting(own, "group")
     # From the atoms in the cell to the atoms as they are given.
     pairs = pairs.withColumns({f"s{c}": (F.col(f"s{c}") + F.col(f"src_w{c}") - F.col(f"dst_w{c}")).cast("int") for c in "xyz"})
     d = {f"d{c}": F.col(f"dst_{c}") + move(i, "s") - F.col(f"src_{c}") for i, c in enumerate("xyz")}

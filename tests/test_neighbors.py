@@ -176,3 +176,19 @@ def test_triples_against_all_of_them(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     out = [(r.a_id, r.b_id, r.c_id) for r in found.collect()]
     assert len(out) == len(want) and set(out) == want
+
+
+@pytest.mark.parametrize("small", [0, 20, 1000])
+def test_small_groups_are_not_dealt_into_cubes(spark, monkeypatch, small):
+    """Groups of 5 and 30 atoms: the same pairs wherever the border lies; no row for a cube where a group is small, and few cubes for images where it is not."""
+    rng, dealt, real = np.random.default_rng(8), [], neighbors.around
+    atoms = frame(spark, rng.uniform(-3, 15, (5, 3)), 1).unionByName(frame(spark, rng.uniform(-3, 15, (30, 3)), 2)).cache()
+    want = sorted(neighbors.radius_graph(atoms, 4.0, CELL, method="group").select("gid", "src", "dst", "sx", "sy", "sz").collect())
+    monkeypatch.setattr(neighbors, "SMALL_GROUP", small)
+    monkeypatch.setattr(neighbors, "around", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    got = sorted(neighbors.radius_graph(atoms, 4.0, CELL, method="cells").select("gid", "src", "dst", "sx", "sy", "sz").collect())
+    assert want and got == want
+    n = {0: 35, 20: 30, 1000: 0}[small]
+    half, images = (df.count() for df in dealt)
+    assert half == 14 * n and (images > 0) == (n > 0)
+    assert dealt[1].where(neighbors.cubes_of_cell(CELL, (True, True, True), 4.0)).count() * 2 <= images
