@@ -192,3 +192,30 @@ def test_small_groups_are_not_dealt_into_cubes(spark, monkeypatch, small):
     half, images = (df.count() for df in dealt)
     assert half == 14 * n and (images > 0) == (n > 0)
     assert dealt[1].where(neighbors.cubes_of_cell(CELL, (True, True, True), 4.0)).count() * 2 <= images
+
+
+@pytest.mark.parametrize("kind", ["unit", "grid", "far", "outlier", "tiny", "huge", "copies", "repeated ids"])
+def test_single_precision_loses_no_neighbor(kind):
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(5000, 6))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    ids = rng.permutation(5000) // (7 if kind == "repeated ids" else 1)
+    x = {"grid": rng.integers(0, 3, (5000, 6)).astype(float), "far": unit + 1e7, "outlier": np.where(np.arange(5000)[:, None] == 0, 1e9, unit), "tiny": unit * 1e-150, "huge": unit * 1e150, "copies": unit[rng.integers(0, 60, 5000)], "repeated ids": unit[ids]}.get(kind, unit)
+    x[17, 2] = np.nan
+    for k, itself, positive in ((1, True, False), (4, True, False), (3, False, True)):
+        found, far = neighbors.Held(ids, x, k).nearest(ids[:40], x[:40], k, itself, positive)
+        for i in range(40):
+            d = np.sqrt(((x - x[i]) ** 2).cumsum(1)[:, -1])
+            d[~np.isfinite(d) | (itself & (ids == ids[i])) | (positive & (d == 0))] = np.inf
+            first = np.lexsort((ids, d))[:k]
+            assert (far[i] == d[first]).all() and (found[i] == np.where(np.isinf(d[first]), -1, ids[first])).all()
+
+
+def test_a_search_does_not_stay_in_the_tasks_of_its_file(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(3000, 6))
+    df = points(spark, x).coalesce(1)
+    expected = neighbors.knn(df, 3).collect()
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 1_000_000)
+    found = neighbors.knn(df, 3)
+    assert re.search(r"RepartitionByExpression \[node_id#\d+L?\], 10", found._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(found.collect()) == sorted(expected)
