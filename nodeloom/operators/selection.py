@@ -85,7 +85,8 @@ def thresholds(rows: DataFrame, order: Column, wanted: Callable[[Column], Column
         ends = counts.where(((F.col("__sel_rest") > first) & (F.col("__sel_rest") <= F.col("__sel_upto"))) | ((F.col("__sel_rest") <= 0) & (first == 0)))
         found = ends.select(*keys, F.col("__sel_lead").alias("__sel_t"), F.greatest(F.col("__sel_rest") - first, F.lit(0)).alias("__sel_rest"), F.col("__sel_n").alias("__sel_at"), (F.col("__sel_below") + F.when(F.col("__sel_rest") > 0, first).otherwise(0)).alias("__sel_below"), (F.col("__sel_sum") + F.when(F.col("__sel_rest") > 0, F.col("__sel_sums") - F.col("__sel_s")).otherwise(0.0)).alias("__sel_sum"), "__sel_value")
         if i + 1 < len(steps):
-            found = found.select(*keys, "__sel_t", "__sel_rest", "__sel_below", "__sel_sum")
+            # Stored, its size is known: a row per key, which the next step's join sends to the rows unless the keys are many.
+            found = stored(found.select(*keys, "__sel_t", "__sel_rest", "__sel_below", "__sel_sum"), "step")
     return found
 
 

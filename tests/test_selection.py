@@ -104,3 +104,13 @@ def windows_over(plan: str) -> list[str]:
 def test_nothing_is_ranked(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert set(windows_over(plan)) <= {"Aggregate"}
+
+
+def test_steps_know_their_size(spark):
+    """A step's thresholds come from a file, so that the next one's join needs no shuffle of the rows."""
+    rows = spark.range(5000).selectExpr("id % 3 AS k", "cast((id * 7919) % 4999 AS double) AS v")
+    ends = selection.thresholds(rows, selection.value_order(F.col("v")), lambda n: F.floor(n * 0.25), ("k",), F.col("v"))
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Scan parquet") == 1
+    kept = sorted((r.k, r["__sel_below"] + r["__sel_rest"]) for r in ends.collect())
+    assert kept == sorted((k, len(range(k, 5000, 3)) // 4) for k in range(3))
