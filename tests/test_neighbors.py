@@ -219,3 +219,10 @@ def test_a_search_does_not_stay_in_the_tasks_of_its_file(spark, monkeypatch):
     found = neighbors.knn(df, 3)
     assert re.search(r"RepartitionByExpression \[node_id#\d+L?\], 10", found._jdf.queryExecution().optimizedPlan().toString())
     assert sorted(found.collect()) == sorted(expected)
+
+
+def test_edges_of_lists_search_once(spark):
+    from nodeloom.plans import catalogue
+
+    found = catalogue.QUERIES["generic_pairwise_edges"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
