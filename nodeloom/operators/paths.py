@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 from ..functions.basis import cosine_cutoff
 from ..functions.vectors import distance
 from ..storage import cut as stored_cut
+from ..storage import stored
 from . import mixture
 from .neighbors import k_nearest_nodes, knn, nearest_node
+from .training_windows import running_sum
 
 
 def boundary_mean(points: DataFrame, first: int = 0, last: int = 0, order: str = "id", vec: str = "x") -> DataFrame:
@@ -28,36 +30,62 @@ def centroids(points: DataFrame, bin_col: str = "bin", vec: str = "x") -> DataFr
     return means.groupBy(bin_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda p: p["m"]).alias("x"))
 
 
-def greedy_path(neighbors: dict[int, list[tuple[float, int]]], start: int, stop: int) -> list[int] | None:
-    """From start always to the nearest neighbor not yet visited, back a step where there is none; None if stop isn't reached."""
-    path, seen = [start], {start}
+def greedy_path(first: np.ndarray, there: np.ndarray, start: int, stop: int) -> np.ndarray | None:
+    """From start always to the nearest neighbor not yet visited, back a step where there is none; None if stop isn't reached. The neighbors of node i are there[first[i] : first[i + 1]], the nearest first."""
+    path, seen, at = [start], np.zeros(len(first) - 1, bool), first[:-1].copy()  # at: neighbors before it are seen, and stay so
+    seen[start] = True
     while path and path[-1] != stop:
-        step = next((n for _, n in neighbors.get(path[-1], ()) if n not in seen), None)
-        if step is None:
+        here = path[-1]
+        i, end = int(at[here]), int(first[here + 1])
+        while i < end and seen[there[i]]:
+            i += 1
+        at[here] = i
+        if i == end:
             path.pop()
         else:
-            path.append(step)
-            seen.add(step)
-    return path or None
+            path.append(int(there[i]))
+            seen[path[-1]] = True
+    return np.array(path) if path else None
+
+
+def linked(near: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first, there) of edges (src, dst, dist) taken both ways, as greedy_path() wants them: each node's list is sorted in Spark, and what reaches the driver is 8 bytes an entry, of which it keeps 4."""
+    both = near.select("src", "dst", "dist").unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    lists = both.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "dst"))), lambda n: n["dst"]).alias("there"))
+    ids, sizes, there = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for batch in lists.toArrow().to_batches():
+        ids.append(batch.column("src").to_numpy())
+        sizes.append(np.diff(batch.column("there").offsets.to_numpy()))
+        there.append(batch.column("there").flatten().to_numpy())
+    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+    order = np.argsort(ids)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    # The lists stay in the order they came in; places in that order name the nodes.
+    there = [order[np.searchsorted(ids[order], t)].astype(np.int32) for t in there]
+    return ids, first, np.concatenate(there)
 
 
 def path_nodes(points: DataFrame, start: int, stop: int, k: int = 7, id_col: str = "id", vec: str = "x") -> DataFrame:
     """(order, node): a path from start to stop over the graph of the k nearest neighbors, k raised while there is none.
 
-    The neighbors are found in parallel; the walk itself follows one node
-    after another and runs on the driver, over the k rows of each node, so the
-    cloud must be one that a driver holds.
+    The neighbors are found and sorted in parallel, twice as many whenever
+    those found are not enough; the walk itself, of which each step depends on
+    all before it, runs on the driver over 4 bytes for each neighbor.
     """
+    import pyarrow as pa
+
     n = points.count()
     cloud = points.select(F.col(id_col).alias("node_id"), F.col(vec).alias("x"))
+    found, known = None, 0
     for near in range(k, max(n, k + 1)):
-        both: dict[int, set] = {}
-        for r in knn(cloud, min(near, n - 1)).toLocalIterator():
-            both.setdefault(r["src"], set()).add((r["dist"], r["dst"]))
-            both.setdefault(r["dst"], set()).add((r["dist"], r["src"]))
-        path = greedy_path({a: sorted(b) for a, b in both.items()}, start, stop)
-        if path:
-            return points.sparkSession.createDataFrame(list(enumerate(path)), "order int, node long")
+        if near > known:
+            known = min(max(near, 2 * known), max(near, n - 1))
+            found = stored(knn(cloud, min(known, n - 1)), "near")
+        ids, first, there = linked(found.where(F.col("rank") <= near))
+        ends = [np.flatnonzero(ids == i) for i in (start, stop)]
+        path = greedy_path(first, there, int(ends[0][0]), int(ends[1][0])) if all(map(len, ends)) else None
+        if path is not None:
+            return points.sparkSession.createDataFrame(pa.table({"order": pa.array(np.arange(len(path), dtype=np.int32)), "node": pa.array(ids[path])}))
     raise ValueError("no path joins both ends, whatever the number of neighbors")
 
 
@@ -72,6 +100,23 @@ def path_distances(path: DataFrame, vec: str = "x", order: str = "order", legacy
     return passed.withColumn("gamma", F.col("passed") / F.nullif(F.max("passed").over(Window.partitionBy()), F.lit(0.0))).drop("step", "passed")
 
 
+#: Nodes of a path that one task takes in order.
+SHORT = 10_000
+
+
+def distances_along(path: DataFrame, vec: str = "x", order: str = "order", legacy: bool = False) -> DataFrame:
+    """As path_distances(), for paths of any length: nodes are numbered by running sums in two levels, meet the one before by number, and no task sees all."""
+    columns = path.columns
+    numbered = stored(running_sum(path.withColumn("__one", F.lit(1)), "__one", order, "__i").drop("__one"), "path")
+    n = numbered.count()
+    after = F.when((F.col("__i") < n) | F.lit(not legacy), F.col("__i") + 1).otherwise(1)
+    before = numbered.select(after.alias("__i"), F.col(vec).alias("__before"))
+    steps = numbered.join(before, "__i", "left").withColumn("__step", F.coalesce(distance(F.col(vec), F.col("__before")), F.lit(0.0)))
+    passed = stored(running_sum(steps.select(*columns, "__step"), "__step", order, "__passed"), "path")
+    whole = passed.agg(F.max("__passed")).first()[0]
+    return passed.select(*columns, (F.col("__passed") / F.nullif(F.lit(whole).cast("double"), F.lit(0.0))).alias("gamma"))
+
+
 def latent_path(points: DataFrame, start: int, stop: int, k: int = 7, version: str = "1", reduction: float = 1.0, legacy: bool = False, id_col: str = "id", vec: str = "x") -> DataFrame:
     """(order, x, gamma): a path through the cloud.
 
@@ -81,9 +126,10 @@ def latent_path(points: DataFrame, start: int, stop: int, k: int = 7, version: s
     """
     path = path_nodes(points, start, stop, k, id_col, vec)
     located = path.join(points.select(F.col(id_col).alias("node"), F.col(vec).alias("x")), "node").select("order", "node", "x")
+    length = path.count()
+    along = distances_along if length > SHORT else path_distances
     if version == "1":
-        return path_distances(located.select("order", "x"), legacy=legacy)
-    length = located.count()
+        return along(located.select("order", "x"), legacy=legacy)
     every = max(1, math.ceil(reduction * length)) if reduction < 1 else 1
     if version == "2":
         kept = located.where(F.col("order") % every == 0)
@@ -93,7 +139,7 @@ def latent_path(points: DataFrame, start: int, stop: int, k: int = 7, version: s
         means = centroids(located.withColumn("bin", F.floor(F.col("order") / every).cast("int")))
     else:
         raise ValueError(f"no such version: {version}")
-    return path_distances(means.select(F.col("bin").alias("order"), "x"), legacy=legacy)
+    return along(means.select(F.col("bin").alias("order"), "x"), legacy=legacy)
 
 
 def path_coordinate(points: DataFrame, path: DataFrame, id_col: str = "id", vec: str = "x") -> DataFrame:

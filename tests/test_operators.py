@@ -166,6 +166,41 @@ def test_path_through_a_line(spark):
     assert paths.latent_path(apart, 0, 3, k=1).count() >= 2  # k grows until both ends meet
 
 
+def test_walk_over_sorted_lists_and_few_searches(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(60, 3)) + np.repeat([[0.0, 0, 0], [9.0, 0, 0]], 30, 0)
+    searches, found = [], paths.knn
+    monkeypatch.setattr(paths, "knn", lambda points, k: (searches.append(k), found(points, k))[1])
+    cloud = spark.createDataFrame([(1000 - 7 * i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    away = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for near in range(2, 60):  # the plain walk
+        links = [set() for _ in x]
+        for a in range(60):
+            for b in sorted((b for b in range(60) if b != a), key=lambda b: (away[a, b], 1000 - 7 * b))[:near]:
+                links[a].add(b), links[b].add(a)
+        path, seen = [0], {0}
+        while path and path[-1] != 59:
+            step = next((b for b in sorted(links[path[-1]], key=lambda b: (away[path[-1], b], 1000 - 7 * b)) if b not in seen), None)
+            path = path[:-1] if step is None else [*path, step]
+            seen.add(step)
+        if path:
+            break
+    got = paths.path_nodes(cloud, 1000, 1000 - 7 * 59, 2).orderBy("order").collect()
+    assert [r.node for r in got] == [1000 - 7 * i for i in path] and [r.order for r in got] == list(range(len(path)))
+    assert near > 20 and len(searches) <= 6  # one for each k before
+
+
+def test_long_paths_are_summed_in_parts(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(500, 2)).tolist()
+    path = spark.createDataFrame([(3 * i, v) for i, v in enumerate(x)], "order int, x array<double>")
+    for legacy in (False, True):
+        plain, parts = ([r.gamma for r in f(path, legacy=legacy).orderBy("order").collect()] for f in (paths.path_distances, paths.distances_along))
+        assert len(parts) == 500 and np.allclose(plain, parts, rtol=0, atol=1e-12)
+    monkeypatch.setattr(paths, "SHORT", 2)
+    line = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, x array<double>")
+    for version, n in ("1", 10), ("3", 4):
+        assert [round(r.gamma, 9) for r in paths.latent_path(line, 0, 9, 2, version, 0.25).orderBy("order").collect()][-1] == 1 and paths.latent_path(line, 0, 9, 2, version, 0.25).count() == n
+
+
 def test_legacy_path_distance(spark):
     square = spark.createDataFrame([(i, v) for i, v in enumerate([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]])], "order int, x array<double>")
     plain, legacy = ([round(r.gamma, 6) for r in paths.path_distances(square, legacy=old).orderBy("order").collect()] for old in (False, True))
