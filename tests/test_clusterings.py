@@ -85,3 +85,30 @@ def test_two_rings(spark):
     x = np.concatenate([ring, 3 * ring]) + np.random.default_rng(4).normal(0, 0.03, (240, 2))
     label = {r.id: r.cluster for r in spectral.clusters_of(frame(spark, x), 2, 8).collect()}
     assert len({label[i] for i in range(120)}) == 1 and len({label[i] for i in range(120, 240)}) == 1 and label[0] != label[200]
+
+
+def test_blocks_send_each_other_what_their_edges_ask_for(spark):
+    rng = np.random.default_rng(8)
+    n, wide, blocks = 60, 3, 5
+    w = np.triu(rng.uniform(0.1, 1, (n, n)) * (rng.uniform(size=(n, n)) < 0.1), 1)
+    w[np.arange(n - 1), np.arange(1, n)] = 0.3
+    w[0, 1:] = 0.2  # one node with an edge to all others
+    full = w + w.T
+    edges = spark.createDataFrame([(int(3 * a), int(3 * b), float(w[a, b])) for a, b in zip(*np.nonzero(w))], "src long, dst long, weight double")
+    net = spectral.normalised(edges)
+    table, names = spectral.blocks_of(net, net.where("own = 1").select(F.col("src").alias("node")), blocks)
+    place = {r.node: (r.at, r.place) for r in names.collect()}
+    v, u = rng.normal(size=(2, n, wide))
+    held = {b: [i for _, i in sorted((place[3 * i][1], i) for i in range(n) if place[3 * i][0] == b)] for b in range(blocks)}
+    state = spark.createDataFrame([(b, spectral.STATE, b, v[i].tobytes(), u[i].tobytes(), None) for b, i in held.items() if i], spectral.BLOCK)
+    first = spectral.turned(table, state, blocks, wide, np.eye(wide))
+    m = full / np.sqrt(full.sum(1)[:, None] * full.sum(1))
+    rows = [r for r in spectral.times(table, spectral.times(table, first, blocks, wide, 0.5, 0.1, False), blocks, wide, 2.0, 0.1, True).collect()]
+    one = 0.5 * (m @ v - 0.1 * v)
+    want = 2.0 * (m @ one - 0.1 * one) - v
+    own = {r["at"]: r for r in rows if r.kind == spectral.STATE}
+    for b, i in held.items():
+        assert not i or np.allclose(np.frombuffer(own[b].a).reshape(-1, wide), want[i]) and np.allclose(np.frombuffer(own[b].b).reshape(-1, wide), one[i])
+    assert len(rows) <= blocks + blocks**2  # not a row for each edge
+    values, found = spectral.eigenvectors(edges, 3, block_nodes=13)
+    assert np.allclose(values, np.linalg.eigvalsh(m)[::-1][:3], atol=1e-6) and found.count() == n
