@@ -1,7 +1,7 @@
 """Packing graphs into rows, applying a network to them, and training it.
 
 A graph is one row of arrays, so it fits a worker; rows of a partition are
-packed some hundred at a time and run as one batch. Training ships the
+packed by the number of their atoms, bonds and angles and run as one batch. Training ships the
 weights, sums gradients by weight inside Spark, and takes one step per batch
 on the driver; what comes back is as large as the model.
 """
@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...storage import forget, stored
 from . import models
 from .models import KINDS
 from .tape import Value, scatter, total
@@ -41,23 +42,77 @@ def pack(graph: dict[str, DataFrame], targets: DataFrame | None = None, times: D
     return packed.select("gid", *arrays, "y", F.coalesce("time", F.lit(0.0)).alias("time"))
 
 
-def to_batch(frame) -> models.Batch:
-    """The graphs of a pandas frame as one."""
-    columns = {c: [np.asarray(x) for x in frame[c]] for c in ARRAYS if c != "features"}
-    features = [np.array([np.asarray(r, float) for r in x]) for x in frame["features"]]
-    n, m = [max(len(x), len(f)) for x, f in zip(columns["species"], features)], [len(x) for x in columns["src"]]
-    before, edges_before = np.cumsum([0, *n[:-1]]), np.cumsum([0, *m[:-1]])
-    join = lambda c, kind, shift=None: np.concatenate([x.astype(kind) + (s if shift is not None else 0) for x, s in zip(columns[c], shift if shift is not None else columns[c])]) if len(frame) else np.zeros(0, kind)
-    of = lambda sizes: np.repeat(np.arange(len(frame)), sizes)
-    vec = np.stack([join(c, float) for c in ("dx", "dy", "dz")], 1)
-    wide = [f for f in features if len(f)]
+#: Atoms, bonds and angles that run as one batch, unless a graph alone has more.
+ENTRIES = 20_000
+
+
+def cut_up(batches, rows: int):
+    """Arrow batches of packed graphs in pieces of at most so many rows and about ENTRIES atoms, bonds and angles."""
+    for batch in batches:
+        upto = np.cumsum(sum(_sizes(batch, c) for c in ("species", "features", "src", "u")))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + ENTRIES, "right"))), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _sizes(batch, c: str) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(int)
+
+
+def _flat(batch, c: str, kind) -> np.ndarray:
+    return batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def to_batch(packed) -> models.Batch:
+    """The graphs of an Arrow batch as one, array by array."""
+    n, m, k = np.maximum(_sizes(packed, "species"), _sizes(packed, "features")), _sizes(packed, "src"), _sizes(packed, "u")
+    of = lambda sizes: np.repeat(np.arange(packed.num_rows), sizes)
+    before, edges_before = np.cumsum(n) - n, np.cumsum(m) - m
+    ends = {c: _flat(packed, c, int) + np.repeat(shift, sizes) for c, shift, sizes in (("src", before, m), ("dst", before, m), ("u", edges_before, k), ("v", edges_before, k))}
+    vec = [_flat(packed, c, float) for c in ("dx", "dy", "dz")]
+    wide = packed.column("features").flatten()
     return models.Batch(
-        join("species", int), join("src", int, before), join("dst", int, before), join("dist", float), join("u", int, edges_before), join("v", int, edges_before),
-        join("angle", float), join("dihedral", bool), {"atom": of(n), "bond": of(m), "angle": of([len(x) for x in columns["u"]])},
-        vec if len(vec) == sum(m) else None, np.concatenate(wide) if wide else None, np.asarray(frame["time"], float),
+        _flat(packed, "species", int), ends["src"], ends["dst"], _flat(packed, "dist", float), ends["u"], ends["v"],
+        _flat(packed, "angle", float), _flat(packed, "dihedral", bool), {"atom": of(n), "bond": of(m), "angle": of(k)},
+        np.stack(vec, 1) if all(len(x) == m.sum() for x in vec) else None, wide.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(wide), -1) if len(wide) else None, packed.column("time").to_numpy(zero_copy_only=False).astype(float),
     )
 
 
+def bundled(packed: DataFrame) -> DataFrame:
+    """(graphs, bundle): pieces of packed graphs as they run, each in Arrow's format, so that later passes turn no array of theirs over again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in cut_up(batches, 10_000):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["graphs", "bundle"])
+
+    return packed.mapInArrow(run, "graphs int, bundle binary")
+
+
+def unbundled(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for bundle in batch.column("bundle"):
+            yield from pa.ipc.open_stream(bundle.as_buffer())
+
+
+def _vectors(x: np.ndarray):
+    """The rows of a matrix as an Arrow array of lists."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x, float).ravel()))
+
+
 def initial_weights(settings: dict, seed: int = 0) -> dict[str, np.ndarray]:
     """Seeded weights of the network that settings describe: net ("line_graph", "mesh_graph" or "gated"), features (the number of generic ones), and the arguments of that network."""
     one = np.zeros(1, int)
@@ -67,46 +122,42 @@ def initial_weights(settings: dict, seed: int = 0) -> dict[str, np.ndarray]:
     return p.arrays()
 
 
-def contributions(packed: DataFrame, weights: dict, settings: dict, rows: int = 100) -> DataFrame:
+def contributions(packed: DataFrame, weights: dict, settings: dict, rows: int = 10_000) -> DataFrame:
     """(gid, kind, local_id, value) of every row that the network has a result for: atoms, and for line graphs bonds and angles."""
     shipped = packed.sparkSession.sparkContext.broadcast(weights)  # as large as the model, whatever the input
     gid = packed.schema["gid"].dataType.simpleString()
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        for frame in frames:
-            for at in range(0, len(frame), rows):
-                part = frame.iloc[at : at + rows]
-                b = to_batch(part)
-                for kind, x in models.apply(models.Params(shipped.value), b, settings):
-                    graph = b.graph[kind]
-                    first = np.searchsorted(graph, graph)
-                    yield pd.DataFrame({"gid": part["gid"].to_numpy()[graph], "kind": kind, "local_id": np.arange(len(graph)) - first, "value": list(x.data)})
+        for part in cut_up(batches, rows):
+            b = to_batch(part)
+            for kind, x in models.apply(models.Params(shipped.value), b, settings):
+                graph = b.graph[kind]
+                first = np.searchsorted(graph, graph)
+                yield pa.RecordBatch.from_arrays([part.column("gid").take(pa.array(graph)), pa.array([kind] * len(graph), pa.string()), pa.array(np.arange(len(graph)) - first), _vectors(x.data)], names=["gid", "kind", "local_id", "value"])
 
-    return packed.mapInPandas(run, f"gid {gid}, kind string, local_id long, value array<double>")
+    return packed.mapInArrow(run, f"gid {gid}, kind string, local_id long, value array<double>")
 
 
-def latent_space(packed: DataFrame, weights: dict, settings: dict, rows: int = 100) -> DataFrame:
+def latent_space(packed: DataFrame, weights: dict, settings: dict, rows: int = 10_000) -> DataFrame:
     """(gid, x): the mean of all rows of a graph before the decoder of a line graph's network."""
     shipped = packed.sparkSession.sparkContext.broadcast(weights)
     gid = packed.schema["gid"].dataType.simpleString()
     inner = {k: settings[k] for k in ("species", "dim", "convs", "cutoff", "conv", "generic", "on_angles", "basis") if k in settings}
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        for frame in frames:
-            for at in range(0, len(frame), rows):
-                part = frame.iloc[at : at + rows]
-                b = to_batch(part)
-                parts = models.latent(models.Params(shipped.value), b, **inner)
-                index = np.concatenate([b.graph[k] for k in KINDS])
-                data = np.concatenate([x.data for x in parts])
-                sums, n = scatter(Value(data), index, len(part)).data, np.bincount(index, minlength=len(part))
-                yield pd.DataFrame({"gid": part["gid"].to_numpy(), "x": list(sums / np.maximum(n, 1)[:, None])})
+        for part in cut_up(batches, rows):
+            b = to_batch(part)
+            parts = models.latent(models.Params(shipped.value), b, **inner)
+            index = np.concatenate([b.graph[k] for k in KINDS])
+            data = np.concatenate([x.data for x in parts])
+            sums, n = scatter(Value(data), index, part.num_rows).data, np.bincount(index, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("gid"), _vectors(sums / np.maximum(n, 1)[:, None])], names=["gid", "x"])
 
-    return packed.mapInPandas(run, f"gid {gid}, x array<double>")
+    return packed.mapInArrow(run, f"gid {gid}, x array<double>")
 
 
 def loss_of(p: models.Params, b: models.Batch, y: np.ndarray, settings: dict, loss: str) -> Value:
@@ -133,33 +184,34 @@ def worst_graphs(packed: DataFrame, weights: dict, settings: dict, share: float)
     return packed.join(chosen.select("gid"), "gid", "left_semi")
 
 
-def gradients(packed: DataFrame, weights: dict, settings: dict, loss: str = "mse", rows: int = 100, share: float = 0.1) -> tuple[dict[str, np.ndarray], float, int]:
-    """(gradient by name, summed loss, graphs): sums over all rows, taken in Spark element by element. With the loss "max_n_percent" squared errors of the worst share count alone."""
+def gradients(packed: DataFrame, weights: dict, settings: dict, loss: str = "mse", rows: int = 10_000, share: float = 0.1, slopes: bool = True) -> tuple[dict[str, np.ndarray], float, int]:
+    """(gradient by name, summed loss, graphs): sums over all rows, taken in Spark element by element; packed may be bundled() unless its graphs are to be ranked. slopes: whether gradients are wanted, otherwise they are 0. With the loss "max_n_percent" squared errors of the worst share count alone."""
     if loss not in LOSSES:
         raise ValueError(f"no such loss: {loss}")
     if loss == "max_n_percent":
         packed, loss = worst_graphs(packed, weights, settings, share), "mse"
     shipped = packed.sparkSession.sparkContext.broadcast(weights)
 
-    def run(frames):
-        import pandas as pd
+    whole = "bundle" in packed.columns
+
+    def run(batches):
+        import pyarrow as pa
 
         sums, lost, seen = {}, 0.0, 0
-        for frame in frames:
-            for at in range(0, len(frame), rows):
-                part = frame.iloc[at : at + rows]
-                p = models.Params(shipped.value)
-                out = loss_of(p, to_batch(part), np.stack([np.asarray(v, float) for v in part["y"]]), settings, loss)
+        for part in cut_up(unbundled(batches) if whole else batches, rows):
+            p = models.Params(shipped.value)
+            out = loss_of(p, to_batch(part), _flat(part, "y", float).reshape(part.num_rows, -1), settings, loss)
+            if slopes:
                 out.backward()
-                lost, seen = lost + float(out.data), seen + len(part)
-                for k, v in p.values.items():
-                    if v.grad is not None:
-                        sums[k] = sums.get(k, 0) + v.grad
+            lost, seen = lost + float(out.data), seen + part.num_rows
+            for k, v in p.values.items():
+                if v.grad is not None:
+                    sums[k] = sums.get(k, 0) + v.grad
         if seen:
             flat = [(k, g.ravel()) for k, g in sums.items()] + [("", np.array([lost, seen]))]
-            yield pd.DataFrame({"name": [k for k, _ in flat], "values": [v for _, v in flat]})
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat]), pa.array([v for _, v in flat], pa.list_(pa.float64()))], names=["name", "values"])
 
-    parts = packed.mapInPandas(run, "name string, values array<double>")
+    parts = packed.mapInArrow(run, "name string, values array<double>")
     rows_ = parts.select("name", F.posexplode("values").alias("i", "g")).groupBy("name", "i").agg(F.sum("g").alias("g")).collect()
     found: dict[str, np.ndarray] = {"": np.zeros(2)} | {k: np.zeros(w.size) for k, w in weights.items()}
     for r in rows_:
@@ -287,7 +339,12 @@ def train(
 
     weights = weights or initial_weights(settings, seed)
     step, best, log = Optimizer(optimizer, rate), (np.inf, np.inf, weights), []
-    packed, valid = packed.cache(), valid.cache() if valid is not None else None
+    kept = []
+    # Read in every epoch: where all graphs count each time, as the pieces that they run in.
+    for df in (packed, valid):
+        ready = df is not None and loss != "max_n_percent" and (batches == 1 or df is valid)
+        kept.append(df if df is None else stored(bundled(df), "graphs") if ready else df.cache())
+    packed, valid = kept
     try:
         for epoch in range(epochs):
             began, lost, seen = time.time(), 0.0, 0
@@ -300,7 +357,7 @@ def train(
                 lost, seen = lost + part_lost, seen + n
             record = {"epoch": epoch, "loss_train": lost / max(seen, 1), "loss_valid": lost / max(seen, 1)}
             if valid is not None:
-                _, valid_lost, valid_n = gradients(valid, weights, settings, loss, share=share)
+                _, valid_lost, valid_n = gradients(valid, weights, settings, loss, share=share, slopes=False)
                 record["loss_valid"] = valid_lost / valid_n if valid_n else record["loss_train"]
             record |= {"seconds": time.time() - began, "saved": False}
             log.append(record)
@@ -314,9 +371,9 @@ def train(
             if len(change) >= most and sum(change) / most <= tolerance and sum(last) / most <= most_loss:
                 break
     finally:
-        packed.unpersist()
-        if valid is not None:
-            valid.unpersist()
+        for df in kept:
+            if df is not None:
+                forget(df) if "bundle" in df.columns else df.unpersist()
     return best[2], log
 
 

@@ -198,3 +198,26 @@ def test_dictionaries_and_loaders(spark, tmp_path):
     assert set(training_windows.loader({"validation": rows}, 2, (5, 10, 50))) == {"validation"}
     with pytest.raises(ValueError):
         training_windows.loader({}, 3, (1, 1, 1))
+
+
+def test_training_reads_pieces_made_once(spark, monkeypatch):
+    points, edges, targets = small_graphs(spark)
+    packed = train.pack({"nodes": points, "edges": edges, "angles": graphs.bond_angles(edges).fillna({"angle": 0.0})}, targets).coalesce(1)
+    settings = {"species": 4, "dim": 6, "convs": 1, "cutoff": 2.0}
+    monkeypatch.setattr(train, "ENTRIES", 60)  # shipped with bundled() in its pieces
+    weights = train.initial_weights(settings)
+    pieces = train.bundled(packed)
+    assert pieces.agg(F.sum("graphs")).first()[0] == 10
+    (a, lost, n), (b, same, m) = (train.gradients(df, weights, settings) for df in (packed, pieces))
+    assert n == m == 10 and np.isclose(lost, same) and all(np.allclose(a[k], b[k]) and a[k].any() for k in a if k.startswith("dec"))
+    off, again, _ = train.gradients(pieces, weights, settings, slopes=False)
+    assert np.isclose(lost, again) and not any(g.any() for g in off.values())
+    read, found = [], train.gradients
+    monkeypatch.setattr(train, "gradients", lambda df, *a, **k: (read.append(df.columns), found(df, *a, **k))[1])
+    train.train(packed, packed, settings, epochs=2)
+    assert read == [["graphs", "bundle"]] * 4  # before, every pass turned all arrays over again
+    (batch,) = packed.limit(10).toArrow().combine_chunks().to_batches()
+    cut = list(train.cut_up([batch], 4))
+    assert sum(p.num_rows for p in cut) == 10 and all(1 <= p.num_rows <= 4 for p in cut)
+    whole, alone = train.to_batch(batch), [train.to_batch(batch.slice(i, 1)) for i in range(10)]
+    assert np.array_equal(whole.dist, np.concatenate([x.dist for x in alone])) and whole.src.max() >= len(alone[0].species)
