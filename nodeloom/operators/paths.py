@@ -156,14 +156,13 @@ def assign_gammas(points: DataFrame, path: DataFrame, version: str = "1", k: int
     """
     if iterations > 1 and version == "1":
         raise ValueError("version 1 has nothing to iterate")
+    path = stored_cut(path)  # read several times, as small as it may be beside what it is made of
     near = k_nearest_nodes(points, path.select(F.col("order").alias("node"), "x"), 1 if version == "1" else k, point=id_col, vec=vec)
     near = near.join(path.select(F.col("order").cast("long").alias("node"), "gamma"), "node")
     if version == "1":
         return near.select(id_col, "gamma")
     gammas = near.groupBy(id_col).agg(F.greatest(F.lit(0.0), F.avg(cosine_cutoff(F.col("dist"), cutoff) * F.col("gamma"))).alias("gamma"))
-    for _ in range(iterations - 1):
-        gammas = smooth(points, gammas, k, 1, cutoff, id_col, vec)
-    return gammas
+    return smooth(points, gammas, k, iterations - 1, cutoff, id_col, vec) if iterations > 1 else gammas
 
 
 def smooth(points: DataFrame, gammas: DataFrame, k: int = 2, iterations: int = 1, cutoff: float = 10.0, id_col: str = "id", vec: str = "x", cut=stored_cut) -> DataFrame:

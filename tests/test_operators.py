@@ -264,3 +264,24 @@ def test_mixing_triples_by_the_rule_on_every_triple(spark):
     got = chemistry.mixing_triples(df, df, df, 0.15).collect()
     assert {tuple(r)[:3]: r.enthalpy for r in got} == want and len(got) == len(want)
     assert ("a", "swapped", "swapped") in want and ("a", "foreign", "foreign") in want and ("a", "far", "far") not in want
+
+
+def test_gammas_over_several_rounds_search_once(spark, monkeypatch):
+    """All rounds share one search of the points' neighbors, which the result's plan holds no more."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    path = spark.createDataFrame([(i, [float(i), 0.0, 0.0], i / 4) for i in range(5)], "order int, x array<double>, gamma double")
+    searches, search = [], paths.knn
+    monkeypatch.setattr(paths, "knn", lambda *a, **kw: searches.append(a) or search(*a, **kw))
+    found = paths.assign_gammas(points, path, "2", 3, iterations=4, cutoff=3.0)
+    assert len(searches) == 1 and "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.id: r.gamma for r in paths.assign_gammas(points, path, "2", 3, cutoff=3.0).collect()}
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = np.argsort(dist, 1)[:, :4]  # the point itself first
+    w = np.take_along_axis(dist, near, 1)
+    w = np.where(w < 1e-3, 1, np.where(w < 3, 0.5 * (np.cos(np.pi / 3 * w) + 1), 0))
+    gamma = np.array([want[i] for i in range(60)])
+    for _ in range(3):
+        gamma = (w * gamma[near]).sum(1) / 4
+    assert np.allclose([r.gamma for r in sorted(found.collect())], gamma)
