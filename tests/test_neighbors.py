@@ -226,3 +226,23 @@ def test_edges_of_lists_search_once(spark):
 
     found = catalogue.QUERIES["generic_pairwise_edges"](spark, "/root/testdata/sf0.001")
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_of_many_booleans():
+    rng = np.random.default_rng(9)
+    for shape in ((0, 5), (1, 1), (3, 7), (8, 8), (5, 13), (64, 1000)):
+        for share in (0, 0.001, 0.5, 1):
+            x = rng.random(shape) < share
+            assert np.array_equal(neighbors.true_at(x), np.flatnonzero(x))
+
+
+def test_visits_are_counted_without_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 4))[rng.integers(0, 12, 900)] * 6 + rng.normal(size=(900, 4))
+    seen, visits = [], neighbors.visits
+    monkeypatch.setattr(neighbors, "visits", lambda *a: seen.append(a) or visits(*a))
+    neighbors.knn(points(spark, x), 2, most_bytes=900 * 8 * 4 // 6)
+    (known, cells), = seen
+    counted = neighbors.visitors(known, cells)
+    assert len(counted) > 3 and counted == {r.unit: r["count"] for r in visits(known, cells).groupBy("unit").count().collect()}
+    assert neighbors.visitors(known.limit(0), cells) == {}
