@@ -429,7 +429,9 @@ def visited(searches, every: Cells) -> np.ndarray:
     search, cell = np.nonzero(every.reached(every.distances(x), searches.column("cell").to_numpy(), searches.column("radius").to_numpy()))
     n = every.pieces[cell]
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.unique(np.stack([np.repeat(search, n), np.repeat(every.first[cell], n) + step], 1), axis=0)
+    asked = np.zeros((len(x), every.units), bool)
+    asked[np.repeat(search, n), np.repeat(every.first[cell], n) + step] = True
+    return np.argwhere(asked)
 
 
 def visits(known: DataFrame, cells) -> DataFrame:
