@@ -8,6 +8,8 @@ import platform
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def write_graph(graph: dict[str, DataFrame], path: str, buckets: int | None = None, database: str | None = None) -> None:
     """Each table of a graph as Parquet under path; with buckets and a database, as tables bucketed by gid, so that joins on it need no shuffle."""
@@ -82,20 +84,41 @@ def write_rankings(ratios: DataFrame, path: str) -> None:
 EPOCH = "epoch int, loss_train double, loss_valid double, seconds double, saved boolean"
 
 
+#: So many folders hold the epochs of all runs, each those whose ids have its number as their hash.
+EPOCH_FOLDERS = 64
+
+
 def write_epochs(spark: SparkSession, log: list[dict], path: str, run_id: str) -> None:
-    """The records of a training as rows of EPOCH, a folder per run; writing again replaces it."""
-    rows = [(x["epoch"], float(x["loss_train"]), float(x["loss_valid"]), float(x["seconds"]), bool(x["saved"])) for x in log]
-    spark.createDataFrame(rows, EPOCH).coalesce(1).write.mode("overwrite").parquet(f"{path}/epochs/run_id={run_id}")
+    """The records of a training as rows of EPOCH; writing again replaces it."""
+    rows = [(x["epoch"], float(x["loss_train"]), float(x["loss_valid"]), float(x["seconds"]), bool(x["saved"]), run_id) for x in log]
+    write_epoch_rows(spark.createDataFrame(rows, f"{EPOCH}, run_id string"), path)
 
 
 def write_epoch_rows(epochs: DataFrame, path: str) -> None:
-    """The same for rows of EPOCH of many runs (run_id, ..) at once; runs that are there already are replaced."""
+    """The same for rows of EPOCH of many runs (run_id, ..) at once; runs that are there already are replaced. Folders are as many for any number of runs."""
+    spark = epochs.sparkSession
     typed = epochs.select(*(F.col(name).cast(kind) for name, kind in (x.split() for x in EPOCH.split(", "))), F.col("run_id").cast("string"))
-    typed.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/epochs")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epochs")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        typed = cut(typed)
+        fresh = typed.select(F.col("run_id").alias("__run")).distinct()
+        touched = fresh.select(_epoch_folder("__run").alias("__folder")).distinct()
+        kept = _epoch_rows(spark, path).join(F.broadcast(touched), F.col("folder") == F.col("__folder"), "left_semi")
+        typed = typed.unionByName(kept.drop("folder").join(fresh, F.col("run_id").eqNullSafe(F.col("__run")), "left_anti"))
+    dealt = typed.withColumn("folder", _epoch_folder("run_id")).repartition("folder")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(f"{path}/epochs")
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{EPOCH}, run_id string").parquet(f"{path}/epochs")
+    return _epoch_rows(spark, path).drop("folder")
+
+
+def _epoch_folder(run_id: str):
+    return F.pmod(F.hash(run_id), F.lit(EPOCH_FOLDERS))
+
+
+def _epoch_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{EPOCH}, run_id string, folder int").parquet(f"{path}/epochs")
 
 
 def system_info(spark: SparkSession) -> DataFrame:

@@ -121,3 +121,16 @@ def test_frames_leave_in_pieces(monkeypatch):
     given = pd.DataFrame({"path": "a", "block": 0, "value": ["20\n"] + [value] * 50})
     out = [len(p) for p in taken[0](iter([given]))]
     assert sum(out) == 50 and max(out) <= 1000 // len(value) + 1
+
+
+def test_runs_share_folders(spark, tmp_path):
+    """Many runs take no more folders than a few, and runs that are there already are replaced, others not."""
+    epochs = spark.range(1500).selectExpr("cast(id % 500 AS string) AS run_id", "id div 500 AS epoch", "1.0 AS loss_train", "2.0 AS loss_valid", "3.0 AS seconds", "true AS saved")
+    tables.write_epoch_rows(epochs, str(tmp_path))
+    assert len([p for p in os.listdir(tmp_path / "epochs") if "=" in p]) < 100
+    tables.write_epochs(spark, [{"epoch": 7, "loss_train": 9, "loss_valid": 9, "seconds": 9, "saved": False}], str(tmp_path), "3")
+    got = {}
+    for r in tables.read_epochs(spark, str(tmp_path)).collect():
+        got.setdefault(r.run_id, []).append((r.epoch, r.loss_train, r.saved))
+    assert got.pop("3") == [(7, 9.0, False)]
+    assert len(got) == 499 and all(sorted(v) == [(i, 1.0, True) for i in range(3)] for v in got.values())
