@@ -46,6 +46,16 @@ def bond_angles(edges: DataFrame, keys: tuple[str, ...] = ("gid",)) -> DataFrame
     return pairs.select(*keys, "edge_u", "edge_v", angle.alias("angle"), F.lit(False).alias("is_dihedral"))
 
 
+def node_angles(edges: DataFrame, keys: tuple[str, ...] = ("gid",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """The angles of bond_angles() with columns of both edges as u_<column> and v_<column>, from a list of the edges into each node: where edges lie by their group, none moves. A node's edges must fit a row."""
+    item = F.struct("edge_id", "dx", "dy", "dz", *carry)
+    met = edges.groupBy(*keys, "dst").agg(F.collect_list(item).alias("__edges"))
+    pairs = met.select(*keys, "__edges", F.explode("__edges").alias("u")).select(*keys, "u", F.explode("__edges").alias("v")).where("u.edge_id <> v.edge_id")
+    angle = angle3(tuple(F.col(f"u.d{c}") for c in "xyz"), tuple(F.col(f"v.d{c}") for c in "xyz"))
+    carried = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "uv" for c in carry]
+    return pairs.select(*keys, F.col("u.edge_id").alias("edge_u"), F.col("v.edge_id").alias("edge_v"), angle.alias("angle"), F.lit(False).alias("is_dihedral"), *carried)
+
+
 def three_body_angles(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("gid",), vec: str = "x", legacy_scale: bool = False) -> DataFrame:
     """The same for points of any dimension, nodes (keys.., node_id, vec). legacy_scale: multiplied by pi / 180 once more."""
     ends = edges.join(nodes.select(*keys, F.col("node_id").alias("src"), F.col(vec).alias("a")), [*keys, "src"]).join(nodes.select(*keys, F.col("node_id").alias("dst"), F.col(vec).alias("b")), [*keys, "dst"])

@@ -95,8 +95,9 @@ def total_statistics(stats: DataFrame, keys: tuple[str, ...] = ("kind", "type_ke
 
 def lowest_share_mean(rows: DataFrame, keys: tuple[str, ...], value: str, share: float = 0.25) -> DataFrame:
     """(keys.., low_mean): the mean of the lowest share of the values, the number rounded down; null if that leaves none. Null values don't count."""
-    slim = stored(rows.select(*keys, F.col(value).alias("v")), "values")
-    ends = thresholds(slim, value_order(F.col("v")), lambda n: F.floor(n * share), keys, F.col("v"))
+    v = F.col(value).cast("double")
+    slim = stored(rows.select(*keys, v.alias("v"), value_order(v).alias("o")), "values")  # each step reads the order
+    ends = thresholds(slim, F.col("o"), lambda n: F.floor(n * share), keys, F.col("v"))
     return ends.select(*keys, ((F.col("__sel_sum") + F.col("__sel_rest") * F.col("__sel_value")) / F.nullif(F.col("__sel_below") + F.col("__sel_rest"), F.lit(0))).alias("low_mean"))
 
 

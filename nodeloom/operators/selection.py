@@ -23,19 +23,24 @@ VALUE_STEPS = (48, 32, 16, 0)
 DRAW_STEPS = (44, 0)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed a single time however often use names it; in a plain expression branches would compute it again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def value_order(value: Column) -> Column:
     """A double as a whole number that has the same order: its bits, those of negative ones counted down from 0. Null stays null; NaN comes last."""
+
+    def bits(v: Column, size: Column) -> Column:
+        # The logarithm may be one off where a value is near a power of two.
+        near = lambda p: once(size / F.pow(F.lit(2.0), p), lambda q: F.when(q >= 2, p + 1).when(q < 1, p - 1).otherwise(p))
+        usual = lambda p: (p + 1023) * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), p) - 1) * F.lit(2.0**52)).cast("long")
+        small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+        return F.when(F.isnan(v), F.lit(0x7FF8 << 48)).when(F.abs(v) == float("inf"), F.lit(0x7FF0 << 48)).when(size < 2.0**-1022, small).otherwise(once(once(F.floor(F.log2(size)), near), usual))
+
     v = value.cast("double")
     size = F.abs(v)
-    size = F.when(size < float("inf"), size)
-    power = F.floor(F.log2(size))
-    # The logarithm may be one off where a value is near a power of two.
-    power = F.when(size / F.pow(F.lit(2.0), power) >= 2, power + 1).when(size / F.pow(F.lit(2.0), power) < 1, power - 1).otherwise(power)
-    part = ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0**52)).cast("long")
-    usual = (power + 1023) * F.lit(1 << 52) + part
-    small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    bits = F.when(F.isnan(v), F.lit(0x7FF8 << 48)).when(F.abs(v) == float("inf"), F.lit(0x7FF0 << 48)).when(size < 2.0**-1022, small).otherwise(usual)
-    return F.when(v < 0, -bits).otherwise(bits)
+    return once(bits(v, F.when(size < float("inf"), size)), lambda b: F.when(v < 0, -b).otherwise(b))
 
 
 def draw_order(id_col: str, seed: int) -> Column:

@@ -18,9 +18,9 @@ ROW = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
 def atoms(spark: SparkSession, sf_dir: str, key: str = "l_orderkey") -> DataFrame:
     """(gid, node_id, symbol, x, y, z): the lines of an order or of a supplier."""
     order = ("l_orderkey", *ROW)
-    t = table(spark, sf_dir, "lineitem")
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*(c for c in order if c != key))) - 1
-    return t.select(F.col(key).alias("gid"), number.cast("long").alias("node_id"), F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"), F.round(F.col("l_tax") * 100).alias("z"), F.col("l_extendedprice").alias("price"))
+    t = table(spark, sf_dir, "lineitem").withColumn("gid", F.col(key))  # named before the window, so that what groups by gid later finds its rows dealt out
+    number = F.row_number().over(Window.partitionBy("gid").orderBy(*(c for c in order if c != key))) - 1
+    return t.select("gid", number.cast("long").alias("node_id"), F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"), F.round(F.col("l_tax") * 100).alias("z"), F.col("l_extendedprice").alias("price"))
 
 
 def atoms_sql(key: str = "l_orderkey") -> str:

@@ -114,3 +114,19 @@ def test_steps_know_their_size(spark):
     assert "BroadcastHashJoin" in plan and plan.count("Scan parquet") == 1
     kept = sorted((r.k, r["__sel_below"] + r["__sel_rest"]) for r in ends.collect())
     assert kept == sorted((k, len(range(k, 5000, 3)) // 4) for k in range(3))
+
+
+def test_an_order_is_computed_once(spark):
+    """However often it names the logarithm of a value, and what step reads it."""
+    plan = spark.range(3).select(selection.value_order(F.col("id").cast("double")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("LOG2") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_shares_are_dealt_out_by_graph(spark):
+    """Edges, their species and angles meet where the atoms of a graph already are: nothing is dealt out by node or edge."""
+    import re
+
+    plan = catalogue.ratio_rows(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
+    assert dealt and all(re.fullmatch(r"gid#\d+L(, dim#\d+)?", x) for x in dealt)
